@@ -1,4 +1,7 @@
-"""Column expressions shared by the operators: rounding, entropy, gain, association."""
+"""Column expressions shared by the operators: rounding, entropy, gain, association.
+
+Functions over class counts take the *name* (or SQL text) of an ``array<bigint>``.
+"""
 
 from __future__ import annotations
 
@@ -24,44 +27,44 @@ def from_micros(x: Column) -> Column:
     return x.cast("double") / F.lit(1e6)
 
 
-def array_total(counts: Column) -> Column:
-    return F.aggregate(counts, F.lit(0).cast("bigint"), lambda acc, c: acc + c)
+def total_sql(counts: str) -> str:
+    return f"aggregate({counts}, 0L, (s, c) -> s + c)"
+
+
+def _entropy_sql(counts: str) -> str:
+    # ln(n) - sum(c ln c) / n would cancel badly for large counts, so proportions are used.
+    n = f"double({total_sql(counts)})"
+    return f"(0D - aggregate({counts}, 0D, (s, c) -> s + if(c > 0, c / {n} * ln(c / {n}), 0D)))"
 
 
-def entropy(counts: Column, base: int | None = None) -> Column:
-    """Entropy of an array of counts; natural log, or log of the given base."""
-    total = array_total(counts).cast("double")
+def array_total(counts: str) -> Column:
+    return F.expr(total_sql(counts))
 
-    def add(acc: Column, c: Column) -> Column:
-        p = c.cast("double") / total
-        return acc + F.when(c > 0, p * F.ln(p)).otherwise(F.lit(0.0))
 
-    h = -F.aggregate(counts, F.lit(0.0), add)
-    if base is not None:
-        h = h / F.ln(F.lit(float(base)))
-    return F.when(total > 0, h + F.lit(0.0))
+def entropy(counts: str, base: int | None = None) -> Column:
+    """Entropy of an array of counts; natural log, or log of the given base. NULL without rows."""
+    scale = f" / ln({float(base)}D)" if base is not None else ""
+    return F.expr(f"if({total_sql(counts)} > 0, {_entropy_sql(counts)}{scale}, NULL)")
 
 
-def information_gain(counts: Column, parent: Column) -> Column:
+def information_gain(counts: str, parent: str) -> Column:
     """Gain of the split in / not in, inside the parent's class counts.
 
     NULL when the set covers its parent, which then fails every ``gain > G`` filter.
     """
-    rest = F.zip_with(parent, counts, lambda p, c: p - c)
-    n_parent = array_total(parent).cast("double")
-    left = array_total(counts).cast("double") / n_parent
-    right = array_total(rest).cast("double") / n_parent
-    gain = entropy(parent) - left * entropy(counts) - right * entropy(rest)
-    return F.when(array_total(rest) > 0, gain)
+    rest = f"zip_with({parent}, {counts}, (p, c) -> p - c)"
+    n = f"double({total_sql(parent)})"
+    return F.expr(
+        f"if({total_sql(rest)} > 0, {_entropy_sql(parent)}"
+        f" - {total_sql(counts)} / {n} * {_entropy_sql(counts)}"
+        f" - {total_sql(rest)} / {n} * {_entropy_sql(rest)}, NULL)"
+    )
 
 
-def pure_class(counts: Column) -> Column:
+def pure_class(counts: str) -> Column:
     """The only class that occurs, else -1."""
-    total = array_total(counts)
-    return F.when(
-        (total > 0) & (F.array_max(counts) == total),
-        F.array_position(counts, total).cast("int") - F.lit(1),
-    ).otherwise(F.lit(-1))
+    n = total_sql(counts)
+    return F.expr(f"if({n} > 0 and array_max({counts}) = {n}, int(array_position({counts}, {n})) - 1, -1)")
 
 
 def correlation(n: Column, sx: Column, sxx: Column, sy: Column, syy: Column, sxy: Column) -> Column:
@@ -71,45 +74,46 @@ def correlation(n: Column, sx: Column, sxx: Column, sy: Column, syy: Column, sxy
     return F.when((var_x > 0) & (var_y > 0), (sxy - sx * sy / n) / F.sqrt(var_x * var_y)).otherwise(F.lit(0.0))
 
 
-def _xlog2(p: Column) -> Column:
-    return F.when(p > 0, p * F.log2(p)).otherwise(F.lit(0.0))
-
-
-def nmi_indicator(counts: Column, totals: Column) -> Column:
+def nmi_indicator(counts: str, totals: str) -> Column:
     """Normalised mutual information of an indicator with the class, from class counts.
 
     ``counts`` holds the class counts where the indicator is 1, ``totals`` of all rows.
     """
-    n = array_total(totals).cast("double")
-    n1 = array_total(counts).cast("double")
+    n = f"double({total_sql(totals)})"
 
-    def sum_xlog2(values: Column) -> Column:
-        return F.aggregate(values, F.lit(0.0), lambda acc, c: acc + _xlog2(c.cast("double") / n))
+    def bits(values: str) -> str:
+        return f"aggregate({values}, 0D, (s, c) -> s - if(c > 0, c / {n} * log2(c / {n}), 0D))"
 
-    rest = F.zip_with(totals, counts, lambda t, c: t - c)
-    h_x = -(_xlog2(n1 / n) + _xlog2((n - n1) / n))
-    h_y = -sum_xlog2(totals)
-    h_xy = -(sum_xlog2(counts) + sum_xlog2(rest))
-    norm = F.sqrt(h_x * h_y)
-    return F.when(norm > 0, (h_x + h_y - h_xy) / norm).otherwise(F.lit(0.0))
+    ones, rest = total_sql(counts), f"zip_with({totals}, {counts}, (t, c) -> t - c)"
+    h_x = bits(f"array({ones}, {total_sql(totals)} - {ones})")
+    h_y = bits(totals)
+    h_xy = f"({bits(counts)} + {bits(rest)})"
+    return F.expr(f"if({h_x} * {h_y} > 0, ({h_x} + {h_y} - {h_xy}) / sqrt({h_x} * {h_y}), 0D)")
 
 
-def class_count_columns(y: str, n_classes: int, weight: Column | None = None) -> list[Column]:
-    """Aggregates ``c0 .. cK-1``: rows (or weights) per class."""
-    w = F.lit(1) if weight is None else weight
-    return [F.sum(F.when(F.col(y) == j, w).otherwise(F.lit(0))).cast("bigint").alias(f"c{j}") for j in range(n_classes)]
+def class_count_columns(y: str, n_classes: int) -> list[Column]:
+    """Aggregates ``c0 .. cK-1``: rows per class."""
+    return [F.expr(f"count_if({y} = {j})").alias(f"c{j}") for j in range(n_classes)]
+
+
+def class_columns(n_classes: int) -> list[str]:
+    return [f"c{j}" for j in range(n_classes)]
 
 
 def class_array(n_classes: int) -> Column:
-    return F.array(*[F.col(f"c{j}") for j in range(n_classes)])
+    return F.expr(f"array({', '.join(class_columns(n_classes))})")
+
+
+def class_rows(n_classes: int) -> Column:
+    return F.expr(" + ".join(class_columns(n_classes)))
 
 
 def sum_class_counts(n_classes: int) -> list[Column]:
-    return [F.sum(f"c{j}").alias(f"c{j}") for j in range(n_classes)]
+    return [F.sum(c).alias(c) for c in class_columns(n_classes)]
 
 
-def bigint_array(values) -> Column:
-    return F.array(*[F.lit(int(v)).cast("bigint") for v in values])
+def bigint_array_sql(values) -> str:
+    return "array(" + ", ".join(f"{int(v)}L" for v in values) + ")"
 
 
 def add_all(columns: list[Column]) -> Column:

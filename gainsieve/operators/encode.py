@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gainsieve.functions import scores
-from gainsieve.operators.order_stats import bucketized, order_statistics, profile_numeric
+from gainsieve.operators.order_stats import MAX_DISTINCT, attach_values, bucketized, order_statistics, profile_numeric
 from gainsieve.operators.running import numbered
+from gainsieve.sources.local import local_frame
 from gainsieve.sources.workspace import Workspace
 
 AUTO_BINS = range(2, 21)
@@ -57,7 +58,7 @@ def minmax_scale(df: DataFrame, columns: list[str], params: DataFrame | None = N
     if params is None:
         profile = profile_numeric(df, columns)
         rows = [(c, p["min"], p["max"] if p["max"] != p["min"] else p["min"] + 1.0) for c, p in profile.items()]
-        params = spark.createDataFrame(rows, "col string, min double, max double")
+        params = local_frame(spark, rows, "col string, min double, max double")
     fitted = {r["col"]: (r["min"], r["max"]) for r in params.collect()}
     scaled = df.withColumns(
         {c: (F.col(f"`{c}`").cast("double") - F.lit(fitted[c][0])) / F.lit(fitted[c][1] - fitted[c][0]) for c in columns}
@@ -104,16 +105,6 @@ def clamp_bins(bins: int, distinct: int) -> int:
     return max(min(distinct - 1, bins), 2)
 
 
-def _small_distinct(df: DataFrame, columns: list[str], profile: dict) -> dict[str, int]:
-    """Exact distinct counts where they can matter for the clamp (few distinct values)."""
-    few = [c for c in columns if profile[c]["distinct"] < 1000]
-    counts = {c: profile[c]["distinct"] for c in columns}
-    if few:
-        numeric = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in few])
-        counts.update({r["col"]: r["n_distinct"] for r in exact_distinct(numeric, few).collect()})
-    return counts
-
-
 def auto_bin_scores(
     df: DataFrame, columns: list[str], y: str, n_classes: int, ws: Workspace, profile: dict | None = None, **options
 ) -> DataFrame:
@@ -146,7 +137,7 @@ def auto_bin_scores(
             for cell in range(len(cuts[c]) + 2):
                 at_or_below = 0 if cell == 0 else sum(e <= cuts[c][cell - 1] for e in edges) if cell <= len(cuts[c]) else len(edges)
                 regroup.append((c, nb, cell, len(edges) if at_or_below == 0 else at_or_below))
-    mapping = spark.createDataFrame(regroup, "col string, nb int, cell int, bin int")
+    mapping = local_frame(spark, regroup, "col string, nb int, cell int, bin int")
     binned = (
         per_cell.join(F.broadcast(mapping), ["col", "cell"])
         .groupBy("col", "nb", "bin")
@@ -154,17 +145,15 @@ def auto_bin_scores(
         .withColumn("cls", scores.class_array(n_classes))
     )
     totals = [F.sum(f"c{j}").alias(f"t{j}") for j in range(n_classes)]
-    rows = scores.array_total(F.col("cls")).cast("double")
+    rows = scores.array_total("cls").cast("double")
     gain = (
-        binned.withColumn("h", rows * scores.entropy(F.col("cls"), n_classes))
+        binned.withColumn("h", rows * scores.entropy("cls", n_classes))
         .groupBy("col", "nb")
         .agg(*totals, F.sum("h").alias("h"))
         .withColumn("tot", F.array(*[F.col(f"t{j}") for j in range(n_classes)]))
     )
-    base = scores.entropy(F.col("tot"), n_classes)
-    return gain.select(
-        "col", "nb", scores.round6(base - F.col("h") / scores.array_total(F.col("tot")).cast("double")).alias("gain")
-    )
+    base = scores.entropy("tot", n_classes)
+    return gain.select("col", "nb", scores.round6(base - F.col("h") / scores.array_total("tot")).alias("gain"))
 
 
 def choose_bins(gains: DataFrame) -> DataFrame:
@@ -184,12 +173,12 @@ def fit_numeric(
     missing = [c for c in columns if profile[c]["missing"]]
     if missing:
         raise ValueError(f"null or NaN in feature columns {missing}; impute or drop them first")
-    distinct = _small_distinct(df, columns, profile)
+    attach_values(df, profile)  # makes small distinct counts exact, large ones cannot bind the clamp
     if bins == -1:
         chosen = {r["col"]: r["nb"] for r in choose_bins(auto_bin_scores(df, columns, y, n_classes, ws, profile, **options)).collect()}
     else:
         chosen = {c: bins for c in columns}
-    chosen = {c: clamp_bins(chosen[c], distinct[c]) for c in columns}
+    chosen = {c: clamp_bins(chosen[c], profile[c]["distinct"]) for c in columns}
     edges = quantile_edges(df, columns, chosen, ws, profile, **options)
     return [
         NumericColumn(
@@ -239,4 +228,4 @@ def category_lookup(df: DataFrame, column: str, dictionary: DataFrame, out: str)
 def bin_ranges(spark, numeric: list[NumericColumn]) -> DataFrame:
     """(col, bin, lo, hi): the original-unit range of each bin."""
     rows = [(c.name, i + 1, c.edges[i], c.edges[i + 1]) for c in numeric for i in range(c.bins)]
-    return spark.createDataFrame(rows, "col string, bin int, lo double, hi double")
+    return local_frame(spark, rows, "col string, bin int, lo double, hi double")

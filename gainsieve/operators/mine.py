@@ -48,8 +48,8 @@ def default_fs_k(fs_k: int, top_k: int) -> int:
 
 def ranked_items(items: DataFrame, sums: DataFrame, threshold, ws: Workspace) -> DataFrame:
     """Items with twu >= threshold and their rank 1..N by (twu, item)."""
-    joined = items.join(sums, "item").filter(F.col("twu") >= F.lit(threshold))
-    ranked = numbered(joined, [F.col("twu"), F.col("item")], ws, "rank")
+    kept = sums.filter(F.col("twu") >= F.lit(threshold))
+    ranked = numbered(items.join(kept, "item"), [F.col("twu"), F.col("item")], ws, "rank", rows=kept.count())
     return ws.table(ranked.withColumn("rank", F.col("rank").cast("int")), "ranked-items")
 
 
@@ -67,15 +67,13 @@ def mining_base(
         .withColumn("items", F.transform("items", lambda x: x["id"]))
     )
 
-    def after(_: Column, i: Column) -> Column:
-        return scores.array_total(F.slice(F.col("us"), i + F.lit(2), F.size("us")))
-
-    return merged.withColumn("suf", F.transform("us", after)).select(
+    after = F.expr("transform(us, (u, i) -> aggregate(slice(us, i + 2, size(us)), 0L, (s, x) -> s + x))")
+    return merged.withColumn("suf", after).select(
         "items",
         "us",
         "suf",
-        *[f"c{j}" for j in range(n_classes)],
-        scores.add_all([F.col(f"c{j}") for j in range(n_classes)]).alias("n"),
+        *scores.class_columns(n_classes),
+        scores.class_rows(n_classes).alias("n"),
         F.xxhash64("items").alias("h1"),
         F.xxhash64("items", F.lit(HASH_SALT)).alias("h2"),
     )
@@ -95,12 +93,12 @@ def itemset_sums(occurrences: DataFrame, keys: list[str], n_classes: int) -> Dat
         )
         .withColumn("cls", scores.class_array(n_classes))
         .withColumn("util", (F.col("support").cast("decimal(20,0)") * F.col("u").cast("decimal(18,0)")).cast("decimal(38,0)"))
-        .drop(*[f"c{j}" for j in range(n_classes)], "u")
+        .drop(*scores.class_columns(n_classes), "u")
     )
 
 
 def _carried(n_classes: int) -> list[str]:
-    return [*[f"c{j}" for j in range(n_classes)], "n", "h1", "h2"]
+    return [*scores.class_columns(n_classes), "n", "h1", "h2"]
 
 
 def single_sums(base: DataFrame, n_classes: int) -> DataFrame:
@@ -128,13 +126,13 @@ def pair_sums(base: DataFrame, n_classes: int) -> DataFrame:
     return itemset_sums(occ, ["x", "last"], n_classes).withColumn("prefix", F.array("x")).drop("x")
 
 
-def with_gain(sums: DataFrame, parent: Column) -> DataFrame:
+def with_gain(sums: DataFrame, parent: str) -> DataFrame:
     """Gain (rounded to 12 decimals, so that equal gains are equal), entropy and pure class."""
     return sums.withColumns(
         {
-            "ig": F.round(scores.information_gain(F.col("cls"), parent), 12),
-            "entropy": scores.entropy(F.col("cls")),
-            "pure_class": scores.pure_class(F.col("cls")),
+            "ig": F.round(scores.information_gain("cls", parent), 12),
+            "entropy": scores.entropy("cls"),
+            "pure_class": scores.pure_class("cls"),
         }
     )
 
@@ -193,6 +191,12 @@ def _deeper(base: DataFrame, survivors: DataFrame, threshold, length: int, n_cla
     return itemset_sums(occ, ["p", "a", "last"], n_classes).withColumn("prefix", F.concat("p", F.array("a"))).drop("a")
 
 
+def _level_counts(level: DataFrame, gain: float) -> dict:
+    """Candidates of a level, and how many pass the gain filter."""
+    row = level.agg(F.count("*").alias("n"), F.count_if(F.col("ig") > F.lit(gain)).alias("s")).first()
+    return {"candidates": row["n"], "survivors": row["s"]}
+
+
 LEVEL_COLUMNS = ["prefix", "last", "support", "util", "rutil", "cls", "f1", "f2", "ig", "entropy", "pure_class"]
 
 
@@ -212,9 +216,8 @@ def mine(
 ) -> MiningResult:
     """Mine, rank, dedupe and select patterns; see the module text for the data layout."""
     k = len(totals)
-    whole = scores.bigint_array(totals)
-    shape_items = ws.table(with_items(shapes, numeric, n_cats, item_lookup(items)), "shape-items")
-    sums = ws.table(item_sums(shape_items, k), "item-sums")
+    whole = scores.bigint_array_sql(totals)
+    sums = ws.table(item_sums(with_items(shapes, numeric, n_cats, item_lookup(items)), k), "item-sums")
     threshold = start_threshold(sums, top_k)
     ranked = ranked_items(items, sums, threshold, ws)
     base = ws.table(mining_base(shapes, numeric, n_cats, ranked, k), "base")
@@ -229,7 +232,7 @@ def mine(
         threshold = raised_by_pairs(pairs, threshold, top_k)
     report["threshold_raised"] = float(threshold) / scores.MICRO
     found = [emitted(levels[1], threshold, gain)]
-    report["levels"].append({"length": 1, "candidates": level.count(), "survivors": levels[1].count()})
+    report["levels"].append({"length": 1, **_level_counts(level, gain)})
 
     m, bar = 2, threshold
     while (length == -1 or m <= length) and report["levels"][-1]["survivors"] > 1:
@@ -244,15 +247,17 @@ def mine(
             parents = levels[m - 2].select(
                 F.concat("prefix", F.array("last")).alias("p"), F.col("cls").alias("parent_cls")
             )
-            candidates = with_gain(raw.join(parents, "p"), F.col("parent_cls")).select(*LEVEL_COLUMNS)
-        candidates = candidates.select(*LEVEL_COLUMNS)
-        n_candidates = None
-        if m > 2:
-            candidates = ws.table(candidates, f"candidates-{m}")
-        n_candidates = candidates.count()
-        levels[m] = ws.table(drop_sibling_duplicates(candidates.filter(F.col("ig") > F.lit(gain))), f"level-{m}")
+            candidates = with_gain(raw.join(parents, "p"), "parent_cls").select(*LEVEL_COLUMNS)
+        candidates = ws.table(candidates.select(*LEVEL_COLUMNS), f"candidates-{m}")
+        levels[m] = drop_sibling_duplicates(candidates.filter(F.col("ig") > F.lit(gain)))
+        counts = _level_counts(candidates, gain)
+        if length == -1 or m < length:
+            levels[m] = ws.table(levels[m], f"level-{m}")
+            counts["survivors"] = levels[m].count()
         found.append(emitted(levels[m], threshold, gain))
-        report["levels"].append({"length": m, "candidates": n_candidates, "survivors": levels[m].count()})
+        report["levels"].append({"length": m, **counts})
+        if length != -1 and m == length:
+            break
         best = kth_largest(reduce(DataFrame.unionByName, found), "util", top_k)
         if best is not None and best > bar:
             bar = best
@@ -260,7 +265,6 @@ def mine(
 
     everything = reduce(DataFrame.unionByName, found)
     patterns = select_patterns(everything, ranked, base, top_k, fs_k, ws, report, keep_duplicate, exact_dedupe)
-    report["items"] = ranked.count()
     return MiningResult(ranked, patterns, report)
 
 
@@ -327,7 +331,7 @@ def select_patterns(
     n_found = named.count()
     top = named
     if n_found > top_k:
-        ordered = numbered(named, [F.desc("util"), F.col("items")], ws, "_by_util")
+        ordered = numbered(named, [F.desc("util"), F.col("items")], ws, "_by_util", rows=n_found)
         top = ws.table(ordered.filter(F.col("_by_util") <= top_k).drop("_by_util"), "top")
     if exact_dedupe:
         confirm_same_rows(top, base)
@@ -337,8 +341,9 @@ def select_patterns(
         choice = [F.col("ig"), F.col("util"), F.desc("items")]
     w = Window.partitionBy("support", "f1", "f2").orderBy(*choice)
     distinct = top.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "f1", "f2")
-    ordered = numbered(distinct, [F.desc("ig"), F.desc("util"), F.col("items")], ws, "_place")
-    ordered = ws.table(ordered.withColumn("pid", (F.col("_place") - 1).cast("int")).drop("_place"), "ordered")
+    by_gain = [F.desc("ig"), F.desc("util"), F.col("items")]
+    ordered = numbered(distinct, by_gain, ws, "_place", rows=min(n_found, top_k))
+    ordered = ws.table(ordered.withColumn("pid", (F.col("_place") - 1).cast("int")).drop("_place"), "patterns")
     n_distinct = ordered.count()
     chosen = ordered.filter(F.col("pid") < fs_k) if fs_k != -1 else ordered
     report.update(

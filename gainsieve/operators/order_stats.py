@@ -13,13 +13,16 @@ import math
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from gainsieve.sources.local import local_frame
 from gainsieve.sources.workspace import Workspace
 
 MAX_DISTINCT = 200_000
+FEW_VALUES = 1_000
 SKETCH_ACCURACY = 10_000
+SKETCHES_PER_SCAN = 400
 
 
 @dataclass
@@ -30,7 +33,7 @@ class Bracket:
     hi: float
     before: int
     rows: int
-    distinct: int
+    distinct: float
     ranks: list[int] = field(default_factory=list)
 
 
@@ -86,23 +89,78 @@ def _splits(brackets: list[Bracket]) -> list[float]:
     return [edge for b in brackets for edge in (b.lo, math.nextafter(b.hi, math.inf))]
 
 
-def _merge(ranges: list[tuple[float, float]]) -> list[Bracket]:
+def attach_values(df: DataFrame, profile: dict[str, dict], few: int = FEW_VALUES) -> None:
+    """Put the whole value histogram of columns with few values into their profile (one scan)."""
+    columns = [c for c, p in profile.items() if p["n"] and p["distinct"] <= few and "values" not in p]
+    if not columns:
+        return
+    cells = [F.struct(F.lit(i).alias("col"), F.col(f"`{c}`").cast("double").alias("v")) for i, c in enumerate(columns)]
+    long = df.select(F.explode(F.array(*cells)).alias("s")).select("s.*")
+    counted = long.filter(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("col", "v").agg(F.count("*").alias("n"))
+    for c in columns:
+        profile[c]["values"] = []
+    for r in counted.collect():  # columns x few
+        profile[columns[r["col"]]]["values"].append((r["v"], r["n"]))
+    for c in columns:
+        profile[c]["values"].sort()
+        profile[c]["distinct"] = len(profile[c]["values"])
+
+
+def _ranks_from_values(values: list[tuple[float, int]], ranks: list[int]) -> dict[int, float]:
+    found, upto, wanted = {}, 0, sorted(set(ranks))
+    for v, n in values:
+        upto += n
+        while wanted and wanted[0] < upto:
+            found[wanted.pop(0)] = v
+    return found
+
+
+def _merged(ranges: list[tuple[float, float, float]]) -> list[Bracket]:
+    """Union of closed ranges (lo, hi, expected distinct values)."""
     merged: list[Bracket] = []
-    for lo, hi in sorted(ranges):
+    for lo, hi, expected in sorted(ranges):
         if merged and lo <= math.nextafter(merged[-1].hi, math.inf):
             merged[-1].hi = max(merged[-1].hi, hi)
+            merged[-1].distinct += expected
         else:
-            merged.append(Bracket(lo, hi, 0, 0, 0))
+            merged.append(Bracket(lo, hi, 0, 0, expected))
     return merged
 
 
-def _sketch(df: DataFrame, jobs: list[tuple[str, Bracket, list[float]]], accuracy: int) -> list[list[float]]:
-    aggs = []
-    for i, (c, b, percents) in enumerate(jobs):
-        inside = F.when(F.col(c).between(b.lo, b.hi), F.col(c))
-        aggs.append(F.percentile_approx(inside, percents, accuracy).alias(f"s{i}"))
-    row = df.agg(*aggs).first()
-    return [row[f"s{i}"] for i in range(len(jobs))]
+def _narrow(data: DataFrame, brackets: dict[str, list[Bracket]], max_distinct: int, accuracy: int) -> dict[str, list[Bracket]]:
+    """Sketch the brackets that hold too many values; one value range around each wanted rank."""
+    jobs, ranges = [], {c: [] for c in brackets}
+    for c, held in brackets.items():
+        for b in held:
+            if b.distinct <= max_distinct or b.lo == b.hi:
+                ranges[c].append((b.lo, b.hi, b.distinct))
+                continue
+            slack = 2.0 * b.rows / accuracy + 1
+            local = [r - b.before for r in b.ranks]
+            percents = [max(0.0, (r - slack) / b.rows) for r in local] + [min(1.0, (r + slack) / b.rows) for r in local]
+            jobs.append((c, b, percents, 2 * slack))
+    for at in range(0, len(jobs), SKETCHES_PER_SCAN):
+        chunk = jobs[at : at + SKETCHES_PER_SCAN]
+        aggs = []
+        for i, (c, b, percents, _) in enumerate(chunk):
+            inside = F.when(F.col(c).between(b.lo, b.hi), F.col(c))
+            aggs.append(F.percentile_approx(inside, percents, accuracy).alias(f"s{i}"))
+        row = data.agg(*aggs).first()
+        for i, (c, b, percents, expected) in enumerate(chunk):
+            values, half = row[f"s{i}"], len(percents) // 2
+            ranges[c] += [(lo, hi, 1 if lo == hi else expected) for lo, hi in zip(values[:half], values[half:])]
+    return {c: _merged(r) for c, r in ranges.items()}
+
+
+def _place(wanted: list[int], segments: list[Row]) -> list[tuple[Row, int, list[int]]]:
+    """Which wanted ranks lie in which counted segment, with the rows before the segment."""
+    placed, before = [], 0
+    for s in segments:
+        here = [r for r in wanted if before <= r < before + s["n"]]
+        if here:
+            placed.append((s, before, here))
+        before += s["n"]
+    return placed
 
 
 def order_statistics(
@@ -118,99 +176,76 @@ def order_statistics(
     ``profile`` comes from :func:`profile_numeric`. The result is as large as the
     list of ranks, never as the data.
     """
-    found: dict[str, dict[int, float]] = {c: {} for c in ranks}
+    attach_values(df, {c: profile[c] for c in ranks}, min(FEW_VALUES, max_distinct))
+    found: dict[str, dict[int, float]] = {}
     brackets: dict[str, list[Bracket]] = {}
     plain: dict[str, str] = {}
     for i, (c, wanted) in enumerate(ranks.items()):
         p = profile[c]
         if not p["n"]:
-            continue
-        inner = []
-        for r in sorted(set(wanted)):
-            if r <= 0 or p["min"] == p["max"]:
-                found[c][r] = p["min"]
-            elif r >= p["n"] - 1:
-                found[c][r] = p["max"]
-            else:
-                inner.append(r)
-        if inner:
-            plain[c] = f"v{i}"
-            brackets[plain[c]] = [Bracket(p["min"], p["max"], 0, p["n"], p["distinct"], inner)]
+            found[c] = {}
+        elif "values" in p:
+            found[c] = _ranks_from_values(p["values"], wanted)
+        else:
+            found[c] = {r: p["min"] if r <= 0 else p["max"] for r in wanted if r <= 0 or r >= p["n"] - 1}
+            inner = sorted({r for r in wanted if 0 < r < p["n"] - 1})
+            if inner:
+                plain[f"v{i}"] = c
+                brackets[f"v{i}"] = [Bracket(p["min"], p["max"], 0, p["n"], p["distinct"], inner)]
     if not brackets:
         return found
-    back = {v: c for c, v in plain.items()}
-    data = df.select(*[F.col(f"`{c}`").cast("double").alias(v) for c, v in plain.items()])
-    names = {c: i for i, c in enumerate(brackets)}
-    by_index = {i: c for c, i in names.items()}
-
-    while True:
-        jobs = []
-        for c, held in brackets.items():
-            for b in held:
-                if b.distinct > max_distinct and b.lo < b.hi:
-                    slack = 2.0 * b.rows / accuracy + 1
-                    local = [r - b.before for r in b.ranks]
-                    percents = [max(0.0, (r - slack) / b.rows) for r in local]
-                    percents += [min(1.0, (r + slack) / b.rows) for r in local]
-                    jobs.append((c, b, percents))
-        if not jobs:
-            break
-        narrowed: dict[str, list[tuple[float, float]]] = {c: [] for c in brackets}
-        for (c, b, _), values in zip(jobs, _sketch(data, jobs, accuracy)):
-            half = len(values) // 2
-            narrowed[c] += list(zip(values[:half], values[half:]))
-        busy = {id(b) for _, b, _ in jobs}
-        fresh: dict[str, list[Bracket]] = {}
-        for c, held in brackets.items():
-            if any(id(b) in busy for b in held):
-                kept = [(b.lo, b.hi) for b in held if id(b) not in busy]
-                fresh[c] = _merge(narrowed[c] + kept)
-        splits = {c: _splits(bs) for c, bs in fresh.items()}
-        counted = (
-            _long_segments(data, splits, names)
-            .groupBy("col", "seg")
-            .agg(
-                F.count("*").alias("n"),
-                F.approx_count_distinct("v").alias("d"),
-                F.min("v").alias("lo"),
-                F.max("v").alias("hi"),
+    data = df.select(*[F.col(f"`{c}`").cast("double").alias(v) for v, c in plain.items()])
+    names = {v: i for i, v in enumerate(plain)}
+    order = list(plain)
+
+    while brackets:
+        narrowed = _narrow(data, brackets, max_distinct, accuracy)
+        splits = {v: _splits(bs) for v, bs in narrowed.items()}
+        long = _long_segments(data, splits, names)
+        too_big = any(b.distinct > max_distinct and b.lo < b.hi for bs in narrowed.values() for b in bs)
+        if too_big and any(
+            [(b.lo, b.hi) for b in narrowed[v]] != [(b.lo, b.hi) for b in brackets[v]] for v in narrowed
+        ):
+            # Narrower but still large: count exactly, then sketch inside the new brackets.
+            counted = long.groupBy("col", "seg").agg(
+                F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.approx_count_distinct("v").alias("d")
             )
-            .orderBy("col", "seg")
-            .collect()
+            segments = counted.orderBy("col", "seg").collect()
+            for v in list(brackets):
+                wanted = sorted(r for b in brackets[v] for r in b.ranks)
+                mine = [s for s in segments if s["col"] == names[v]]
+                brackets[v] = [Bracket(s["lo"], s["hi"], at, s["n"], s["d"], here) for s, at, here in _place(wanted, mine)]
+            continue
+        # Small enough: count the values inside the brackets one by one, the gaps as a whole.
+        inside = F.when(F.col("seg") % 2 == 1, F.col("v"))
+        histogram = ws.table(
+            long.groupBy("col", "seg", inside.alias("value")).agg(
+                F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
+            ),
+            "bracket-values",
         )
-        for c in fresh:
-            wanted = sorted(r for b in brackets[c] for r in b.ranks)
-            old = {(b.lo, b.hi) for b in brackets[c]}
-            placed, before = [], 0
-            for seg in (s for s in counted if by_index[s["col"]] == c):
-                here = [r for r in wanted if before <= r < before + seg["n"]]
-                if here:
-                    # A rank that the sketch missed lies in a gap, which then becomes its bracket.
-                    again = (seg["lo"], seg["hi"]) in old and seg["d"] > max_distinct
-                    placed.append(
-                        Bracket(seg["lo"], seg["hi"], before, seg["n"], max_distinct if again else seg["d"], here)
-                    )
-                before += seg["n"]
-            brackets[c] = placed
-
-    splits = {c: _splits(bs) for c, bs in brackets.items()}
-    histogram = (
-        _long_segments(data, splits, names)
-        .filter(F.col("seg") % 2 == 1)
-        .groupBy("col", "seg", "v")
-        .agg(F.count("*").alias("n"))
-    )
-    w = Window.partitionBy("col", "seg").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    wanted_rows = [
-        (names[c], 2 * i + 1, r - b.before, r) for c, bs in brackets.items() for i, b in enumerate(bs) for r in b.ranks
-    ]
-    wanted = df.sparkSession.createDataFrame(wanted_rows, "col int, seg int, local bigint, rank bigint")
-    cumulated = histogram.withColumn("upto", F.sum("n").over(w))
-    hits = cumulated.join(F.broadcast(wanted), ["col", "seg"]).filter(
-        (F.col("upto") > F.col("local")) & (F.col("upto") - F.col("n") <= F.col("local"))
-    )
-    for row in hits.select("col", "rank", "v").collect():
-        found[back[by_index[row["col"]]]][row["rank"]] = row["v"]
+        totals = histogram.groupBy("col", "seg").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        segments = totals.orderBy("col", "seg").collect()
+        targets, missed = [], {}
+        for v in order:
+            if v not in brackets:
+                continue
+            wanted = sorted(r for b in brackets[v] for r in b.ranks)
+            for s, at, here in _place(wanted, [s for s in segments if s["col"] == names[v]]):
+                if s["seg"] % 2 == 1:
+                    targets += [(names[v], s["seg"], r - at, r) for r in here]
+                else:
+                    # The sketch missed these ranks, so the gap they lie in becomes their bracket.
+                    missed.setdefault(v, []).append(Bracket(s["lo"], s["hi"], at, s["n"], s["n"], here))
+        w = Window.partitionBy("col", "seg").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        cumulated = histogram.filter(F.col("value").isNotNull()).withColumn("upto", F.sum("n").over(w))
+        wanted = local_frame(df.sparkSession, targets, "col int, seg int, local bigint, rank bigint")
+        hits = cumulated.join(F.broadcast(wanted), ["col", "seg"]).filter(
+            (F.col("upto") > F.col("local")) & (F.col("upto") - F.col("n") <= F.col("local"))
+        )
+        for row in hits.select("col", "rank", "value").collect():
+            found[plain[order[row["col"]]]][row["rank"]] = row["value"]
+        brackets = missed
     return found
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from gainsieve.operators.order_stats import median
 from gainsieve.operators.running import numbered
+from gainsieve.sources.local import local_frame
 from gainsieve.sources.workspace import Workspace
 
 INT_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -243,9 +244,7 @@ def data_profile(df: DataFrame, groups: FeatureGroups, y: str) -> DataFrame:
     rows = classes.groupBy().agg(F.sum("value").alias("value"))
     rows = rows.select(F.lit("rows").alias("metric"), F.lit("all").alias("name"), F.coalesce("value", F.lit(0)).alias("value"))
     spark = df.sparkSession
-    return classes.unionByName(rows).unionByName(
-        spark.createDataFrame(fixed, "metric string, name string, value bigint")
-    )
+    return classes.unionByName(rows).unionByName(local_frame(spark, fixed, "metric string, name string, value bigint"))
 
 
 def prepare(df: DataFrame, label: str, features: list[str] | None = None, keys: list[str] | None = None):

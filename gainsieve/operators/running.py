@@ -22,14 +22,19 @@ def running_sums(
     ws: Workspace,
     groups: list[str] | None = None,
     one_task_rows: int = ONE_TASK_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add inclusive running sums ``out <- column`` along ``order`` inside each group.
 
-    The order key has to be unique per group: aggregate equal keys first.
+    The order key has to be unique per group: aggregate equal keys first. ``rows``
+    saves a count when the caller knows the size.
     """
     groups = list(groups or [])
-    source = ws.table(df, "running-in")
-    if source.limit(one_task_rows + 1).count() <= one_task_rows:
+    source = df
+    if rows is None:
+        source = ws.table(df, "running-in")
+        rows = source.limit(one_task_rows + 1).count()
+    if rows <= one_task_rows:
         keys = groups or [F.lit(0)]
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return source.select("*", *[F.sum(c).over(w).alias(out) for out, c in sums.items()])
@@ -59,9 +64,9 @@ def numbered(
     name: str = "rn",
     groups: list[str] | None = None,
     one_task_rows: int = ONE_TASK_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """1-based row numbers along ``order`` inside each group; the order must be total."""
-    out = running_sums(
-        df.withColumn("_one", F.lit(1).cast("bigint")), order, {name: "_one"}, ws, groups, one_task_rows
-    )
+    ones = df.withColumn("_one", F.lit(1).cast("bigint"))
+    out = running_sums(ones, order, {name: "_one"}, ws, groups, one_task_rows, rows)
     return out.drop("_one")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gainsieve.functions import scores
 from gainsieve.operators.encode import NumericColumn, assign_bins
 from gainsieve.operators.running import numbered
+from gainsieve.sources.local import local_frame
 from gainsieve.sources.workspace import Workspace
 
 log = logging.getLogger(__name__)
@@ -46,16 +47,11 @@ def contingency(shapes: DataFrame, n_numeric: int, n_cats: int, n_classes: int)
         F.struct(F.lit(n_numeric + j).alias("col_idx"), none_bin.alias("bin"), F.col(f"l_{j}").alias("label"))
         for j in range(n_cats)
     ]
-    counts = [f"c{j}" for j in range(n_classes)]
+    counts = scores.class_columns(n_classes)
     long = shapes.select(F.explode(F.array(*cells)).alias("s"), *counts).select("s.*", *counts)
     return long.groupBy("col_idx", "bin", "label").agg(*scores.sum_class_counts(n_classes))
 
 
-def class_totals(shapes: DataFrame, n_classes: int) -> list[int]:
-    row = shapes.agg(*scores.sum_class_counts(n_classes)).first()
-    return [int(row[f"c{j}"] or 0) for j in range(n_classes)]
-
-
 def _label_sums(totals: list[int]) -> tuple[Column, Column, Column]:
     return (
         F.lit(float(sum(totals))),
@@ -64,12 +60,17 @@ def _label_sums(totals: list[int]) -> tuple[Column, Column, Column]:
     )
 
 
+def _row_sums(n_classes: int) -> tuple[Column, Column]:
+    """Rows of a contingency cell, and the sum of their class codes."""
+    dot = " + ".join(f"{j}D * c{j}" for j in range(n_classes))
+    return scores.class_rows(n_classes).cast("double"), F.expr(dot)
+
+
 def numeric_correlation(ct: DataFrame, totals: list[int]) -> DataFrame:
     """(col_idx, corr): correlation of the bin number, overflow bin included, with the class code."""
     k = len(totals)
     n, sy, syy = _label_sums(totals)
-    rows = scores.add_all([F.col(f"c{j}").cast("double") for j in range(k)])
-    dot = scores.add_all([F.col(f"c{j}").cast("double") * F.lit(float(j)) for j in range(k)])
+    rows, dot = _row_sums(k)
     x = F.col("bin").cast("double")
     sums = (
         ct.filter(F.col("bin").isNotNull())
@@ -84,14 +85,13 @@ def category_association(ct: DataFrame, totals: list[int]) -> DataFrame:
     """(col_idx, label, c*, corr, nmi) of every category's 0/1 indicator."""
     k = len(totals)
     n, sy, syy = _label_sums(totals)
-    rows = scores.add_all([F.col(f"c{j}").cast("double") for j in range(k)])
-    dot = scores.add_all([F.col(f"c{j}").cast("double") * F.lit(float(j)) for j in range(k)])
+    rows, dot = _row_sums(k)
     corr = scores.correlation(n, rows, rows, sy, syy, dot)
-    nmi = scores.nmi_indicator(scores.class_array(k), scores.bigint_array(totals))
+    nmi = scores.nmi_indicator(f"array({', '.join(scores.class_columns(k))})", scores.bigint_array_sql(totals))
     return ct.filter(F.col("label").isNotNull()).select(
         "col_idx",
         "label",
-        *[f"c{j}" for j in range(k)],
+        *scores.class_columns(k),
         scores.round6(corr).alias("corr"),
         scores.round6(nmi).alias("nmi"),
     )
@@ -116,8 +116,8 @@ def score_items(
             log.warning("column %s has a largest edge of 0 and gives no item", c.name)
         for b in range(1, c.bins + 1):
             grid.append((i, c.name, b, c.edges[b - 1], c.edges[b], right[b - 1], right[c.bins - b]))
-    grid_df = spark.createDataFrame(
-        grid, "col_idx int, col string, bin int, lo double, hi double, up double, down double"
+    grid_df = local_frame(
+        spark, grid, "col_idx int, col string, bin int, lo double, hi double, up double, down double"
     )
     from_numeric = (
         grid_df.join(numeric_correlation(ct, totals), "col_idx")
@@ -157,9 +157,9 @@ def score_items(
         )
         scored = from_numeric.unionByName(from_category)
     scored = ws.table(scored.withColumn("raw", F.col("external") * F.col("internal")), "scored")
-    top = scored.agg(F.max("raw").alias("m")).first()["m"] or 0.0
-    kept = scored.filter(F.col("raw") > 0)
-    ids = numbered(kept, [F.col("col_idx"), F.col("bin")], ws, "item")
+    size = scored.agg(F.max("raw").alias("top"), F.count_if(F.col("raw") > 0).alias("n")).first()
+    top, kept = size["top"] or 0.0, scored.filter(F.col("raw") > 0)
+    ids = numbered(kept, [F.col("col_idx"), F.col("bin")], ws, "item", rows=size["n"])
     items = ids.withColumn("item", F.col("item").cast("int")).withColumn(
         "u", scores.micros(F.col("raw") / F.lit(top if top > 0 else 1.0))
     )
@@ -184,11 +184,9 @@ def with_items(
         if not known:
             continue
         pairs = [known.get(b, (None, None)) for b in range(1, c.bins + 2)]
-        ids = F.array(*[F.lit(p[0]).cast("int") for p in pairs])
-        us = F.array(*[F.lit(p[1]).cast("bigint") for p in pairs])
-        cells.append(
-            F.struct(F.element_at(ids, F.col(f"b_{i}")).alias("id"), F.element_at(us, F.col(f"b_{i}")).alias("u"))
-        )
+        ids = ", ".join("int(NULL)" if p[0] is None else str(p[0]) for p in pairs)
+        us = ", ".join("bigint(NULL)" if p[1] is None else f"{p[1]}L" for p in pairs)
+        cells.append(F.expr(f"struct(array({ids})[b_{i} - 1] as id, array({us})[b_{i} - 1] as u)"))
     work = encoded
     for j in range(n_cats):
         keys = lookup.filter(F.col("col_idx") == n_numeric + j).select(
@@ -218,7 +216,7 @@ def transactions(with_item_rows: DataFrame, keys: list[str], carry: list[str] |
 
 def transaction_utility(items: str = "items") -> Column:
     """Sum of the row's item utilities, in millionths."""
-    return F.aggregate(F.col(items), F.lit(0).cast("bigint"), lambda acc, x: acc + x["u"])
+    return F.expr(f"aggregate({items}, 0L, (s, x) -> s + x.u)")
 
 
 def item_sums(shape_items: DataFrame, n_classes: int) -> DataFrame:
@@ -226,8 +224,7 @@ def item_sums(shape_items: DataFrame, n_classes: int) -> DataFrame:
 
     twu: utilities of the rows that hold the item; riu: the item's own utility over those rows.
     """
-    n = scores.add_all([F.col(f"c{j}") for j in range(n_classes)])
-    per_row = shape_items.select(n.alias("n"), transaction_utility().alias("tu"), F.explode("items").alias("s"))
+    per_row = shape_items.select(scores.class_rows(n_classes).alias("n"), transaction_utility().alias("tu"), F.explode("items").alias("s"))
     weighted = F.col("n").cast("decimal(20,0)") * F.col("tu").cast("decimal(18,0)")
     return (
         per_row.groupBy(F.col("s.id").alias("item"))

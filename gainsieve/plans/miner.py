@@ -12,6 +12,7 @@ from gainsieve.functions import scores
 from gainsieve.operators import apply as matching
 from gainsieve.operators import encode, mine, prep, utility
 from gainsieve.operators.encode import NumericColumn
+from gainsieve.sources.local import local_frame
 from gainsieve.sources.workspace import Workspace
 
 
@@ -36,7 +37,7 @@ class PatternMiner:
     minority_weight: float = 1.0
     keep_duplicate: str = "lowest"
     exact_dedupe: bool = False
-    max_distinct: int = encode.order_statistics.__defaults__[0]
+    max_distinct: int = encode.MAX_DISTINCT
 
     def validate(self) -> None:
         for name in ("bins", "length", "top_k", "fs_k"):
@@ -59,19 +60,19 @@ class PatternMiner:
         spark = df.sparkSession
         ws = Workspace(spark)
         groups = prep.feature_groups(df, self.features, exclude=[self.label, *self.keys])
-        codes = ws.table(prep.label_codes(df, self.label).coalesce(1), "classes")
-        n_classes = codes.count()
+        classes = prep.label_codes(df, self.label).orderBy("y").collect()  # at most MAX_CLASSES rows
+        totals, n_classes = [r["n"] for r in classes], len(classes)
+        label_type = df.schema[self.label].dataType.simpleString()
+        codes = local_frame(spark, [(r["label"], r["y"], r["n"]) for r in classes], f"label {label_type}, y int, n bigint")
         wanted = prep.encode_label(df, self.label, codes, "_y").filter(F.col("_y").isNotNull())
         coded = wanted.select("_y", *[prep.q(c) for c in groups.ordered])
-        prep_cats = [c for c in groups.cats]
-        if prep_cats:
-            prep.reject_missing(coded, prep_cats)
+        if groups.cats:
+            prep.reject_missing(coded, groups.cats)
         options = {"max_distinct": self.max_distinct}
         numeric = encode.fit_numeric(coded, groups.ints, groups.floats, self.bins, "_y", n_classes, ws, **options)
         encoded = utility.encode_rows(coded, numeric, groups.cats)
         shapes = ws.table(utility.row_shapes(encoded, len(numeric), len(groups.cats), "_y", n_classes), "shapes")
         ct = ws.table(utility.contingency(shapes, len(numeric), len(groups.cats), n_classes), "contingency")
-        totals = utility.class_totals(shapes, n_classes)
         scored, items = utility.score_items(ct, numeric, groups.cats, totals, self.minority_weight, ws)
         top_k = mine.default_top_k(self.length, self.top_k, self.item_percent)
         fs_k = mine.default_fs_k(self.fs_k, top_k)
@@ -79,7 +80,6 @@ class PatternMiner:
             shapes, numeric, len(groups.cats), items, totals, self.length, self.gain, top_k, fs_k, ws,
             self.keep_duplicate, self.exact_dedupe,
         )
-        patterns = ws.table(result.patterns.coalesce(1) if result.report["patterns_selected"] < 100_000 else result.patterns, "patterns")
         return PatternModel(
             label=self.label,
             groups=groups,
@@ -88,7 +88,7 @@ class PatternMiner:
             numeric=numeric,
             scored=scored,
             items=items,
-            patterns=patterns,
+            patterns=result.patterns,
             n_patterns=result.report["patterns_selected"],
             report={**result.report, "top_k": top_k, "fs_k": fs_k, "gain": self.gain, "length": self.length},
             shapes=shapes,
@@ -118,7 +118,7 @@ class PatternModel:
     def edges(self) -> DataFrame:
         rows = [(c.name, c.kind, c.minimum, c.maximum, c.edges) for c in self.numeric]
         spark = self.items.sparkSession
-        return spark.createDataFrame(rows, "col string, kind string, min double, max double, edges array<double>")
+        return local_frame(spark, rows, "col string, kind string, min double, max double, edges array<double>")
 
     def dictionary(self) -> DataFrame:
         return self.scored.filter(F.col("label").isNotNull()).select("col", "label", F.col("bin").alias("idx"))
@@ -130,7 +130,7 @@ class PatternModel:
         flat = [(k, float(v)) for k, v in self.report.items() if isinstance(v, (int, float))]
         for lv in self.report["levels"]:
             flat += [(f"level_{lv['length']}_{k}", float(lv[k])) for k in ("candidates", "survivors")]
-        return self.items.sparkSession.createDataFrame(flat, "metric string, value double")
+        return local_frame(self.items.sparkSession, flat, "metric string, value double")
 
     def row_items(self, df: DataFrame) -> DataFrame:
         return matching.row_items(df, self.numeric, self.groups.cats, self.items)
@@ -192,7 +192,7 @@ class PatternModel:
             "order": [c.name for c in self.numeric],
         }
         spark = self.items.sparkSession
-        spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{path}/metadata")
+        local_frame(spark, [(json.dumps(meta),)], "value string").write.text(f"{path}/metadata")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> PatternModel:
