@@ -1,2 +1,142 @@
-class PatternClassifier: pass
-class PatternClassifierModel: pass
+"""A Spark ML estimator: patterns as features, any Spark classifier on top."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark import keyword_only
+from pyspark.ml import Estimator, Model
+from pyspark.ml.classification import LogisticRegression, OneVsRest
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReader
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gainsieve.operators import prep
+from gainsieve.plans.miner import PatternMiner, PatternModel
+from gainsieve.sources.local import local_frame
+
+
+def default_classifier(n_rows: float, n_classes: int, c: float = 1.0, multinomial: bool = False):
+    """L2 logistic regression with total-loss weight C; one against the rest for more than two classes."""
+    base = LogisticRegression(
+        regParam=1.0 / (c * max(n_rows, 1.0)), elasticNetParam=0.0, standardization=False, maxIter=500
+    )
+    if n_classes <= 2:
+        return base.setFamily("binomial")
+    return base.setFamily("multinomial") if multinomial else OneVsRest(classifier=base.setFamily("binomial"))
+
+
+class PatternClassifier(Estimator):
+    """Mine patterns, fit a classifier on the merged training rows (weight = row count).
+
+    ``base_estimator`` is any Spark classifier with featuresCol / labelCol; when it has no
+    weightCol it is fitted on unmerged rows. It may also be a function (rows, classes) -> classifier.
+    """
+
+    labelCol = Param(Params._dummy(), "labelCol", "class column", TypeConverters.toString)
+    features = Param(Params._dummy(), "features", "feature columns", TypeConverters.toListString)
+    keys = Param(Params._dummy(), "keys", "row key columns, never features", TypeConverters.toListString)
+    bins = Param(Params._dummy(), "bins", "quantile bins, -1 = by information gain", TypeConverters.toInt)
+    length = Param(Params._dummy(), "length", "longest pattern, -1 = no limit", TypeConverters.toInt)
+    gain = Param(Params._dummy(), "gain", "patterns need a larger information gain", TypeConverters.toFloat)
+    topK = Param(Params._dummy(), "topK", "patterns kept by utility, -1 = default", TypeConverters.toInt)
+    fsK = Param(Params._dummy(), "fsK", "patterns kept by gain, -1 = all of topK", TypeConverters.toInt)
+    itemPercent = Param(Params._dummy(), "itemPercent", "share of the default topK", TypeConverters.toFloat)
+    regC = Param(Params._dummy(), "regC", "inverse regularisation of the default classifier", TypeConverters.toFloat)
+
+    @keyword_only
+    def __init__(
+        self, *, labelCol="label", features=None, keys=None, bins=5, length=1, gain=1e-4, topK=-1, fsK=-1,
+        itemPercent=1.0, regC=1.0, base_estimator=None,
+    ):
+        super().__init__()
+        self._setDefault(
+            labelCol="label", keys=[], bins=5, length=1, gain=1e-4, topK=-1, fsK=-1, itemPercent=1.0, regC=1.0
+        )
+        kwargs = {k: v for k, v in self._input_kwargs.items() if v is not None and k != "base_estimator"}
+        self._set(**kwargs)
+        self.base_estimator = base_estimator
+
+    def miner(self) -> PatternMiner:
+        g = self.getOrDefault
+        return PatternMiner(
+            label=g(self.labelCol),
+            features=g(self.features) if self.isSet(self.features) else None,
+            keys=g(self.keys),
+            bins=g(self.bins),
+            length=g(self.length),
+            gain=g(self.gain),
+            top_k=g(self.topK),
+            fs_k=g(self.fsK),
+            item_percent=g(self.itemPercent),
+        )
+
+    def _fit(self, dataset: DataFrame) -> PatternClassifierModel:
+        patterns = self.miner().fit(dataset)
+        if patterns.n_patterns == 0:
+            raise ValueError("no pattern passes the thresholds; lower gain or raise topK")
+        n, k = sum(patterns.totals), len(patterns.totals)
+        base = self.base_estimator
+        if base is None:
+            base = default_classifier(n, k, self.getOrDefault(self.regC))
+        elif not isinstance(base, Estimator):
+            base = base(n, k)
+        base = base.copy({base.getParam("featuresCol"): "features", base.getParam("labelCol"): "y"})
+        if base.hasParam("weightCol"):
+            base = base.copy({base.getParam("weightCol"): "weight"})
+            train = patterns.training_table()
+        else:
+            coded = prep.encode_label(dataset, patterns.label, patterns.codes).filter(F.col("y").isNotNull())
+            train = patterns.transform(coded).select("features", F.col("y").cast("double").alias("y"))
+        return PatternClassifierModel(patterns, base.fit(train))
+
+
+class PatternClassifierModel(Model):
+    def __init__(self, patterns: PatternModel, classifier):
+        super().__init__()
+        self.patterns = patterns
+        self.classifier = classifier
+
+    def copy(self, extra=None):
+        return PatternClassifierModel(self.patterns, self.classifier)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        """Add pids, features, prediction and probability (array); y too when the label is there."""
+        df = dataset
+        if self.patterns.label in df.columns and "y" not in df.columns:
+            df = prep.encode_label(df, self.patterns.label, self.patterns.codes)
+        scored = self.classifier.transform(self.patterns.transform(df))
+        if "probability" in scored.columns:
+            return scored.withColumn("probability", vector_to_array("probability"))
+        # One against the rest gives raw scores: logistic per class, then normalised.
+        raw = F.transform(vector_to_array("rawPrediction"), lambda r: F.lit(1.0) / (F.lit(1.0) + F.exp(-r)))
+        scored = scored.withColumn("_p", raw)
+        total = F.aggregate("_p", F.lit(0.0), lambda s, p: s + p)
+        return scored.withColumn("_t", total).withColumn("probability", F.expr("transform(_p, p -> p / _t)")).drop("_p", "_t")
+
+    def predict(self, dataset: DataFrame) -> DataFrame:
+        """The prediction decoded to the original label, column ``predicted_label``."""
+        return prep.decode_label(self.transform(dataset), "prediction", self.patterns.codes, "predicted_label")
+
+    def coefficients(self) -> list[float]:
+        """Coefficients of the logistic regression; of the first class when there are several."""
+        model = self.classifier
+        if hasattr(model, "models"):
+            model = model.models[0]
+        if getattr(model, "numClasses", 2) > 2:
+            return [float(v) for v in model.coefficientMatrix.toArray()[0]]
+        return [float(v) for v in model.coefficients.toArray()]
+
+    def save(self, path: str) -> None:
+        self.patterns.save(f"{path}/patterns")
+        self.classifier.save(f"{path}/classifier")
+        name = f"{type(self.classifier).__module__}.{type(self.classifier).__name__}"
+        spark = self.patterns.items.sparkSession
+        local_frame(spark, [(json.dumps({"classifier": name}),)], "value string").write.text(f"{path}/kind")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> PatternClassifierModel:
+        patterns = PatternModel.load(spark, f"{path}/patterns")
+        return cls(patterns, DefaultParamsReader.loadParamsInstance(f"{path}/classifier", spark.sparkContext))
