@@ -250,3 +250,25 @@ def start_threshold(sums: DataFrame, top_k: int):
     """k-th largest riu when there are at least k items, else 0 (millionths)."""
     value = kth_largest(sums, "riu", top_k)
     return value if value is not None else 0
+
+
+def code_entropy(ct: DataFrame, n_classes: int) -> DataFrame:
+    """(col_idx, bin, label, rows, entropy): class entropy, base K, inside each code of a column."""
+    wide = ct.withColumn("cls", scores.class_array(n_classes))
+    return wide.select(
+        "col_idx",
+        "bin",
+        "label",
+        scores.class_rows(n_classes).alias("rows"),
+        scores.entropy("cls", n_classes).alias("entropy"),
+    )
+
+
+def column_gain(ct: DataFrame, totals: list[int]) -> DataFrame:
+    """(col_idx, base_entropy, cond_entropy, gain): gain of a whole column, rounded to 6."""
+    per_code = code_entropy(ct, len(totals))
+    cond = per_code.groupBy("col_idx").agg((F.sum(F.col("rows") * F.col("entropy")) / F.lit(float(sum(totals)))).alias("cond"))
+    base = scores.entropy(scores.bigint_array_sql(totals), len(totals))
+    return cond.select(
+        "col_idx", base.alias("base_entropy"), F.col("cond").alias("cond_entropy"), scores.round6(base - F.col("cond")).alias("gain")
+    )
