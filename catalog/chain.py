@@ -71,6 +71,8 @@ def score_ctes(view: View) -> list[str]:
     cat = " UNION ALL ".join(
         f"SELECT tid, y, {n_numeric + j} AS ci, '{c}' AS col, trim({c}) AS label FROM d" for j, c in enumerate(view.cats)
     )
+    if not view.cats:
+        cat = "SELECT tid, y, -1 AS ci, '' AS col, '' AS label FROM d WHERE false"
     corr = (
         "CASE WHEN sxx - sx * sx / n > 0 AND syy - sy * sy / n > 0"
         " THEN (sxy - sx * sy / n) / sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)) ELSE 0 END"
@@ -199,6 +201,27 @@ def fit_sql(view: View, final: str, bins: int = 5, length: int = 1, gain: float
     return "WITH " + ",\n".join([*ctes, *(extra or [])]) + "\n" + final
 
 
+def apply_ctes(view: View, unseen: str) -> list[str]:
+    """Items and contained patterns of the rows of an unseen source (tid and the features)."""
+    n_numeric = len(view.ints) + len(view.floats)
+    num = " UNION ALL ".join(
+        f"SELECT tid, {i} AS ci, {c}::DOUBLE AS v FROM un" for i, c in enumerate([*view.ints, *view.floats])
+    )
+    cat = " UNION ALL ".join(f"SELECT tid, {n_numeric + j} AS ci, trim({c}) AS label FROM un" for j, c in enumerate(view.cats))
+    return [
+        f"un AS ({unseen})",
+        f"unbin AS (SELECT tid, ci, {bin_of()} AS bin FROM ({num}) JOIN edges USING (ci))",
+        f"untx AS (SELECT tid, item FROM unbin JOIN items USING (ci, bin) WHERE items.label IS NULL UNION ALL"
+        f" SELECT tid, item FROM ({cat}) x JOIN items ON x.ci = items.ci AND x.label = items.label)",
+    ]
+
+
+COVER = (
+    "cover AS (SELECT tid, pid FROM (SELECT pid, unnest(items) AS item, len(items) AS size FROM patterns) JOIN untx USING (item)"
+    " GROUP BY tid, pid, size HAVING count(*) = size)"
+)
+
+
 def encode_sql(view: View, final: str, bins: int = 5, extra: list[str] | None = None) -> str:
     return "WITH " + ",\n".join([*encode_ctes(view, bins), *(extra or [])]) + "\n" + final
 

@@ -21,6 +21,7 @@ class View:
     cats: list[str]
     label: str  # SQL of the label, the same text for both engines
     source: str  # SQL FROM clause for the check
+    derived: tuple[tuple[str, str], ...] = ()  # extra feature columns as (name, SQL)
 
     @property
     def features(self) -> list[str]:
@@ -31,13 +32,16 @@ class View:
             base = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id")
         else:
             base = table(spark, sf, self.source)
-        chosen = [prep.q(c) for c in [*self.keys, *self.features]]
+        derived = dict(self.derived)
+        chosen = [F.expr(derived[c]).alias(c) if c in derived else prep.q(c) for c in [*self.keys, *self.features]]
         return base.select(*chosen, F.expr(self.label).alias("lab"))
 
     def sql(self) -> str:
         """(tid, features, lab); tid numbers the rows when the key has several columns."""
         tid = self.keys[0] if len(self.keys) == 1 else f"row_number() OVER (ORDER BY {', '.join(self.keys)})"
-        return f"SELECT {tid} AS tid, {', '.join(self.features)}, {self.label} AS lab FROM {self.source}"
+        derived = dict(self.derived)
+        features = ", ".join(f"{derived[c]} AS {c}" if c in derived else c for c in self.features)
+        return f"SELECT {tid} AS tid, {features}, {self.label} AS lab FROM {self.source}"
 
 
 P1 = View(
@@ -71,6 +75,13 @@ P3 = View(
 P4 = View("p4", ["doc_id"], ["n_chars"], [], ["lang", "source"], "quality", "labels JOIN documents USING (doc_id)")
 P5 = View("p5", P1.keys, P1.ints, P1.floats, P1.cats, "l_returnflag", "lineitem")
 
+# A column that repeats another one, so that many itemsets share their rows.
+P2_TWIN = View(
+    "p2twin", P2.keys, [], P2.floats, ["o_orderstatus", "twin"], P2.label, "orders", (("twin", "'s' || o_orderstatus"),)
+)
+# One numeric feature: the row with the largest value has no item.
+P3_VALUE = View("p3value", P3.keys, [], ["value"], [], P3.label, "events")
+
 _MODELS: dict[tuple, PatternModel] = {}
 
 

@@ -53,29 +53,46 @@ def ranked_items(items: DataFrame, sums: DataFrame, threshold, ws: Workspace) ->
     return ws.table(ranked.withColumn("rank", F.col("rank").cast("int")), "ranked-items")
 
 
-def mining_base(
-    shapes: DataFrame, numeric: list[NumericColumn], n_cats: int, ranked: DataFrame, n_classes: int
+def ranked_rows(
+    coded: DataFrame, numeric: list[NumericColumn], n_cats: int, ranked: DataFrame
 ) -> DataFrame:
-    """Shapes as sorted arrays of item ranks: items, us, suf (utility after each item), counts, hashes."""
+    """Coded rows or shapes with their kept items in rank order.
+
+    Adds ``items`` (ranks), ``us`` (utilities) and ``suf`` (utility of the items after each one).
+    """
     lookup = ranked.select("col_idx", "bin", "label", F.col("rank").alias("id"), "u")
-    coded = with_items(shapes, numeric, n_cats, lookup).withColumn("items", F.array_sort("items"))
-    merged = (
-        coded.filter(F.size("items") > 0)
-        .groupBy("items")
-        .agg(*scores.sum_class_counts(n_classes))
-        .withColumn("us", F.transform("items", lambda x: x["u"]))
-        .withColumn("items", F.transform("items", lambda x: x["id"]))
-    )
+    found = with_items(coded, numeric, n_cats, lookup, "_found").withColumn("_found", F.array_sort("_found"))
+    split = found.withColumns({"items": F.expr("transform(_found, x -> x.id)"), "us": F.expr("transform(_found, x -> x.u)")})
+    return split.withColumn("suf", F.expr(SUFFIX_SQL)).drop("_found")
 
-    after = F.expr("transform(us, (u, i) -> aggregate(slice(us, i + 2, size(us)), 0L, (s, x) -> s + x))")
-    return merged.withColumn("suf", after).select(
-        "items",
-        "us",
-        "suf",
-        *scores.class_columns(n_classes),
-        scores.class_rows(n_classes).alias("n"),
-        F.xxhash64("items").alias("h1"),
+
+SUFFIX_SQL = "transform(us, (u, i) -> aggregate(slice(us, i + 2, size(us)), 0L, (s, x) -> s + x))"
+
+
+def mining_base(
+    shapes: DataFrame, numeric: list[NumericColumn], n_cats: int, ranked: DataFrame, n_classes: int
+) -> DataFrame:
+    """Distinct sets of kept items: items, us, suf, class counts, rows, two hashes of the set."""
+    rows = ranked_rows(shapes, numeric, n_cats, ranked).filter(F.size("items") > 0)
+    merged = rows.groupBy("items", "us", "suf").agg(*scores.sum_class_counts(n_classes))
+    return merged.select(
+        "*", scores.class_rows(n_classes).alias("n"), F.xxhash64("items").alias("h1"),
         F.xxhash64("items", F.lit(HASH_SALT)).alias("h2"),
+    )
+
+
+def item_occurrences(rows: DataFrame, carry: list[str]) -> DataFrame:
+    """(last, u, r, carried): one row per row and item; r is the utility after the item."""
+    out = rows.select(F.posexplode("items").alias("i", "last"), "us", "suf", *carry)
+    return out.select("last", F.expr("us[i]").alias("u"), F.expr("suf[i]").alias("r"), *carry)
+
+
+def pair_occurrences(rows: DataFrame, carry: list[str]) -> DataFrame:
+    """(x, last, u, r, carried): the item pairs of each row, made inside the row without a join."""
+    firsts = rows.select("items", "us", "suf", *carry, F.posexplode("items").alias("i", "x"))
+    both = firsts.select("us", "suf", "i", "x", *carry, F.posexplode(F.expr("slice(items, i + 2, size(items))")).alias("k", "last"))
+    return both.select(
+        "x", "last", F.expr("us[i] + us[i + k + 1]").alias("u"), F.expr("suf[i + k + 1]").alias("r"), *carry
     )
 
 
@@ -102,28 +119,13 @@ def _carried(n_classes: int) -> list[str]:
 
 
 def single_sums(base: DataFrame, n_classes: int) -> DataFrame:
-    occ = base.select(F.posexplode("items").alias("i", "last"), "us", "suf", *_carried(n_classes)).select(
-        "last", F.col("us")[F.col("i")].alias("u"), F.col("suf")[F.col("i")].alias("r"), *_carried(n_classes)
-    )
-    return itemset_sums(occ, ["last"], n_classes).withColumn("prefix", F.array().cast("array<int>"))
+    sums = itemset_sums(item_occurrences(base, _carried(n_classes)), ["last"], n_classes)
+    return sums.withColumn("prefix", F.array().cast("array<int>"))
 
 
 def pair_sums(base: DataFrame, n_classes: int) -> DataFrame:
-    """Co-occurring item pairs, made inside each row, so no join on row ids is needed."""
-    rest = F.slice(F.col("items"), F.col("i") + F.lit(2), F.size("items"))
-    occ = (
-        base.select("items", "us", "suf", *_carried(n_classes), F.posexplode("items").alias("i", "x"))
-        .select("us", "suf", "i", "x", *_carried(n_classes), F.posexplode(rest).alias("k", "last"))
-        .withColumn("j", F.col("i") + F.col("k") + F.lit(1))
-        .select(
-            "x",
-            "last",
-            (F.col("us")[F.col("i")] + F.col("us")[F.col("j")]).alias("u"),
-            F.col("suf")[F.col("j")].alias("r"),
-            *_carried(n_classes),
-        )
-    )
-    return itemset_sums(occ, ["x", "last"], n_classes).withColumn("prefix", F.array("x")).drop("x")
+    sums = itemset_sums(pair_occurrences(base, _carried(n_classes)), ["x", "last"], n_classes)
+    return sums.withColumn("prefix", F.array("x")).drop("x")
 
 
 def with_gain(sums: DataFrame, parent: str) -> DataFrame:
