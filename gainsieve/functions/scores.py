@@ -5,8 +5,6 @@ Functions over class counts take the *name* (or SQL text) of an ``array<bigint>`
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,11 +65,11 @@ def pure_class(counts: str) -> Column:
     return F.expr(f"if({n} > 0 and array_max({counts}) = {n}, int(array_position({counts}, {n})) - 1, -1)")
 
 
-def correlation(n: Column, sx: Column, sxx: Column, sy: Column, syy: Column, sxy: Column) -> Column:
-    """Pearson correlation from sums; 0 when either side is constant."""
-    n, sx, sxx, sy, syy, sxy = (c.cast("double") for c in (n, sx, sxx, sy, syy, sxy))
-    var_x, var_y = sxx - sx * sx / n, syy - sy * sy / n
-    return F.when((var_x > 0) & (var_y > 0), (sxy - sx * sy / n) / F.sqrt(var_x * var_y)).otherwise(F.lit(0.0))
+def correlation(sx: str, sxx: str, sxy: str, n: float, sy: float, syy: float) -> Column:
+    """Pearson correlation from sums (SQL text for x, numbers for y); 0 when either side is constant."""
+    var_x, var_y = f"({sxx} - {sx} * {sx} / {n!r}D)", f"({syy!r}D - {sy!r}D * {sy!r}D / {n!r}D)"
+    cov = f"({sxy} - {sx} * {sy!r}D / {n!r}D)"
+    return F.expr(f"if({var_x} > 0 and {var_y} > 0, {cov} / sqrt({var_x} * {var_y}), 0D)")
 
 
 def nmi_indicator(counts: str, totals: str) -> Column:
@@ -114,7 +112,3 @@ def sum_class_counts(n_classes: int) -> list[Column]:
 
 def bigint_array_sql(values) -> str:
     return "array(" + ", ".join(f"{int(v)}L" for v in values) + ")"
-
-
-def add_all(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)

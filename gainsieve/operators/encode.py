@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gainsieve.functions import scores
-from gainsieve.operators.order_stats import MAX_DISTINCT, attach_values, bucketized, order_statistics, profile_numeric
+from gainsieve.operators.order_stats import MAX_DISTINCT, attach_values, bucketized, order_statistics, profile_columns, profile_numeric
 from gainsieve.operators.running import numbered
 from gainsieve.sources.local import local_frame
 from gainsieve.sources.workspace import Workspace
@@ -163,16 +163,20 @@ def choose_bins(gains: DataFrame) -> DataFrame:
 
 
 def fit_numeric(
-    df: DataFrame, ints: list[str], floats: list[str], bins: int, y: str, n_classes: int, ws: Workspace, **options
-) -> list[NumericColumn]:
-    """Fit edges of every numeric column; ``bins = -1`` picks the count per column by gain."""
+    df: DataFrame, ints: list[str], floats: list[str], bins: int, y: str, n_classes: int, ws: Workspace,
+    cats: list[str] | None = None, **options,
+) -> list[NumericColumn]:
+    """Fit edges of every numeric column; ``bins = -1`` picks the count per column by gain.
+
+    Missing values are rejected, in ``cats`` too, from the same scan that profiles the columns.
+    """
     columns = [*ints, *floats]
-    if not columns:
-        return []
-    profile = profile_numeric(df, columns)
-    missing = [c for c in columns if profile[c]["missing"]]
+    profile, nulls = profile_columns(df, columns, cats or [])
+    missing = [c for c in columns if profile[c]["missing"]] + [c for c, n in nulls.items() if n]
     if missing:
         raise ValueError(f"null or NaN in feature columns {missing}; impute or drop them first")
+    if not columns:
+        return []
     attach_values(df, profile)  # makes small distinct counts exact, large ones cannot bind the clamp
     if bins == -1:
         chosen = {r["col"]: r["nb"] for r in choose_bins(auto_bin_scores(df, columns, y, n_classes, ws, profile, **options)).collect()}

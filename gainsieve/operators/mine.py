@@ -46,10 +46,10 @@ def default_fs_k(fs_k: int, top_k: int) -> int:
     return top_k if fs_k == -1 or fs_k > top_k else fs_k
 
 
-def ranked_items(items: DataFrame, sums: DataFrame, threshold, ws: Workspace) -> DataFrame:
-    """Items with twu >= threshold and their rank 1..N by (twu, item)."""
+def ranked_items(items: DataFrame, sums: DataFrame, threshold, ws: Workspace, most: int | None = None) -> DataFrame:
+    """Items with twu >= threshold and their rank 1..N by (twu, item); ``most`` bounds their number."""
     kept = sums.filter(F.col("twu") >= F.lit(threshold))
-    ranked = numbered(items.join(kept, "item"), [F.col("twu"), F.col("item")], ws, "rank", rows=kept.count())
+    ranked = numbered(items.join(kept, "item"), [F.col("twu"), F.col("item")], ws, "rank", rows=most)
     return ws.table(ranked.withColumn("rank", F.col("rank").cast("int")), "ranked-items")
 
 
@@ -193,12 +193,6 @@ def _deeper(base: DataFrame, survivors: DataFrame, threshold, length: int, n_cla
     return itemset_sums(occ, ["p", "a", "last"], n_classes).withColumn("prefix", F.concat("p", F.array("a"))).drop("a")
 
 
-def _level_counts(level: DataFrame, gain: float) -> dict:
-    """Candidates of a level, and how many pass the gain filter."""
-    row = level.agg(F.count("*").alias("n"), F.count_if(F.col("ig") > F.lit(gain)).alias("s")).first()
-    return {"candidates": row["n"], "survivors": row["s"]}
-
-
 LEVEL_COLUMNS = ["prefix", "last", "support", "util", "rutil", "cls", "f1", "f2", "ig", "entropy", "pure_class"]
 
 
@@ -213,28 +207,35 @@ def mine(
     top_k: int,
     fs_k: int,
     ws: Workspace,
+    most_items: int,
     keep_duplicate: str = "lowest",
     exact_dedupe: bool = False,
 ) -> MiningResult:
-    """Mine, rank, dedupe and select patterns; see the module text for the data layout."""
+    """Mine, rank, dedupe and select patterns; see the module text for the data layout.
+
+    ``most_items`` is an upper bound of the number of items; with fewer than topK of them
+    (or of their pairs) a threshold cannot bind and is not computed.
+    """
     k = len(totals)
     whole = scores.bigint_array_sql(totals)
     sums = ws.table(item_sums(with_items(shapes, numeric, n_cats, item_lookup(items)), k), "item-sums")
-    threshold = start_threshold(sums, top_k)
-    ranked = ranked_items(items, sums, threshold, ws)
+    threshold = start_threshold(sums, top_k) if most_items >= top_k else 0
+    ranked = ranked_items(items, sums, threshold, ws, most_items)
     base = ws.table(mining_base(shapes, numeric, n_cats, ranked, k), "base")
     levels: dict[int, DataFrame] = {}
     report = {"threshold_start": float(threshold) / scores.MICRO, "levels": []}
 
-    level = ws.table(with_gain(single_sums(base, k), whole).select(*LEVEL_COLUMNS), "level-1")
+    counts = (F.count("*").alias("candidates"), F.count_if(F.col("ig") > F.lit(gain)).alias("survivors"))
+    level, size = ws.counted(with_gain(single_sums(base, k), whole).select(*LEVEL_COLUMNS), "level-1", *counts)
     levels[1] = level.filter(F.col("ig") > F.lit(gain))
     pairs = None
     if length >= 2:
         pairs = ws.table(with_gain(pair_sums(base, k), whole).select(*LEVEL_COLUMNS), "pairs")
-        threshold = raised_by_pairs(pairs, threshold, top_k)
+        if most_items * (most_items - 1) // 2 >= top_k:
+            threshold = raised_by_pairs(pairs, threshold, top_k)
     report["threshold_raised"] = float(threshold) / scores.MICRO
     found = [emitted(levels[1], threshold, gain)]
-    report["levels"].append({"length": 1, **_level_counts(level, gain)})
+    report["levels"].append({"length": 1, **size})
 
     m, bar = 2, threshold
     while (length == -1 or m <= length) and report["levels"][-1]["survivors"] > 1:
@@ -250,16 +251,18 @@ def mine(
                 F.concat("prefix", F.array("last")).alias("p"), F.col("cls").alias("parent_cls")
             )
             candidates = with_gain(raw.join(parents, "p"), "parent_cls").select(*LEVEL_COLUMNS)
-        candidates = ws.table(candidates.select(*LEVEL_COLUMNS), f"candidates-{m}")
+        candidates, size = ws.counted(candidates.select(*LEVEL_COLUMNS), f"candidates-{m}", *counts)
         levels[m] = drop_sibling_duplicates(candidates.filter(F.col("ig") > F.lit(gain)))
-        counts = _level_counts(candidates, gain)
         if length == -1 or m < length:
-            levels[m] = ws.table(levels[m], f"level-{m}")
-            counts["survivors"] = levels[m].count()
+            levels[m], kept = ws.counted(levels[m], f"level-{m}", F.count("*").alias("survivors"))
+            size = {**size, **kept}
         found.append(emitted(levels[m], threshold, gain))
-        report["levels"].append({"length": m, **counts})
+        report["levels"].append({"length": m, **size})
         if length != -1 and m == length:
             break
+        if sum(lv["survivors"] for lv in report["levels"]) < top_k:
+            m += 1
+            continue
         best = kth_largest(reduce(DataFrame.unionByName, found), "util", top_k)
         if best is not None and best > bar:
             bar = best
@@ -324,13 +327,11 @@ def select_patterns(
     exact_dedupe: bool = False,
 ) -> DataFrame:
     """Top-K by utility, one pattern per row set, order by gain, first fsK; pid = 0, 1, ..."""
-    named = ws.table(
-        name_patterns(found.withColumn("ranks", F.concat("prefix", F.array("last"))), ranked).select(
-            "ranks", "items", "names", "name", "support", "util", "ig", "entropy", "pure_class", "cls", "f1", "f2"
-        ),
-        "emitted",
+    named = name_patterns(found.withColumn("ranks", F.concat("prefix", F.array("last"))), ranked).select(
+        "ranks", "items", "names", "name", "support", "util", "ig", "entropy", "pure_class", "cls", "f1", "f2"
     )
-    n_found = named.count()
+    named, size = ws.counted(named, "emitted", F.count("*").alias("n"))
+    n_found = size["n"]
     top = named
     if n_found > top_k:
         ordered = numbered(named, [F.desc("util"), F.col("items")], ws, "_by_util", rows=n_found)
@@ -345,8 +346,9 @@ def select_patterns(
     distinct = top.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "f1", "f2")
     by_gain = [F.desc("ig"), F.desc("util"), F.col("items")]
     ordered = numbered(distinct, by_gain, ws, "_place", rows=min(n_found, top_k))
-    ordered = ws.table(ordered.withColumn("pid", (F.col("_place") - 1).cast("int")).drop("_place"), "patterns")
-    n_distinct = ordered.count()
+    ordered = ordered.withColumn("pid", (F.col("_place") - 1).cast("int")).drop("_place")
+    ordered, size = ws.counted(ordered, "patterns", F.count("*").alias("n"))
+    n_distinct = size["n"]
     chosen = ordered.filter(F.col("pid") < fs_k) if fs_k != -1 else ordered
     report.update(
         {

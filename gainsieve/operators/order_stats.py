@@ -56,26 +56,27 @@ def bucketized(df: DataFrame, splits: dict[str, list[float]], suffix: str) -> Da
     return bucketizer.transform(df).withColumns({o: F.col(o).cast("int") for o in outputs})
 
 
-def profile_numeric(df: DataFrame, columns: list[str]) -> dict[str, dict]:
-    """Per column: rows without null and NaN, missing rows, min, max, rough distinct count."""
-    if not columns:
-        return {}
+def profile_columns(df: DataFrame, numeric: list[str], others: list[str]) -> tuple[dict[str, dict], dict[str, int]]:
+    """One scan over all columns.
+
+    Numeric: rows without null and NaN, missing rows, min, max, rough distinct count. Others: nulls.
+    """
     aggs = []
-    for i, c in enumerate(columns):
-        v = F.col(f"`{c}`").cast("double")
-        v = F.when(~F.isnan(v), v)
-        aggs += [
-            F.count(v).alias(f"n{i}"),
-            F.count_if(v.isNull()).alias(f"m{i}"),
-            F.min(v).alias(f"lo{i}"),
-            F.max(v).alias(f"hi{i}"),
-            F.approx_count_distinct(v).alias(f"d{i}"),
-        ]
-    row = df.agg(*aggs).first()
-    return {
-        c: {"n": row[f"n{i}"], "missing": row[f"m{i}"], "min": row[f"lo{i}"], "max": row[f"hi{i}"], "distinct": row[f"d{i}"]}
-        for i, c in enumerate(columns)
+    for i, c in enumerate(numeric):
+        v = f"nullif(double(`{c}`), double('NaN'))"
+        wanted = ("n", "count"), ("lo", "min"), ("hi", "max"), ("d", "approx_count_distinct")
+        aggs += [f"{fn}({v}) as {out}{i}" for out, fn in wanted]
+    aggs += [f"count(`{c}`) as k{i}" for i, c in enumerate(others)]
+    row = df.agg(F.count("*").alias("rows"), *[F.expr(a) for a in aggs]).first()
+    profile = {
+        c: {"n": row[f"n{i}"], "missing": row["rows"] - row[f"n{i}"], "min": row[f"lo{i}"], "max": row[f"hi{i}"], "distinct": row[f"d{i}"]}
+        for i, c in enumerate(numeric)
     }
+    return profile, {c: row["rows"] - row[f"k{i}"] for i, c in enumerate(others)}
+
+
+def profile_numeric(df: DataFrame, columns: list[str]) -> dict[str, dict]:
+    return profile_columns(df, columns, [])[0] if columns else {}
 
 
 def _long_segments(df: DataFrame, splits: dict[str, list[float]], names: dict[str, int]) -> DataFrame:

@@ -210,11 +210,11 @@ def row_sum(df: DataFrame, columns: list[str], out: str) -> DataFrame:
 def label_codes(df: DataFrame, label: str) -> DataFrame:
     """(label, y, n): code 0 for the most frequent class, ties in label order."""
     counts = df.filter(q(label).isNotNull()).groupBy(q(label).alias("label")).agg(F.count("*").alias("n"))
-    classes = counts.limit(MAX_CLASSES + 1).count()
-    if classes > MAX_CLASSES:
+    top = counts.orderBy(F.desc("n"), "label").limit(MAX_CLASSES + 1).collect()
+    if len(top) > MAX_CLASSES:
         raise ValueError(f"label {label} has more than {MAX_CLASSES} classes")
-    w = Window.orderBy(F.desc("n"), F.col("label"))  # at most MAX_CLASSES rows
-    return counts.select("label", (F.row_number().over(w) - 1).cast("int").alias("y"), "n")
+    kind = df.schema[label].dataType.simpleString()
+    return local_frame(df.sparkSession, [(r["label"], i, r["n"]) for i, r in enumerate(top)], f"label {kind}, y int, n bigint")
 
 
 def encode_label(df: DataFrame, label: str, codes: DataFrame, out: str = "y") -> DataFrame:

@@ -39,66 +39,59 @@ def row_shapes(encoded: DataFrame, n_numeric: int, n_cats: int, y: str, n_classe
 
 def contingency(shapes: DataFrame, n_numeric: int, n_cats: int, n_classes: int) -> DataFrame:
     """(col_idx, bin, label, c0..cK-1): class counts per column and code."""
-    none_label, none_bin = F.lit(None).cast("string"), F.lit(None).cast("int")
-    cells = [
-        F.struct(F.lit(i).alias("col_idx"), F.col(f"b_{i}").alias("bin"), none_label.alias("label"))
-        for i in range(n_numeric)
-    ] + [
-        F.struct(F.lit(n_numeric + j).alias("col_idx"), none_bin.alias("bin"), F.col(f"l_{j}").alias("label"))
-        for j in range(n_cats)
-    ]
+    cells = [f"struct({i} as col_idx, b_{i} as bin, string(NULL) as label)" for i in range(n_numeric)]
+    cells += [f"struct({n_numeric + j} as col_idx, int(NULL) as bin, l_{j} as label)" for j in range(n_cats)]
     counts = scores.class_columns(n_classes)
-    long = shapes.select(F.explode(F.array(*cells)).alias("s"), *counts).select("s.*", *counts)
+    long = shapes.selectExpr(f"inline(array({', '.join(cells)}))", *counts)
     return long.groupBy("col_idx", "bin", "label").agg(*scores.sum_class_counts(n_classes))
 
 
-def _label_sums(totals: list[int]) -> tuple[Column, Column, Column]:
+def _label_sums(totals: list[int]) -> tuple[float, float, float]:
+    """Rows, sum and sum of squares of the class code."""
     return (
-        F.lit(float(sum(totals))),
-        F.lit(float(sum(j * t for j, t in enumerate(totals)))),
-        F.lit(float(sum(j * j * t for j, t in enumerate(totals)))),
+        float(sum(totals)),
+        float(sum(j * t for j, t in enumerate(totals))),
+        float(sum(j * j * t for j, t in enumerate(totals))),
     )
 
 
-def _row_sums(n_classes: int) -> tuple[Column, Column]:
+def _row_sums(n_classes: int) -> tuple[str, str]:
     """Rows of a contingency cell, and the sum of their class codes."""
-    dot = " + ".join(f"{j}D * c{j}" for j in range(n_classes))
-    return scores.class_rows(n_classes).cast("double"), F.expr(dot)
+    return (
+        "double(" + " + ".join(scores.class_columns(n_classes)) + ")",
+        "(" + " + ".join(f"{j}D * c{j}" for j in range(n_classes)) + ")",
+    )
 
 
 def numeric_correlation(ct: DataFrame, totals: list[int]) -> DataFrame:
     """(col_idx, corr): correlation of the bin number, overflow bin included, with the class code."""
-    k = len(totals)
-    n, sy, syy = _label_sums(totals)
-    rows, dot = _row_sums(k)
-    x = F.col("bin").cast("double")
+    rows, dot = _row_sums(len(totals))
     sums = (
-        ct.filter(F.col("bin").isNotNull())
+        ct.filter("bin is not null")
         .groupBy("col_idx")
-        .agg(F.sum(x * rows).alias("sx"), F.sum(x * x * rows).alias("sxx"), F.sum(x * dot).alias("sxy"))
+        .agg(
+            F.expr(f"sum(bin * {rows})").alias("sx"),
+            F.expr(f"sum(bin * bin * {rows})").alias("sxx"),
+            F.expr(f"sum(bin * {dot})").alias("sxy"),
+        )
     )
-    corr = scores.correlation(n, F.col("sx"), F.col("sxx"), sy, syy, F.col("sxy"))
-    return sums.select("col_idx", scores.round6(corr).alias("corr"))
+    return sums.select("col_idx", scores.round6(scores.correlation("sx", "sxx", "sxy", *_label_sums(totals))).alias("corr"))
 
 
 def category_association(ct: DataFrame, totals: list[int]) -> DataFrame:
     """(col_idx, label, c*, corr, nmi) of every category's 0/1 indicator."""
-    k = len(totals)
-    n, sy, syy = _label_sums(totals)
-    rows, dot = _row_sums(k)
-    corr = scores.correlation(n, rows, rows, sy, syy, dot)
-    nmi = scores.nmi_indicator(f"array({', '.join(scores.class_columns(k))})", scores.bigint_array_sql(totals))
-    return ct.filter(F.col("label").isNotNull()).select(
-        "col_idx",
-        "label",
-        *scores.class_columns(k),
-        scores.round6(corr).alias("corr"),
-        scores.round6(nmi).alias("nmi"),
+    counts = scores.class_columns(len(totals))
+    rows, dot = _row_sums(len(totals))
+    corr = scores.correlation(rows, rows, dot, *_label_sums(totals))
+    nmi = scores.nmi_indicator(f"array({', '.join(counts)})", scores.bigint_array_sql(totals))
+    return ct.filter("label is not null").select(
+        "col_idx", "label", *counts, scores.round6(corr).alias("corr"), scores.round6(nmi).alias("nmi")
     )
 
 
 def score_items(
-    ct: DataFrame, numeric: list[NumericColumn], cats: list[str], totals: list[int], minority_weight: float, ws: Workspace
+    ct: DataFrame, numeric: list[NumericColumn], cats: list[str], totals: list[int], minority_weight: float, ws: Workspace,
+    n_codes: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """All scored (column, code) pairs, and the item dimension made of those with a positive score.
 
@@ -106,6 +99,8 @@ def score_items(
     utility in millionths. A class weight multiplies every item of a class and
     that class's maximum alike, so ``minority_weight`` leaves the normalised scores as they are.
     """
+    if n_codes is None:
+        n_codes = ct.count()
     if minority_weight <= 0:
         raise ValueError("minority_weight must be positive")
     spark = ct.sparkSession
@@ -141,8 +136,8 @@ def score_items(
     scored = from_numeric
     if cats:
         names = F.array(*[F.lit(c) for c in cats])
-        labels = category_association(ct, totals)
-        coded = numbered(labels.select("col_idx", "label", "corr", "nmi"), [F.col("label")], ws, "bin", ["col_idx"])
+        labels = category_association(ct, totals).select("col_idx", "label", "corr", "nmi")
+        coded = numbered(labels, [F.col("label")], ws, "bin", ["col_idx"], rows=n_codes)
         from_category = coded.withColumn("col", F.element_at(names, F.col("col_idx") - F.lit(len(numeric) - 1))).select(
             "col_idx",
             "col",
@@ -156,8 +151,8 @@ def score_items(
             F.when(F.col("corr") > 0, F.lit(1.0)).otherwise(F.lit(CATEGORY_NEGATIVE)).alias("internal"),
         )
         scored = from_numeric.unionByName(from_category)
-    scored = ws.table(scored.withColumn("raw", F.col("external") * F.col("internal")), "scored")
-    size = scored.agg(F.max("raw").alias("top"), F.count_if(F.col("raw") > 0).alias("n")).first()
+    raw = scored.withColumn("raw", F.col("external") * F.col("internal"))
+    scored, size = ws.counted(raw, "scored", F.max("raw").alias("top"), F.count_if(F.col("raw") > 0).alias("n"))
     top, kept = size["top"] or 0.0, scored.filter(F.col("raw") > 0)
     ids = numbered(kept, [F.col("col_idx"), F.col("bin")], ws, "item", rows=size["n"])
     items = ids.withColumn("item", F.col("item").cast("int")).withColumn(

@@ -60,25 +60,25 @@ class PatternMiner:
         spark = df.sparkSession
         ws = Workspace(spark)
         groups = prep.feature_groups(df, self.features, exclude=[self.label, *self.keys])
-        classes = prep.label_codes(df, self.label).orderBy("y").collect()  # at most MAX_CLASSES rows
-        totals, n_classes = [r["n"] for r in classes], len(classes)
-        label_type = df.schema[self.label].dataType.simpleString()
-        codes = local_frame(spark, [(r["label"], r["y"], r["n"]) for r in classes], f"label {label_type}, y int, n bigint")
+        codes = prep.label_codes(df, self.label)
+        totals = [r["n"] for r in codes.orderBy("y").collect()]  # at most MAX_CLASSES rows
+        n_classes = len(totals)
         wanted = prep.encode_label(df, self.label, codes, "_y").filter(F.col("_y").isNotNull())
         coded = wanted.select("_y", *[prep.q(c) for c in groups.ordered])
-        if groups.cats:
-            prep.reject_missing(coded, groups.cats)
         options = {"max_distinct": self.max_distinct}
-        numeric = encode.fit_numeric(coded, groups.ints, groups.floats, self.bins, "_y", n_classes, ws, **options)
+        numeric = encode.fit_numeric(
+            coded, groups.ints, groups.floats, self.bins, "_y", n_classes, ws, groups.cats, **options
+        )
         encoded = utility.encode_rows(coded, numeric, groups.cats)
         shapes = ws.table(utility.row_shapes(encoded, len(numeric), len(groups.cats), "_y", n_classes), "shapes")
-        ct = ws.table(utility.contingency(shapes, len(numeric), len(groups.cats), n_classes), "contingency")
-        scored, items = utility.score_items(ct, numeric, groups.cats, totals, self.minority_weight, ws)
+        ct = utility.contingency(shapes, len(numeric), len(groups.cats), n_classes)
+        ct, size = ws.counted(ct, "contingency", F.count("*").alias("n"))
+        scored, items = utility.score_items(ct, numeric, groups.cats, totals, self.minority_weight, ws, size["n"])
         top_k = mine.default_top_k(self.length, self.top_k, self.item_percent)
         fs_k = mine.default_fs_k(self.fs_k, top_k)
         result = mine.mine(
             shapes, numeric, len(groups.cats), items, totals, self.length, self.gain, top_k, fs_k, ws,
-            self.keep_duplicate, self.exact_dedupe,
+            size["n"], self.keep_duplicate, self.exact_dedupe,
         )
         return PatternModel(
             label=self.label,

@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -48,3 +48,12 @@ class Workspace:
         path = self.new_path(name)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
+
+    def counted(self, df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame, dict]:
+        """Write a table and read aggregates (aliased columns) off it.
+
+        Not an Observation: once a session has one, Spark 4.1 cannot ship a fitted
+        logistic regression to executors, because its summary holds the session.
+        """
+        written = self.table(df, name)
+        return written, written.agg(*metrics).first().asDict()
