@@ -32,7 +32,7 @@ def g01(spark, sf):
 @query("g02_one_against_the_rest")
 def g02(spark, sf):
     out = trained(P1, spark, sf, length=2).transform(P1.frame(spark, sf))
-    return out.groupBy("y", "prediction").agg(F.count("*").alias("n"))
+    return out.groupBy("label_code", "prediction").agg(F.count("*").alias("n"))
 
 
 @query("g03_other_classifier")
@@ -41,7 +41,7 @@ def g03(spark, sf):
     est = PatternClassifier(labelCol="lab", features=P2.features, length=2, base_estimator=forest)
     model = est.fit(P2.frame(spark, sf).select(*P2.features, "lab"))
     out = model.transform(P2.frame(spark, sf))
-    return out.groupBy("y", "prediction").agg(F.count("*").alias("n"))
+    return out.groupBy("label_code", "prediction").agg(F.count("*").alias("n"))
 
 
 @query("g04_probabilities")
@@ -99,5 +99,5 @@ def g09(spark, sf):
 @query("g10_metrics_of_model")
 def g10(spark, sf):
     ws = Workspace(spark)
-    out = trained(P2, spark, sf, length=2).transform(P2.frame(spark, sf)).select("y", "prediction", "probability")
-    return metrics.metric_vector(ws.table(out, "scored"), ws)
+    out = trained(P2, spark, sf, length=2).transform(P2.frame(spark, sf)).select("label_code", "prediction", "probability")
+    return metrics.metric_vector(ws.table(out, "scored"), ws, "label_code")

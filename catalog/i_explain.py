@@ -155,7 +155,7 @@ def i15(spark, sf):
 
 def _importance(spark, sf, seed):
     m = trained(P2, spark, sf, length=2)
-    matched = m.transform(P2.frame(spark, sf))
+    matched = m.transform(P2.frame(spark, sf)).withColumnRenamed("label_code", "y")
     return explain.permutation_importance(
         matched, m.classifier, m.patterns.patterns, KEYS, Workspace(spark), m.patterns.n_patterns, repeats=10, seed=seed
     )

@@ -170,7 +170,7 @@ def permutation_importance(
     )
     ranked = numbered(spread, [F.col("_h"), *[F.col(k) for k in keys]], ws, "pos", groups=["rep"], **options)
     ranked = ws.table(ranked.select("rep", "pos", "y", "pids"), "importance-order")
-    follower = ranked.select("rep", ((F.col("pos") % n) + 1).alias("pos"), F.col("pids").alias("other"))
+    follower = ranked.select("rep", ((F.col("pos") + (n - 2)) % n + 1).alias("pos"), F.col("pids").alias("other"))
     triples = (
         ranked.join(follower, ["rep", "pos"])
         .groupBy("rep", "y", "pids", "other")

@@ -88,8 +88,8 @@ class PatternClassifier(Estimator):
             base = base.copy({base.getParam("weightCol"): "weight"})
             train = patterns.training_table()
         else:
-            coded = prep.encode_label(dataset, patterns.label, patterns.codes).filter(F.col("y").isNotNull())
-            train = patterns.transform(coded).select("features", F.col("y").cast("double").alias("y"))
+            coded = prep.encode_label(dataset, patterns.label, patterns.codes, "_code").filter(F.col("_code").isNotNull())
+            train = patterns.transform(coded).select("features", F.col("_code").cast("double").alias("y"))
         return PatternClassifierModel(patterns, base.fit(train))
 
 
@@ -103,10 +103,10 @@ class PatternClassifierModel(Model):
         return PatternClassifierModel(self.patterns, self.classifier)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        """Add pids, features, prediction and probability (array); y too when the label is there."""
+        """Add pids, features, prediction and probability (array); label_code too when the label is there."""
         df = dataset
-        if self.patterns.label in df.columns and "y" not in df.columns:
-            df = prep.encode_label(df, self.patterns.label, self.patterns.codes)
+        if self.patterns.label in df.columns:
+            df = prep.encode_label(df, self.patterns.label, self.patterns.codes, "label_code")
         scored = self.classifier.transform(self.patterns.transform(df))
         if "probability" in scored.columns:
             return scored.withColumn("probability", vector_to_array("probability"))

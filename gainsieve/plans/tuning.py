@@ -29,7 +29,7 @@ class MetricEvaluator(Evaluator):
 
     def _evaluate(self, dataset: DataFrame) -> float:
         ws = Workspace(dataset.sparkSession)
-        return float(metrics.metric_vector(dataset, ws, n_classes=self.n_classes).first()[self.metric])
+        return float(metrics.metric_vector(dataset, ws, "label_code", n_classes=self.n_classes).first()[self.metric])
 
     def isLargerBetter(self) -> bool:
         return self.metric != "log_loss"
@@ -56,9 +56,10 @@ def cross_validate(estimator: PatternClassifier, df: DataFrame, keys: list[str],
     for f in range(folds):
         model = estimator.fit(dealt.filter(F.col("fold") != f).drop("fold"))
         scored = ws.table(
-            model.transform(dealt.filter(F.col("fold") == f).drop("fold")).select("y", "prediction", "probability"), "scored"
+            model.transform(dealt.filter(F.col("fold") == f).drop("fold")).select("label_code", "prediction", "probability"),
+            "scored",
         )
-        vector = metrics.metric_vector(scored, ws, n_classes=len(model.patterns.totals)).first()
+        vector = metrics.metric_vector(scored, ws, "label_code", n_classes=len(model.patterns.totals)).first()
         rows += [(f, name, value) for name, value in vector.asDict().items()]
     return local_frame(df.sparkSession, rows, "fold int, metric string, value double")
 
