@@ -9,32 +9,69 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gainsieve.operators.encode import NumericColumn
-from gainsieve.operators.utility import encode_rows, item_lookup, with_items
+from gainsieve.operators.utility import encode_rows, item_columns, item_lookup
 
 INLINE_PATTERNS = 5_000
+MASK_WORDS = 8  # item sets of up to 64 * 8 items are compared as bit masks
+
+
+def _coded_items(df: DataFrame, numeric: list[NumericColumn], cats: list[str], items: DataFrame):
+    """The coded frame, the SQL of each feature column's item id, and the helper columns to drop."""
+    work, cells, helpers = item_columns(encode_rows(df, numeric, cats), numeric, len(cats), item_lookup(items))
+    helpers += [f"b_{i}" for i in range(len(numeric))] + [f"l_{j}" for j in range(len(cats))]
+    return work, [i for i, _ in cells], helpers
+
+
+def _ids_sql(ids: list[str]) -> str:
+    return f"filter(array({', '.join(ids)}), x -> x is not null)" if ids else "cast(array() as array<int>)"
 
 
 def row_items(df: DataFrame, numeric: list[NumericColumn], cats: list[str], items: DataFrame, out: str = "item_ids") -> DataFrame:
     """Add the row's item ids (array, column order; empty when the row has none)."""
-    coded = with_items(encode_rows(df, numeric, cats), numeric, len(cats), item_lookup(items), "_items")
-    ids = F.transform("_items", lambda x: x["id"])
-    helpers = [f"b_{i}" for i in range(len(numeric))] + [f"l_{j}" for j in range(len(cats))]
-    return coded.withColumn(out, ids).drop("_items", *helpers)
+    work, ids, helpers = _coded_items(df, numeric, cats, items)
+    return work.withColumn(out, F.expr(_ids_sql(ids))).drop(*helpers)
+
+
+def _signed(word: int) -> int:
+    return word - (1 << 64) if word >= 1 << 63 else word
 
 
-def match_inline(df: DataFrame, patterns: list[tuple[int, list[int]]], n_items: int, ids: str = "item_ids", out: str = "pids") -> DataFrame:
-    """Add the sorted matched pattern ids, row by row and without a join; works on streams.
+def match_inline(
+    df: DataFrame, numeric: list[NumericColumn], cats: list[str], items: DataFrame, patterns: list[tuple[int, list[int]]],
+    n_items: int, ids_out: str = "item_ids", out: str = "pids",
+) -> DataFrame:
+    """Add item ids and the sorted matched pattern ids, row by row and without grouping; works on streams.
 
-    Patterns are filed under their first (rarest) item, so a row only looks at
-    patterns whose first item it holds. For at most INLINE_PATTERNS patterns.
+    Patterns are filed under their first (rarest) item, so a row only looks at patterns whose
+    first item it holds, and compares the rest as bit masks. For at most INLINE_PATTERNS patterns.
     """
+    words = (n_items + 63) // 64
+    work, ids, helpers = _coded_items(df, numeric, cats, items)
+    work = work.withColumn(ids_out, F.expr(_ids_sql(ids)))
+    masked = 0 < words <= MASK_WORDS
     by_first: list[list[dict]] = [[] for _ in range(n_items)]
     for pid, its in patterns:
-        by_first[its[0] - 1].append({"p": pid, "r": its[1:]})
-    index = F.from_json(F.lit(json.dumps(by_first)), "array<array<struct<p:int,r:array<int>>>>")
-    near = F.flatten(F.transform(ids, lambda i: F.element_at(index, i)))
-    hit = F.filter(near, lambda p: F.forall(p["r"], lambda x: F.array_contains(F.col(ids), x)))
-    return df.withColumn(out, F.array_sort(F.transform(hit, lambda p: p["p"])))
+        entry: dict = {"p": pid}
+        if masked:
+            for w in range(words):
+                entry[f"m{w}"] = _signed(sum(1 << ((i - 1) % 64) for i in its if (i - 1) // 64 == w))
+        else:
+            entry["r"] = its[1:]
+        by_first[its[0] - 1].append(entry)
+    fields = ", ".join(f"m{w}: bigint" for w in range(words)) if masked else "r: array<int>"
+    index = F.from_json(F.lit(json.dumps(by_first)), f"array<array<struct<p: int, {fields}>>>")
+    work = work.withColumn("_index", index)
+    near = [f"coalesce(_index[{i} - 1], slice(_index[0], 1, 0))" for i in ids]
+    if masked:
+        for w in range(words):
+            bits = [f"if({i} between {64 * w + 1} and {64 * w + 64}, shiftleft(1L, {i} - {64 * w + 1}), 0L)" for i in ids]
+            work = work.withColumn(f"_m{w}", F.expr(" | ".join(bits) if bits else "0L"))
+        test = " and ".join(f"(x.m{w} & _m{w}) = x.m{w}" for w in range(words))
+        helpers = helpers + [f"_m{w}" for w in range(words)]
+    else:
+        test = f"forall(x.r, i -> array_contains({ids_out}, i))"
+    hits = f"array_sort(transform(filter(concat({', '.join(near)}), x -> {test}), x -> x.p))" if near else "cast(array() as array<int>)"
+    return work.withColumn(out, F.expr(hits)).drop("_index", *helpers)
 
 
 def match_join(df: DataFrame, patterns: DataFrame, keys: list[str], ids: str = "item_ids") -> DataFrame:

@@ -110,11 +110,12 @@ def auc_ovr(df: DataFrame, ws: Workspace, y: str = "y", probability: str = "prob
 
 def log_loss(df: DataFrame, y: str = "y", probability: str = "probability") -> DataFrame:
     """Mean negative log of the clipped, renormalised probability of the true class."""
-    low, high = F.lit(LOG_LOSS_EPS), F.lit(1.0 - LOG_LOSS_EPS)
-    clipped = F.transform(probability, lambda p: F.greatest(F.least(p, high), low))
-    total = F.aggregate("_p", F.lit(0.0), lambda s, p: s + p)
-    true = F.element_at("_p", F.col(y).cast("int") + F.lit(1)) / total
-    return df.withColumn("_p", clipped).agg((-F.avg(F.ln(true))).alias("log_loss"))
+    return df.agg((-F.avg(_true_log(y, probability))).alias("log_loss"))
+
+
+def _true_log(y: str, probability: str) -> Column:
+    clipped = f"transform({probability}, p -> greatest(least(p, 1D - {LOG_LOSS_EPS}D), {LOG_LOSS_EPS}D))"
+    return F.expr(f"ln(element_at({clipped}, int({y}) + 1) / aggregate({clipped}, 0D, (s, p) -> s + p))")
 
 
 # H-measure ---------------------------------------------------------------------------------
@@ -219,13 +220,18 @@ def metric_vector(
     n_classes: int = 2, severity_ratio: float | None = None,
 ) -> DataFrame:
     """One row accuracy, f1, auc, h, log_loss, precision, recall, rounded to 4; binary or macro."""
-    acc = accuracy(df, y, prediction).first()[0]
-    loss = log_loss(df, y, probability).first()[0]
+    # One pass gives accuracy, precision, recall, F1 and log loss; at most classes x classes rows.
+    coded = df.select(F.col(y).cast("int").alias("y"), F.col(prediction).cast("int").alias("prediction"), probability)
+    cells = coded.groupBy("y", "prediction").agg(F.count("*").alias("n"), F.sum(_true_log("y", probability)).alias("log"))
+    cells = local_frame(df.sparkSession, [tuple(r) for r in cells.collect()], "y int, prediction int, n bigint, log double")
+    whole = cells.agg((F.sum(F.expr("if(y = prediction, n, 0)")) / F.sum("n")).alias("a"), (-F.sum("log") / F.sum("n")).alias("l")).first()
+    acc, loss = whole["a"], whole["l"]
+    per = class_scores(cells.select("y", "prediction", "n"))
     if n_classes > 2:
-        prf = macro_scores(df, y, prediction).first()
+        prf = per.agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("f1")).first()
         counts = score_counts_ovr(df, y, probability)
     else:
-        prf = binary_scores(df, y, prediction).first()
+        prf = per.filter("cls = 1").select("precision", "recall", "f1").first() or {"precision": 0.0, "recall": 0.0, "f1": 0.0}
         counts = score_counts(df.withColumn("_s", F.element_at(probability, 2)), y, "_s")
     points = ws.table(roc_points(counts, ws), "roc-points")
     area = auc_by_class(points).agg(F.avg("auc")).first()[0]

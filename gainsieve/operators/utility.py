@@ -161,17 +161,17 @@ def score_items(
     return scored, ws.table(items, "items")
 
 
-def with_items(
-    encoded: DataFrame, numeric: list[NumericColumn], n_cats: int, lookup: DataFrame, out: str = "items"
-) -> DataFrame:
-    """Add ``out``: array of (id, u) of the row's items, in column order.
+def item_columns(
+    encoded: DataFrame, numeric: list[NumericColumn], n_cats: int, lookup: DataFrame
+) -> tuple[DataFrame, list[tuple[str, str]], list[str]]:
+    """Per feature column the SQL of its item (id, u), NULL without one; and helper columns to drop.
 
     ``lookup`` holds (col_idx, bin, label, id, u). Numeric ids (columns x bins) become literals;
     categories are joined, by broadcast when Spark finds the dictionary small enough.
     """
     n_numeric = len(numeric)
     by_column: dict[int, dict[int, tuple[int, int]]] = {}
-    for r in lookup.filter(F.col("label").isNull()).select("col_idx", "bin", "id", "u").collect():
+    for r in lookup.filter("label is null").select("col_idx", "bin", "id", "u").collect():
         by_column.setdefault(r["col_idx"], {})[r["bin"]] = (r["id"], r["u"])
     cells = []
     for i, c in enumerate(numeric):
@@ -181,20 +181,29 @@ def with_items(
         pairs = [known.get(b, (None, None)) for b in range(1, c.bins + 2)]
         ids = ", ".join("int(NULL)" if p[0] is None else str(p[0]) for p in pairs)
         us = ", ".join("bigint(NULL)" if p[1] is None else f"{p[1]}L" for p in pairs)
-        cells.append(F.expr(f"struct(array({ids})[b_{i} - 1] as id, array({us})[b_{i} - 1] as u)"))
-    work = encoded
+        cells.append((f"array({ids})[b_{i} - 1]", f"array({us})[b_{i} - 1]"))
+    work, helpers = encoded, []
     for j in range(n_cats):
-        keys = lookup.filter(F.col("col_idx") == n_numeric + j).select(
-            F.col("label").alias(f"_label{j}"), F.col("id").alias(f"_id{j}"), F.col("u").alias(f"_u{j}")
-        )
-        work = work.join(keys, F.col(f"l_{j}") == F.col(f"_label{j}"), "left")
-        cells.append(F.struct(F.col(f"_id{j}").alias("id"), F.col(f"_u{j}").alias("u")))
-    if cells:
-        items = F.filter(F.array(*cells), lambda x: x["id"].isNotNull())
-    else:
-        items = F.from_json(F.lit("[]"), "array<struct<id:int,u:bigint>>")
-    helpers = [f"{p}{j}" for j in range(n_cats) for p in ("_label", "_id", "_u")]
-    return work.withColumn(out, items).drop(*helpers)
+        keys = lookup.filter(F.col("col_idx") == n_numeric + j)
+        keys = keys.selectExpr(f"label as _label{j}", f"id as _id{j}", f"u as _u{j}")
+        work = work.join(keys, F.expr(f"l_{j} = _label{j}"), "left")
+        cells.append((f"_id{j}", f"_u{j}"))
+        helpers += [f"_label{j}", f"_id{j}", f"_u{j}"]
+    return work, cells, helpers
+
+
+def with_items(
+    encoded: DataFrame, numeric: list[NumericColumn], n_cats: int, lookup: DataFrame, out: str = "items"
+) -> DataFrame:
+    """Add ``out``: array of (id, u) of the row's items, in column order."""
+    work, cells, helpers = item_columns(encoded, numeric, n_cats, lookup)
+    return work.withColumn(out, F.expr(items_sql(cells))).drop(*helpers)
+
+
+def items_sql(cells: list[tuple[str, str]]) -> str:
+    if not cells:
+        return "cast(array() as array<struct<id:int,u:bigint>>)"
+    return f"filter(array({', '.join(f'struct({i} as id, {u} as u)' for i, u in cells)}), x -> x.id is not null)"
 
 
 def item_lookup(items: DataFrame) -> DataFrame:

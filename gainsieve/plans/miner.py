@@ -111,6 +111,7 @@ class PatternModel:
     shapes: DataFrame | None = None
     ranked: DataFrame | None = None
     inline_patterns: int = matching.INLINE_PATTERNS
+    _inline: tuple | None = field(default=None, repr=False)
 
     def bin_counts(self) -> list[tuple[str, int]]:
         return [(c.name, c.bins) for c in self.numeric]
@@ -135,17 +136,20 @@ class PatternModel:
     def row_items(self, df: DataFrame) -> DataFrame:
         return matching.row_items(df, self.numeric, self.groups.cats, self.items)
 
+    def _local_patterns(self) -> tuple[list[tuple[int, list[int]]], int]:
+        """Patterns and the number of items, for at most ``inline_patterns`` patterns; read once."""
+        if self._inline is None:
+            local = [(r["pid"], list(r["items"])) for r in self.patterns.select("pid", "items").collect()]
+            self._inline = local, self.items.agg(F.max("item")).first()[0]
+        return self._inline
+
     def match(self, df: DataFrame) -> DataFrame:
         """Add ``item_ids`` and the sorted matched pattern ids ``pids``."""
-        with_ids = self.row_items(df)
         if self.n_patterns == 0:
-            return with_ids.withColumn("pids", F.array().cast("array<int>"))
+            return self.row_items(df).withColumn("pids", F.array().cast("array<int>"))
         if self.n_patterns <= self.inline_patterns:
-            local = [(r["pid"], list(r["items"])) for r in self.patterns.select("pid", "items").collect()]
-            top_item = max(i for _, its in local for i in its)
-            n_items = max(top_item, self.items.agg(F.max("item")).first()[0])
-            return matching.match_inline(with_ids, local, n_items)
-        return matching.match_profiles(with_ids, self.patterns)
+            return matching.match_inline(df, self.numeric, self.groups.cats, self.items, *self._local_patterns())
+        return matching.match_profiles(self.row_items(df), self.patterns)
 
     def transform(self, df: DataFrame) -> DataFrame:
         """``match`` plus the sparse 0/1 vector ``features``."""
@@ -161,12 +165,10 @@ class PatternModel:
     def training_table(self) -> DataFrame:
         """(features, y, weight): equal training rows merged, made from the row shapes."""
         k = len(self.totals)
-        coded = utility.with_items(self.shapes, self.numeric, len(self.groups.cats), utility.item_lookup(self.items), "_items")
-        rows = coded.select(F.transform("_items", lambda x: x["id"]).alias("item_ids"), *[f"c{j}" for j in range(k)])
-        if self.n_patterns and self.n_patterns <= self.inline_patterns:
-            local = [(r["pid"], list(r["items"])) for r in self.patterns.select("pid", "items").collect()]
-            rows = matching.match_inline(rows, local, self.items.agg(F.max("item")).first()[0])
-        elif self.n_patterns:
+        lookup = utility.item_lookup(self.items)
+        coded = utility.with_items(self.shapes, self.numeric, len(self.groups.cats), lookup, "_items")
+        rows = coded.select(F.expr("transform(_items, x -> x.id)").alias("item_ids"), *scores.class_columns(k))
+        if self.n_patterns:
             rows = matching.match_profiles(rows, self.patterns)
         else:
             rows = rows.withColumn("pids", F.array().cast("array<int>"))
