@@ -15,6 +15,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from catalog.scored import three  # noqa: E402
 from catalog.views import P1  # noqa: E402
+from gainsieve.operators import apply as matching  # noqa: E402
 from gainsieve.operators import encode, metrics  # noqa: E402
 from gainsieve.plans.miner import PatternMiner  # noqa: E402
 from gainsieve.sources.workspace import Workspace  # noqa: E402
@@ -62,7 +63,7 @@ def main() -> None:
         "quantile_edges": lambda: encode.quantile_edges(rows, [*P1.ints, *P1.floats], 5, Workspace(spark)),
         "match_inline_len2": lambda: noop(models["l2"].match(rows).select("pids")),
         "match_inline_len3": lambda: noop(models["l3"].match(rows).select("pids")),
-        "match_join_len3": lambda: noop(models["l3"].coordinates(view, P1.keys)),
+        "match_join_len3": lambda: noop(matching.match_join(models["l3"].row_items(view), models["l3"].patterns, P1.keys)),
         "metric_vector": lambda: metrics.metric_vector(three(spark, sf), Workspace(spark), n_classes=3).collect(),
         "metric_auc": lambda: metrics.auc_ovr(three(spark, sf), Workspace(spark)).agg(F.max("auc")).collect(),
     }

@@ -48,7 +48,8 @@ _COVER_SQL = fit_sql(P2, "SELECT tid AS o_orderkey, pid FROM cover", length=2, e
 
 @query("f03_containment_join", _COVER_SQL)
 def f03_join(spark, sf):
-    return fitted(P2, spark, sf, length=2).coordinates(unseen(spark, sf), ["o_orderkey"])
+    m = fitted(P2, spark, sf, length=2)
+    return matching.match_join(m.row_items(unseen(spark, sf)), m.patterns, ["o_orderkey"])
 
 
 @query("f03_containment_inline", _COVER_SQL)

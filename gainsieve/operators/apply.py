@@ -12,6 +12,7 @@ from gainsieve.operators.encode import NumericColumn
 from gainsieve.operators.utility import encode_rows, item_columns, item_lookup
 
 INLINE_PATTERNS = 5_000
+KNOWN_SETS = 100_000
 MASK_WORDS = 8  # item sets of up to 64 * 8 items are compared as bit masks
 
 
@@ -38,12 +39,14 @@ def _signed(word: int) -> int:
 
 def match_inline(
     df: DataFrame, numeric: list[NumericColumn], cats: list[str], items: DataFrame, patterns: list[tuple[int, list[int]]],
-    n_items: int, ids_out: str = "item_ids", out: str = "pids",
+    n_items: int, ids_out: str = "item_ids", out: str = "pids", known: DataFrame | None = None,
 ) -> DataFrame:
     """Add item ids and the sorted matched pattern ids, row by row and without grouping; works on streams.
 
     Patterns are filed under their first (rarest) item, so a row only looks at patterns whose
     first item it holds, and compares the rest as bit masks. For at most INLINE_PATTERNS patterns.
+    ``known`` (item_ids, pids; at most KNOWN_SETS rows) answers the item sets seen in training by a
+    broadcast lookup, so only new sets are compared.
     """
     words = (n_items + 63) // 64
     work, ids, helpers = _coded_items(df, numeric, cats, items)
@@ -61,17 +64,24 @@ def match_inline(
     fields = ", ".join(f"m{w}: bigint" for w in range(words)) if masked else "r: array<int>"
     index = F.from_json(F.lit(json.dumps(by_first)), f"array<array<struct<p: int, {fields}>>>")
     work = work.withColumn("_index", index)
-    near = [f"coalesce(_index[{i} - 1], slice(_index[0], 1, 0))" for i in ids]
+    near = ", ".join(f"coalesce(_index[{i} - 1], slice(_index[0], 1, 0))" for i in ids)
+    # The one-element transform binds the row's side as r, else it would be computed per pattern.
     if masked:
-        for w in range(words):
-            bits = [f"if({i} between {64 * w + 1} and {64 * w + 64}, shiftleft(1L, {i} - {64 * w + 1}), 0L)" for i in ids]
-            work = work.withColumn(f"_m{w}", F.expr(" | ".join(bits) if bits else "0L"))
-        test = " and ".join(f"(x.m{w} & _m{w}) = x.m{w}" for w in range(words))
-        helpers = helpers + [f"_m{w}" for w in range(words)]
+        bits = [
+            " | ".join(f"if({i} between {64 * w + 1} and {64 * w + 64}, shiftleft(1L, {i} - {64 * w + 1}), 0L)" for i in ids)
+            for w in range(words)
+        ]
+        bound = f"struct({', '.join(f'{b} as m{w}' for w, b in enumerate(bits))})"
+        test = " and ".join(f"(x.m{w} & r.m{w}) = x.m{w}" for w in range(words))
     else:
-        test = f"forall(x.r, i -> array_contains({ids_out}, i))"
-    hits = f"array_sort(transform(filter(concat({', '.join(near)}), x -> {test}), x -> x.p))" if near else "cast(array() as array<int>)"
-    return work.withColumn(out, F.expr(hits)).drop("_index", *helpers)
+        bound, test = _ids_sql(ids), "forall(x.r, i -> array_contains(r, i))"
+    hits = f"transform(filter(concat({near}), x -> {test}), x -> x.p)"
+    found = f"transform(array({bound}), r -> sort_array({hits}))[0]" if ids else "cast(array() as array<int>)"
+    if known is not None:
+        sets = F.broadcast(known.select(F.col("item_ids").alias("_set"), F.col("pids").alias("_known")))
+        work = work.join(sets, F.col(ids_out) == F.col("_set"), "left")
+        found, helpers = f"if(_known is not null, _known, {found})", [*helpers, "_set", "_known"]
+    return work.withColumn(out, F.expr(found)).drop("_index", *helpers)
 
 
 def match_join(df: DataFrame, patterns: DataFrame, keys: list[str], ids: str = "item_ids") -> DataFrame:
@@ -83,7 +93,7 @@ def match_join(df: DataFrame, patterns: DataFrame, keys: list[str], ids: str = "
     """
     anchored = patterns.select("pid", F.element_at("items", 1).alias("anchor"), F.col("items").alias("_need"))
     exploded = df.select(*keys, ids, F.explode(ids).alias("anchor"))
-    hit = exploded.join(anchored, "anchor").filter(F.size(F.array_except("_need", ids)) == 0)
+    hit = exploded.join(anchored, "anchor").filter(f"size(_need) = 1 or forall(_need, x -> array_contains({ids}, x))")
     return hit.select(*keys, "pid")
 
 

@@ -112,6 +112,8 @@ class PatternModel:
     ranked: DataFrame | None = None
     inline_patterns: int = matching.INLINE_PATTERNS
     _inline: tuple | None = field(default=None, repr=False)
+    _known: DataFrame | None = field(default=None, repr=False)
+    _too_many: bool = field(default=False, repr=False)
 
     def bin_counts(self) -> list[tuple[str, int]]:
         return [(c.name, c.bins) for c in self.numeric]
@@ -143,12 +145,28 @@ class PatternModel:
             self._inline = local, self.items.agg(F.max("item")).first()[0]
         return self._inline
 
+    def known_sets(self) -> DataFrame | None:
+        """(item_ids, pids) of the training rows' distinct item sets; None when there are too many to broadcast."""
+        if self._known is None and self.shapes is not None and not self._too_many:
+            lookup = utility.item_lookup(self.items)
+            coded = utility.with_items(self.shapes, self.numeric, len(self.groups.cats), lookup, "_items")
+            sets = coded.select(F.expr("transform(_items, x -> x.id)").alias("item_ids")).distinct()
+            ws = Workspace(self.items.sparkSession)
+            sets = ws.table(sets, "item-sets")
+            if sets.limit(matching.KNOWN_SETS + 1).count() <= matching.KNOWN_SETS:
+                self._known = ws.table(matching.match_profiles(sets, self.patterns), "known-sets")
+            else:
+                self._too_many = True
+        return self._known
+
     def match(self, df: DataFrame) -> DataFrame:
         """Add ``item_ids`` and the sorted matched pattern ids ``pids``."""
         if self.n_patterns == 0:
             return self.row_items(df).withColumn("pids", F.array().cast("array<int>"))
         if self.n_patterns <= self.inline_patterns:
-            return matching.match_inline(df, self.numeric, self.groups.cats, self.items, *self._local_patterns())
+            return matching.match_inline(
+                df, self.numeric, self.groups.cats, self.items, *self._local_patterns(), known=self.known_sets()
+            )
         return matching.match_profiles(self.row_items(df), self.patterns)
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -156,7 +174,9 @@ class PatternModel:
         return matching.assemble_vectors(self.match(df), self.n_patterns)
 
     def coordinates(self, df: DataFrame, keys: list[str]) -> DataFrame:
-        """(keys, pid) of every match, through the join form."""
+        """(keys, pid) of every match; beyond the inline limit through the join form."""
+        if self.n_patterns <= self.inline_patterns:
+            return matching.coordinates(self.match(df), keys)
         return matching.match_join(self.row_items(df), self.patterns, keys)
 
     def density(self, df: DataFrame, keys: list[str]) -> DataFrame:
@@ -192,7 +212,10 @@ class PatternModel:
             "n_patterns": self.n_patterns,
             "report": self.report,
             "order": [c.name for c in self.numeric],
+            "known": self.known_sets() is not None,
         }
+        if meta["known"]:
+            self.known_sets().write.parquet(f"{path}/known")
         spark = self.items.sparkSession
         local_frame(spark, [(json.dumps(meta),)], "value string").write.text(f"{path}/metadata")
 
@@ -214,4 +237,5 @@ class PatternModel:
             patterns=spark.read.parquet(f"{path}/patterns"),
             n_patterns=meta["n_patterns"],
             report=meta["report"],
+            _known=spark.read.parquet(f"{path}/known") if meta["known"] else None,
         )

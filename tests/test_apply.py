@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.ml.classification import NaiveBayes, RandomForestClassifier
 from pyspark.sql import functions as F
@@ -36,7 +38,9 @@ def pairs(df):
 def test_three_ways_to_match_agree(spark, model, train):
     for rows in (train, unseen(spark)):
         inline = pairs(matching.coordinates(model.match(rows), ["tid"]))
-        joined = pairs(model.coordinates(rows, ["tid"]))
+        joined = pairs(matching.match_join(model.row_items(rows), model.patterns, ["tid"]))
+        bare = replace(model, shapes=None, _known=None)
+        assert pairs(matching.coordinates(bare.match(rows), ["tid"])) == joined
         ids = model.row_items(rows)
         profiled = pairs(matching.coordinates(matching.match_profiles(ids, model.patterns), ["tid"]))
         assert inline == joined == profiled
