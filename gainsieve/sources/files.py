@@ -51,9 +51,7 @@ class Prepared:
 
 def _finish(df: DataFrame, label: str, features: list[str] | None = None) -> Prepared:
     groups = prep.feature_groups(df, features, exclude=[label])
-    return Prepared(prep.ordered_features(df, groups).select("*") if label is None else df.select(
-        *[prep.q(c) for c in groups.ordered], prep.q(label)
-    ), label, groups)
+    return Prepared(df.select(*[prep.q(c) for c in groups.ordered], prep.q(label)), label, groups)
 
 
 def load_table(
