@@ -16,11 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gainsieve.llm.common import blocks
+from gainsieve.llm.common import blocks, word_bounds
 from gainsieve.llm.components import components
 from gainsieve.sources.workspace import Workspace
 
@@ -34,27 +33,97 @@ LEAF = 256
 ALL_BITS = np.uint64((1 << 64) - 1)
 
 
-def fingerprints_of(texts: list[bytes], shingle: int = 4) -> np.ndarray:
-    """One unsigned 64-bit fingerprint for each text; bit set in over half of the shingle hashes."""
-    out = np.zeros(len(texts), np.uint64)
-    xxh = xxhash.xxh64_intdigest
-    for row, text in enumerate(texts):
-        words = text.lower().split()
-        if not words:
-            continue
-        joined = b" ".join(words)
-        n = max(1, len(words) - shingle + 1)
-        if len(words) <= shingle:
-            hashes = np.array([xxh(joined, SEED)], np.uint64)
-        else:
-            lengths = np.fromiter(map(len, words), np.int64, len(words))
-            ends = np.cumsum(lengths + 1) - 1
-            starts = (ends - lengths)[:n].tolist()
-            hashes = np.fromiter((xxh(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())), np.uint64, n)
-        ones = np.zeros(64, np.int64)
-        for lo in range(0, n, 1 << 16):  # bounded memory for a text of any length
-            ones += np.unpackbits(hashes[lo : lo + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out[row] = np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0]
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_PLAIN = np.arange(256, dtype=np.uint8)  # A-Z in lower case, white space as spaces
+_PLAIN[0x41:0x5B] += 32
+_PLAIN[_SPACE] = 32
+
+#: The primes of XXH64; fixed values.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turn(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def _lane(acc: np.ndarray, value: np.ndarray) -> np.ndarray:
+    return _turn(acc + value * _P2, 31) * _P1
+
+
+def xxh64_spans(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """XXH64 of many spans of a byte block at once: each step of the hash runs over all spans that have that step."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,)).copy()  # the eight bytes from every place on
+    one = np.array([seed], np.uint64)  # an array, whose sums wrap silently
+    h = np.repeat(one + _P5, len(starts))
+    at = starts.astype(np.int64)
+    stripes = lengths >> 5
+    if stripes.any():
+        long = np.flatnonzero(stripes)
+        acc = [np.repeat(v, len(long)) for v in (one + _P1 + _P2, one + _P2, one, one - _P1)]
+        for k in range(int(stripes.max())):
+            own = np.flatnonzero(stripes[long] > k)
+            place = at[long[own]] + 32 * k
+            for i in range(4):
+                acc[i][own] = _lane(acc[i][own], words[place + 8 * i])
+        g = _turn(acc[0], 1) + _turn(acc[1], 7) + _turn(acc[2], 12) + _turn(acc[3], 18)
+        for v in acc:
+            g = (g ^ _lane(np.zeros(1, np.uint64), v)) * _P1 + _P4
+        h[long] = g
+        at = at + 32 * stripes
+    h += lengths.astype(np.uint64)
+    rest = lengths & 31
+    for k in range(3):
+        own = np.flatnonzero(rest >= 8 * (k + 1))
+        if len(own):
+            h[own] = _turn(h[own] ^ _lane(np.zeros(1, np.uint64), words[at[own] + 8 * k]), 27) * _P1 + _P4
+    at, rest = at + (rest & ~7), rest & 7
+    own = np.flatnonzero(rest >= 4)
+    if len(own):
+        h[own] = _turn(h[own] ^ (words[at[own]] & np.uint64(0xFFFFFFFF)) * _P1, 23) * _P2 + _P3
+    at, rest = at + (rest & 4), rest & 3
+    for k in range(3):
+        own = np.flatnonzero(rest > k)
+        if len(own):
+            h[own] = _turn(h[own] ^ (words[at[own] + k] & np.uint64(0xFF)) * _P5, 11) * _P1
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes have each bit; rows of bits are summed in bytes, 255 at a time, and then in long."""
+    out = np.zeros(64, np.int64)
+    for lo in range(0, len(hashes), 255 * 256):
+        bits = np.unpackbits(hashes[lo : lo + 255 * 256].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        whole = len(bits) // 255 * 255
+        out += np.add.reduce(bits[:whole].reshape(-1, 255, 64), axis=1, dtype=np.uint8).sum(0, dtype=np.int64) + np.add.reduce(bits[whole:], axis=0, dtype=np.uint8)
+    return out
+
+
+def fingerprints_of(data: np.ndarray, off: np.ndarray, shingle: int = 4) -> np.ndarray:
+    """One unsigned 64-bit fingerprint for each text of a block; a bit is set if over half of the shingle hashes have it."""
+    out = np.zeros(len(off) - 1, np.uint64)
+    space = _SPACE[data]
+    starts, ends, counts = word_bounds(~space, off)
+    if not len(starts):
+        return out
+    # words with one space between them: of each run of white space only the first byte stays
+    keep = ~space
+    keep[1:] |= ~space[:-1]
+    place = np.concatenate([[0], np.cumsum(keep)])
+    plain = _PLAIN[data[keep]]
+    starts, ends = place[starts], place[ends]
+    first = np.concatenate([[0], np.cumsum(counts)])
+    grams = np.where(counts > 0, np.maximum(counts - shingle + 1, 1), 0)
+    at = np.concatenate([[0], np.cumsum(grams)])
+    begin = np.arange(at[-1]) + np.repeat(first[:-1] - at[:-1], grams)
+    final = np.minimum(begin + shingle, np.repeat(first[1:], grams)) - 1
+    hashes = xxh64_spans(plain, starts[begin], ends[final] - starts[begin])
+    for row in np.flatnonzero(grams).tolist():
+        a, b = at[row], at[row + 1]
+        out[row] = np.packbits(2 * _ones(hashes[a:b]) > b - a, bitorder="little").view(np.uint64)[0]
     return out
 
 
@@ -64,9 +133,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.zeros(batch.num_rows, np.uint64)
-            for lo, hi, data, off in blocks(batch.column(1)):
-                raw = data.tobytes()
-                fps[lo:hi] = fingerprints_of([raw[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist())], shingle)
+            for lo, hi, data, off in blocks(batch.column(1), 1 << 19):
+                fps[lo:hi] = fingerprints_of(data, off, shingle)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -190,13 +258,14 @@ def close_pairs(fps: np.ndarray, home: np.ndarray, radius: int, mask: int, slack
             join_hits(forest, ball[1:], np.repeat(ball[:1], len(ball) - 1))
         cut = min(int(np.median(d)), int(d.max()) - 1)
         inner, outer = points[d <= cut + bound], points[d > cut - bound]
-        if len(inner) + len(outer) < 1.9 * len(points):
-            dq = distance(fps[queries] & bits, point & bits).astype(np.int64)
-            # a query looks on its own side of the cut, and as far over it as the triangle bound asks
-            todo += [(queries[dq <= cut], inner, bits, bound), (queries[dq > cut], outer, bits, bound)]
+        # a query looks on its own side of the cut, and as far over it as the triangle bound asks
+        near = distance(fps[queries] & bits, point & bits) <= cut
+        n_near = int(near.sum())
+        if n_near * len(inner) + (len(queries) - n_near) * len(outer) < 0.85 * len(queries) * len(points):
+            todo += [(queries[near], inner, bits, bound), (queries[~near], outer, bits, bound)]
         elif not whole:
             todo.append((queries, points, ALL_BITS, radius))
-        else:  # no branch can be pruned: compare in pieces
+        else:  # the bound prunes too little: compare in pieces
             todo += [(queries[lo : lo + 16], points, bits, bound) for lo in range(0, len(queries), 16)]
 
 
