@@ -57,9 +57,10 @@ def without_boilerplate(docs: DataFrame, text_col: str = "text", site_col: str =
     found = lines.select("_k1", "_k2", "_at", *_line_key(F.col("_line"))).join(bad, ["h1", "h2"], "left_semi")
     remove = found.groupBy("_k1", "_k2").agg(F.collect_set("_at").alias("_remove"))
     own = _lines(F.col(text_col))
-    places = F.sequence(F.lit(0), F.size(own) - 1)
     joined = keyed.join(remove, ["_k1", "_k2"], "left")
-    kept = F.array_join(F.transform(F.array_except(places, "_remove"), lambda i: F.get(own, i)), "\n")
+    # a one-element list binds the lines to a name, else the text would be split again for each of them
+    places = lambda o: F.array_except(F.sequence(F.lit(0), F.size(o) - 1), F.col("_remove"))
+    kept = F.transform(F.array(own), lambda o: F.array_join(F.transform(places(o), lambda i: F.get(o, i)), "\n"))[0]
     return joined.select(
         *[F.when(F.col("_remove").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns],
         F.when(F.col(text_col).isNull(), 0).otherwise(F.size(own)).cast("long").alias("_n_lines"),
