@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gainsieve.llm import decontaminate, lines, mixing, quality, simhash
+from gainsieve.llm import ann, decontaminate, licenses, lines, mixing, pii, quality, simhash, substrings, warc
 from gainsieve.llm.common import read
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(read(spark, sf_dir, "documents"))
 
@@ -18,10 +22,26 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"))
+
+
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(read(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -31,6 +51,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_line_dedup, op3_decontamination, op7_mixing, op9_quality, op10_simhash)
+    f.__name__: f
+    for f in (op1_warc, op2_line_dedup, op3_decontamination, op4_licenses, op5_ann, op6_substrings, op7_mixing, op8_pii, op9_quality, op10_simhash)
+}
+ORACLE: dict[str, str] = {
+    "op1_warc": warc.ROUND_TRIP_SQL,
+    "op2_line_dedup": lines.LINES_SQL,
+    "op3_decontamination": decontaminate.CONTAMINATION_SQL,
+    "op4_licenses": licenses.LICENSE_SQL,
+    "op7_mixing": mixing.MIX_SQL,
 }
-ORACLE: dict[str, str] = {"op2_line_dedup": lines.LINES_SQL, "op3_decontamination": decontaminate.CONTAMINATION_SQL, "op7_mixing": mixing.MIX_SQL}
