@@ -35,6 +35,12 @@ _CLASSES = {
     "brackets": _table("()[]{}<>"),
     "other_signs": _table("+-=/\\_@'\"`"),
 }
+#: The one class of each byte: those above, then first bytes of letters beyond ASCII, then all else; the last are bytes within a letter.
+_CLASS_OF = np.full(256, len(_CLASSES) + 1, np.int64)
+for _i, _mask in enumerate(_CLASSES.values()):
+    _CLASS_OF[_mask] = _i
+_CLASS_OF[0xC0:] = len(_CLASSES)
+_CLASS_OF[0x80:0xC0] = len(_CLASSES) + 2
 _SIGN = _table("!*#%&$~^|+-=/\\_@`")
 
 
@@ -44,36 +50,40 @@ def _per_text(sums: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _distinct(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Number of distinct hashes in each text, and how often the commonest is there."""
-    text = np.repeat(np.arange(len(counts)), counts)
-    order = np.lexsort((hashes, text))
-    h, t = hashes[order], text[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
+    text = np.repeat(np.arange(len(counts), dtype=np.uint64), counts)
+    keys = np.sort(text << np.uint64(44) | hashes >> np.uint64(20))  # texts of a block are few: 44 bits are left for the hash
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
     at = np.flatnonzero(new)
+    t = (keys[at] >> np.uint64(44)).astype(np.int64)
+    different = np.bincount(t, minlength=len(counts))
     top = np.zeros(len(counts))
-    np.maximum.at(top, t[at], np.diff(np.append(at, len(h))))
-    return np.bincount(t[at], minlength=len(counts)).astype(np.float64), top
+    if len(at):
+        some = np.flatnonzero(different)
+        top[some] = np.maximum.reduceat(np.diff(np.append(at, len(keys))), (np.cumsum(different) - different)[some])
+    return different.astype(np.float64), top
 
 
 def features_of(data: np.ndarray, off: np.ndarray, hashes: SpanHash) -> np.ndarray:
     """A row of FEATURES for each text; all are finite, and an empty text has zeros."""
     n = len(off) - 1
     cum = lambda x: np.concatenate([[0], np.cumsum(x, dtype=np.int64)])
-    ascii_or_lead = (data & 0xC0) != 0x80
-    chars = _per_text(cum(ascii_or_lead), off)
+    size = len(_CLASSES) + 3
+    classes = np.bincount(_CLASS_OF[data] + np.repeat(np.arange(n) * size, np.diff(off)), minlength=n * size).reshape(n, size).astype(np.float64)
+    chars = classes[:, :-1].sum(1)
     least = np.maximum(chars, 1)
     starts, ends, words = word_bounds(~_SPACE[data], off)
     lines_s, lines_e, lines = word_bounds(data != 10, off)
     many, many_lines = np.maximum(words, 1), np.maximum(lines, 1)
     at, at_lines = np.concatenate([[0], np.cumsum(words)]), np.concatenate([[0], np.cumsum(lines)])
-    letters = cum(ascii_or_lead)
+    letters = cum((data & 0xC0) != 0x80)
     length = letters[ends] - letters[starts]
     sums = hashes.running(data)
     part = lambda x: _per_text(cum(x), at) / many
     mean = _per_text(cum(length), at) / many
     out = {"log_chars": np.log1p(chars), "log_words": np.log1p(words), "mean_word": mean, "std_word": np.sqrt(np.maximum(part(length * length) - mean * mean, 0))}
-    out |= {"long_words": part(length > 12), "short_words": part(length <= 3), "non_ascii": _per_text(cum(data >= 0xC0), off) / least}
-    out |= {k: _per_text(cum(v[data]), off) / least for k, v in _CLASSES.items()}
+    out |= {"long_words": part(length > 12), "short_words": part(length <= 3), "non_ascii": classes[:, len(_CLASSES)] / least}
+    out |= {k: classes[:, i] / least for i, k in enumerate(_CLASSES)}
     last = data[ends - 1] if len(ends) else data[:0]
     first = data[starts] if len(starts) else data[:0]
     out |= {"sign_ended": part(_SIGN[last]), "capital_words": part(_CLASSES["upper"][first]), "log_line": np.log1p(chars / many_lines)}
