@@ -46,7 +46,7 @@ def match_inline(
     Patterns are filed under their first (rarest) item, so a row only looks at patterns whose
     first item it holds, and compares the rest as bit masks. For at most INLINE_PATTERNS patterns.
     ``known`` (item_ids, pids; at most KNOWN_SETS rows) answers the item sets seen in training by a
-    broadcast lookup, so only new sets are compared.
+    lookup, which Spark broadcasts if its bytes are few, so only new sets are compared.
     """
     words = (n_items + 63) // 64
     work, ids, helpers = _coded_items(df, numeric, cats, items)
@@ -78,12 +78,37 @@ def match_inline(
     hits = f"transform(filter(concat({near}), x -> {test}), x -> x.p)"
     found = f"transform(array({bound}), r -> sort_array({hits}))[0]" if ids else "cast(array() as array<int>)"
     if known is not None:
-        sets = F.broadcast(known.select(F.col("item_ids").alias("_set"), F.col("pids").alias("_known")))
+        sets = known.select(F.col("item_ids").alias("_set"), F.col("pids").alias("_known"))
         work = work.join(sets, F.col(ids_out) == F.col("_set"), "left")
         found, helpers = f"if(_known is not null, _known, {found})", [*helpers, "_set", "_known"]
     return work.withColumn(out, F.expr(found)).drop("_index", *helpers)
 
 
+def match_rows(
+    df: DataFrame, numeric: list[NumericColumn], cats: list[str], items: DataFrame, patterns: DataFrame, ids_out: str = "item_ids", out: str = "pids"
+) -> DataFrame:
+    """What ``match_inline`` adds, for any number of patterns and without reading them to the driver; works on streams.
+
+    The patterns filed under an item are one row of a table, which is joined once for each feature column; the rest
+    is checked inside the row, so rows are neither exploded nor grouped.
+    """
+    work, ids, helpers = _coded_items(df, numeric, cats, items)
+    work = work.withColumn(ids_out, F.expr(_ids_sql(ids)))
+    filed = patterns.groupBy(F.element_at("items", 1).alias("_first")).agg(
+        F.collect_list(F.struct("pid", F.expr("slice(items, 2, size(items))").alias("rest"))).alias("_filed")
+    )
+    none = "cast(array() as array<struct<pid:int,rest:array<int>>>)"
+    for i, own in enumerate(ids):
+        near = filed.select(F.col("_first").alias(f"_first{i}"), F.col("_filed").alias(f"_filed{i}"))
+        work = work.join(near, F.expr(own) == F.col(f"_first{i}"), "left")
+        helpers += [f"_first{i}", f"_filed{i}"]
+    if not ids:
+        return work.withColumn(out, F.array().cast("array<int>")).drop(*helpers)
+    near = ", ".join(f"coalesce(_filed{i}, {none})" for i in range(len(ids)))
+    hits = f"transform(filter(concat({near}), x -> forall(x.rest, i -> array_contains({ids_out}, i))), x -> x.pid)"
+    return work.withColumn(out, F.expr(f"sort_array({hits})")).drop(*helpers)
+
+
 def match_join(df: DataFrame, patterns: DataFrame, keys: list[str], ids: str = "item_ids") -> DataFrame:
     """(keys, pid) coordinates for any number of patterns.
 

@@ -175,6 +175,9 @@ def fit_numeric(
     missing = [c for c in columns if profile[c]["missing"]] + [c for c, n in nulls.items() if n]
     if missing:
         raise ValueError(f"null or NaN in feature columns {missing}; impute or drop them first")
+    infinite = [c for c in columns if profile[c]["n"] and (math.isinf(profile[c]["min"]) or math.isinf(profile[c]["max"]))]
+    if infinite:
+        raise ValueError(f"infinite values in feature columns {infinite}; replace or drop them first")
     if not columns:
         return []
     attach_values(df, profile)  # makes small distinct counts exact, large ones cannot bind the clamp

@@ -77,7 +77,8 @@ def mining_base(
     merged = rows.groupBy("items", "us", "suf").agg(*scores.sum_class_counts(n_classes))
     return merged.select(
         "*", scores.class_rows(n_classes).alias("n"), F.xxhash64("items").alias("h1"),
-        F.xxhash64("items", F.lit(HASH_SALT)).alias("h2"),
+        # the salt comes first: each column's hash is seeded with the one before, so a salt after the items would add nothing
+        F.xxhash64(F.lit(HASH_SALT), "items").alias("h2"),
     )
 
 

@@ -267,13 +267,13 @@ def stratified_split(
 ) -> DataFrame:
     """Add ``is_test``: exactly round(share x class size) rows of each class, chosen by a seeded key hash.
 
-    ``keys`` identify a row. Row numbers come from range partitions with offsets, so a
+    ``keys`` identify a row. Rows without a label are split as a class of their own. Row numbers come from range partitions with offsets, so a
     huge class is never ranked by one task.
     """
     base = df.withColumn("_h", F.xxhash64(*[q(k) for k in keys], F.lit(seed)))
     by = order or [F.col("_h"), *[q(k) for k in keys]]
     ranked = numbered(base, by, ws, "_rn", groups=[y])
     sizes = df.groupBy(q(y).alias("_y")).agg(F.count("*").alias("_n"))
-    joined = ranked.join(F.broadcast(sizes), q(y) == F.col("_y"))
+    joined = ranked.join(sizes, q(y).eqNullSafe(F.col("_y")))
     quota = F.floor(F.col("_n") * F.lit(test_share) + F.lit(0.5))
     return joined.withColumn("is_test", F.col("_rn") <= quota).drop("_h", "_rn", "_y", "_n")

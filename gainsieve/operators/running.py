@@ -45,13 +45,16 @@ def running_sums(
     # One row per (partition, group) pair: a range partition holds few groups' borders.
     before = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        "_part",
-        *groups,
+        F.col("_part").alias("_o_part"),
+        *[F.col(g).alias(f"_o_group{i}") for i, g in enumerate(groups)],
         *[F.coalesce(F.sum(f"_t_{out}").over(before), F.lit(0)).alias(f"_o_{out}") for out in sums],
     )
     local = Window.partitionBy("_part", *groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = ranged.select("*", *[F.sum(c).over(local).alias(f"_l_{out}") for out, c in sums.items()])
-    return summed.join(offsets, ["_part", *groups]).select(
+    same = F.col("_part") == F.col("_o_part")
+    for i, g in enumerate(groups):  # a NULL group is a group
+        same = same & F.col(g).eqNullSafe(F.col(f"_o_group{i}"))
+    return summed.join(offsets, same).select(
         *[F.col(c) for c in source.columns],
         *[(F.col(f"_l_{out}") + F.col(f"_o_{out}")).alias(out) for out in sums],
     )

@@ -60,10 +60,12 @@ class PatternMiner:
         spark = df.sparkSession
         ws = Workspace(spark)
         groups = prep.feature_groups(df, self.features, exclude=[self.label, *self.keys])
+        if df.filter(prep.q(self.label).isNull()).limit(1).count():
+            raise ValueError(f"label {self.label} has nulls; drop or fill them first")
         codes = prep.label_codes(df, self.label)
         totals = [r["n"] for r in codes.orderBy("y").collect()]  # at most MAX_CLASSES rows
         n_classes = len(totals)
-        wanted = prep.encode_label(df, self.label, codes, "_y").filter(F.col("_y").isNotNull())
+        wanted = prep.encode_label(df, self.label, codes, "_y")
         coded = wanted.select("_y", *[prep.q(c) for c in groups.ordered])
         options = {"max_distinct": self.max_distinct}
         numeric = encode.fit_numeric(
@@ -167,7 +169,7 @@ class PatternModel:
             return matching.match_inline(
                 df, self.numeric, self.groups.cats, self.items, *self._local_patterns(), known=self.known_sets()
             )
-        return matching.match_profiles(self.row_items(df), self.patterns)
+        return matching.match_rows(df, self.numeric, self.groups.cats, self.items, self.patterns)
 
     def transform(self, df: DataFrame) -> DataFrame:
         """``match`` plus the sparse 0/1 vector ``features``."""

@@ -10,21 +10,16 @@ from gainsieve.plans.miner import PatternModel
 
 
 def match_stream(stream: DataFrame, model: PatternModel) -> DataFrame:
-    """Add ``pids`` to a streaming frame: inline matching, or explode and join beyond its pattern limit.
+    """Add ``item_ids`` and ``pids`` to a streaming frame, one row for each row, for any number of patterns.
 
-    Category ids come from stream-static left joins. A stream cannot be grouped by row
-    without state, so beyond the inline limit the result is one row per match.
+    Category ids and, beyond the inline limit, patterns come from stream-static left joins.
     """
-    if model.n_patterns <= model.inline_patterns:
-        return model.match(stream)
-    return model.coordinates(stream, stream.columns)
+    return model.match(stream)
 
 
 def count_patterns(stream: DataFrame, model: PatternModel) -> DataFrame:
     """(pid, n): running number of rows per pattern, for complete or update output."""
-    matched = match_stream(stream, model)
-    if "pids" in matched.columns:
-        matched = matched.select(F.explode("pids").alias("pid"))
+    matched = match_stream(stream, model).select(F.explode("pids").alias("pid"))
     return matched.groupBy("pid").agg(F.count("*").alias("n"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gainsieve import PatternClassifier, PatternClassifierModel, PatternMiner, PatternModel
 from gainsieve.operators import apply as matching
-from gainsieve.operators import explain, metrics
+from gainsieve.operators import explain, metrics, prep
 from gainsieve.plans.tuning import cross_validate, scorers, stratified_folds, summarize
 from gainsieve.sources import files
 from gainsieve.sources.workspace import Workspace
@@ -87,6 +87,35 @@ def test_stream_equals_batch(spark, model, train):
     assert got == {r["tid"]: r["pids"] for r in model.match(train).collect()}
 
 
+def test_joined_patterns_equal_inline_ones_in_batch_and_stream(spark, model, train):
+    beyond = replace(model, inline_patterns=0)
+    plain, joined = model.match(train), beyond.match(train)
+    assert joined.columns == plain.columns
+    expected = sorted(plain.select("tid", "item_ids", "pids").collect())
+    assert sorted(joined.select("tid", "item_ids", "pids").collect()) == expected
+    ws = Workspace(spark)
+    ws.table(train, "stream-in")
+    source = spark.readStream.schema(train.schema).parquet(f"{ws.path}/001-stream-in")
+    out = ws.new_path("out")
+    streams.write_matches(source, beyond, ["tid"], out, ws.new_path("state")).awaitTermination()
+    assert {r["tid"]: r["pids"] for r in spark.read.parquet(out).collect()} == {r["tid"]: r["pids"] for r in expected}
+
+
+def test_fit_rejects_null_labels_and_infinite_values(spark):
+    rows = [(i, float(i), i % 2) for i in range(20)]
+    with pytest.raises(ValueError, match="nulls"):
+        PatternMiner(label="y", features=["v"]).fit(spark.createDataFrame([*rows, (20, 1.0, None)], "tid int, v double, y int"))
+    with pytest.raises(ValueError, match="infinite"):
+        PatternMiner(label="y", features=["v"]).fit(spark.createDataFrame([*rows, (20, float("inf"), 1)], "tid int, v double, y int"))
+
+
+def test_split_keeps_rows_without_label(spark):
+    df = spark.createDataFrame([(i, [0, 1, None][i % 3]) for i in range(90)], "k int, y int")
+    out = prep.stratified_split(df, "y", ["k"], Workspace(spark))
+    sizes = {(r["y"], r["is_test"]): r["count"] for r in out.groupBy("y", "is_test").count().collect()}
+    assert sizes == {(y, t): 6 if t else 24 for y in (0, 1, None) for t in (True, False)}
+
+
 @pytest.fixture(scope="module")
 def classifier(train):
     return PatternClassifier(labelCol="y", keys=["tid"], bins=4, length=2).fit(train.filter("y < 2"))
