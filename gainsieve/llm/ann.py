@@ -6,7 +6,9 @@ probable part, and routes each query to its several most probable parts, whose m
 are searched is measured on the sample: as many as the wanted recall needs there.
 
 Only the sample's graph and the classifier are made on the driver. Vectors are placed, routed and scored in tasks: a part is
-split into pieces of bounded size, as are the queries sent to it, and each pair of pieces is one group. Of equal vectors only
+split into pieces of bounded size, as are the queries sent to it, and each pair of pieces is one group. A query's most probable
+part is searched first: its ``k``-th score there bounds the answer from below, so the other parts return only rows that reach
+it, and what they return does not grow with the number of parts and pieces. Of equal vectors only
 the ``k + 1`` smallest ids can be among any query's ``k`` nearest, so the others are left out before the shuffle.
 """
 
@@ -172,7 +174,8 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def _place(vectors: DataFrame, router, count: int, size: int, name: str) -> DataFrame:
-    """vectors with the columns part (each of the count most probable) and name, a piece below the number that pieces tells."""
+    """vectors with the columns part (each of the count most probable), nth (from 0, the most probable) and name, a piece below
+    the number that pieces tells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = router.value
@@ -182,9 +185,9 @@ def _place(vectors: DataFrame, router, count: int, size: int, name: str) -> Data
                 best = np.zeros((n, 1), np.int64)
             else:
                 best = np.argsort(-own.scores(_matrix(batch.column(1))), axis=1, kind="stable")[:, :count]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(r := pa.array(np.repeat(np.arange(n), best.shape[1]))), batch.column(1).take(r), pa.array(best.ravel().astype(np.int32))], ["vec_id", "v", "part"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(r := pa.array(np.repeat(np.arange(n), best.shape[1]))), batch.column(1).take(r), pa.array(best.ravel().astype(np.int32)), pa.array(np.tile(np.arange(best.shape[1], dtype=np.int32), n))], ["vec_id", "v", "part", "nth"])
 
-    placed = vectors.select("vec_id", "v").mapInArrow(run, "vec_id long, v array<double>, part int")
+    placed = vectors.select("vec_id", "v").mapInArrow(run, "vec_id long, v array<double>, part int, nth int")
     return placed.withColumn(name, F.xxhash64("vec_id", F.lit(size)))
 
 
@@ -198,7 +201,7 @@ def nearest(
     several lengths those of the commonest (of equally common ones the least) take part. Repeated rows count once, and an id
     with several vectors counts with the least. Scores are sums in double precision in order of the components.
     """
-    spark = rows.sparkSession
+    spark, inf = rows.sparkSession, float("inf")
     ws = Workspace(spark)
     own = ws.table(valid_vectors(rows, id_col, vector_col), "valid")
     sizes = own.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
@@ -213,16 +216,11 @@ def nearest(
 
     placed = ws.table(_place(kept, router, 1, 1, "h"), "placed")
     sent = ws.table(_place(vectors.where(F.col("vec_id") % every == 0), router, count, 2, "h"), "sent")
-    # at most as many rows as parts
-    pieces = placed.groupBy("part").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("cs")).join(sent.groupBy("part").agg(F.ceil(F.count("*") / QUERY_PIECE).cast("int").alias("qs")), "part")
-    left = sent.join(pieces, "part").select("part", F.pmod("h", "qs").cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("cs") - 1)).alias("c"), "vec_id", "v")
-    right = placed.join(pieces, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q"), F.pmod("h", "cs").cast("int").alias("c"), "vec_id", "v")
-
     def score(queries: pa.Table, points: pa.Table) -> pa.Table:
         q_id, p_id = queries["vec_id"].to_numpy(), points["vec_id"].to_numpy()
         out: list[tuple] = []
         if len(q_id) and len(p_id):
-            q, p = _matrix(queries["v"]), _matrix(points["v"])
+            q, p, bound = _matrix(queries["v"]), _matrix(points["v"]), queries["bound"].to_numpy()
             order = np.argsort(p_id, kind="stable")
             p_id, p = p_id[order], p[order]
             for lo in range(0, len(q), 256):
@@ -230,15 +228,30 @@ def nearest(
                 for i in range(len(s)):
                     row = np.where(p_id == q_id[lo + i], -np.inf, s[i])
                     # near ties of the matrix product stay in, and are settled by the exact sums
-                    edge = np.partition(row, -k)[-k] if len(row) > k else -np.inf
+                    edge = max(bound[lo + i], np.partition(row, -k)[-k] if len(row) > k else -np.inf)
                     some = np.flatnonzero((row >= edge - 1e-9 * (1 + abs(edge) if np.isfinite(edge) else 1)) & np.isfinite(row))
                     exact = np.cumsum(q[lo + i] * p[some], axis=1)[:, -1] if len(some) else np.zeros(0)
                     best = np.lexsort((p_id[some], -exact))[:k]
+                    best = best[exact[best] >= bound[lo + i]]
                     out += zip([q_id[lo + i]] * len(best), p_id[some][best], exact[best])
         columns = list(zip(*out)) if out else [(), (), ()]
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 
     keys = ["part", "q", "c"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    counts = placed.groupBy("part").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("cs"))
+
+    def search(queries: DataFrame) -> DataFrame:
+        """query_id, rank, vec_id, score of the k nearest in the parts of queries (vec_id, v, part, h, bound)."""
+        # at most as many rows as parts
+        pieces = counts.join(queries.groupBy("part").agg(F.ceil(F.count("*") / QUERY_PIECE).cast("int").alias("qs")), "part")
+        left = queries.join(pieces, "part").select("part", F.pmod("h", "qs").cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("cs") - 1)).alias("c"), "vec_id", "v", "bound")
+        right = placed.join(pieces, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q"), F.pmod("h", "cs").cast("int").alias("c"), "vec_id", "v")
+        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, "query_id long, vec_id long, score double")
+        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    first = ws.table(search(sent.where("nth = 0").withColumn("bound", F.lit(-inf))), "first")
+    bounds = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
+    others = search(sent.where("nth > 0").join(bounds, "vec_id", "left").withColumn("bound", F.coalesce("bound", F.lit(-inf))))
+    found = first.union(others).drop("rank")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
