@@ -55,7 +55,8 @@ def without_boilerplate(docs: DataFrame, text_col: str = "text", site_col: str =
     keyed = docs.withColumns(dict(zip(("_k1", "_k2"), text_key(F.col(text_col)))))
     lines = keyed.select("_k1", "_k2", F.posexplode(_lines(F.col(text_col))).alias("_at", "_line")).where(F.trim("_line") != "")
     found = lines.select("_k1", "_k2", "_at", *_line_key(F.col("_line"))).join(bad, ["h1", "h2"], "left_semi")
-    remove = found.groupBy("_k1", "_k2").agg(F.collect_set("_at").alias("_remove"))
+    # written, so that the join below has bare shuffles on both sides: then Spark can split the key of a text with many copies
+    remove = ws.table(found.groupBy("_k1", "_k2").agg(F.collect_set("_at").alias("_remove")), "places")
     own = _lines(F.col(text_col))
     joined = keyed.join(remove, ["_k1", "_k2"], "left")
     # a one-element list binds the lines to a name, else the text would be split again for each of them
