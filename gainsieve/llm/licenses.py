@@ -14,14 +14,15 @@ from pyspark.sql import functions as F
 # Sentences of public licence texts and notices, normalised, and their identifiers. Of the phrases that a
 # sentence contains all count, in this order.
 PHRASES: list[tuple[str, str]] = [
-    ("licensed under the apache license version 2 0", "apache2_notice"),
+    ("under the apache license version 2 0", "apache2_notice"),
+    ("under the terms of the apache license version 2 0", "apache2_notice"),
     ("you may not use this file except in compliance with the license", "apache2_comply"),
     ("you may obtain a copy of the license at", "obtain_copy"),
     ("distributed on an as is basis without warranties or conditions of any kind", "apache2_as_is"),
-    ("licensed under the gnu general public license version 3", "gpl3_notice"),
-    ("licensed under the gnu general public license version 2", "gpl2_notice"),
-    ("licensed under the gnu lesser general public license", "lgpl_notice"),
-    ("licensed under the gnu affero general public license", "agpl_notice"),
+    ("under the gnu general public license version 3", "gpl3_notice"),
+    ("under the gnu general public license version 2", "gpl2_notice"),
+    ("under the gnu lesser general public license", "lgpl_notice"),
+    ("under the gnu affero general public license", "agpl_notice"),
     ("under the terms of the gnu general public license as published by the free software foundation", "gpl_terms"),
     ("under the terms of the gnu lesser general public license as published by the free software foundation", "lgpl_terms"),
     ("under the terms of the gnu affero general public license as published by the free software foundation", "agpl_terms"),
@@ -39,16 +40,62 @@ PHRASES: list[tuple[str, str]] = [
     ("may be used to endorse or promote products derived from this software", "bsd_endorse"),
     ("this software is provided by the copyright holders and contributors as is", "bsd_as_is"),
     ("subject to the terms of the mozilla public license v 2 0", "mpl2_notice"),
-    ("licensed under the mit license", "mit_name"),
-    ("licensed under a creative commons attribution 4 0 international license", "cc_by4_notice"),
-    ("licensed under the creative commons attribution 4 0 international license", "cc_by4_notice"),
+    ("under the mozilla public license version 2 0", "mpl2_notice"),
+    ("under the mit license", "mit_name"),
+    ("under the mit licence", "mit_name"),
+    ("under the terms of the mit license", "mit_name"),
+    ("under the terms of the mit licence", "mit_name"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
     ("spdx license identifier mit", "spdx_mit"),
     ("spdx license identifier apache 2 0", "spdx_apache2"),
     ("spdx license identifier gpl 3 0", "spdx_gpl3"),
+    ("spdx license identifier mit or apache 2 0", "spdx_apache2"),
+    ("spdx license identifier apache 2 0 or mit", "spdx_mit"),
     ("all rights reserved", "all_rights"),
+    ("cc0 1 0", "cc0"),
+    ("has waived all copyright and related or neighboring rights to", "cc0"),
 ]
 
+# Creative Commons: code, the names of its conditions in the long form, and versions.
+_NC, _SA, _ND = ["noncommercial", "non commercial"], ["sharealike", "share alike"], ["noderivatives", "no derivatives", "noderivs"]
+CC_KINDS: dict[str, list[str]] = {
+    "by": [""],
+    "by nc": _NC,
+    "by sa": _SA,
+    "by nd": _ND,
+    "by nc sa": [f"{a} {b}" for a in _NC for b in _SA],
+    "by nc nd": [f"{a} {b}" for a in _NC for b in _ND],
+}
+CC_VERSIONS = ["4 0", "3 0", "2 5", "2 0"]
+CC: list[tuple[str, str]] = [(k, v) for v in CC_VERSIONS for k in CC_KINDS]
+
+
+def _cc_id(kind: str, version: str) -> str:
+    return f"cc_{kind}_{version}".replace(" ", "_")
+
+
+for _kind, _version in CC:
+    _long = [" ".join(f"creative commons attribution {c} {_version}".split()) for c in CC_KINDS[_kind]]
+    PHRASES += [(p, _cc_id(_kind, _version)) for p in (f"cc {_kind} {_version}", f"creative commons {_kind} {_version}", *_long)]
+
+#: SPDX names besides the three above. A name that another begins with is known in that one too, so rules take the longer first.
+SPDX = ["BSD-2-Clause", "BSD-3-Clause", "0BSD", "ISC", "MPL-2.0", "EPL-2.0", "BSL-1.0", "Zlib", "Unlicense", "GPL-2.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"]
+SPDX_LONGER = {
+    "MIT-0": "spdx_mit", "GPL-2.0-or-later": "spdx_gpl_2_0", "GPL-3.0-or-later": "spdx_gpl3", "LGPL-2.0-or-later": "spdx_lgpl_2_0",
+    "LGPL-2.1-or-later": "spdx_lgpl_2_1", "LGPL-3.0-or-later": "spdx_lgpl_3_0", "AGPL-3.0-or-later": "spdx_agpl_3_0",
+}
+
+
+def _spdx_words(name: str) -> str:
+    return name.lower().replace("-", " ").replace(".", " ")
+
+
+def _spdx_id(name: str) -> str:
+    return f"spdx_{_spdx_words(name)}".replace(" ", "_")
+
+
+PHRASES += [(f"spdx license identifier {_spdx_words(n)}", _spdx_id(n)) for n in [*SPDX, *SPDX_LONGER]]
+
 # Rules in order: a licence and the identifiers that must follow each other, others between them allowed.
 RULES: list[tuple[str, list[str]]] = [
     ("Apache-2.0", ["apache2_notice", "apache2_comply"]),
@@ -63,22 +110,26 @@ RULES: list[tuple[str, list[str]]] = [
     ("GPL-2.0-or-later", ["gpl_terms", "version2_later"]),
     ("GPL", ["gpl_terms"]),
     ("GPL-3.0", ["gpl3_notice"]),
-    ("GPL-3.0", ["spdx_gpl3"]),
     ("GPL-2.0", ["gpl2_notice"]),
     ("MIT", ["mit_grant", "mit_notice", "mit_as_is"]),
     ("MIT", ["mit_name"]),
-    ("MIT", ["spdx_mit"]),
     ("ISC", ["isc_grant"]),
     ("BSD-3-Clause", ["bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse"]),
     ("BSD-2-Clause", ["bsd_grant", "bsd_source", "bsd_binary"]),
     ("MPL-2.0", ["mpl2_notice"]),
-    ("CC-BY-4.0", ["cc_by4_notice"]),
+    *[(_cc_id(k, v).upper().replace("_", "-")[: -len(v)] + v.replace(" ", "."), [_cc_id(k, v)]) for k, v in CC],
+    ("CC0-1.0", ["cc0"]),
     ("Unlicense", ["unlicense"]),
     ("Proprietary", ["all_rights"]),
+    # after the rules above, so that hardly anything is left between a name and its longer form
+    *[(n, [short, _spdx_id(n)]) for n, short in SPDX_LONGER.items()],
+    ("MIT", ["spdx_mit"]),
+    ("GPL-3.0", ["spdx_gpl3"]),
+    *[(n, [_spdx_id(n)]) for n in SPDX],
 ]
 
 #: Every phrase has one of these, which are looked for before a sentence is normalised.
-HINT = "(?i)licens|permission|redistribution|copyright|warrant|free software|unencumbered|may be used to endorse|merchantab|all.rights|received.a.copy|provided.as.is|at.your.option"
+HINT = "(?i)licen[sc]|creative|cc0|cc[^A-Za-z0-9]+by|permission|redistribution|copyright|warrant|free software|unencumbered|may be used to endorse|merchantab|all.rights|received.a.copy|provided.as.is|at.your.option"
 #: Ends of sentences: a stop and space, or an empty line. A single line end is a space, so wrapped notices are whole.
 PARAGRAPH, STOP = r"[ \t\r]*\n[ \t\r]*\n[ \t\r\n]*", r"([.!?;])[ \t\r\n]+"
 MARK = "\x01"
