@@ -51,3 +51,36 @@ def test_every_licence_line_of_the_given_documents_is_found(spark, sf):
     want = {"Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "All rights reserved.": "Proprietary"}
     lines = [(r["doc_id"], want[w]) for r in docs.collect() for w in want if w in (r["text"] or "")]
     assert len(lines) == 21 and all(name in lic[i] for i, name in lines)
+
+
+GNU = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU {}General Public License as published by\nthe Free Software Foundation, either version {} of the License, or\n(at your option) any later version.\n"
+GRANT = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n"
+SOURCE = "1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n"
+BINARY = "2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\n"
+ENDORSE = "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n\n"
+BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"\nAND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.'
+MPL = """ * This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"""
+NOTICES = [
+    ('   Licensed under the Apache License, Version 2.0 (the "License");\n   you may not use this file except in compliance with the License.\n   You may obtain a copy of the License at\n\n       http://www.apache.org/licenses/LICENSE-2.0', "Apache-2.0"),
+    (GNU.format("Affero ", 3), "AGPL-3.0-or-later"),
+    (GNU.format("Lesser ", 3), "LGPL"),
+    (GNU.format("", 3), "GPL-3.0-or-later"),
+    (GNU.format("", 2), "GPL-2.0-or-later"),
+    ('Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction.\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND.', "MIT"),
+    ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", "ISC"),
+    (GRANT + SOURCE + BINARY + ENDORSE + BSD_END, "BSD-3-Clause"),
+    (GRANT + SOURCE + BINARY + BSD_END, "BSD-2-Clause"),
+    (MPL, "MPL-2.0"),
+    ("# This Source Code Form is subject to the terms of the Mozilla Public License,\n# V. 2.0.", "MPL-2.0"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.", ""),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-4.0"),
+    ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+    ("Copyright (c) 2020 Acme Inc. All rights reserved.", "Proprietary"),
+]
+
+
+def test_published_notices(spark):
+    assert found(spark, [t for t, _ in NOTICES]) == [lic for _, lic in NOTICES]
+    assert found(spark, [". A dot first. Chapter IV. Licensed under the MIT License. V. All rights reserved."]) == ["MIT,Proprietary"]
