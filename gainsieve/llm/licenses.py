@@ -128,8 +128,9 @@ RULES: list[tuple[str, list[str]]] = [
     *[(n, [_spdx_id(n)]) for n in SPDX],
 ]
 
-#: Every phrase has one of these, which are looked for before a sentence is normalised.
-HINT = "(?i)licen[sc]|creative|cc0|cc[^A-Za-z0-9]+by|permission|redistribution|copyright|warrant|free software|unencumbered|may be used to endorse|merchantab|all.rights|received.a.copy|provided.as.is|at.your.option"
+#: Every phrase has one of these, which are looked for before a sentence is normalised: single words, or words with any gap
+#: that normalising closes.
+HINT = "(?i)licen[sc]|permission|redistribution|copyright|warrant|unencumbered|endorse|reserved|received|creative|cc0|cc[^A-Za-z0-9]+by"
 #: Ends of sentences: a stop and space, or an empty line. A single line end is a space, so wrapped notices are whole. The
 #: word 'v.' ends none ('Mozilla Public License, v. 2.0').
 PARAGRAPH, STOP = r"[ \t\r]*\n[ \t\r]*\n[ \t\r\n]*", r"([!?;]|(?:^|[^vV])\.|[A-Za-z0-9][vV]\.)[ \t\r\n]+"

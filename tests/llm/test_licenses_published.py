@@ -1,8 +1,10 @@
 """Published notices and the licences expected of them, written down apart from the operator's tables."""
 
+import re
+
 import pytest
 
-from gainsieve.llm.licenses import scan
+from gainsieve.llm.licenses import HINT, PHRASES, scan
 
 
 def found(spark, texts: list[str]) -> list[str]:
@@ -84,3 +86,24 @@ NOTICES = [
 def test_published_notices(spark):
     assert found(spark, [t for t, _ in NOTICES]) == [lic for _, lic in NOTICES]
     assert found(spark, [". A dot first. Chapter IV. Licensed under the MIT License. V. All rights reserved."]) == ["MIT,Proprietary"]
+
+
+WRAPPED = [
+    ("Acme Inc. All\nrights reserved.", "all_rights"),
+    ("All  rights\treserved.", "all_rights"),
+    ("# All\n# rights\n# reserved", "all_rights"),
+    ("The name may be used\n * to endorse or promote products derived from this software.", "bsd_endorse"),
+    ("You should have received\n# a copy of the GNU manual.", "gnu_copy"),
+    ("This is free  and unencumbered\nsoftware released into\nthe public domain.", "unlicense"),
+    ("CC\n  BY 4.0", "cc_by_4_0"),
+]
+
+
+def test_wrapped_lines_are_hinted(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(WRAPPED)], "doc_id long, text string")
+    assert [r["sentence_ids"] for r in scan(rows).orderBy("doc_id").collect()] == [i for _, i in WRAPPED]
+
+
+@pytest.mark.parametrize("gap", [" ", "  ", "\n * ", "-", ", ", "é"])
+def test_every_phrase_is_hinted_with_any_gap(gap):
+    assert [p for p, _ in PHRASES if not re.search(HINT, p.replace(" ", gap))] == []
