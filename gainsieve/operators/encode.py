@@ -180,11 +180,18 @@ def fit_numeric(
         raise ValueError(f"infinite values in feature columns {infinite}; replace or drop them first")
     if not columns:
         return []
-    attach_values(df, profile)  # makes small distinct counts exact, large ones cannot bind the clamp
+    attach_values(df, profile)  # makes small distinct counts exact
     if bins == -1:
         chosen = {r["col"]: r["nb"] for r in choose_bins(auto_bin_scores(df, columns, y, n_classes, ws, profile, **options)).collect()}
     else:
         chosen = {c: bins for c in columns}
+    # a large count is a sketch's, some hundredths off: where it may bind the clamp, the values are counted
+    near = [c for c in columns if "values" not in profile[c] and profile[c]["distinct"] < 2 * (chosen[c] + 1)]
+    if near:
+        # + 0.0: the two zeros are one value
+        counted = exact_distinct(df.select(*[(F.col(f"`{c}`").cast("double") + F.lit(0.0)).alias(c) for c in near]), near)
+        for r in counted.collect():
+            profile[r["col"]]["distinct"] = r["n_distinct"]
     chosen = {c: clamp_bins(chosen[c], profile[c]["distinct"]) for c in columns}
     edges = quantile_edges(df, columns, chosen, ws, profile, **options)
     return [
