@@ -6,6 +6,7 @@ Each stage is a function (spark, docs, sf_dir) whose result is written as Parque
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gainsieve.llm import decontaminate, lines, mixing, quality, simhash
 from gainsieve.llm.common import read
@@ -33,8 +34,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for each document left, with its size and the words that the mix takes of it."""
-    return mixing.mix(docs)
+    """The mix: a row for each pass of a document, with its text as far as the mix takes it; n_chars is that of this text.
+
+    A document that the mix takes nothing of has a row with taken 0 and no text, which run() drops.
+    """
+    mix = mixing.served(docs)
+    cut = (F.col("taken") < F.col("size")) | (F.col("taken") == 0)
+    return mix.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
 
 
 STAGES = [
@@ -50,9 +56,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to the documents; what each stage returns is written as a table and read again."""
+    """Apply all stages to the documents; what each stage returns is written as a table and read again. Returns the mix."""
     ws = Workspace(spark)
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = ws.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return docs
+    return docs.where("taken > 0")

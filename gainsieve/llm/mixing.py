@@ -68,7 +68,7 @@ def source_targets(sizes: DataFrame, ws: Workspace, weights: tuple[int, ...] = W
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET,
-    max_repeats: int = MAX_REPEATS, seed: str = SEED,
+    max_repeats: int = MAX_REPEATS, seed: str = SEED, keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per input row: doc_id, size, source, source_size, weight, target, taken and finish (virtual time at which its
     first copy is served).
@@ -76,11 +76,13 @@ def mix(
     ``taken`` counts words with repeats: whole passes, and a part of the document in service when the budget ends. Null and
     empty texts have no words and are taken zero times; a null source is a source of its own, the last. Rows that repeat an
     id are served one after the other, and a null id is served before all others. Without any words all targets are zero.
+    Columns named in ``keep`` come along in the struct ``kept``.
     """
     ws = Workspace(docs.sparkSession)
+    kept = [F.struct(*keep).alias("kept")] if keep else []
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
     rows = ws.table(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key"))
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key"), *kept)
         .withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS)),
         "sizes",
     )
@@ -89,7 +91,8 @@ def mix(
     before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = buckets.select("source", "bucket", before.alias("offset"))  # at most 16 ** BUCKET_DIGITS rows of a source
     named = offsets.join(targets, offsets["source"].eqNullSafe(targets["source"])).select(offsets["source"].alias("s"), F.col("bucket").alias("b"), "offset", "source_size", "weight", "target")
-    inner = Window.partitionBy("source", "bucket").orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, 0)
+    ties = [F.xxhash64("kept")] if keep else []
+    inner = Window.partitionBy("source", "bucket").orderBy("key", F.col("doc_id").asc_nulls_first(), "size", *ties).rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("upto", F.sum("size").over(inner))
     end = F.col("offset") + F.col("upto")
     passes = [F.greatest(F.lit(0), F.least(F.col("size"), F.round("target").cast("long") - k * F.col("source_size") - end + F.col("size"))) for k in range(max_repeats)]
@@ -97,10 +100,32 @@ def mix(
     for p in passes[1:]:
         taken = taken + p
     return placed.join(named, placed["source"].eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).select(
-        "doc_id", "size", "source", "source_size", "weight", "target", taken.cast("long").alias("taken"), (end / F.col("weight")).alias("finish")
+        "doc_id", "size", "source", "source_size", "weight", "target", taken.cast("long").alias("taken"), (end / F.col("weight")).alias("finish"), *(["kept"] if keep else [])
     )
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """text up to its n-th word's end."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), n.cast("int")), "")
+
+
+def served(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """docs as the mix takes them: a row for each pass of a document, with pass (from 0), taken (words of this pass) and the
+    pass's text, which is cut if the budget ends in it.
+
+    A document that the mix takes nothing of has one row, with taken 0 and an empty text.
+    """
+    rest = [c for c in docs.columns if c not in ("doc_id", "source", "source_size", "weight", "target", "size", "pass", "taken")]
+    mixed = mix(docs, text_col=text_col, keep=tuple(rest), **options)
+    last = F.when(F.col("taken") > 0, F.ceil(F.col("taken") / F.col("size")).cast("int") - 1).otherwise(0)
+    passes = mixed.withColumn("pass", F.explode(F.sequence(F.lit(0), last)))
+    words = F.least(F.col("size"), F.col("taken") - F.col("pass") * F.col("size"))
+    text = F.col(f"kept.`{text_col}`")
+    cut = F.when(F.col("taken") == 0, F.lit("")).when(F.col("taken") < F.col("size"), first_words(text, F.col("taken"))).otherwise(text)
+    own = passes.withColumn("taken", words).withColumn(text_col, cut)
+    return own.select("doc_id", *[c if c == text_col else F.col(f"kept.`{c}`").alias(c) for c in rest], "source", "source_size", "weight", "target", "size", "pass", "taken")
+
+
 MIX_SQL = f"""
 WITH rows AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
