@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gainsieve.llm import ann, decontaminate, licenses, lines, mixing, pii, quality, simhash, substrings, warc
+from gainsieve.llm import ann, audit, decontaminate, licenses, lines, mixing, pii, quality, simhash, substrings, warc
 from gainsieve.llm.common import read
 
 
@@ -50,9 +50,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(read(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc, op2_line_dedup, op3_decontamination, op4_licenses, op5_ann, op6_substrings, op7_mixing, op8_pii, op9_quality, op10_simhash)
+    for f in (op1_warc, op2_line_dedup, op3_decontamination, op4_licenses, op5_ann, op6_substrings, op7_mixing, op8_pii, op9_quality, op10_simhash, op11_filter_audit)
 }
 ORACLE: dict[str, str] = {
     "op1_warc": warc.ROUND_TRIP_SQL,
@@ -60,4 +64,5 @@ ORACLE: dict[str, str] = {
     "op3_decontamination": decontaminate.CONTAMINATION_SQL,
     "op4_licenses": licenses.LICENSE_SQL,
     "op7_mixing": mixing.MIX_SQL,
+    "op11_filter_audit": audit.AUDIT_SQL,
 }
