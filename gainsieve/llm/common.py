@@ -121,3 +121,20 @@ def list_column(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa
     ends = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=ends[1:])
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, kind))
+
+
+def bitmap_of(rows: DataFrame, column: str, bits: int) -> np.ndarray:
+    """Bytes whose bit i says whether a value of the long column is i modulo 2 ** bits (15 or more); its size does not depend on the rows."""
+    at = (F.pmod(column, F.lit(1 << bits)) + 1).alias("at")
+    parts = rows.select(at).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for row in parts.toLocalIterator():
+        part = np.frombuffer(row["bits"], np.uint8)
+        out[(row["bucket"] - 1) * 4096 :][: len(part)] = part
+    return out
+
+
+def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which unsigned values bitmap_of may have seen: all that it has, and few others while it is mostly empty."""
+    low = values & np.uint64(len(bits) * 8 - 1)
+    return (bits[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8) & 1).astype(bool)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gainsieve.llm import ann, audit, decontaminate, licenses, lines, mixing, pii, quality, simhash, substrings, warc
+from gainsieve.llm import ann, audit, decontaminate, licenses, lines, mixing, pii, quality, ranked, simhash, substrings, warc
 from gainsieve.llm.common import read
 
 
@@ -54,9 +54,13 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc, op2_line_dedup, op3_decontamination, op4_licenses, op5_ann, op6_substrings, op7_mixing, op8_pii, op9_quality, op10_simhash, op11_filter_audit)
+    for f in (op1_warc, op2_line_dedup, op3_decontamination, op4_licenses, op5_ann, op6_substrings, op7_mixing, op8_pii, op9_quality, op10_simhash, op11_filter_audit, op12_ranked_search)
 }
 ORACLE: dict[str, str] = {
     "op1_warc": warc.ROUND_TRIP_SQL,
@@ -65,4 +69,5 @@ ORACLE: dict[str, str] = {
     "op4_licenses": licenses.LICENSE_SQL,
     "op7_mixing": mixing.MIX_SQL,
     "op11_filter_audit": audit.AUDIT_SQL,
+    "op12_ranked_search": ranked.SEARCH_SQL,
 }
