@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gainsieve.llm import ann, audit, decontaminate, licenses, lines, mixing, pii, quality, ranked, simhash, substrings, warc
+from gainsieve.llm import ann, audit, decontaminate, langid, licenses, lines, mixing, pii, quality, ranked, simhash, substrings, warc
 from gainsieve.llm.common import read
 
 
@@ -58,9 +58,16 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc, op2_line_dedup, op3_decontamination, op4_licenses, op5_ann, op6_substrings, op7_mixing, op8_pii, op9_quality, op10_simhash, op11_filter_audit, op12_ranked_search)
+    for f in (
+        op1_warc, op2_line_dedup, op3_decontamination, op4_licenses, op5_ann, op6_substrings, op7_mixing, op8_pii, op9_quality, op10_simhash,
+        op11_filter_audit, op12_ranked_search, op13_language_id,
+    )
 }
 ORACLE: dict[str, str] = {
     "op1_warc": warc.ROUND_TRIP_SQL,
