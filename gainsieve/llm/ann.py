@@ -5,11 +5,14 @@ small classifier learns, from the vector alone, in which parts a vector's neighb
 probable part, and routes each query to its several most probable parts, whose members are scored exactly. How many parts
 are searched is measured on the sample: as many as the wanted recall needs there.
 
-Only the sample's graph and the classifier are made on the driver. Vectors are placed, routed and scored in tasks: a part is
-split into pieces of bounded size, as are the queries sent to it, and each pair of pieces is one group. A query's most probable
-part is searched first: its ``k``-th score there bounds the answer from below, so the other parts return only rows that reach
-it, and what they return does not grow with the number of parts and pieces. Of equal vectors only
-the ``k + 1`` smallest ids can be among any query's ``k`` nearest, so the others are left out before the shuffle.
+Only the sample's graph and the classifier are made on the driver, so there are at most a sixteenth as many parts as sampled
+vectors; up to there their number follows that of the vectors. Vectors are placed, routed and scored in tasks. A query's parts
+are searched in rounds, the most probable one first, then three, twelve and so on: each round searches three times as many as
+all before it. The ``k``-th score of all rounds before bounds the answer from below, and a part returns only rows that reach
+it. That loses nothing, and what a query gets back grows with the logarithm of the number of parts. A part of very many vectors
+is split into pieces of bounded size, as are the queries sent to it; a pair of pieces is one group, in which the queries are
+taken block by block. Of equal vectors only the ``k + 1`` smallest ids can be among any query's ``k`` nearest, so the others are
+left out before the shuffle.
 """
 
 from __future__ import annotations
@@ -26,13 +29,13 @@ from gainsieve.sources.workspace import Workspace
 
 #: Distinct vectors that the partitions are learnt from, at most: those with the least hash.
 SAMPLE = 6_000
-#: Distinct vectors in a part, about, and the most parts.
-PART, MOST_PARTS = 800, 64
+#: Distinct vectors in a part, about, and the least number of sampled vectors for a part.
+PART, SAMPLED_PER_PART = 800, 16
 NEIGHBOURS = 10
 #: Share of the sample's neighbours that the parts searched must hold.
 WANTED = 0.95
-#: Vectors and queries in one group, about.
-PIECE, QUERY_PIECE = 4096, 1024
+#: Vectors and queries in one group, about; all queries of a piece go to each piece of vectors.
+PIECE, QUERY_PIECE = 16_384, 32_768
 
 
 def neighbour_graph(x: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
@@ -138,7 +141,7 @@ def train_router(x: np.ndarray, target: np.ndarray, hidden: int = 128, epochs: i
 
 
 def learn(x: np.ndarray, parts: int, wanted: float = WANTED, seed: int = 0) -> tuple[Router | None, int]:
-    """A router over at most ``parts`` parts, and how many of a query's parts to search. Too few rows: no router, one part."""
+    """A router over ``parts`` parts, and how many of a query's parts to search. Too few rows: no router, one part with all."""
     if parts < 2 or len(x) < 4 * parts:
         return None, 1
     # a fifth of the rows are not learnt from; they tell how many parts are needed
@@ -199,7 +202,8 @@ def nearest(
 
     Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do null ids; of vectors of
     several lengths those of the commonest (of equally common ones the least) take part. Repeated rows count once, and an id
-    with several vectors counts with the least. Scores are sums in double precision in order of the components.
+    with several vectors counts with the least. Scores are sums in double precision in order of the components; one that overflows is
+    infinite and ranks so, one that is no number is left out. Ties at the k-th place go to the smaller id. Other columns are ignored.
     """
     spark, inf = rows.sparkSession, float("inf")
     ws = Workspace(spark)
@@ -210,48 +214,69 @@ def nearest(
     kept = ws.table(vectors.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k + 1), "distinct")
     n = kept.where("copy = 1").count()
     drawn = kept.where("copy = 1").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()
-    parts = min(MOST_PARTS, max(4, 1 << max(0, int(np.ceil(np.log2(n / part)))))) if n > 1 else 1
+    parts = parts_for(n, len(drawn), part)
     model, count = learn(_matrix(drawn["v"]), parts, wanted)
     router = spark.sparkContext.broadcast(model)
 
     placed = ws.table(_place(kept, router, 1, 1, "h"), "placed")
     sent = ws.table(_place(vectors.where(F.col("vec_id") % every == 0), router, count, 2, "h"), "sent")
-    def score(queries: pa.Table, points: pa.Table) -> pa.Table:
-        q_id, p_id = queries["vec_id"].to_numpy(), points["vec_id"].to_numpy()
-        out: list[tuple] = []
+    pieces = placed.groupBy("part").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("cs"))  # at most as many rows as parts
+    found, bounds, lo = None, None, 0
+    while found is None or lo < count:
+        hi = max(1, 4 * lo)
+        asked = sent.where(F.col("nth").between(lo, hi - 1))
+        asked = asked.join(bounds, "vec_id", "left").withColumn("bound", F.coalesce("bound", F.lit(-inf))) if bounds else asked.withColumn("bound", F.lit(-inf))
+        more = _search(asked, placed, pieces, k)
+        found = ws.table(_best(found.drop("rank").unionAll(more) if found else more, k), f"round-{lo}")
+        bounds = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
+        lo = hi
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def parts_for(n: int, sampled: int, part: int = PART) -> int:
+    """A power of two: about part of the n vectors in each, 4 at least, and no more than the sample can tell apart."""
+    if n < 2:
+        return 1
+    most = 1 << max(0, (sampled // SAMPLED_PER_PART).bit_length() - 1)
+    return min(max(4, most), max(4, 1 << int(np.ceil(np.log2(n / part))) if n > part else 1))
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score, rank of the k nearest rows of each query."""
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.select("query_id", "vec_id", "score").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def _search(queries: DataFrame, placed: DataFrame, pieces: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score: of each pair of pieces the k nearest of each query (vec_id, v, part, h, bound) that reach its bound."""
+
+    def score(asked: pa.Table, points: pa.Table) -> pa.Table:
+        q_id, p_id = asked["vec_id"].to_numpy(), points["vec_id"].to_numpy()
+        ids, rows, scores = [], [], []
         if len(q_id) and len(p_id):
-            q, p, bound = _matrix(queries["v"]), _matrix(points["v"]), queries["bound"].to_numpy()
+            q, p, bound = _matrix(asked["v"]), _matrix(points["v"]), asked["bound"].to_numpy()
             order = np.argsort(p_id, kind="stable")
             p_id, p = p_id[order], p[order]
             for lo in range(0, len(q), 256):
                 s = q[lo : lo + 256] @ p.T
-                for i in range(len(s)):
-                    row = np.where(p_id == q_id[lo + i], -np.inf, s[i])
+                for i, row in enumerate(s, lo):
+                    out = (p_id == q_id[i]) | np.isnan(row)
+                    row[out] = -np.inf
                     # near ties of the matrix product stay in, and are settled by the exact sums
-                    edge = max(bound[lo + i], np.partition(row, -k)[-k] if len(row) > k else -np.inf)
-                    some = np.flatnonzero((row >= edge - 1e-9 * (1 + abs(edge) if np.isfinite(edge) else 1)) & np.isfinite(row))
-                    exact = np.cumsum(q[lo + i] * p[some], axis=1)[:, -1] if len(some) else np.zeros(0)
+                    edge = max(bound[i], np.partition(row, -k)[-k] if len(row) > k else -np.inf)
+                    some = np.flatnonzero(row >= (edge - 1e-9 * (1 + abs(edge)) if np.isfinite(edge) else edge))
+                    some = some[~out[some]]
+                    exact = np.cumsum(q[i] * p[some], axis=1)[:, -1] if len(some) else np.zeros(0)
                     best = np.lexsort((p_id[some], -exact))[:k]
-                    best = best[exact[best] >= bound[lo + i]]
-                    out += zip([q_id[lo + i]] * len(best), p_id[some][best], exact[best])
-        columns = list(zip(*out)) if out else [(), (), ()]
-        return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
+                    best = best[exact[best] >= bound[i]]
+                    ids.append(np.full(len(best), q_id[i]))
+                    rows.append(p_id[some[best]])
+                    scores.append(exact[best])
+        flat = lambda x, kind: np.concatenate([np.zeros(0, kind), *x])
+        return pa.table({"query_id": flat(ids, np.int64), "vec_id": flat(rows, np.int64), "score": flat(scores, np.float64)})
 
     keys = ["part", "q", "c"]
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    counts = placed.groupBy("part").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("cs"))
-
-    def search(queries: DataFrame) -> DataFrame:
-        """query_id, rank, vec_id, score of the k nearest in the parts of queries (vec_id, v, part, h, bound)."""
-        # at most as many rows as parts
-        pieces = counts.join(queries.groupBy("part").agg(F.ceil(F.count("*") / QUERY_PIECE).cast("int").alias("qs")), "part")
-        left = queries.join(pieces, "part").select("part", F.pmod("h", "qs").cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("cs") - 1)).alias("c"), "vec_id", "v", "bound")
-        right = placed.join(pieces, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q"), F.pmod("h", "cs").cast("int").alias("c"), "vec_id", "v")
-        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, "query_id long, vec_id long, score double")
-        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-    first = ws.table(search(sent.where("nth = 0").withColumn("bound", F.lit(-inf))), "first")
-    bounds = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
-    others = search(sent.where("nth > 0").join(bounds, "vec_id", "left").withColumn("bound", F.coalesce("bound", F.lit(-inf))))
-    found = first.union(others).drop("rank")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    counts = pieces.join(queries.groupBy("part").agg(F.ceil(F.count("*") / QUERY_PIECE).cast("int").alias("qs")), "part")
+    left = queries.join(counts, "part").select("part", F.pmod("h", "qs").cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("cs") - 1)).alias("c"), "vec_id", "v", "bound")
+    right = placed.join(counts, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q"), F.pmod("h", "cs").cast("int").alias("c"), "vec_id", "v")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, "query_id long, vec_id long, score double")

@@ -64,3 +64,33 @@ def test_parts_are_balanced_and_keep_neighbours():
     size = np.bincount(label, minlength=8)
     assert size.min() > 0 and size.max() <= 1.1 * 250 + 1
     assert (label[graph] == label[:, None]).mean() > 0.6
+
+
+def test_parts_follow_the_vectors_as_far_as_the_sample_tells_them_apart():
+    assert [ann.parts_for(n, min(n, 6000)) for n in (0, 1, 2, 500, 3200, 51_000, 200_000, 10**9)] == [1, 1, 4, 4, 4, 64, 256, 256]
+    assert ann.parts_for(10**9, 100_000) == 4096
+
+
+def test_rows_returned_grow_with_the_logarithm_of_the_parts(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(6000, 16)).astype(np.float32)  # no structure: nearly all parts are searched
+    rows = [(i, x[i].tolist()) for i in range(6000)]
+    returned, search = [], ann._search
+
+    def counted(queries, placed, pieces, k):
+        out = search(queries, placed, pieces, k).cache()
+        returned.append((queries.select("part").distinct().count(), out.count()))
+        return out
+
+    monkeypatch.setattr(ann, "_search", counted)
+    got = ann.nearest(frame(spark, rows), sample=2000, part=100, wanted=0.99).collect()
+    want = brute(dict(rows), 20, 20)
+    assert len(returned) >= 4 and sum(n for _, n in returned) <= 20 * 300 * (2 + 3 * len(returned))
+    hits = sum(len({r[2:] for r in want[q]} & {tuple(r)[2:] for r in got if r[0] == q}) for q in want)
+    assert hits / (20 * len(want)) >= 0.9
+
+
+def test_an_infinite_product_ranks_first(spark):
+    rows = [(0, [1e200, 1.0]), (1, [1e200, 0.0]), (2, [1.0, 1.0]), (3, [-1e200, 0.0])]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(docs).orderBy("rank").collect()] == [(1, 1, float("inf")), (2, 2, 1e200 + 1.0), (3, 3, float("-inf"))]
