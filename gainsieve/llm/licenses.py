@@ -3,7 +3,9 @@
 A text is cut into sentences, sentences are normalised (lower case, runs of anything but letters and digits become one
 space), and a sentence that contains a known phrase gets that phrase's identifier. The identifiers in order of the text are
 matched against the rules in order; what a rule matches is used up, so a general rule sees only what the specific ones
-before it left. Everything is one expression for each row: no shuffle, and only DataFrame functions.
+before it left. Everything is one expression for each row: no shuffle, and only DataFrame functions. Texts that hold none of a
+few words are not cut into sentences at all, and a rule is matched in one pass over the identifiers without going back, so the
+time for a text grows with its length.
 """
 
 from __future__ import annotations
@@ -131,6 +133,8 @@ RULES: list[tuple[str, list[str]]] = [
 #: Every phrase has one of these, which are looked for before a sentence is normalised: single words, or words with any gap
 #: that normalising closes.
 HINT = "(?i)licen[sc]|permission|redistribution|copyright|warrant|unencumbered|endorse|reserved|received|creative|cc0|cc[^A-Za-z0-9]+by"
+#: A text in which HINT matches has one of these in lower case.
+HINT_WORDS = ["licens", "licenc", "permission", "redistribution", "copyright", "warrant", "unencumbered", "endorse", "reserved", "received", "creative", "cc"]
 #: Ends of sentences: a stop and space, or an empty line. A single line end is a space, so wrapped notices are whole. The
 #: word 'v.' ends none ('Mozilla Public License, v. 2.0').
 PARAGRAPH, STOP = r"[ \t\r]*\n[ \t\r]*\n[ \t\r\n]*", r"([!?;]|(?:^|[^vV])\.|[A-Za-z0-9][vV]\.)[ \t\r\n]+"
@@ -154,8 +158,20 @@ def sentence_ids(text: Column) -> Column:
     return F.flatten(F.transform(padded, lambda s: F.transform(F.filter(known, lambda k: F.contains(s, F.concat(F.lit(" "), k["phrase"], F.lit(" ")))), lambda k: k["id"])))
 
 
+# Identifiers stand in a string with a comma on each side of every one (",a,,b,"), so neighbouring matches share none.
+
+
 def _pattern(ids: list[str]) -> str:
-    return "," + ",(?:[a-z0-9_]+,)*?".join(ids) + ","
+    """The first identifier, and the nearest others in order, with anything between."""
+    return ".*?".join(f",{i}," for i in ids)
+
+
+def _one_pass(ids: list[str]) -> str:
+    """As _pattern, for an engine that backtracks: what is found is kept, and where the others do not follow the first, they follow
+    no later one either, so all the rest is taken as group 1, which replaces itself."""
+    if len(ids) == 1:
+        return f",{ids[0]},"
+    return f",{ids[0]}," + "".join(f"(?>.*?,{i},)" for i in ids[1:]) + f"|(,{ids[0]},.*)"
 
 
 def matched(df: DataFrame, ids: str, used: list[tuple[str, list[str]]] = RULES) -> DataFrame:
@@ -163,16 +179,16 @@ def matched(df: DataFrame, ids: str, used: list[tuple[str, list[str]]] = RULES)
 
     Rules are applied one after the other to a string of the identifiers; a rule takes away all that it matches.
     """
-    # a comma on each side of every identifier, so that neighbouring matches do not share one
-    rest = F.concat(F.lit(","), F.array_join(ids, ","), F.lit(","))
+    rest = F.concat(F.lit(","), F.array_join(ids, ",,"), F.lit(","))
     zero = F.struct(rest.alias("rest"), F.array().cast("array<string>").alias("found"))
-    rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(_pattern(p)).alias("pattern")) for n, p in used])
+    rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(f",{p[0]},").alias("first"), F.lit(_one_pass(p)).alias("pattern"), F.lit("$1" if len(p) > 1 else "").alias("left")) for n, p in used])
 
     def step(state: Column, rule: Column) -> Column:
-        hit = F.regexp_like(state["rest"], rule["pattern"])
-        return F.when(
-            hit, F.struct(F.regexp_replace(state["rest"], rule["pattern"], F.lit(",")).alias("rest"), F.array_union(state["found"], F.array(rule["name"])).alias("found"))
-        ).otherwise(state)
+        # bound to a name by a list of one, else the replacement would be made twice
+        after = F.transform(F.array(F.regexp_replace(state["rest"], rule["pattern"], rule["left"])), lambda r: F.when(
+            r != state["rest"], F.struct(r.alias("rest"), F.array_union(state["found"], F.array(rule["name"])).alias("found"))
+        ).otherwise(state))[0]
+        return F.when(F.contains(state["rest"], rule["first"]), after).otherwise(state)
 
     none = F.array().cast("array<string>")
     return df.withColumn("_licenses", F.when(F.size(ids) > 0, F.aggregate(rules, zero, step)["found"]).otherwise(none))
@@ -181,10 +197,16 @@ def matched(df: DataFrame, ids: str, used: list[tuple[str, list[str]]] = RULES)
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_known (known sentences), sentence_ids and licenses (comma-joined, empty if none).
 
-    Null and empty texts have no sentence and no licence. Whole texts are scanned; the same notice twice is two identifiers
-    and one licence. Repeated rows and null ids are rows like any other; other columns are ignored.
+    Null and empty texts have no sentence and no licence. Whole texts of any length are scanned; the same notice twice is two
+    identifiers and one licence. Nothing is compared between rows, so there are no ties; repeated rows and null ids are rows like
+    any other, an empty table gives none, and other columns are ignored.
     """
-    ids = docs.select(F.col(id_col).alias("doc_id"), sentence_ids(F.col(text_col)).alias("_ids"))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("low", F.lower("text"))
+    hinted = F.lit(False)
+    for word in HINT_WORDS:
+        hinted = hinted | F.contains("low", F.lit(word))
+    none = F.array().cast("array<string>")
+    ids = own.select("doc_id", "text", hinted.alias("hinted")).select("doc_id", F.when(F.col("hinted"), sentence_ids(F.col("text"))).otherwise(none).alias("_ids"))
     return matched(ids, "_ids").select(
         "doc_id", F.size("_ids").cast("long").alias("n_known"), F.array_join("_ids", ",").alias("sentence_ids"), F.array_join("_licenses", ",").alias("licenses")
     )
@@ -197,7 +219,7 @@ def _sql() -> str:
     for k, (name, ids) in enumerate(RULES, 1):
         p = quote(_pattern(ids))
         steps.append(
-            f"r{k} AS (SELECT doc_id, ids, regexp_replace(rest, {p}, ',', 'g') AS rest, CASE WHEN regexp_matches(rest, {p}) AND NOT list_contains(found, {quote(name)})"
+            f"r{k} AS (SELECT doc_id, ids, regexp_replace(rest, {p}, '', 'g') AS rest, CASE WHEN regexp_matches(rest, {p}) AND NOT list_contains(found, {quote(name)})"
             f" THEN list_append(found, {quote(name)}) ELSE found END AS found FROM r{k - 1})"
         )
         last = f"r{k}"
@@ -209,7 +231,7 @@ WITH s AS (
 ), i AS (
   SELECT doc_id, flatten(list_transform(padded, lambda x: list_transform(list_filter([{known}], lambda k: contains(x, ' ' || k.phrase || ' ')), lambda k: k.id))) AS ids FROM n
 ), r0 AS (
-  SELECT doc_id, ids, ',' || array_to_string(ids, ',') || ',' AS rest, []::VARCHAR[] AS found FROM i
+  SELECT doc_id, ids, ',' || array_to_string(ids, ',,') || ',' AS rest, []::VARCHAR[] AS found FROM i
 ), {', '.join(steps)}
 SELECT doc_id, len(ids)::BIGINT AS n_known, array_to_string(ids, ',') AS sentence_ids, array_to_string(found, ',') AS licenses FROM {last}
 """

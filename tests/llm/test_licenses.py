@@ -38,3 +38,28 @@ def test_scan(spark):
 def test_every_rule_is_made_of_known_sentences():
     ids = {i for _, i in PHRASES}
     assert all(set(p) <= ids for _, p in RULES)
+
+
+GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software."
+RESERVED = "All rights reserved."
+AS_IS = 'The software is provided "as is", without warranty of any kind.'
+NOTICE = "The above copyright notice and this permission notice shall be included in all copies."
+
+
+def test_very_many_known_sentences(spark):
+    cases = {
+        1: [GRANT] + [RESERVED] * 200_000,
+        2: [GRANT, RESERVED] * 100_000,
+        3: [GRANT, NOTICE] * 60_000 + [AS_IS],
+        4: [GRANT, NOTICE, AS_IS] * 40_000,
+    }
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in cases.items()], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r for r in scan(docs).collect()}
+    assert {i: r["n_known"] for i, r in got.items()} == {i: len(x) for i, x in cases.items()}
+    assert {i: r["licenses"] for i, r in got.items()} == {1: "Proprietary", 2: "Proprietary", 3: "MIT", 4: "MIT"}
+
+
+def test_neighbouring_notices_are_both_used_up(spark):
+    gpl = "Use it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version. "
+    docs = spark.createDataFrame([(1, gpl), (2, gpl * 2), (3, gpl * 3)], "doc_id long, text string")
+    assert {r["licenses"] for r in scan(docs).collect()} == {"GPL-3.0-or-later"}
