@@ -44,37 +44,45 @@ def boilerplate(docs: DataFrame, ws: Workspace, text_col: str = "text", site_col
     return spread.where(F.col("sites") > high).select("h1", "h2").union(exact.where(F.col("sites") >= min_sites).select("h1", "h2"))
 
 
-def without_boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """docs with its text column replaced by the text without boilerplate lines, and _n_lines and _n_removed.
+def unused(columns: list[str], name: str) -> str:
+    """name, with underscores added until no column (in any case) begins so."""
+    while any(c.lower().startswith(name.lower()) for c in columns):
+        name = f"_{name}"
+    return name
+
+
+def without_boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> tuple[DataFrame, Column]:
+    """docs with its text column replaced by the text without boilerplate lines, and one more column; and that column, a struct of
+    n_lines and n_removed.
 
     A null text stays null, an empty one empty (one empty line, never removed). Rows that repeat are treated alike, as
-    removal depends on the text alone. All other columns stay as they are.
+    removal depends on the text alone; texts of any length are cut whole, and as lines are counted, not ranked, there are no
+    ties. All other columns, whatever their names, stay as they are.
     """
     ws = Workspace(docs.sparkSession)
     bad = ws.table(boilerplate(docs, ws, text_col, site_col, min_sites), "boilerplate")
-    keyed = docs.withColumns(dict(zip(("_k1", "_k2"), text_key(F.col(text_col)))))
-    lines = keyed.select("_k1", "_k2", F.posexplode(_lines(F.col(text_col))).alias("_at", "_line")).where(F.trim("_line") != "")
-    found = lines.select("_k1", "_k2", "_at", *_line_key(F.col("_line"))).join(bad, ["h1", "h2"], "left_semi")
+    name = unused(docs.columns, "_line_dedup")
+    key, places = f"{name}_key", f"{name}_places"
+    keyed = docs.withColumn(name, F.struct(*text_key(F.col(text_col))))
+    lines = keyed.select(F.col(name).alias("key"), F.posexplode(_lines(F.col(text_col))).alias("at", "line")).where(F.trim("line") != "")
+    found = lines.select("key", "at", *_line_key(F.col("line"))).join(bad, ["h1", "h2"], "left_semi")
     # written, so that the join below has bare shuffles on both sides: then Spark can split the key of a text with many copies
-    remove = ws.table(found.groupBy("_k1", "_k2").agg(F.collect_set("_at").alias("_remove")), "places")
+    remove = ws.table(found.groupBy(F.col("key").alias(key)).agg(F.collect_set("at").alias(places)), "places")
     own = _lines(F.col(text_col))
-    joined = keyed.join(remove, ["_k1", "_k2"], "left")
+    joined = keyed.join(remove, (F.col(f"{name}._k1") == F.col(f"{key}._k1")) & (F.col(f"{name}._k2") == F.col(f"{key}._k2")), "left")
     # a one-element list binds the lines to a name, else the text would be split again for each of them
-    places = lambda o: F.array_except(F.sequence(F.lit(0), F.size(o) - 1), F.col("_remove"))
-    kept = F.transform(F.array(own), lambda o: F.array_join(F.transform(places(o), lambda i: F.get(o, i)), "\n"))[0]
-    return joined.select(
-        *[F.when(F.col("_remove").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns],
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(own)).cast("long").alias("_n_lines"),
-        F.coalesce(F.size("_remove"), F.lit(0)).cast("long").alias("_n_removed"),
-    )
+    left = lambda o: F.array_except(F.sequence(F.lit(0), F.size(o) - 1), F.col(places))
+    kept = F.transform(F.array(own), lambda o: F.array_join(F.transform(left(o), lambda i: F.get(o, i)), "\n"))[0]
+    counts = F.struct(F.when(F.col(text_col).isNull(), 0).otherwise(F.size(own)).cast("long").alias("n_lines"), F.coalesce(F.size(places), F.lit(0)).cast("long").alias("n_removed"))
+    columns = [F.when(F.col(places).isNull() | F.col(c).isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    return joined.select(*columns, counts.alias(name)), F.col(name)
 
 
 def line_report(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """doc_id, n_lines, n_removed, n_chars (code points kept) and kept_sha256 (of the text without boilerplate lines; null text: empty)."""
     text = F.coalesce("text", F.lit(""))
-    return without_boilerplate(docs.select("doc_id", "text", "source"), min_sites=min_sites).select(
-        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("kept_sha256")
-    )
+    out, counts = without_boilerplate(docs.select("doc_id", "text", "source"), min_sites=min_sites)
+    return out.select("doc_id", counts["n_lines"].alias("n_lines"), counts["n_removed"].alias("n_removed"), F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("kept_sha256"))
 
 
 LINES_SQL = f"""
@@ -96,7 +104,7 @@ FROM kept k JOIN documents d USING (doc_id)
 
 def cleaned(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """docs without boilerplate lines, its n_chars (if there is one) renewed where lines went; no row is dropped."""
-    out = without_boilerplate(docs, min_sites=min_sites)
+    out, counts = without_boilerplate(docs, min_sites=min_sites)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+        out = out.withColumn("n_chars", F.when(counts["n_removed"] > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select([F.col(f"`{c}`") for c in docs.columns])

@@ -37,3 +37,11 @@ def test_lines_on_ten_sites_go(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert line_report(df).count() == cleaned(df).count() == 0
+
+
+def test_columns_with_the_names_of_helpers_stay(spark):
+    names = ["_k1", "_k2", "_remove", "_n_lines", "_n_removed", "_line_dedup", "_LINE_dedup_key", "at", "key", "h1", "n_removed", "a.b"]
+    df = spark.createDataFrame([(i, "both\n" + str(i), f"s{i}", *range(i, i + len(names))) for i in range(11)], ["doc_id", "text", "source", *names])
+    got = cleaned(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect())) == [(i, str(i), f"s{i}", *range(i, i + len(names))) for i in range(11)]
