@@ -1,18 +1,22 @@
 """SimHash near-duplicate groups: exact pairs of close fingerprints by vantage-point trees, then connected components.
 
 Fingerprints are made in Arrow batches. Equal ones are merged before anything else, so a group of exact copies, however
-large, is one node. Close pairs are found in a vantage-point forest: the 64 bits are cut into ``radius // slack + 1``
-blocks, so two fingerprints within ``radius`` bits differ in at most ``slack`` bits of some block, and each block has a
-tree whose metric is the Hamming distance within it. Vantage points come from a bounded sample; a node is cut at the
-median distance to its vantage point, a fingerprint has one home shard, and by the triangle bound it is also sent to
-every shard whose boundary is within ``slack`` of it. A shard goes on with the tree inside its task, over the block and
-then over all 64 bits, and compares leaves exactly. It returns a spanning forest of its pairs, never all of them;
-components are then found on Spark.
+large, is one node. Close pairs are found in a vantage-point forest. The 64 bits are cut into blocks, and there is a tree for
+each choice of some of them, whose metric is the Hamming distance within the chosen bits: two fingerprints within ``radius``
+bits differ in at most ``slack`` of the bits of some choice. Vantage points come from a bounded sample; a node is cut at the
+median distance to its vantage point, a fingerprint has one home shard, and by the triangle bound it is also sent to every
+shard whose boundary is within ``slack`` of it. With ``slack`` 0, the default, no boundary is that near: a fingerprint is sent
+once for each tree, five times in all, however many there are and however deep the trees. (With ``slack`` 1 and three trees a
+third of the fingerprints lie on each boundary, so copies would grow by a third for each level.) A shard goes on with the tree
+inside its task, first over the chosen bits and then over all 64 with the bound ``radius``, where queries near a boundary look
+on both sides of it, and compares leaves exactly. It returns a spanning forest of its pairs, never all of them; components are
+then found on Spark.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,8 @@ SEED = 42
 SAMPLE = 4096
 #: Fingerprints of a shard for which the tree is made; a larger shard is cut further inside its task.
 SHARD = 8192
+#: Levels of a tree outside the tasks, at most: its arrays are sent to all tasks (16 bytes a node and tree).
+MAX_DEPTH = 16
 #: Fingerprints in a leaf, whose pairs are all compared.
 LEAF = 256
 ALL_BITS = np.uint64((1 << 64) - 1)
@@ -141,11 +147,20 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return slim.mapInArrow(run, "doc_id long, fp long")
 
 
-def block_masks(radius: int, slack: int) -> list[int]:
-    """Masks that cut the 64 bits into enough blocks: within radius bits, some block differs in slack bits at most."""
-    n = radius // (slack + 1) + 1
+def block_masks(radius: int, slack: int, together: int = 1) -> list[int]:
+    """Masks of all choices of ``together`` blocks of the 64 bits, cut into enough blocks: of two fingerprints within radius bits,
+    each block of some choice differs in slack bits at most."""
+    n = radius // (slack + 1) + together
     cuts = [64 * i // n for i in range(n + 1)]
-    return [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:])]
+    return [sum((1 << cuts[i + 1]) - (1 << cuts[i]) for i in some) for some in combinations(range(n), together)]
+
+
+def blocks_together(n: int, radius: int, slack: int, shard: int = 8 * SHARD) -> int:
+    """How many blocks a tree looks at: one, unless there are so many fingerprints that more than shard of them would agree on it."""
+    together = 1
+    while not slack and together < radius and n >> (64 * together // (radius + together)) > shard:
+        together += 1
+    return together
 
 
 def distance(a: np.ndarray, b) -> np.ndarray:
@@ -280,11 +295,16 @@ def shard_edges(fps: np.ndarray, home: np.ndarray, radius: int, mask: int, slack
     return fps[own], fps[roots[own]]
 
 
-def close_edges(distinct: DataFrame, n: int, radius: int, slack: int = 1) -> DataFrame:
+def depth_of(n: int, bits: int) -> int:
+    """Levels that bring n fingerprints to about SHARD; not so many that shards of the trees outnumber what the bits tell apart."""
+    return min(max(0, int(np.ceil(np.log2(max(1, n) / SHARD)))), bits, MAX_DEPTH)
+
+
+def close_edges(distinct: DataFrame, n: int, radius: int, slack: int = 0) -> DataFrame:
     """a, b: edges whose components are those of all pairs of fingerprints (column fp) within radius bits."""
     spark = distinct.sparkSession
-    masks = block_masks(radius, slack)
-    depth = max(0, int(np.ceil(np.log2(max(1, n) / SHARD))))
+    masks = block_masks(radius, slack, blocks_together(n, radius, slack))
+    depth = depth_of(n, min(m.bit_count() for m in masks))
     sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     trees = spark.sparkContext.broadcast([Tree(sample, m, depth, i) for i, m in enumerate(masks)])
 
@@ -313,7 +333,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links of radius bits or fewer.
 
     Null, empty and wordless texts have fingerprint zero and link like any other. A text of fewer than ``shingle`` words
-    is one shingle. Repeated rows come back as often as they are there, in one component; a null id has a fingerprint and
+    is one shingle; texts of any length are hashed whole. Nothing is ranked, so there are no ties. Repeated rows come back as often as they are there, in one component; a null id has a fingerprint and
     a component, and never is the smallest id (the component of null ids alone is null). Other columns are ignored.
     """
     ws = Workspace(docs.sparkSession)

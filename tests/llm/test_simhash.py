@@ -69,8 +69,9 @@ def test_null_ids_and_empty_table(spark):
     assert simhash.keep_representatives(df).count() == 3
 
 
+@pytest.mark.parametrize("slack,together", [(1, 1), (0, 1), (0, 2)])
 @pytest.mark.parametrize("spread", [3, 30])
-def test_shards_lose_no_link(spread):
+def test_shards_lose_no_link(spread, slack, together):
     """Clusters and uniform noise, sent through deep trees with tiny shards."""
     rng = np.random.default_rng(spread)
     centres = rng.integers(0, 1 << 64, 30, np.uint64, endpoint=False)
@@ -79,11 +80,11 @@ def test_shards_lose_no_link(spread):
         flips ^= np.uint64(1) << rng.integers(0, 64, 1500, np.uint64)
     fps = np.unique(np.concatenate([rng.choice(centres, 1500) ^ flips, rng.integers(0, 1 << 64, 500, np.uint64, endpoint=False)]))
     edges = []
-    for t, mask in enumerate(simhash.block_masks(4, 1)):
-        rows, node, home = simhash.Tree(fps, mask, 5, t).shards(fps, 1)
+    for t, mask in enumerate(simhash.block_masks(4, slack, together)):
+        rows, node, home = simhash.Tree(fps, mask, 5, t).shards(fps, slack)
         assert np.array_equal(np.sort(rows[home]), np.arange(len(fps)))
         for n in np.unique(node):
-            a, b = simhash.shard_edges(fps[rows[node == n]], home[node == n], 4, mask, 1)
+            a, b = simhash.shard_edges(fps[rows[node == n]], home[node == n], 4, mask, slack)
             edges += list(zip(a.tolist(), b.tolist()))
     at = {f: i for i, f in enumerate(fps.tolist())}
     parent = simhash.Forest(len(fps))
@@ -108,3 +109,25 @@ def test_components_of_a_path_and_a_star(spark):
     got = components(spark.createDataFrame(path + star + path[:3], "a long, b long"), Workspace(spark)).collect()
     assert {r["node"]: r["component"] for r in got} == {**{i: 0 for i in range(101)}, 999: 999, **{i: 999 for i in range(1001, 1300)}, -5: -7, -7: -7}
     assert len(got) == len({r["node"] for r in got})
+
+
+@pytest.mark.parametrize("n", [1, 2**13, 2**20, 2**24, 2**28])
+def test_copies_of_a_fingerprint_do_not_grow(n):
+    fps = np.random.default_rng(1).integers(0, 1 << 64, 1 << 15, np.uint64, endpoint=False)
+    masks = simhash.block_masks(4, 0, simhash.blocks_together(n, 4, 0))
+    shards = [simhash.Tree(fps[:4096], m, simhash.depth_of(n, m.bit_count()), i).shards(fps, 0) for i, m in enumerate(masks)]
+    assert sum(len(rows) for rows, _, _ in shards) <= 6 * len(fps)
+    assert all(home.all() for _, _, home in shards)
+    if n == 2**24:  # shards are as many as they should be, and none is far larger than the others
+        size = np.unique(shards[0][1], return_counts=True)[1]
+        assert len(size) > 500 and size.max() < 0.03 * len(fps)
+
+
+def test_more_blocks_are_looked_at_together_when_one_tells_too_little():
+    assert [simhash.blocks_together(n, 4, 0) for n in (1, 2**24, 2**28, 2**34, 10**12)] == [1, 1, 1, 2, 3]
+    for together in (1, 2, 3):
+        masks = simhash.block_masks(4, 0, together)
+        rng = np.random.default_rng(together)
+        for _ in range(200):
+            d = sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
+            assert any(not d & m for m in masks)
