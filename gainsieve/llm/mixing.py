@@ -1,14 +1,14 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Documents are shuffled by a hash of their id. Each copy of a document (a source may be passed ``max_repeats`` times) gets a
-virtual finish time: the words of its source up to its end, divided by the source's weight. The mix is what is served in
-order of virtual time until the total budget is used up. Served fluidly, as in fair queueing, every source that still has
-documents has had weight times T words at virtual time T; the document in service when the budget ends is cut there. So the
-time of truncation solves sum(min(max_repeats * size, weight * T)) = budget, and the targets are its terms: a source that
-runs out leaves its excess to the others by weight.
-
-Running sums are taken in two steps: within buckets of the shuffled order, and over the buckets' sums. A source with a third
-of all rows is spread over its buckets.
+Documents are shuffled by a hash of their id. Each pass of a document (a source may be passed ``max_repeats`` times) gets a
+virtual finish time: the words of its source up to its end, divided by the source's weight. All passes of all sources are
+sorted by it over the whole cluster, in ranges, and running sums over that order tell how much has been served when each ends:
+all of the sources that have run out by then, and of the others their weight times the virtual time. The order is truncated
+in the first pass at whose end the total budget is used up. Service is fluid, as in fair queueing, so at that time each source
+has a document in service, which is cut there; a source that ran out before has left its excess to the others by weight.
+
+Running sums within a source are taken in two steps: within buckets of its shuffled order, and over the buckets' sums. A source
+with a third of all rows is spread over its buckets.
 """
 
 from __future__ import annotations
@@ -50,20 +50,25 @@ def _running(df: DataFrame, ws: Workspace, order: list[Column], sums: dict[str,
     )
 
 
-def source_targets(sizes: DataFrame, ws: Workspace, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """source, source_size, weight, target from a table (source, source_size) of any number of sources."""
-    by_name = [F.col("source").isNull(), F.col("source")]
-    ranked = _running(sizes.withColumn("one", F.lit(1)), ws, by_name, {"place": "one"}, "places")
+def source_weights(sizes: DataFrame, ws: Workspace, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """source, source_size, weight from a table (source, source_size) of any number of sources: weights in turn, null last."""
+    ranked = _running(sizes.withColumn("one", F.lit(1)), ws, [F.col("source").isNull(), F.col("source")], {"place": "one"}, "places")
     weight = F.get(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights)).cast("int"))
-    # sources run out in order of the virtual time at which they have been passed max_repeats times
-    sources = ranked.select("source", "source_size", weight.alias("weight"), (max_repeats * F.col("source_size")).alias("cap")).withColumn("out_at", F.col("cap") / F.col("weight"))
-    queue = ws.table(_running(sources, ws, [F.col("out_at"), *by_name], {"used": "cap", "gone": "weight"}, "queue"), "targets")
-    total = queue.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weights")).first()
-    want = budget * (total["words"] or 0)
-    # T: the first source in the queue that does not run out before the budget is used up; all sources before it are used up
-    last = queue.withColumn("t", (F.lit(want) - F.col("used")) / (F.lit(total["weights"] or 0) - F.col("gone"))).where("t <= out_at").agg(F.min_by("t", "out_at")).first()[0]
-    target = F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(float(last or 0.0)))
-    return queue.select("source", "source_size", "weight", target.alias("target"))
+    return ws.table(ranked.select("source", "source_size", weight.alias("weight")), "weights")
+
+
+def virtual_time(passes: DataFrame, sources: DataFrame, ws: Workspace, budget: float = BUDGET, max_repeats: int = MAX_REPEATS) -> float:
+    """The virtual time at which budget times all words are served, from the passes (finish, cap, weight, last: whether its
+    source has run out then, and columns that settle ties), sorted by finish."""
+    # a source without words is served nothing and takes no share
+    total = sources.where("source_size > 0").agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weights")).first()
+    if total["words"] is None:
+        return 0.0
+    ends = passes.withColumns({c: F.when(F.col("last"), F.col(c)).otherwise(0) for c in ("cap", "weight")})
+    queue = _running(ends, ws, [F.col("finish"), *[F.col(c) for c in passes.columns if c not in ("finish", "cap", "weight", "last")]], {"used": "cap", "gone": "weight"}, "queue")
+    at = (F.lit(budget * total["words"]) - F.col("used")) / (F.lit(total["weights"]) - F.col("gone"))
+    found = queue.withColumn("t", at).where("t <= finish").agg(F.min_by("t", "finish")).first()[0]
+    return float("inf") if found is None else float(found)  # none: all passes together are within the budget
 
 
 def mix(
@@ -71,37 +76,45 @@ def mix(
     max_repeats: int = MAX_REPEATS, seed: str = SEED, keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per input row: doc_id, size, source, source_size, weight, target, taken and finish (virtual time at which its
-    first copy is served).
+    first pass ends).
 
     ``taken`` counts words with repeats: whole passes, and a part of the document in service when the budget ends. Null and
-    empty texts have no words and are taken zero times; a null source is a source of its own, the last. Rows that repeat an
-    id are served one after the other, and a null id is served before all others. Without any words all targets are zero.
-    Columns named in ``keep`` come along in the struct ``kept``.
+    empty texts have no words and are taken zero times, texts of any length are counted whole; a null source is a source of its
+    own, the last. Rows that repeat an id are served one after the other, and a null id takes its place by a hash of its text.
+    Ties in the shuffled order go to the smaller id. Without any words all targets are zero; an empty table gives no rows.
+    Columns named in ``keep`` come along in the struct ``kept``; others are ignored.
     """
     ws = Workspace(docs.sparkSession)
-    kept = [F.struct(*keep).alias("kept")] if keep else []
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+    text = F.col(text_col)
+    kept = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")] if keep else []
+    named_by = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
     rows = ws.table(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key"), *kept)
-        .withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS)),
+        docs.select(
+            F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"),
+            F.md5(F.concat(F.lit(f"{seed}:"), named_by).cast("binary")).alias("key"), *([F.xxhash64(text)] if keep else [F.lit(0)]), *kept,
+        ).toDF("row", "doc_id", "source", "size", "key", "tie", *(["kept"] if keep else [])),
         "sizes",
     )
-    buckets = ws.table(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "buckets")
-    targets = source_targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), ws, weights, budget, max_repeats)
+    slim = rows.select("row", "doc_id", "source", "size", "key", "tie", F.substring("key", 1, BUCKET_DIGITS).alias("bucket"))
+    buckets = ws.table(slim.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "buckets")
+    sources = source_weights(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), ws, weights)
     before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = buckets.select("source", "bucket", before.alias("offset"))  # at most 16 ** BUCKET_DIGITS rows of a source
-    named = offsets.join(targets, offsets["source"].eqNullSafe(targets["source"])).select(offsets["source"].alias("s"), F.col("bucket").alias("b"), "offset", "source_size", "weight", "target")
-    ties = [F.xxhash64("kept")] if keep else []
-    inner = Window.partitionBy("source", "bucket").orderBy("key", F.col("doc_id").asc_nulls_first(), "size", *ties).rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumn("upto", F.sum("size").over(inner))
-    end = F.col("offset") + F.col("upto")
-    passes = [F.greatest(F.lit(0), F.least(F.col("size"), F.round("target").cast("long") - k * F.col("source_size") - end + F.col("size"))) for k in range(max_repeats)]
-    taken = passes[0]
-    for p in passes[1:]:
-        taken = taken + p
-    return placed.join(named, placed["source"].eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).select(
-        "doc_id", "size", "source", "source_size", "weight", "target", taken.cast("long").alias("taken"), (end / F.col("weight")).alias("finish"), *(["kept"] if keep else [])
-    )
+    named = offsets.join(sources, offsets["source"].eqNullSafe(sources["source"])).select(offsets["source"].alias("s"), F.col("bucket").alias("b"), "offset", "source_size", "weight")
+    inner = Window.partitionBy("source", "bucket").orderBy("key", F.col("doc_id").asc_nulls_first(), "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    placed = slim.withColumn("upto", F.sum("size").over(inner)).join(named, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    placed = ws.table(placed.select("row", "doc_id", "source", "size", "key", "tie", "source_size", "weight", (F.col("offset") + F.col("upto")).alias("end")), "placed")
+    cap = max_repeats * F.col("source_size")
+    served_by = F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))).alias("pass")
+    passes = placed.where("size > 0").select("*", served_by).withColumn("own", F.col("pass") * F.col("source_size") + F.col("end"))
+    passes = passes.select((F.col("own") / F.col("weight")).alias("finish"), "key", "doc_id", "pass", "size", "tie", "weight", cap.alias("cap"), (F.col("own") == cap).alias("last"))
+    target = F.least(cap.cast("double"), F.col("weight") * F.lit(virtual_time(passes, sources, ws, budget, max_repeats)))
+    parts = [F.greatest(F.lit(0), F.least(F.col("size"), F.round("target").cast("long") - k * F.col("source_size") - F.col("end") + F.col("size"))) for k in range(max_repeats)]
+    taken = sum(parts[1:], parts[0]).cast("long")
+    out = placed.withColumn("target", target).withColumns({"taken": taken, "finish": F.col("end") / F.col("weight")})
+    if keep:
+        out = out.join(rows.select("row", "kept"), "row")
+    return out.select("doc_id", "size", "source", "source_size", "weight", "target", "taken", "finish", *(["kept"] if keep else []))
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -109,27 +122,32 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), n.cast("int")), "")
 
 
-def served(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """docs as the mix takes them: a row for each pass of a document, with pass (from 0), taken (words of this pass) and the
-    pass's text, which is cut if the budget ends in it.
+SERVED = ["source_size", "weight", "target", "size", "pass", "taken"]
+
+
+def served(docs: DataFrame, text_col: str = "text", into: str = "mix", **options) -> DataFrame:
+    """docs as the mix takes them: a row for each pass of a document, with the pass's text, which is cut if the budget ends in it,
+    and one more column, a struct of SERVED: pass (from 0), taken (words of this pass), and what mix tells of its source.
 
-    A document that the mix takes nothing of has one row, with taken 0 and an empty text.
+    A document that the mix takes nothing of has one row, with taken 0 and an empty text. Columns of docs keep their names; the
+    struct is named into, with underscores added while there is a column of that name.
     """
-    rest = [c for c in docs.columns if c not in ("doc_id", "source", "source_size", "weight", "target", "size", "pass", "taken")]
-    mixed = mix(docs, text_col=text_col, keep=tuple(rest), **options)
+    while into.lower() in [c.lower() for c in docs.columns]:
+        into = f"_{into}"
+    mixed = mix(docs, text_col=text_col, keep=tuple(docs.columns), **options)
     last = F.when(F.col("taken") > 0, F.ceil(F.col("taken") / F.col("size")).cast("int") - 1).otherwise(0)
     passes = mixed.withColumn("pass", F.explode(F.sequence(F.lit(0), last)))
     words = F.least(F.col("size"), F.col("taken") - F.col("pass") * F.col("size"))
     text = F.col(f"kept.`{text_col}`")
     cut = F.when(F.col("taken") == 0, F.lit("")).when(F.col("taken") < F.col("size"), first_words(text, F.col("taken"))).otherwise(text)
-    own = passes.withColumn("taken", words).withColumn(text_col, cut)
-    return own.select("doc_id", *[c if c == text_col else F.col(f"kept.`{c}`").alias(c) for c in rest], "source", "source_size", "weight", "target", "size", "pass", "taken")
+    own = passes.withColumn("taken", words)
+    return own.select(*[cut.alias(c) if c == text_col else F.col(f"kept.`{c}`").alias(c) for c in docs.columns], F.struct(*SERVED).alias(into))
 
 
 MIX_SQL = f"""
 WITH rows AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS key
+         md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, '')))) AS key
   FROM documents
 ), sizes AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM rows GROUP BY source

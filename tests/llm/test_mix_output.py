@@ -1,5 +1,7 @@
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from gainsieve.llm.mixing import mix, served
 
@@ -15,7 +17,7 @@ def rows():
 
 def test_passes_carry_the_words_that_the_mix_takes(spark):
     df = spark.createDataFrame(rows(), "doc_id long, text string, source string").repartition(4)
-    got = served(df).collect()
+    got = served(df).select("*", "mix.*").collect()
     want, had, texts = Counter(), Counter(), defaultdict(list)
     for r in mix(df).collect():
         want[r["doc_id"]] += r["taken"]
@@ -41,3 +43,13 @@ def test_run_returns_the_mix(spark):
     for r in got:
         taken[r["source"]] += r["taken"]
     assert all(abs(taken[s] - t) <= 1 for s, t in target.items())
+
+
+def test_columns_with_the_names_of_the_mix_stay(spark):
+    names = ["size", "weight", "target", "source_size", "pass", "taken", "finish", "kept", "row", "key", "mix", "a.b"]
+    df = spark.createDataFrame([(i, "w " * (i + 1), "s", *range(7, 7 + len(names))) for i in range(9)], ["doc_id", "text", "source", *names])
+    got = served(df)
+    assert got.columns == [*df.columns, "_mix"]
+    assert {tuple(r)[3:-1] for r in got.collect()} == {tuple(range(7, 7 + len(names)))}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("taken", F.lit("mine"))
+    assert {r["taken"] for r in corpus_pipeline.source_mix(spark, docs, SF).collect()} == {"mine"}
