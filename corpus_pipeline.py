@@ -38,9 +38,13 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document that the mix takes nothing of has a row with taken 0 and no text, which run() drops.
     """
-    mix = mixing.served(docs)
-    cut = (F.col("taken") < F.col("size")) | (F.col("taken") == 0)
-    return mix.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    mix = mixing.served(docs, into="mix")
+    into = mix.columns[-1]
+    taken, size = F.col(f"{into}.taken"), F.col(f"{into}.size")
+    n_chars = F.when((taken < size) | (taken == 0), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    # what the mix tells stands beside the columns of docs, as far as they leave its names free
+    free = [c for c in mixing.SERVED if c.lower() not in {x.lower() for x in docs.columns}]
+    return mix.withColumn("n_chars", n_chars).select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"{into}.{c}").alias(c) for c in free], F.col(into))
 
 
 STAGES = [
@@ -61,4 +65,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = ws.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return docs.where("taken > 0")
+    return docs.where(F.col(docs.columns[-1])["taken"] > 0).drop(docs.columns[-1])
