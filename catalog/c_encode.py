@@ -66,7 +66,7 @@ def c05(spark, sf):
 def c05_bracketed(spark, sf):
     # Small limits make the search sketch, count and sketch again, as it would on very large columns.
     frame = P1.frame(spark, sf)
-    edges = encode.quantile_edges(frame, [*P1.ints, *P1.floats], 13, Workspace(spark), max_distinct=60, accuracy=100)
+    edges = encode.quantile_edges(frame, [*P1.ints, *P1.floats], 13, Workspace(spark), max_distinct=60, cells=100)
     return _edge_rows(spark, edges)
 
 

@@ -220,12 +220,21 @@ def e24(spark, sf):
     "e26_mining_report",
     fit_sql(P1, "SELECT 'patterns_found' AS metric, (SELECT count(*) FROM found)::DOUBLE AS value UNION ALL"
             " SELECT 'patterns_distinct', (SELECT count(*) FROM uniq) UNION ALL SELECT 'patterns_selected', (SELECT count(*) FROM patterns)"
-            " UNION ALL SELECT 'level_1_candidates', (SELECT count(*) FROM l1) UNION ALL SELECT 'threshold_raised', (SELECT t / 1e6 FROM t1)",
-            length=3),
+            " UNION ALL SELECT 'level_1_candidates', (SELECT count(*) FROM l1) UNION ALL SELECT 'threshold_raised', (SELECT t / 1e6 FROM t1)"
+            " UNION ALL SELECT 'patterns_same_rows', (SELECT count(*) FROM topk) - (SELECT count(*) FROM uniq)"
+            " UNION ALL SELECT 'least_utility', (SELECT min(util)::DOUBLE / 1e6 FROM found) UNION ALL SELECT 'least_gain', (SELECT round(min(ig), 9) FROM found)"
+            " UNION ALL SELECT 'most_gain', (SELECT round(max(ig), 9) FROM found) UNION ALL SELECT 'level_2_survivors', (SELECT count(*) FROM l2)"
+            " UNION ALL SELECT 'level_2_passed_gain', (SELECT count(*) FROM l2p)"
+            " UNION ALL SELECT 'level_2_siblings_dropped', (SELECT count(*) FROM l2p) - (SELECT count(*) FROM l2)"
+            " UNION ALL SELECT 'level_3_survivors', (SELECT count(*) FROM l3)",
+            length=3, extra=["l2p AS (SELECT x, z FROM pr WHERE ig > 0.0001::DOUBLE AND x IN (FROM ok1) AND z IN (FROM ok1))"]),
 )
 def e26(spark, sf):
-    wanted = ["patterns_found", "patterns_distinct", "patterns_selected", "level_1_candidates", "threshold_raised"]
-    return fitted(P1, spark, sf, length=3).report_frame().filter(F.col("metric").isin(wanted))
+    wanted = ["patterns_found", "patterns_distinct", "patterns_selected", "level_1_candidates", "threshold_raised", "patterns_same_rows"]
+    wanted += ["least_utility", "least_gain", "most_gain", "level_2_survivors", "level_2_passed_gain", "level_2_siblings_dropped", "level_3_survivors"]
+    report = fitted(P1, spark, sf, length=3).report_frame().filter(F.col("metric").isin(wanted))
+    # gains rest on sums of logarithms
+    return report.withColumn("value", F.when(F.col("metric").endswith("_gain") & ~F.col("metric").startswith("level"), F.round("value", 9)).otherwise(F.col("value")))
 
 
 @query("e27_mine_auto_bins", fit_sql(P4, _patterns_sql(), bins=-1))

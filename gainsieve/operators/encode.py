@@ -84,13 +84,15 @@ def distinct_edges(values: list[float]) -> list[float]:
 
 
 def quantile_edges(
-    df: DataFrame, columns: list[str], bins: int | dict[str, int], ws: Workspace, profile: dict | None = None, **options
+    df: DataFrame, columns: list[str], bins: int | dict[str, int], ws: Workspace, profile: dict | None = None, stats: dict | None = None, **options
 ) -> dict[str, list[float]]:
-    """Quantile edges per column: order statistics without interpolation, repeated edges dropped."""
+    """Quantile edges per column: order statistics without interpolation, repeated edges dropped. ``stats``: those known already."""
     profile = profile or profile_numeric(df, columns)
     per_column = bins if isinstance(bins, dict) else {c: bins for c in columns}
     ranks = {c: quantile_ranks(profile[c]["n"], per_column[c]) for c in columns if profile[c]["n"]}
-    stats = order_statistics(df, ranks, profile, ws, **options)
+    stats = stats or {}
+    left = {c: rs for c, rs in ranks.items() if not set(rs) <= set(stats.get(c, {}))}
+    stats = {**stats, **(order_statistics(df, left, profile, ws, **options) if left else {})}
     return {c: distinct_edges([stats[c][r] for r in ranks[c]]) for c in ranks}
 
 
@@ -105,8 +107,14 @@ def clamp_bins(bins: int, distinct: int) -> int:
     return max(min(distinct - 1, bins), 2)
 
 
+def auto_order_statistics(df: DataFrame, columns: list[str], ws: Workspace, profile: dict, **options) -> dict[str, dict[int, float]]:
+    """The order statistics that the edges of all bin counts 2..20 need, searched once."""
+    ranks = {c: sorted({r for nb in AUTO_BINS for r in quantile_ranks(profile[c]["n"], nb)}) for c in columns if profile[c]["n"]}
+    return order_statistics(df, ranks, profile, ws, **options)
+
+
 def auto_bin_scores(
-    df: DataFrame, columns: list[str], y: str, n_classes: int, ws: Workspace, profile: dict | None = None, **options
+    df: DataFrame, columns: list[str], y: str, n_classes: int, ws: Workspace, profile: dict | None = None, stats: dict | None = None, **options
 ) -> DataFrame:
     """(col, nb, gain) for nb = 2..20: information gain of the binned column, rounded to 6.
 
@@ -116,8 +124,7 @@ def auto_bin_scores(
     spark = df.sparkSession
     profile = profile or profile_numeric(df, columns)
     columns = [c for c in columns if profile[c]["n"]]
-    ranks = {c: sorted({r for nb in AUTO_BINS for r in quantile_ranks(profile[c]["n"], nb)}) for c in columns}
-    stats = order_statistics(df, ranks, profile, ws, **options)
+    stats = stats or auto_order_statistics(df, columns, ws, profile, **options)
     cuts = {c: distinct_edges(list(stats[c].values())) for c in columns}
     plain = {c: f"v{i}" for i, c in enumerate(columns)}
     data = df.select(y, *[F.col(f"`{c}`").cast("double").alias(v) for c, v in plain.items()])
@@ -139,7 +146,7 @@ def auto_bin_scores(
                 regroup.append((c, nb, cell, len(edges) if at_or_below == 0 else at_or_below))
     mapping = local_frame(spark, regroup, "col string, nb int, cell int, bin int")
     binned = (
-        per_cell.join(F.broadcast(mapping), ["col", "cell"])
+        per_cell.join(mapping, ["col", "cell"])
         .groupBy("col", "nb", "bin")
         .agg(*scores.sum_class_counts(n_classes))
         .withColumn("cls", scores.class_array(n_classes))
@@ -181,8 +188,10 @@ def fit_numeric(
     if not columns:
         return []
     attach_values(df, profile)  # makes small distinct counts exact
+    stats = None
     if bins == -1:
-        chosen = {r["col"]: r["nb"] for r in choose_bins(auto_bin_scores(df, columns, y, n_classes, ws, profile, **options)).collect()}
+        stats = auto_order_statistics(df, columns, ws, profile, **options)
+        chosen = {r["col"]: r["nb"] for r in choose_bins(auto_bin_scores(df, columns, y, n_classes, ws, profile, stats, **options)).collect()}
     else:
         chosen = {c: bins for c in columns}
     # a large count is a sketch's, some hundredths off: where it may bind the clamp, the values are counted
@@ -193,7 +202,7 @@ def fit_numeric(
         for r in counted.collect():
             profile[r["col"]]["distinct"] = r["n_distinct"]
     chosen = {c: clamp_bins(chosen[c], profile[c]["distinct"]) for c in columns}
-    edges = quantile_edges(df, columns, chosen, ws, profile, **options)
+    edges = quantile_edges(df, columns, chosen, ws, profile, stats, **options)
     return [
         NumericColumn(
             c,

@@ -16,11 +16,20 @@ from pyspark.sql import functions as F
 
 from gainsieve.functions import scores
 from gainsieve.operators.encode import NumericColumn
+from gainsieve.operators.order_stats import kth_largest
 from gainsieve.operators.running import numbered
-from gainsieve.operators.utility import item_lookup, item_sums, kth_largest, start_threshold, with_items
+from gainsieve.operators.utility import item_lookup, item_sums, start_threshold, with_items
 from gainsieve.sources.workspace import Workspace
 
 HASH_SALT = 7919
+
+
+def set_hashes() -> list[Column]:
+    """Two 64-bit hashes of a shape's item set. Sums of them stand for row sets; equality is proved by counting all the same."""
+    # the salt comes first: each column's hash is seeded with the one before, so a salt after the items would add nothing
+    return [F.xxhash64("items").alias("h1"), F.xxhash64(F.lit(HASH_SALT), "items").alias("h2")]
+
+
 # The bound is summed in doubles and only prunes, so it is loosened by far more than the rounding error.
 BOUND_SLACK = 1.0 + 1e-9
 
@@ -75,11 +84,7 @@ def mining_base(
     """Distinct sets of kept items: items, us, suf, class counts, rows, two hashes of the set."""
     rows = ranked_rows(shapes, numeric, n_cats, ranked).filter(F.size("items") > 0)
     merged = rows.groupBy("items", "us", "suf").agg(*scores.sum_class_counts(n_classes))
-    return merged.select(
-        "*", scores.class_rows(n_classes).alias("n"), F.xxhash64("items").alias("h1"),
-        # the salt comes first: each column's hash is seeded with the one before, so a salt after the items would add nothing
-        F.xxhash64(F.lit(HASH_SALT), "items").alias("h2"),
-    )
+    return merged.select("*", scores.class_rows(n_classes).alias("n"), *set_hashes())
 
 
 def item_occurrences(rows: DataFrame, carry: list[str]) -> DataFrame:
@@ -146,10 +151,56 @@ def raised_by_pairs(pairs: DataFrame, threshold, top_k: int):
     return value if value is not None and value > threshold else threshold
 
 
-def drop_sibling_duplicates(extensions: DataFrame) -> DataFrame:
-    """Among extensions of one prefix with the same rows, the first in item order stays."""
-    w = Window.partitionBy("prefix", "support", "f1", "f2").orderBy("last")
-    return extensions.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+def rows_with_both(pairs: DataFrame, base: DataFrame) -> DataFrame:
+    """pairs (id, both: sorted ranks of two itemsets) with n_both, the rows that hold all of both: 0 when there are none.
+
+    A pair is looked for in the shapes that hold its first item, which is the one in the fewest rows, or nearly.
+    """
+    anchored = pairs.select("id", "both", F.element_at("both", 1).alias("anchor"))
+    wanted = anchored.select("anchor").distinct()
+    # only shapes that hold an anchor are taken apart, and only at anchors
+    occurrences = base.select("items", "n", F.explode("items").alias("anchor")).join(wanted, "anchor", "left_semi")
+    held = occurrences.join(anchored, "anchor").filter(F.size(F.array_intersect("both", "items")) == F.size("both"))
+    counted = held.groupBy("id").agg(F.sum("n").alias("n_both"))
+    return pairs.join(counted, "id", "left").withColumn("n_both", F.coalesce("n_both", F.lit(0)))
+
+
+def first_of_equal_rows(
+    found: DataFrame, group: list[str], order: list[Column], base: DataFrame, ws: Workspace, name: str, proved: bool = True
+) -> tuple[DataFrame, int]:
+    """Of itemsets (ranks, support, f1, f2, ...) of a group that have the same rows the first in order; and how many went.
+
+    Equal fingerprints only say which may be the same. Each is compared with the first of its fingerprint by counting the rows
+    that hold both: as many as hold one means the same rows. Those that turn out to differ are compared among themselves in
+    the next round, so whatever the hashes are, the result is right.
+    """
+    w = Window.partitionBy(*group, "support", "f1", "f2").orderBy(*order)
+    columns, kept, gone, left, turn = found.columns, [], 0, found, 0
+    while True:
+        placed = left.withColumns({"_rn": F.row_number().over(w), "_first": F.first("ranks").over(w)})
+        placed, size = ws.counted(placed, f"{name}-{turn}", F.count_if(F.col("_rn") > 1).alias("repeats"))
+        kept.append(placed.filter("_rn = 1").select(columns))
+        if not size["repeats"]:
+            break
+        if not proved:
+            gone += size["repeats"]
+            break
+        pairs = placed.filter("_rn > 1").select(F.struct("ranks", "_first").alias("id"), F.array_sort(F.array_union("ranks", "_first")).alias("both"))
+        same = rows_with_both(pairs.distinct(), base).select(F.col("id.ranks").alias("_ranks"), "n_both")
+        judged = placed.filter("_rn > 1").join(same, F.col("ranks") == F.col("_ranks"), "left")
+        left, size = ws.counted(judged.filter(F.col("n_both") != F.col("support")).select(columns), f"{name}-{turn}-left", F.count("*").alias("n"))
+        gone += placed.filter("_rn > 1").count() - size["n"]
+        if not size["n"]:
+            break
+        turn += 1
+    return reduce(DataFrame.unionByName, kept), gone
+
+
+def drop_sibling_duplicates(extensions: DataFrame, base: DataFrame, ws: Workspace, proved: bool = True) -> tuple[DataFrame, int]:
+    """Among extensions of one prefix with the same rows, the first in item order stays; and how many went."""
+    whole = extensions.withColumn("ranks", F.concat("prefix", F.array("last")))
+    left, gone = first_of_equal_rows(whole, ["prefix"], [F.col("last")], base, ws, "siblings", proved)
+    return left.select(extensions.columns), gone
 
 
 def extendable(threshold) -> Column:
@@ -210,7 +261,7 @@ def mine(
     ws: Workspace,
     most_items: int,
     keep_duplicate: str = "lowest",
-    exact_dedupe: bool = False,
+    exact_dedupe: bool = True,
 ) -> MiningResult:
     """Mine, rank, dedupe and select patterns; see the module text for the data layout.
 
@@ -236,7 +287,7 @@ def mine(
             threshold = raised_by_pairs(pairs, threshold, top_k)
     report["threshold_raised"] = float(threshold) / scores.MICRO
     found = [emitted(levels[1], threshold, gain)]
-    report["levels"].append({"length": 1, **size})
+    report["levels"].append({"length": 1, **size, "passed_gain": size["survivors"], "siblings_dropped": 0})
 
     m, bar = 2, threshold
     while (length == -1 or m <= length) and report["levels"][-1]["survivors"] > 1:
@@ -253,10 +304,8 @@ def mine(
             )
             candidates = with_gain(raw.join(parents, "p"), "parent_cls").select(*LEVEL_COLUMNS)
         candidates, size = ws.counted(candidates.select(*LEVEL_COLUMNS), f"candidates-{m}", *counts)
-        levels[m] = drop_sibling_duplicates(candidates.filter(F.col("ig") > F.lit(gain)))
-        if length == -1 or m < length:
-            levels[m], kept = ws.counted(levels[m], f"level-{m}", F.count("*").alias("survivors"))
-            size = {**size, **kept}
+        levels[m], gone = drop_sibling_duplicates(candidates.filter(F.col("ig") > F.lit(gain)), base, ws, exact_dedupe)
+        size = {**size, "survivors": size["survivors"] - gone, "passed_gain": size["survivors"], "siblings_dropped": gone}
         found.append(emitted(levels[m], threshold, gain))
         report["levels"].append({"length": m, **size})
         if length != -1 and m == length:
@@ -290,32 +339,6 @@ def name_patterns(patterns: DataFrame, ranked: DataFrame) -> DataFrame:
     ).drop("parts")
 
 
-def confirm_same_rows(patterns: DataFrame, base: DataFrame) -> None:
-    """Check by counting that patterns with one fingerprint really share their rows.
-
-    Each pattern is compared with the first of its group: the rows holding both have
-    to be as many as the rows holding one.
-    """
-    w = Window.partitionBy("support", "f1", "f2")
-    pairs = (
-        patterns.withColumn("lead", F.min("ranks").over(w))
-        .filter(F.col("lead") != F.col("ranks"))
-        .select("ranks", "support", F.array_sort(F.array_union("ranks", "lead")).alias("both"))
-    )
-    anchored = pairs.withColumn("anchor", F.element_at("both", 1))
-    held = (
-        base.select("items", "n", F.explode("items").alias("anchor"))
-        .join(anchored, "anchor")
-        .filter(F.size(F.array_intersect("both", "items")) == F.size("both"))
-        .groupBy("ranks", "support")
-        .agg(F.sum("n").alias("n_both"))
-    )
-    wrong = pairs.select("ranks", "support").join(held, ["ranks", "support"], "left")
-    wrong = wrong.filter(F.coalesce("n_both", F.lit(0)) != F.col("support")).limit(1).count()
-    if wrong:
-        raise ValueError("two patterns with different rows share a fingerprint; change HASH_SALT and fit again")
-
-
 def select_patterns(
     found: DataFrame,
     ranked: DataFrame,
@@ -325,26 +348,30 @@ def select_patterns(
     ws: Workspace,
     report: dict,
     keep_duplicate: str = "lowest",
-    exact_dedupe: bool = False,
+    exact_dedupe: bool = True,
 ) -> DataFrame:
-    """Top-K by utility, one pattern per row set, order by gain, first fsK; pid = 0, 1, ..."""
-    named = name_patterns(found.withColumn("ranks", F.concat("prefix", F.array("last"))), ranked).select(
-        "ranks", "items", "names", "name", "support", "util", "ig", "entropy", "pure_class", "cls", "f1", "f2"
-    )
-    named, size = ws.counted(named, "emitted", F.count("*").alias("n"))
-    n_found = size["n"]
-    top = named
+    """Top-K by utility, one pattern per row set, order by gain, first fsK; pid = 0, 1, ...
+
+    Patterns are cut to the top K before their items are named; only what ties with the last is named to settle the tie.
+    """
+    whole, size = ws.counted(
+        found.withColumn("ranks", F.concat("prefix", F.array("last"))).select("ranks", "support", "util", "ig", "entropy", "pure_class", "cls", "f1", "f2"),
+        "emitted", F.count("*").alias("n"), F.min("util").alias("least_util"), F.min("ig").alias("least_ig"), F.max("ig").alias("most_ig"),
+    )
+    size_found, n_found = size, size["n"]
+    if n_found > top_k:
+        bar = kth_largest(whole, "util", top_k)
+        whole = whole.filter(F.col("util") >= F.lit(bar))
+    top = name_patterns(whole, ranked).select("ranks", "items", "names", "name", "support", "util", "ig", "entropy", "pure_class", "cls", "f1", "f2")
     if n_found > top_k:
-        ordered = numbered(named, [F.desc("util"), F.col("items")], ws, "_by_util", rows=n_found)
-        top = ws.table(ordered.filter(F.col("_by_util") <= top_k).drop("_by_util"), "top")
-    if exact_dedupe:
-        confirm_same_rows(top, base)
+        ordered = numbered(top, [F.desc("util"), F.col("items")], ws, "_by_util", rows=n_found)
+        top = ordered.filter(F.col("_by_util") <= top_k).drop("_by_util")
     if keep_duplicate == "highest":
         choice = [F.desc("ig"), F.desc("util"), F.col("items")]
     else:
         choice = [F.col("ig"), F.col("util"), F.desc("items")]
-    w = Window.partitionBy("support", "f1", "f2").orderBy(*choice)
-    distinct = top.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "f1", "f2")
+    distinct, same = first_of_equal_rows(top, [], choice, base, ws, "same-rows", exact_dedupe)
+    distinct = distinct.drop("f1", "f2")
     by_gain = [F.desc("ig"), F.desc("util"), F.col("items")]
     ordered = numbered(distinct, by_gain, ws, "_place", rows=min(n_found, top_k))
     ordered = ordered.withColumn("pid", (F.col("_place") - 1).cast("int")).drop("_place")
@@ -354,6 +381,10 @@ def select_patterns(
     report.update(
         {
             "patterns_found": n_found,
+            "patterns_same_rows": same,
+            "least_utility": float(size_found["least_util"]) / scores.MICRO if n_found else 0.0,
+            "least_gain": float(size_found["least_ig"]) if n_found else 0.0,
+            "most_gain": float(size_found["most_ig"]) if n_found else 0.0,
             "patterns_top": min(n_found, top_k),
             "patterns_distinct": n_distinct,
             "patterns_selected": n_distinct if fs_k == -1 else min(n_distinct, fs_k),

@@ -1,16 +1,19 @@
 """Exact order statistics of many columns, without sorting them.
 
-A quantile sketch brackets every wanted rank, one counting pass gives the exact
-number of values in each bracket, and only brackets that still hold too many
-distinct values are sketched again. At the end the values inside the brackets
-are counted as histograms and the wanted ranks are read off. Bracket counts are
-exact, so the answer does not depend on the accuracy of the sketch.
+The range of every column is cut into cells of equal width, and one partially
+aggregated groupBy counts the values in each; the cells that hold wanted ranks
+become the next ranges, until they are small. Then their values are counted as
+histograms and the wanted ranks are read off. Where equal widths do not part the
+values (many magnitudes, or one far outlier), the next cells are of equal width
+in the exponent, so a few rounds do for any doubles. All counts are exact, no
+task merges more than counts of cells, and the driver sees only those.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Row, Window
@@ -21,13 +24,13 @@ from gainsieve.sources.workspace import Workspace
 
 MAX_DISTINCT = 200_000
 FEW_VALUES = 1_000
-SKETCH_ACCURACY = 10_000
-SKETCHES_PER_SCAN = 400
+#: Cells of one counting pass over all columns, and of each range at least.
+CELLS, CELLS_OF_RANGE = 1 << 16, 16
 
 
 @dataclass
 class Bracket:
-    """Closed value range [lo, hi] that holds the wanted 0-based ranks."""
+    """Closed value range [lo, hi] that holds the wanted 0-based ranks; by_exponent: how its cells are cut."""
 
     lo: float
     hi: float
@@ -35,6 +38,7 @@ class Bracket:
     rows: int
     distinct: float
     ranks: list[int] = field(default_factory=list)
+    by_exponent: bool = False
 
 
 def bucketized(df: DataFrame, splits: dict[str, list[float]], suffix: str) -> DataFrame:
@@ -79,15 +83,20 @@ def profile_numeric(df: DataFrame, columns: list[str]) -> dict[str, dict]:
     return profile_columns(df, columns, [])[0] if columns else {}
 
 
-def _long_segments(df: DataFrame, splits: dict[str, list[float]], names: dict[str, int]) -> DataFrame:
-    """One row (col, seg, v) per value; odd segments are brackets, even ones the gaps between."""
-    cut = bucketized(df.select(*splits), splits, "__seg")
-    cells = [F.struct(F.lit(names[c]).alias("col"), F.col(f"{c}__seg").alias("seg"), F.col(c).alias("v")) for c in splits]
-    return cut.select(F.explode(F.array(*cells)).alias("s")).select("s.*").filter(F.col("v").isNotNull() & ~F.isnan("v"))
+def _segmented(data: DataFrame, brackets: dict[str, list[Bracket]]) -> DataFrame:
+    """Add ``col__seg`` for each column of brackets: 2 i + 1 in its bracket i, even numbers in the gaps between."""
+    splits = {v: [e for b in bs for e in (b.lo, math.nextafter(b.hi, math.inf)) if math.isfinite(e)] for v, bs in brackets.items()}
+    cut = bucketized(data.select(*brackets), {v: edges for v, edges in splits.items() if edges}, "__seg")
+    # a bracket that begins with minus infinity has no cut point before it
+    first = {v: int(bs[0].lo == -math.inf) for v, bs in brackets.items()}
+    return cut.withColumns({f"{v}__seg": F.col(f"{v}__seg") + first[v] if splits[v] else F.lit(1) for v in brackets})
 
 
-def _splits(brackets: list[Bracket]) -> list[float]:
-    return [edge for b in brackets for edge in (b.lo, math.nextafter(b.hi, math.inf))]
+def _long_segments(df: DataFrame, brackets: dict[str, list[Bracket]], names: dict[str, int]) -> DataFrame:
+    """One row (col, seg, v) per value; odd segments are brackets, even ones the gaps between."""
+    cut = _segmented(df, brackets)
+    cells = [F.struct(F.lit(names[c]).alias("col"), F.col(f"{c}__seg").alias("seg"), F.col(c).alias("v")) for c in brackets]
+    return cut.select(F.explode(F.array(*cells)).alias("s")).select("s.*").filter(F.col("v").isNotNull() & ~F.isnan("v"))
 
 
 def attach_values(df: DataFrame, profile: dict[str, dict], few: int = FEW_VALUES) -> None:
@@ -116,41 +125,59 @@ def _ranks_from_values(values: list[tuple[float, int]], ranks: list[int]) -> dic
     return found
 
 
-def _merged(ranges: list[tuple[float, float, float]]) -> list[Bracket]:
-    """Union of closed ranges (lo, hi, expected distinct values)."""
-    merged: list[Bracket] = []
-    for lo, hi, expected in sorted(ranges):
-        if merged and lo <= math.nextafter(merged[-1].hi, math.inf):
-            merged[-1].hi = max(merged[-1].hi, hi)
-            merged[-1].distinct += expected
-        else:
-            merged.append(Bracket(lo, hi, 0, 0, expected))
-    return merged
+def _exponent_sql(v: str) -> str:
+    """Rises with v over all doubles, infinities too, by about 1 for each doubling of its size."""
+    return f"signum({v}) * (coalesce(least(log2(abs({v})), 1100D), 0D) + 1076D)"
 
 
-def _narrow(data: DataFrame, brackets: dict[str, list[Bracket]], max_distinct: int, accuracy: int) -> dict[str, list[Bracket]]:
-    """Sketch the brackets that hold too many values; one value range around each wanted rank."""
-    jobs, ranges = [], {c: [] for c in brackets}
-    for c, held in brackets.items():
-        for b in held:
-            if b.distinct <= max_distinct or b.lo == b.hi:
-                ranges[c].append((b.lo, b.hi, b.distinct))
-                continue
-            slack = 2.0 * b.rows / accuracy + 1
-            local = [r - b.before for r in b.ranks]
-            percents = [max(0.0, (r - slack) / b.rows) for r in local] + [min(1.0, (r + slack) / b.rows) for r in local]
-            jobs.append((c, b, percents, 2 * slack))
-    for at in range(0, len(jobs), SKETCHES_PER_SCAN):
-        chunk = jobs[at : at + SKETCHES_PER_SCAN]
-        aggs = []
-        for i, (c, b, percents, _) in enumerate(chunk):
-            inside = F.when(F.col(c).between(b.lo, b.hi), F.col(c))
-            aggs.append(F.percentile_approx(inside, percents, accuracy).alias(f"s{i}"))
-        row = data.agg(*aggs).first()
-        for i, (c, b, percents, expected) in enumerate(chunk):
-            values, half = row[f"s{i}"], len(percents) // 2
-            ranges[c] += [(lo, hi, 1 if lo == hi else expected) for lo, hi in zip(values[:half], values[half:])]
-    return {c: _merged(r) for c, r in ranges.items()}
+def _exponent(v: float) -> float:
+    return math.copysign((min(math.log2(abs(v)), 1100.0) if abs(v) > 0 else 0.0) + 1076.0, v) if v else 0.0
+
+
+def _cell_sql(value: str, seg: str, brackets: list[Bracket], cells: int) -> str:
+    """The cell 0..cells-1 of a value in odd segment seg: rises with the value, whatever the rounding; 0 in gaps."""
+
+    def numbers(values: list[float]) -> str:
+        return "array(" + ", ".join(f"{v!r}D" for v in values) + ")"
+
+    starts, widths = [], []
+    for b in brackets:
+        lo, hi = (_exponent(b.lo), _exponent(b.hi)) if b.by_exponent else (b.lo, b.hi)
+        starts.append(lo)
+        widths.append(max((hi - lo) / cells, 5e-324))
+    at = f"get({{}}, ({seg} - 1) div 2)"
+    scaled = f"IF({at.format('array(' + ', '.join(str(b.by_exponent).lower() for b in brackets) + ')')}, {_exponent_sql(value)}, {value})"
+    place = f"floor(({scaled} - {at.format(numbers(starts))}) / {at.format(numbers(widths))})"
+    return f"IF({seg} % 2 = 1, cast(greatest(0D, least({cells - 1}D, double({place}))) as int), 0)"
+
+
+def _counted_cells(data: DataFrame, brackets: dict[str, list[Bracket]], names: dict[str, int], cells: int) -> dict[str, list[Row]]:
+    """For each column its non-empty cells (seg, cell, n, lo, hi) in order of their values: one scan of all columns."""
+    each = max(CELLS_OF_RANGE, cells // sum(map(len, brackets.values())))
+    cut = _segmented(data, brackets)
+    rows = [
+        F.struct(F.lit(names[v]).alias("col"), F.col(f"{v}__seg").alias("seg"), F.expr(_cell_sql(v, f"{v}__seg", bs, each)).alias("cell"), F.col(v).alias("v"))
+        for v, bs in brackets.items()
+    ]
+    long = cut.select(F.explode(F.array(*rows)).alias("s")).select("s.*").filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    counted = long.groupBy("col", "seg", "cell").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    out: dict[str, list[Row]] = {v: [] for v in brackets}
+    back = {i: v for v, i in names.items()}
+    for r in counted.collect():  # as many rows as cells
+        out[back[r["col"]]].append(r)
+    return {v: sorted(rs, key=lambda r: (r["seg"], r["cell"])) for v, rs in out.items()}
+
+
+def _narrowed(held: list[Bracket], cells: list[Row]) -> list[Bracket]:
+    """The cells that hold wanted ranks, as ranges. A cell with most of its range's rows is cut by the exponent next, or back."""
+    wanted = sorted(r for b in held for r in b.ranks)
+    out = []
+    for s, at, here in _place(wanted, cells):
+        old = held[(s["seg"] - 1) // 2]
+        stuck = 4 * s["n"] > old.rows
+        by_exponent = stuck != old.by_exponent if stuck else False
+        out.append(Bracket(s["lo"], s["hi"], at, s["n"], s["n"], here, by_exponent or math.isinf(s["hi"] - s["lo"])))
+    return out
 
 
 def _place(wanted: list[int], segments: list[Row]) -> list[tuple[Row, int, list[int]]]:
@@ -170,7 +197,7 @@ def order_statistics(
     profile: dict[str, dict],
     ws: Workspace,
     max_distinct: int = MAX_DISTINCT,
-    accuracy: int = SKETCH_ACCURACY,
+    cells: int = CELLS,
 ) -> dict[str, dict[int, float]]:
     """``{column: {rank: value}}`` for 0-based ranks of the sorted column (null and NaN left out).
 
@@ -199,57 +226,68 @@ def order_statistics(
     names = {v: i for i, v in enumerate(plain)}
     order = list(plain)
 
-    while brackets:
-        narrowed = _narrow(data, brackets, max_distinct, accuracy)
-        splits = {v: _splits(bs) for v, bs in narrowed.items()}
-        long = _long_segments(data, splits, names)
-        too_big = any(b.distinct > max_distinct and b.lo < b.hi for bs in narrowed.values() for b in bs)
-        if too_big and any(
-            [(b.lo, b.hi) for b in narrowed[v]] != [(b.lo, b.hi) for b in brackets[v]] for v in narrowed
-        ):
-            # Narrower but still large: count exactly, then sketch inside the new brackets.
-            counted = long.groupBy("col", "seg").agg(
-                F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.approx_count_distinct("v").alias("d")
-            )
-            segments = counted.orderBy("col", "seg").collect()
-            for v in list(brackets):
-                wanted = sorted(r for b in brackets[v] for r in b.ranks)
-                mine = [s for s in segments if s["col"] == names[v]]
-                brackets[v] = [Bracket(s["lo"], s["hi"], at, s["n"], s["d"], here) for s, at, here in _place(wanted, mine)]
-            continue
-        # Small enough: count the values inside the brackets one by one, the gaps as a whole.
-        inside = F.when(F.col("seg") % 2 == 1, F.col("v"))
-        histogram = ws.table(
-            long.groupBy("col", "seg", inside.alias("value")).agg(
-                F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
-            ),
-            "bracket-values",
-        )
-        totals = histogram.groupBy("col", "seg").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        segments = totals.orderBy("col", "seg").collect()
-        targets, missed = [], {}
-        for v in order:
-            if v not in brackets:
-                continue
-            wanted = sorted(r for b in brackets[v] for r in b.ranks)
-            for s, at, here in _place(wanted, [s for s in segments if s["col"] == names[v]]):
-                if s["seg"] % 2 == 1:
-                    targets += [(names[v], s["seg"], r - at, r) for r in here]
+    def settled(b: Bracket) -> bool:
+        return b.lo == b.hi
+
+    for held in brackets.values():
+        for b in held:
+            b.by_exponent = math.isinf(b.hi - b.lo)
+    while any(b.distinct > max_distinct for held in brackets.values() for b in held):
+        wide = {v: [b for b in held if b.distinct > max_distinct] for v, held in brackets.items()}
+        wide = {v: held for v, held in wide.items() if held}
+        counted = _counted_cells(data, wide, names, cells)
+        for v, held in wide.items():
+            narrow = [b for b in brackets[v] if b.distinct <= max_distinct]
+            for b in _narrowed(held, counted[v]):
+                if settled(b):
+                    found[plain[v]].update(dict.fromkeys(b.ranks, b.lo))
                 else:
-                    # The sketch missed these ranks, so the gap they lie in becomes their bracket.
-                    missed.setdefault(v, []).append(Bracket(s["lo"], s["hi"], at, s["n"], s["n"], here))
-        w = Window.partitionBy("col", "seg").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        cumulated = histogram.filter(F.col("value").isNotNull()).withColumn("upto", F.sum("n").over(w))
-        wanted = local_frame(df.sparkSession, targets, "col int, seg int, local bigint, rank bigint")
-        hits = cumulated.join(F.broadcast(wanted), ["col", "seg"]).filter(
-            (F.col("upto") > F.col("local")) & (F.col("upto") - F.col("n") <= F.col("local"))
-        )
-        for row in hits.select("col", "rank", "value").collect():
-            found[plain[order[row["col"]]]][row["rank"]] = row["value"]
-        brackets = missed
+                    narrow.append(b)
+            brackets[v] = sorted(narrow, key=lambda b: b.lo)
+    brackets = {v: held for v, held in brackets.items() if held}
+    if not brackets:
+        return found
+    # small enough: count the values inside the ranges one by one
+    long = _long_segments(data, brackets, names).filter(F.col("seg") % 2 == 1)
+    histogram = ws.table(long.groupBy("col", "seg", F.col("v").alias("value")).agg(F.count("*").alias("n")), "bracket-values")
+    targets = [(names[v], 2 * i + 1, r - b.before, r) for v, held in brackets.items() for i, b in enumerate(held) for r in b.ranks]
+    w = Window.partitionBy("col", "seg").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cumulated = histogram.withColumn("upto", F.sum("n").over(w))  # at most max_distinct values in a range
+    wanted = local_frame(df.sparkSession, targets, "col int, seg int, local bigint, rank bigint")
+    hits = cumulated.join(wanted, ["col", "seg"]).filter((F.col("upto") > F.col("local")) & (F.col("upto") - F.col("n") <= F.col("local")))
+    for row in hits.select("col", "rank", "value").collect():
+        found[plain[order[row["col"]]]][row["rank"]] = row["value"]
     return found
 
 
+def kth_largest(df: DataFrame, column: str, k: int, cells: int = 4096):
+    """The k-th largest value of an exact numeric column (integers or decimals without a fraction), or None when there are
+    fewer than k; nulls do not count.
+
+    Counts in cells of equal width between the least and the greatest value tell in which cell it is; that cell is cut in turn.
+    Each round divides the range by the number of cells at least.
+    """
+    if k <= 0:
+        return None
+    kind = "decimal(38,0)"
+    values = df.select(F.col(column).cast(kind).alias("v")).where("v is not null")
+    whole = values.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    if whole["n"] < k:
+        return None
+    lo, hi = int(whole["lo"]), int(whole["hi"])
+    while lo < hi:
+        width = (hi - lo) // cells + 1
+        inside = values.where(f"v between cast('{lo}' as {kind}) and cast('{hi}' as {kind})")
+        cell = F.expr(f"cast((v - cast('{lo}' as {kind})) div cast('{width}' as {kind}) as int)")
+        counted = inside.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+        for r in sorted(counted, key=lambda r: -r["cell"]):
+            if k <= r["n"]:
+                lo, hi = int(r["lo"]), int(r["hi"])
+                break
+            k -= r["n"]
+    return Decimal(lo)
+
+
 def median(df: DataFrame, columns: list[str], ws: Workspace, **options) -> dict[str, float | None]:
     """Exact, linearly interpolated median per column, null and NaN left out."""
     profile = profile_numeric(df, columns)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gainsieve.functions import scores
 from gainsieve.operators.encode import NumericColumn, assign_bins
+from gainsieve.operators.order_stats import kth_largest
 from gainsieve.operators.running import numbered
 from gainsieve.sources.local import local_frame
 from gainsieve.sources.workspace import Workspace
@@ -242,14 +243,6 @@ def item_sums(shape_items: DataFrame, n_classes: int) -> DataFrame:
     )
 
 
-def kth_largest(df: DataFrame, column: str, k: int):
-    """The k-th largest value, or None when there are fewer than k rows."""
-    if k <= 0:
-        return None
-    top = df.select(column).orderBy(F.desc(column)).limit(k).agg(F.count("*").alias("n"), F.min(column).alias("m")).first()
-    return top["m"] if top["n"] >= k else None
-
-
 def start_threshold(sums: DataFrame, top_k: int):
     """k-th largest riu when there are at least k items, else 0 (millionths)."""
     value = kth_largest(sums, "riu", top_k)

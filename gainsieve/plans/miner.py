@@ -36,7 +36,7 @@ class PatternMiner:
     item_percent: float = 1.0
     minority_weight: float = 1.0
     keep_duplicate: str = "lowest"
-    exact_dedupe: bool = False
+    exact_dedupe: bool = True
     max_distinct: int = encode.MAX_DISTINCT
 
     def validate(self) -> None:
@@ -134,7 +134,7 @@ class PatternModel:
     def report_frame(self) -> DataFrame:
         flat = [(k, float(v)) for k, v in self.report.items() if isinstance(v, (int, float))]
         for lv in self.report["levels"]:
-            flat += [(f"level_{lv['length']}_{k}", float(lv[k])) for k in ("candidates", "survivors")]
+            flat += [(f"level_{lv['length']}_{k}", float(lv[k])) for k in ("candidates", "passed_gain", "siblings_dropped", "survivors")]
         return local_frame(self.items.sparkSession, flat, "metric string, value double")
 
     def row_items(self, df: DataFrame) -> DataFrame:

@@ -157,3 +157,19 @@ def test_negative_integers(spark):
 def test_few_distinct_values_clamp_to_two_bins(spark):
     df = spark.createDataFrame([(i % 2, i % 2) for i in range(30)], "x int, y int")
     assert PatternMiner(label="y", bins=5).fit(df).numeric[0].edges == [0.0, 1.0]
+
+
+def test_constant_hashes_change_nothing(spark, monkeypatch):
+    """Row sets are told apart by counting, so hashes that tell nothing give the same patterns."""
+    rows = [(i, a, b, c, d, a // 2, y) for i, a, b, c, d, y in random_rows(11, 60)]  # with a column of equal row sets
+    df = spark.createDataFrame(rows, "tid bigint, a int, b double, c string, d string, e int, y int")
+
+    def fit():
+        m = PatternMiner(label="y", keys=["tid"], bins=3, length=3, gain=0.0).fit(df)
+        return [tuple(r) for r in m.patterns.orderBy("pid").select("name", "support", "util", "ig").collect()], m.report
+
+    want, report = fit()
+    monkeypatch.setattr(mine, "set_hashes", lambda: [F.lit(0).cast("bigint").alias("h1"), F.lit(0).cast("bigint").alias("h2")])
+    got, _ = fit()
+    assert got == want and len(want) > 20
+    assert report["patterns_same_rows"] > 0 and sum(lv["siblings_dropped"] for lv in report["levels"]) > 0
