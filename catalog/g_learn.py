@@ -1,14 +1,16 @@
-"""Classifiers on pattern features; no SQL equivalent, so these are checked by row counts and by tests."""
+"""Classifiers on pattern features: fits proved by their gradient, and scorers. Fits with a closed form are in g_closed.py."""
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
+from catalog.chain import fit_sql
+from catalog.h_metrics import _BIN, _h
 from catalog.registry import query, r6, s6
 from catalog.scored import BINARY_SQL, REGRESSION_SQL, THREE_SQL, binary, regression, three
 from catalog.views import P1, P2, P4
 from gainsieve.operators import metrics
 from gainsieve.plans.classifier import PatternClassifier, PatternClassifierModel
-from gainsieve.plans.tuning import cross_validate, grid_search, summarize
+from gainsieve.plans.tuning import cross_validate, grid_search, regression_scorers, scorers, summarize
 from gainsieve.sources.local import local_frame
 from gainsieve.sources.workspace import Workspace
 
@@ -16,7 +18,8 @@ _TRAINED: dict[tuple, PatternClassifierModel] = {}
 
 
 def trained(view, spark, sf, base=None, **params) -> PatternClassifierModel:
-    key = (spark.sparkContext.applicationId, sf, view.name, tuple(sorted(params.items())))
+    kind = base and (type(base).__name__, tuple(sorted((p.name, str(v)) for p, v in base.extractParamMap().items())))
+    key = (spark.sparkContext.applicationId, sf, view.name, kind, tuple(sorted(params.items())))
     if key not in _TRAINED:
         est = PatternClassifier(labelCol="lab", features=view.features, keys=[], base_estimator=base, **params)
         _TRAINED[key] = est.fit(view.frame(spark, sf).select(*view.features, "lab"))
@@ -29,6 +32,27 @@ def g01(spark, sf):
     return local_frame(spark, [(i, c) for i, c in enumerate(m.coefficients())], "pid int, coefficient double")
 
 
+def _certified(model, rows):
+    """A row for each class and pattern (-1: the intercept): whether the derivative of the loss there is zero, to the optimizer's tolerance."""
+    return model.optimality(rows).select("cls", "pid", (F.abs("gradient") < 1e-4).alias("optimal"))
+
+
+@query(
+    "g01_gradient_is_zero",
+    fit_sql(P2, "SELECT 1 AS cls, pid, true AS optimal FROM patterns UNION ALL SELECT 1, -1, true", length=2),
+)
+def g01_gradient(spark, sf):
+    return _certified(trained(P2, spark, sf, length=2), P2.frame(spark, sf))
+
+
+@query(
+    "g02_gradients_are_zero",
+    fit_sql(P1, "SELECT y AS cls, pid, true AS optimal FROM (SELECT pid FROM patterns UNION ALL SELECT -1), codes", length=2),
+)
+def g02_gradients(spark, sf):
+    return _certified(trained(P1, spark, sf, length=2), P1.frame(spark, sf))
+
+
 @query("g02_one_against_the_rest")
 def g02(spark, sf):
     out = trained(P1, spark, sf, length=2).transform(P1.frame(spark, sf))
@@ -75,6 +99,35 @@ def g07(spark, sf):
     return metrics.regression_scores(regression(spark, sf)).select(r6("r2"), r6("mae"))
 
 
+_POINT = (
+    "c AS (SELECT sum((y = 1 AND prediction = 1)::INTEGER)::DOUBLE AS tp, sum(y)::DOUBLE AS pos, sum(prediction)::DOUBLE AS pred,"
+    " avg((y = prediction)::INTEGER) AS acc, -avg(ln(CASE WHEN y = 1 THEN p1 ELSE p0 END)) AS ll FROM sc)"
+)
+
+
+@query(
+    "g06_all_scorers",
+    f"WITH {BINARY_SQL}, {_BIN}, {_h('n1 / n0')}, {_POINT} SELECT metric, round(value, 4) AS value FROM (UNPIVOT (SELECT acc AS accuracy, tp / pred AS precision,"
+    " tp / pos AS recall, 2 * tp / (pos + pred) AS f1, auc, ll AS log_loss, h FROM c, area, hm) ON COLUMNS(*) INTO NAME metric VALUE value)",
+)
+def g06_all(spark, sf):
+    rows = binary(spark, sf).withColumnRenamed("y", "label_code")
+    return local_frame(spark, [(name, scorer.evaluate(rows)) for name, scorer in scorers(2).items()], "metric string, value double")
+
+
+@query(
+    "g07_all_regression_scorers",
+    f"WITH {REGRESSION_SQL} SELECT metric, value FROM (UNPIVOT (SELECT {s6('1 - avg((y - p) ** 2) / var_pop(y)', 'r2')}, round(avg(abs(y - p)), 3) AS mae,"
+    " round(avg((y - p) ** 2) / 1e6, 3) AS mse, round(sqrt(avg((y - p) ** 2)), 3) AS rmse,"
+    f" {s6('avg(abs(y - p) / abs(y))', 'mape')} FROM r) ON COLUMNS(*) INTO NAME metric VALUE value)",
+)
+def g07_all(spark, sf):
+    rows, digits = regression(spark, sf), {"r2": 6, "mae": 3, "mse": 3, "rmse": 3, "mape": 6}
+    values = [(name, scorer.evaluate(rows) / (1e6 if name == "mse" else 1.0), digits[name]) for name, scorer in regression_scorers().items()]
+    table = local_frame(spark, values, "metric string, value double, digits int")
+    return table.select("metric", F.when(F.col("digits") == 6, F.round("value", 6)).otherwise(F.round("value", 3)).alias("value"))
+
+
 @query(
     "g08_summary_of_groups",
     f"WITH {THREE_SQL} SELECT 'accuracy' AS metric, round(avg(a), 2) AS value FROM (SELECT avg((y = prediction)::INTEGER) AS a FROM sc GROUP BY y)",

@@ -87,6 +87,22 @@ def i08(spark, sf):
     return explain.item_pairs(coords, binary(spark, sf), patterns, KEYS, 1, 0.6, 10)
 
 
+_HIT = (
+    "hit AS (SELECT names, o_orderkey, cls FROM co JOIN patterns USING (pid) JOIN (SELECT o_orderkey, 0 AS cls, p0 AS p FROM sc UNION ALL"
+    " SELECT o_orderkey, 1, p1 FROM sc) USING (o_orderkey) WHERE len(items) >= 2 AND p > 0.6::DOUBLE AND cls IN (SELECT prediction FROM sc))"
+)
+
+
+@query(
+    "i08_item_pairs_of_all_classes",
+    _sql("SELECT names[1] AS c1, names[2] AS c2, o_orderkey, cls AS class FROM hit JOIN (SELECT cls, o_orderkey FROM (SELECT DISTINCT cls, o_orderkey FROM hit)"
+         " QUALIFY row_number() OVER (PARTITION BY cls ORDER BY o_orderkey) <= 10) USING (cls, o_orderkey)", _HIT),
+)
+def i08_all(spark, sf):
+    coords, patterns = matches(spark, sf)
+    return explain.item_pairs(coords, binary(spark, sf), patterns, KEYS, None, 0.6, 10)
+
+
 @query(
     "i09_patterns_by_class",
     _sql("SELECT DISTINCT pid, array_to_string(names, ', ') AS name, len(items)::INTEGER AS len FROM co JOIN patterns USING (pid) JOIN sc USING (o_orderkey) WHERE p1 > 0.9::DOUBLE"),
@@ -130,12 +146,16 @@ def i12(spark, sf):
     return explain.explain_row(coords, patterns, scored, {"o_orderkey": last})
 
 
-@query("i13_explain_random_row")
+@query(
+    "i13_explain_random_row",
+    _sql("SELECT o_orderkey, prediction, y AS actual, pid, array_to_string(names, ', ') AS name FROM co JOIN patterns USING (pid) JOIN sc USING (o_orderkey)"
+         " WHERE o_orderkey = (SELECT o_orderkey FROM sc WHERE p1 > 0.5::DOUBLE ORDER BY md5(o_orderkey || ':3'), o_orderkey LIMIT 1)"),
+)
 def i13(spark, sf):
     coords, patterns = matches(spark, sf)
     scored = binary(spark, sf)
     row = explain.random_row(scored, KEYS, 1, 0.5, seed=3)
-    return explain.explain_rows(coords, patterns, scored, KEYS, row)
+    return explain.explain_rows(coords, patterns, scored, KEYS, row, actual="y")
 
 
 @query(

@@ -22,6 +22,7 @@ class View:
     label: str  # SQL of the label, the same text for both engines
     source: str  # SQL FROM clause for the check
     derived: tuple[tuple[str, str], ...] = ()  # extra feature columns as (name, SQL)
+    where: str = "true"  # rows of the view, the same text for both engines
 
     @property
     def features(self) -> list[str]:
@@ -32,6 +33,7 @@ class View:
             base = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id")
         else:
             base = table(spark, sf, self.source)
+        base = base.where(self.where)
         derived = dict(self.derived)
         chosen = [F.expr(derived[c]).alias(c) if c in derived else prep.q(c) for c in [*self.keys, *self.features]]
         return base.select(*chosen, F.expr(self.label).alias("lab"))
@@ -41,7 +43,7 @@ class View:
         tid = self.keys[0] if len(self.keys) == 1 else f"row_number() OVER (ORDER BY {', '.join(self.keys)})"
         derived = dict(self.derived)
         features = ", ".join(f"{derived[c]} AS {c}" if c in derived else c for c in self.features)
-        return f"SELECT {tid} AS tid, {features}, {self.label} AS lab FROM {self.source}"
+        return f"SELECT {tid} AS tid, {features}, {self.label} AS lab FROM {self.source} WHERE {self.where}"
 
 
 P1 = View(

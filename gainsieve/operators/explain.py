@@ -6,7 +6,7 @@ the keys, ``prediction`` and the array ``probability``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gainsieve.operators.apply import assemble_vectors
@@ -76,18 +76,28 @@ def pattern_support(coords: DataFrame) -> DataFrame:
 
 
 def item_pairs(
-    coords: DataFrame, scored: DataFrame, patterns: DataFrame, keys: list[str], cls: int,
+    coords: DataFrame, scored: DataFrame, patterns: DataFrame, keys: list[str], cls: int | None = None,
     threshold: float = -1.0, max_rows: int = 10,
 ) -> DataFrame:
-    """(c1, c2, keys, class): first two items of longer patterns, for the first rows above the threshold."""
-    above = class_probability(scored, cls).filter(F.col("prob") > F.lit(threshold)).select(*keys)
+    """(c1, c2, keys, class): first two items of longer patterns, for the first rows above the threshold.
+
+    Without a class: for each class that is predicted, its own first rows.
+    """
     longer = patterns.filter(F.col("len") >= 2).select(
         "pid", F.element_at("names", 1).alias("c1"), F.element_at("names", 2).alias("c2")
     )
-    hits = coords.join(longer, "pid").join(above, keys, "left_semi")
-    first = hits.select(*keys).distinct().orderBy(*keys).limit(max_rows)
-    chosen = hits.join(F.broadcast(first), keys, "left_semi")  # max_rows rows
-    return chosen.select("c1", "c2", *keys, F.lit(cls).alias("class"))
+    if cls is None:
+        classes = scored.select(F.col("prediction").cast("int").alias("class")).distinct()
+        each = F.transform("probability", lambda p, i: F.struct(i.cast("int").alias("class"), p.alias("prob")))
+        above = scored.select(*keys, F.explode(each).alias("s")).select(*keys, "s.*").join(classes, "class", "left_semi")
+    else:
+        above = class_probability(scored, cls).select(*keys, F.lit(cls).alias("class"), "prob")
+    above = above.filter(F.col("prob") > F.lit(threshold)).drop("prob")
+    hits = coords.join(longer, "pid").join(above, keys)
+    rows = hits.select("class", *keys).distinct()
+    # max_rows of each class
+    first = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("class").orderBy(*keys))).filter(F.col("_rn") <= max_rows)
+    return hits.join(first, ["class", *keys], "left_semi").select("c1", "c2", *keys, "class")
 
 
 def patterns_by_class(
@@ -118,10 +128,15 @@ def condense_names(patterns: DataFrame) -> DataFrame:
     return listed.groupBy("prefix").agg(F.flatten(F.transform(ordered, lambda x: x["values"])).alias("ranges"))
 
 
-def explain_rows(coords: DataFrame, patterns: DataFrame, scored: DataFrame, keys: list[str], rows: DataFrame) -> DataFrame:
-    """(keys, prediction, pid, name) of the given rows; ``rows`` holds their keys."""
-    chosen = scored.join(rows.select(*keys), keys, "left_semi").select(*keys, F.col("prediction").cast("int").alias("prediction"))
-    return coords.join(chosen, keys).join(patterns.select("pid", "name"), "pid").select(*keys, "prediction", "pid", "name")
+def explain_rows(
+    coords: DataFrame, patterns: DataFrame, scored: DataFrame, keys: list[str], rows: DataFrame, actual: str | None = None
+) -> DataFrame:
+    """(keys, prediction, pid, name) of the given rows; ``rows`` holds their keys. ``actual`` names scored's column with the true
+    class, which then stands beside the predicted one."""
+    true = [] if actual is None else [F.col(actual).cast("int").alias("actual")]
+    chosen = scored.join(rows.select(*keys), keys, "left_semi").select(*keys, F.col("prediction").cast("int").alias("prediction"), *true)
+    beside = [] if actual is None else ["actual"]
+    return coords.join(chosen, keys).join(patterns.select("pid", "name"), "pid").select(*keys, "prediction", *beside, "pid", "name")
 
 
 def explain_row(coords: DataFrame, patterns: DataFrame, scored: DataFrame, key: dict) -> DataFrame:
@@ -134,7 +149,12 @@ def explain_row(coords: DataFrame, patterns: DataFrame, scored: DataFrame, key:
 def random_row(scored: DataFrame, keys: list[str], cls: int = 1, threshold: float = 0.0, seed: int = 0) -> DataFrame:
     """One row above the threshold, by seeded key hash, so that the choice does not depend on partitions."""
     above = class_probability(scored, cls).filter(F.col("prob") > F.lit(threshold))
-    return above.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(1)
+    return above.orderBy(seeded(keys, F.lit(seed)), *keys).limit(1)
+
+
+def seeded(keys: list[str], *more: Column) -> Column:
+    """A hash of a row's keys and a seed by which rows are drawn or permuted; any engine can compute it."""
+    return F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in keys], *[m.cast("string") for m in more]).cast("binary"))
 
 
 def probability_histogram(scored: DataFrame, classes: list[int], bins: int = 10) -> DataFrame:
@@ -166,7 +186,7 @@ def permutation_importance(
     rows = ws.table(matched.select(*keys, F.col("y").cast("int").alias("y"), "pids"), "importance-rows")
     n = rows.count()
     spread = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("rep")).withColumn(
-        "_h", F.xxhash64(*keys, "rep", F.lit(seed))
+        "_h", seeded(keys, F.col("rep"), F.lit(seed))
     )
     ranked = numbered(spread, [F.col("_h"), *[F.col(k) for k in keys]], ws, "pos", groups=["rep"], **options)
     ranked = ws.table(ranked.select("rep", "pos", "y", "pids"), "importance-order")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import LogisticRegression, OneVsRest
@@ -100,7 +101,8 @@ class PatternClassifierModel(Model):
         self.classifier = classifier
 
     def copy(self, extra=None):
-        return PatternClassifierModel(self.patterns, self.classifier)
+        """A copy whose classifier has the parameters of extra."""
+        return PatternClassifierModel(self.patterns, self.classifier.copy(extra) if extra else self.classifier)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         """Add pids, features, prediction and probability (array); label_code too when the label is there."""
@@ -120,14 +122,50 @@ class PatternClassifierModel(Model):
         """The prediction decoded to the original label, column ``predicted_label``."""
         return prep.decode_label(self.transform(dataset), "prediction", self.patterns.codes, "predicted_label")
 
-    def coefficients(self) -> list[float]:
-        """Coefficients of the logistic regression; of the first class when there are several."""
+    def class_coefficients(self) -> tuple[list[list[float]], list[float]]:
+        """For each class with a linear score of its own its coefficients and intercept; one (that of class 1) for two classes."""
         model = self.classifier
-        if hasattr(model, "models"):
-            model = model.models[0]
+        models = getattr(model, "models", None)
+        if models:
+            return [[float(v) for v in m.coefficients.toArray()] for m in models], [float(m.intercept) for m in models]
         if getattr(model, "numClasses", 2) > 2:
-            return [float(v) for v in model.coefficientMatrix.toArray()[0]]
-        return [float(v) for v in model.coefficients.toArray()]
+            return [[float(v) for v in row] for row in model.coefficientMatrix.toArray()], [float(v) for v in model.interceptVector.toArray()]
+        if hasattr(model, "theta"):  # naive Bayes over 0/1 features: log odds are linear in them
+            theta = model.theta.toArray()
+            present = theta - np.log1p(-np.exp(theta))
+            absent = np.log1p(-np.exp(theta)).sum(axis=1) + model.pi.toArray()
+            return [[float(v) for v in present[1] - present[0]]], [float(absent[1] - absent[0])]
+        return [[float(v) for v in model.coefficients.toArray()]], [float(model.intercept)]
+
+    def coefficients(self) -> list[float]:
+        """Coefficients of the linear score; of the first class when there are several."""
+        return self.class_coefficients()[0][0]
+
+    def optimality(self, dataset: DataFrame, penalty: float | None = None) -> DataFrame:
+        """(cls, pid, coefficient, gradient): the derivative of mean log loss plus ``penalty / 2`` times the squared coefficients,
+        at the fitted coefficients; pid -1 is the intercept, which is not penalised. Near zero everywhere for the training rows
+        of a logistic regression, or of one for each class against the rest: the loss is convex, so that proves the fit.
+
+        ``penalty``: the default classifier's with C = 1 unless given.
+        """
+        coefficients, intercepts = self.class_coefficients()
+        n = float(sum(self.patterns.totals))
+        penalty = 1.0 / n if penalty is None else penalty
+        classes = [1] if len(coefficients) == 1 else list(range(len(coefficients)))
+        rows = self.transform(dataset)
+        if len(coefficients) == 1:
+            chance = F.array(F.element_at("probability", 2))
+        else:
+            chance = F.transform(vector_to_array("rawPrediction"), lambda r: F.lit(1.0) / (F.lit(1.0) + F.exp(-r)))
+        known = F.array(*[(F.col("label_code") == c).cast("double") for c in classes])
+        residual = rows.select("pids", F.posexplode(F.zip_with(chance, known, lambda p, y: p - y)).alias("k", "r"))
+        each = residual.select("k", "r", F.explode(F.array_append("pids", F.lit(-1))).alias("pid"))
+        sums = each.groupBy("k", "pid").agg((F.sum("r") / F.lit(n)).alias("slope"))
+        fitted = [(k, classes[k], p, w) for k, ws in enumerate(coefficients) for p, w in enumerate(ws)]
+        fitted += [(k, classes[k], -1, w) for k, w in enumerate(intercepts)]
+        table = local_frame(self.patterns.items.sparkSession, fitted, "k int, cls int, pid int, coefficient double")
+        own = F.when(F.col("pid") >= 0, F.col("coefficient") * F.lit(penalty)).otherwise(0.0)
+        return table.join(sums, ["k", "pid"], "left").select("cls", "pid", "coefficient", (F.coalesce("slope", F.lit(0.0)) + own).alias("gradient"))
 
     def save(self, path: str) -> None:
         self.patterns.save(f"{path}/patterns")

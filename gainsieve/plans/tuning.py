@@ -35,6 +35,26 @@ class MetricEvaluator(Evaluator):
         return self.metric != "log_loss"
 
 
+class RegressionEvaluator(Evaluator):
+    """One of REGRESSION_SCORERS, for Spark's CrossValidator."""
+
+    def __init__(self, metric: str, labelCol: str = "y", predictionCol: str = "prediction"):
+        super().__init__()
+        if metric not in REGRESSION_SCORERS:
+            raise ValueError(f"unknown metric {metric}; one of {REGRESSION_SCORERS}")
+        self.metric, self.label, self.prediction = metric, labelCol, predictionCol
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        return float(metrics.regression_scores(dataset, self.label, self.prediction).first()[self.metric])
+
+    def isLargerBetter(self) -> bool:
+        return self.metric == "r2"
+
+
+def regression_scorers(labelCol: str = "y", predictionCol: str = "prediction") -> dict[str, RegressionEvaluator]:
+    return {m: RegressionEvaluator(m, labelCol, predictionCol) for m in REGRESSION_SCORERS}
+
+
 def scorers(n_classes: int) -> dict[str, MetricEvaluator]:
     """The scorer set; precision, recall and F1 are macro averages for more than two classes."""
     return {m: MetricEvaluator(m, n_classes) for m in BINARY_SCORERS}
@@ -47,11 +67,14 @@ def stratified_folds(df: DataFrame, y: str, keys: list[str], ws: Workspace, fold
     return ranked.withColumn("fold", ((F.col("_rn") - 1) % folds).cast("int")).drop("_h", "_rn")
 
 
-def cross_validate(estimator: PatternClassifier, df: DataFrame, keys: list[str], folds: int = 5, seed: int = 0) -> DataFrame:
-    """(fold, metric, value) of the metric vector on each held-out fold."""
+def cross_validate(
+    estimator: PatternClassifier, df: DataFrame, keys: list[str], folds: int = 5, seed: int = 0, fold_col: str | None = None
+) -> DataFrame:
+    """(fold, metric, value) of the metric vector on each held-out fold; ``fold_col`` holds folds 0..folds-1 that are given."""
     ws = Workspace(df.sparkSession)
     label = estimator.getOrDefault(estimator.labelCol)
-    dealt = ws.table(stratified_folds(df, label, keys, ws, folds, seed), "folds")
+    given = df if fold_col is None else df.withColumnRenamed(fold_col, "fold")
+    dealt = ws.table(stratified_folds(df, label, keys, ws, folds, seed) if fold_col is None else given, "folds")
     rows = []
     for f in range(folds):
         model = estimator.fit(dealt.filter(F.col("fold") != f).drop("fold"))
@@ -71,13 +94,14 @@ def summarize(folds: DataFrame, names: list[str] | None = None) -> DataFrame:
 
 
 def grid_search(
-    estimator: PatternClassifier, df: DataFrame, keys: list[str], grid: dict[str, list], metric: str = "f1", folds: int = 3
+    estimator: PatternClassifier, df: DataFrame, keys: list[str], grid: dict[str, list], metric: str = "f1", folds: int = 3,
+    fold_col: str | None = None,
 ) -> DataFrame:
     """(bins, length, gain, metric, value) for every combination, best first."""
     results = []
     for bins, length, gain in product(grid.get("bins", [5]), grid.get("length", [1]), grid.get("gain", [1e-4])):
         candidate = estimator.copy({estimator.bins: bins, estimator.length: length, estimator.gain: gain})
-        mean = cross_validate(candidate, df, keys, folds).groupBy("metric").agg(F.avg("value").alias("value"))
+        mean = cross_validate(candidate, df, keys, folds, fold_col=fold_col).groupBy("metric").agg(F.avg("value").alias("value"))
         results.append(
             mean.select(
                 F.lit(bins).alias("bins"), F.lit(length).alias("length"), F.lit(float(gain)).alias("gain"), "metric", "value"
