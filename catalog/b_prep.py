@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from catalog.registry import query, r6, s6, table
 from catalog.views import P1
 from gainsieve.operators import prep
+from gainsieve.sources.local import local_frame
 from gainsieve.sources.workspace import Workspace
 
 
@@ -238,3 +239,42 @@ def b25_sizes(spark, sf):
     # The hash order, ranked through range partitions.
     ranked = prep.stratified_split(o, "o_orderstatus", ["o_orderkey"], Workspace(spark), seed=7)
     return ranked.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.count_if("is_test").alias("n_test"))
+
+
+@query(
+    "b19_group_positions",
+    "SELECT * FROM (VALUES ('int', 0, 'l_linenumber'), ('int', 1, 'l_partkey'), ('float', 2, 'l_quantity'), ('string', 3, 'l_linestatus'), ('string', 4, 'l_returnflag'))"
+    " t(kind, position, name)",
+)
+def b19(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_linestatus", "l_linenumber", "l_quantity", "l_returnflag", "l_partkey")
+    groups = prep.feature_groups(li)
+    rows = [(kind, p, groups.ordered[p]) for kind, ps in zip(("int", "float", "string"), groups.positions()) for p in ps]
+    return local_frame(spark, rows, "kind string, position int, name string")
+
+
+@query(
+    "b20_label_codes_of_many_classes",
+    "SELECT o_custkey AS label, (row_number() OVER (ORDER BY count(*) DESC, o_custkey) - 1)::INTEGER AS y, count(*) AS n FROM orders GROUP BY o_custkey",
+)
+def b20_many(spark, sf):
+    return prep.label_codes(table(spark, sf, "orders"), "o_custkey", max_classes=1_000_000)
+
+
+_ODD = "CASE WHEN l_linenumber = 7 THEN NULL ELSE l_quantity END"
+
+
+@query(
+    "b26_columns_with_missing_values",
+    f"SELECT 'odd' AS col, count(*) FILTER (({_ODD}) IS NULL) AS missing FROM lineitem HAVING count(*) FILTER (({_ODD}) IS NULL) > 0",
+)
+def b26(spark, sf):
+    """The columns that reject_missing names, each with its number of missing values."""
+    li = table(spark, sf, "lineitem").selectExpr("l_tax", f"{_ODD} AS odd")
+    prep.reject_missing(li, ["l_tax"])
+    try:
+        prep.reject_missing(li, ["l_tax", "odd"])
+    except ValueError as refused:
+        named = [c for c in li.columns if f"'{c}'" in str(refused)]
+        return prep.missing_ratio(li, named).select("col", "missing")
+    return local_frame(spark, [], "col string, missing bigint")

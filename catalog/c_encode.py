@@ -100,10 +100,7 @@ def c08(spark, sf):
 
 @query("c09_clamped_bins", encode_sql(P1, "SELECT col, nb::INTEGER AS nb FROM nbs", bins=9))
 def c09(spark, sf):
-    li = P1.frame(spark, sf)
-    distinct = encode.exact_distinct(li, [*P1.ints, *P1.floats])
-    clamp = F.greatest(F.least(F.col("n_distinct") - 1, F.lit(9)), F.lit(2))
-    return distinct.select("col", clamp.cast("int").alias("nb"))
+    return encode.clamped_bins(P1.frame(spark, sf), [*P1.ints, *P1.floats], 9)
 
 
 @query("c10_auto_bin_gains", encode_sql(P1, f"SELECT col, nb::INTEGER AS nb, {s6('gain', 'gain')} FROM gains JOIN rng USING (ci)", bins=-1))
@@ -225,9 +222,15 @@ def c19(spark, sf):
 )
 def c20(spark, sf):
     o = table(spark, sf, "orders")
-    labels = [r["label"] for r in encode.category_dictionary(o, ["o_orderstatus"], Workspace(spark)).collect()]
-    cells = F.array(*[F.struct(F.lit(v).alias("label"), (F.col("o_orderstatus") == v).cast("int").alias("is_label")) for v in labels])
-    return o.select("o_orderkey", F.explode(cells).alias("s")).select("o_orderkey", "s.*")
+    dictionary = encode.category_dictionary(o, ["o_orderstatus"], Workspace(spark))
+    return encode.category_indicators(o, "o_orderstatus", dictionary, ["o_orderkey"], dense=True)
+
+
+@query("c20_category_indicators_of_ones", "SELECT c_custkey, trim(c_name) AS label, 1 AS is_label FROM customer")
+def c20_ones(spark, sf):
+    """As many labels as rows."""
+    c = table(spark, sf, "customer")
+    return encode.category_indicators(c, "c_name", encode.category_dictionary(c, ["c_name"], Workspace(spark)), ["c_custkey"])
 
 
 @query("c21_category_names", score_sql(P4, "SELECT col, label, col || '=' || label AS name FROM lab"))

@@ -85,9 +85,7 @@ def d08(spark, sf):
     score_sql(P3, f"SELECT name, {s6('external * internal / (SELECT max(external * internal) FROM scored)', 'share')} FROM scored"),
 )
 def d09(spark, sf):
-    all_scored = scored(P3, spark, sf)[0]
-    top = all_scored.agg(F.max("raw")).first()[0]
-    return all_scored.select("name", r6(F.col("raw") / F.lit(top), "share"))
+    return utility.normalised(scored(P3, spark, sf)[0]).select("name", r6("share"))
 
 
 def rows_with_items(view, spark, sf, **params):

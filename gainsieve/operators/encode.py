@@ -15,7 +15,7 @@ from gainsieve.operators.running import numbered
 from gainsieve.sources.local import local_frame
 from gainsieve.sources.workspace import Workspace
 
-AUTO_BINS = range(2, 21)
+AUTO_BINS = range(2, 21)  # fixed value: candidate bin counts
 
 
 @dataclass
@@ -103,10 +103,18 @@ def exact_distinct(df: DataFrame, columns: list[str]) -> DataFrame:
     return long.filter(F.col("v").isNotNull()).distinct().groupBy("col").agg(F.count("*").alias("n_distinct"))
 
 
-def clamp_bins(bins: int, distinct: int) -> int:
+def clamp_bins(bins: int, distinct: int | Column):
+    """No more bins than distinct values less one, and two at least; for a number or a column of numbers."""
+    if isinstance(distinct, Column):
+        return F.greatest(F.least(distinct - 1, F.lit(bins)), F.lit(2)).cast("int")
     return max(min(distinct - 1, bins), 2)
 
 
+def clamped_bins(df: DataFrame, columns: list[str], bins: int) -> DataFrame:
+    """(col, nb): the number of bins each column gets."""
+    return exact_distinct(df, columns).select("col", clamp_bins(bins, F.col("n_distinct")).alias("nb"))
+
+
 def auto_order_statistics(df: DataFrame, columns: list[str], ws: Workspace, profile: dict, **options) -> dict[str, dict[int, float]]:
     """The order statistics that the edges of all bin counts 2..20 need, searched once."""
     ranks = {c: sorted({r for nb in AUTO_BINS for r in quantile_ranks(profile[c]["n"], nb)}) for c in columns if profile[c]["n"]}
@@ -248,6 +256,21 @@ def category_lookup(df: DataFrame, column: str, dictionary: DataFrame, out: str)
     return joined.withColumn(out, F.coalesce(F.col("_idx"), F.lit(-1))).drop("_label", "_idx")
 
 
+def category_indicators(df: DataFrame, column: str, dictionary: DataFrame, keys: list[str], dense: bool = False) -> DataFrame:
+    """(keys, label, is_label): the 0/1 indicators of a category column.
+
+    Sparse by default: only ones, a row for each row whose trimmed label the dictionary (col, label, idx) holds. ``dense`` adds
+    the zeros, so there are rows times labels; the labels are sent along with every row, from a dictionary of any number of labels.
+    """
+    label = F.trim(F.col(f"`{column}`").cast("string"))
+    own = dictionary.filter(F.col("col") == column)
+    if not dense:
+        return df.select(*keys, label.alias("label")).join(own.select("label"), "label").select(*keys, "label", F.lit(1).alias("is_label"))
+    listed = own.groupBy("col").agg(F.array_sort(F.collect_list("label")).alias("labels"))
+    rows = df.select(*keys, label.alias("_own"), F.lit(column).alias("col")).join(listed, "col")
+    return rows.select(*keys, "_own", F.explode("labels").alias("label")).select(*keys, "label", F.coalesce((F.col("label") == F.col("_own")).cast("int"), F.lit(0)).alias("is_label"))
+
+
 def bin_ranges(spark, numeric: list[NumericColumn]) -> DataFrame:
     """(col, bin, lo, hi): the original-unit range of each bin."""
     rows = [(c.name, i + 1, c.edges[i], c.edges[i + 1]) for c in numeric for i in range(c.bins)]

@@ -16,7 +16,7 @@ from gainsieve.sources.workspace import Workspace
 INT_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FLOAT_TYPES = (T.FloatType, T.DoubleType, T.DecimalType)
 STRING_TYPES = (T.StringType, T.BooleanType)
-MAX_CLASSES = 1000  # fixed value
+MAX_CLASSES = 1000  # default of the parameter max_classes
 CONDENSED = "Other"  # fixed value
 
 
@@ -207,25 +207,28 @@ def row_sum(df: DataFrame, columns: list[str], out: str) -> DataFrame:
     return df.withColumn(out, total)
 
 
-def label_codes(df: DataFrame, label: str) -> DataFrame:
-    """(label, y, n): code 0 for the most frequent class, ties in label order."""
+def label_codes(df: DataFrame, label: str, max_classes: int = MAX_CLASSES) -> DataFrame:
+    """(label, y, n): code 0 for the most frequent class, ties in label order.
+
+    ``max_classes`` guards against a column that is no label: class counts are columns, and so parts of every plan.
+    """
     counts = df.filter(q(label).isNotNull()).groupBy(q(label).alias("label")).agg(F.count("*").alias("n"))
-    top = counts.orderBy(F.desc("n"), "label").limit(MAX_CLASSES + 1).collect()
-    if len(top) > MAX_CLASSES:
-        raise ValueError(f"label {label} has more than {MAX_CLASSES} classes")
+    top = counts.orderBy(F.desc("n"), "label").limit(max_classes + 1).collect()
+    if len(top) > max_classes:
+        raise ValueError(f"label {label} has more than {max_classes} classes; raise max_classes if it is one")
     kind = df.schema[label].dataType.simpleString()
     return local_frame(df.sparkSession, [(r["label"], i, r["n"]) for i, r in enumerate(top)], f"label {kind}, y int, n bigint")
 
 
 def encode_label(df: DataFrame, label: str, codes: DataFrame, out: str = "y") -> DataFrame:
-    """Join the class code; the dictionary has at most MAX_CLASSES rows. Unknown labels get NULL."""
+    """Join the class code. Unknown labels get NULL. The dictionary is a local table, broadcast if Spark finds it small."""
     keys = codes.select(F.col("label").alias("_label"), F.col("y").alias(out))
-    return df.join(F.broadcast(keys), q(label) == F.col("_label"), "left").drop("_label")
+    return df.join(keys, q(label) == F.col("_label"), "left").drop("_label")
 
 
 def decode_label(df: DataFrame, code: str, codes: DataFrame, out: str = "label") -> DataFrame:
     keys = codes.select(F.col("y").alias("_y"), F.col("label").alias(out))
-    return df.join(F.broadcast(keys), q(code).cast("int") == F.col("_y"), "left").drop("_y")
+    return df.join(keys, q(code).cast("int") == F.col("_y"), "left").drop("_y")
 
 
 def regression_target(df: DataFrame, label: str, out: str = "y") -> DataFrame:

@@ -156,12 +156,16 @@ def score_items(
     scored, size = ws.counted(raw, "scored", F.max("raw").alias("top"), F.count_if(F.col("raw") > 0).alias("n"))
     top, kept = size["top"] or 0.0, scored.filter(F.col("raw") > 0)
     ids = numbered(kept, [F.col("col_idx"), F.col("bin")], ws, "item", rows=size["n"])
-    items = ids.withColumn("item", F.col("item").cast("int")).withColumn(
-        "u", scores.micros(F.col("raw") / F.lit(top if top > 0 else 1.0))
-    )
+    items = ids.withColumn("item", F.col("item").cast("int")).withColumn("u", scores.micros(F.col("raw") / F.lit(top if top > 0 else 1.0)))
     return scored, ws.table(items, "items")
 
 
+def normalised(scored: DataFrame) -> DataFrame:
+    """scored with share: the raw score over the largest one, 0 to 1."""
+    top = scored.agg(F.max("raw")).first()[0] or 0.0
+    return scored.withColumn("share", F.col("raw") / F.lit(top if top > 0 else 1.0))
+
+
 def item_columns(
     encoded: DataFrame, numeric: list[NumericColumn], n_cats: int, lookup: DataFrame
 ) -> tuple[DataFrame, list[tuple[str, str]], list[str]]:

@@ -38,6 +38,7 @@ class PatternMiner:
     keep_duplicate: str = "lowest"
     exact_dedupe: bool = True
     max_distinct: int = encode.MAX_DISTINCT
+    max_classes: int = prep.MAX_CLASSES
 
     def validate(self) -> None:
         for name in ("bins", "length", "top_k", "fs_k"):
@@ -62,8 +63,8 @@ class PatternMiner:
         groups = prep.feature_groups(df, self.features, exclude=[self.label, *self.keys])
         if df.filter(prep.q(self.label).isNull()).limit(1).count():
             raise ValueError(f"label {self.label} has nulls; drop or fill them first")
-        codes = prep.label_codes(df, self.label)
-        totals = [r["n"] for r in codes.orderBy("y").collect()]  # at most MAX_CLASSES rows
+        codes = prep.label_codes(df, self.label, self.max_classes)
+        totals = [r["n"] for r in codes.orderBy("y").collect()]  # at most max_classes rows
         n_classes = len(totals)
         wanted = prep.encode_label(df, self.label, codes, "_y")
         coded = wanted.select("_y", *[prep.q(c) for c in groups.ordered])

@@ -28,8 +28,8 @@ class MetricEvaluator(Evaluator):
         self.metric, self.n_classes = metric, n_classes
 
     def _evaluate(self, dataset: DataFrame) -> float:
-        ws = Workspace(dataset.sparkSession)
-        return float(metrics.metric_vector(dataset, ws, "label_code", n_classes=self.n_classes).first()[self.metric])
+        with Workspace(dataset.sparkSession) as ws:
+            return float(metrics.metric_vector(dataset, ws, "label_code", n_classes=self.n_classes).first()[self.metric])
 
     def isLargerBetter(self) -> bool:
         return self.metric != "log_loss"
@@ -84,6 +84,7 @@ def cross_validate(
         )
         vector = metrics.metric_vector(scored, ws, "label_code", n_classes=len(model.patterns.totals)).first()
         rows += [(f, name, value) for name, value in vector.asDict().items()]
+    ws.close()
     return local_frame(df.sparkSession, rows, "fold int, metric string, value double")
 
 

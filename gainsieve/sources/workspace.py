@@ -57,3 +57,14 @@ class Workspace:
         """
         written = self.table(df, name)
         return written, written.agg(*metrics).first().asDict()
+
+    def close(self) -> None:
+        """Delete the folder and all its tables, which nothing may read any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()

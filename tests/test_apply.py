@@ -1,3 +1,5 @@
+import random
+import os
 from dataclasses import replace
 
 import pytest
@@ -173,7 +175,7 @@ def test_permutation_importance_equals_brute_force(spark, classifier, train):
     args = (matched, classifier.classifier, classifier.patterns.patterns, ["tid"], ws, classifier.patterns.n_patterns)
     got = {r["pid"]: r["mean"] for r in explain.permutation_importance(*args, repeats=2, top=1000, one_task_rows=0).collect()}
     spread = matched.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("rep"))
-    order = spread.withColumn("h", F.xxhash64("tid", "rep", F.lit(0))).orderBy("rep", "h", "tid").collect()
+    order = spread.withColumn("h", F.md5(F.concat_ws(":", "tid", "rep", F.lit("0")).cast("binary"))).orderBy("rep", "h", "tid").collect()
     weights, bias = classifier.coefficients(), classifier.classifier.intercept
     expected = dict.fromkeys(got, 0.0)
     for rep in (1, 2):
@@ -204,3 +206,34 @@ def test_no_rows_above_threshold(spark):
     df = spark.createDataFrame([(1, 1, 1, [0.4, 0.6])], "tid int, y int, prediction int, probability array<double>")
     with pytest.raises(ValueError, match="reaches"):
         explain.rows_of_class_above(df, ["tid"], 1, 0.9)
+
+
+def test_hull_survives_the_chord_filter(spark):
+    rng = random.Random(5)
+    counts = spark.createDataFrame([(1, rng.random(), rng.randint(0, 3), rng.randint(0, 3)) for _ in range(3000)], "cls int, score double, n1 int, n0 int")
+    points, x, y = [], 0, 0
+    for r in sorted(counts.collect(), key=lambda r: r["score"]):
+        x, y = x + r["n1"], y + r["n0"]
+        points.append((1, x, y))
+    df = spark.createDataFrame(points, "cls bigint, cum1 bigint, cum0 bigint").distinct()
+    left = df.withColumn("_part", F.lit(0))
+    for _ in range(metrics.CHORD_ROUNDS):
+        left = metrics.above_chords(left)
+    kept = sorted((r["cum1"], r["cum0"]) for r in left.collect())
+    assert len(kept) < len(points) / 4
+    assert metrics._hull(kept) == metrics._hull(sorted({p[1:] for p in points}))
+    assert abs(metrics.h_by_class(df).first()["h"] - metrics.h_from_hull([p[1:] for p in points], x, y)) < 1e-12
+
+
+def test_many_classes_are_refused_unless_asked_for(spark):
+    df = spark.range(1500).selectExpr("id as y")
+    with pytest.raises(ValueError, match="max_classes"):
+        prep.label_codes(df, "y")
+    assert prep.label_codes(df, "y", max_classes=2000).count() == 1500
+
+
+def test_workspace_goes_when_closed(spark):
+    with Workspace(spark) as ws:
+        ws.table(spark.range(3), "t")
+        assert os.path.isdir(ws.path.removeprefix("file:"))
+    assert not os.path.isdir(ws.path.removeprefix("file:"))
