@@ -30,58 +30,83 @@ _NEAR = 2 * _EDGES + 3
 SIZE = _OWN + 2 * _NEAR + 1
 
 
+def _one_hot(values: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros((len(values), size), np.float32)
+    out[np.arange(len(values)), values] = 1
+    return out
+
+
+#: Open words whose features are made at a time when a text is decoded.
+PIECE_WORDS = 8192
+
+
 @dataclass
 class Words:
-    """Words of a block of texts, the ones that may be tagged, and the shape features of those."""
+    """Words of a block of texts and the ones that may be tagged (open: those with a digit or an at-sign). Their shape features are
+    made piece by piece, as they take a thousand times a word's room."""
 
+    data: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
     text: np.ndarray
     open: np.ndarray
-    x: np.ndarray
-
-
-def _one_hot(values: np.ndarray, size: int) -> np.ndarray:
-    out = np.zeros((len(values), size), np.float32)
-    out[np.arange(len(values)), values] = 1
+    digits: np.ndarray  # digits before each byte
+
+    @property
+    def x(self) -> np.ndarray:
+        return self.features(0, len(self.open))
+
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        """Features times weights for all open words."""
+        parts = [self.features(lo, lo + PIECE_WORDS).astype(np.float64) @ weights for lo in range(0, len(self.open), PIECE_WORDS)]
+        return np.concatenate(parts) if parts else np.zeros((0, weights.shape[1]))
+
+    def features(self, lo: int, hi: int) -> np.ndarray:
+        """A row of features for each of the open words from lo up to hi."""
+        at, starts, ends, data = self.open[lo:hi], self.starts, self.ends, self.data
+        n = len(at)
+        if not n:
+            return np.zeros((0, SIZE), np.float32)
+        s, e = starts[at], ends[at]
+        # the bytes of these words alone, one after the other
+        length = e - s
+        first = np.concatenate([[0], np.cumsum(length)])
+        flat = data[np.repeat(s - first[:-1], length) + np.arange(first[-1])]
+
+        def count(mask: np.ndarray) -> np.ndarray:
+            return np.add.reduceat(mask.astype(np.int64), first[:-1])
+
+        digits, letters, dots = count(_DIGIT[flat]), count(_LETTER[flat]), count(flat == 0x2E)
+        own = [np.column_stack([count(flat == c) > 0 for c in _SIGNS])]
+        own += [_one_hot(np.searchsorted(k, v, side="right"), len(k) + 1) for k, v in ((_DIGIT_STEPS, digits), (_LETTER_STEPS, letters), (_DOT_STEPS, dots))]
+        own += [_one_hot(_EDGE[data[s]], _EDGES), _one_hot(_EDGE[data[e - 1]], _EDGES)]
+        own += [np.column_stack([digits == length, (digits > 0) & (letters > 0), (digits + dots == length) & (dots == 3)])]
+
+        def near(step: int) -> np.ndarray:
+            other = at + step
+            there = (other >= 0) & (other < len(starts))
+            other = np.where(there, other, 0)
+            there &= self.text[other] == self.text[at]
+            d = self.digits[ends[other]] - self.digits[starts[other]]
+            parts = [_one_hot(_EDGE[data[starts[other]]], _EDGES), _one_hot(_EDGE[data[ends[other] - 1]], _EDGES), np.column_stack([d > 0, d == ends[other] - starts[other]])]
+            return np.column_stack([np.column_stack(parts) * there[:, None], ~there])
+
+        return np.column_stack([*own, near(-1), near(1), np.ones(n)]).astype(np.float32)
+
+
+def _before(mask: np.ndarray) -> np.ndarray:
+    """How many are true before each place, and in all."""
+    out = np.zeros(len(mask) + 1, np.int32 if len(mask) < 1 << 31 else np.int64)
+    np.cumsum(mask, out=out[1:])
     return out
 
 
 def shapes(data: np.ndarray, off: np.ndarray) -> Words:
-    """Words (runs of anything but ASCII white space) of texts; features are made for words with a digit or an at-sign only."""
+    """Words (runs of anything but ASCII white space) of texts."""
     starts, ends, counts = word_bounds(~_SPACE[data], off)
     text = np.repeat(np.arange(len(counts)), counts)
-    marks = np.concatenate([[0], np.cumsum(_DIGIT[data] | (data == 0x40))])
-    at = np.flatnonzero(marks[ends] > marks[starts])
-    s, e = starts[at], ends[at]
-    n = len(at)
-    if not n:
-        return Words(starts, ends, text, at, np.zeros((0, SIZE), np.float32))
-    # the bytes of open words alone, one after the other
-    length = e - s
-    first = np.concatenate([[0], np.cumsum(length)])
-    flat = data[np.repeat(s - first[:-1], length) + np.arange(first[-1])]
-
-    def count(mask: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(mask.astype(np.int64), first[:-1])
-
-    digits, letters, dots = count(_DIGIT[flat]), count(_LETTER[flat]), count(flat == 0x2E)
-    own = [np.column_stack([count(flat == c) > 0 for c in _SIGNS])]
-    own += [_one_hot(np.searchsorted(k, v, side="right"), len(k) + 1) for k, v in ((_DIGIT_STEPS, digits), (_LETTER_STEPS, letters), (_DOT_STEPS, dots))]
-    own += [_one_hot(_EDGE[data[s]], _EDGES), _one_hot(_EDGE[data[e - 1]], _EDGES)]
-    own += [np.column_stack([digits == length, (digits > 0) & (letters > 0), (digits + dots == length) & (dots == 3)])]
-
-    def near(step: int) -> np.ndarray:
-        other = at + step
-        there = (other >= 0) & (other < len(starts))
-        other = np.where(there, other, 0)
-        there &= text[other] == text[at]
-        has = np.concatenate([[0], np.cumsum(_DIGIT[data])])
-        d = has[ends[other]] - has[starts[other]]
-        parts = [_one_hot(_EDGE[data[starts[other]]], _EDGES), _one_hot(_EDGE[data[ends[other] - 1]], _EDGES), np.column_stack([d > 0, d == ends[other] - starts[other]])]
-        return np.column_stack([np.column_stack(parts) * there[:, None], ~there])
-
-    return Words(starts, ends, text, at, np.column_stack([*own, near(-1), near(1), np.ones(n)]).astype(np.float32))
+    marks = _before(_DIGIT[data] | (data == 0x40))
+    return Words(data, starts, ends, text, np.flatnonzero(marks[ends] > marks[starts]), _before(_DIGIT[data]))
 
 
 def runs(words: Words) -> np.ndarray:
@@ -102,7 +127,7 @@ class Field:
 
     def decode(self, words: Words) -> np.ndarray:
         """The best tag of each open word. Runs are independent given the O around them; all are decoded at once, step by step."""
-        score = words.x.astype(np.float64) @ self.weights
+        score = words.scores(self.weights)
         first = runs(words)
         out = np.zeros(len(score), np.int64)
         if not len(first):
@@ -139,7 +164,7 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 
 def fit(words: Words, tags: np.ndarray, rounds: int = 120, rate: float = 0.15, ridge: float = 1e-3) -> Field:
     """Maximum likelihood with an L2 penalty over all runs, by Adam on exact gradients (forward and backward sums)."""
-    k = len(TAGS)
+    k, x = len(TAGS), words.x
     first = runs(words)
     length = np.diff(np.append(first, len(tags)))
     n, t = len(first), int(length.max(initial=1))
@@ -153,7 +178,7 @@ def fit(words: Words, tags: np.ndarray, rounds: int = 120, rate: float = 0.15, r
     for r in range(1, rounds + 1 if n else 1):
         w, moves = theta
         # after a run's end the tag is O: the same chain, with only O allowed there, closes every run
-        score = np.where(there[..., None], (words.x @ w)[place], np.where(np.arange(k) == 0, 0.0, -1e9))
+        score = np.where(there[..., None], (x @ w)[place], np.where(np.arange(k) == 0, 0.0, -1e9))
         fore, aft = np.empty((t, n, k)), np.empty((t, n, k))
         fore[0] = moves[0] + score[:, 0]
         for i in range(1, t):
@@ -174,7 +199,7 @@ def fit(words: Words, tags: np.ndarray, rounds: int = 120, rate: float = 0.15, r
                 grad_moves += (one[gold[own, i]][:, :, None] * one[gold[own, i + 1]][:, None, :] - pair).sum(0)
             else:
                 grad_moves[:, 0] += (one[gold[own, i]] - p[own, i]).sum(0)
-        grads = [words.x.T @ miss / n - ridge * w, grad_moves / n - ridge * moves]
+        grads = [x.T @ miss / n - ridge * w, grad_moves / n - ridge * moves]
         for j, g in enumerate(grads):
             mean[j] = 0.9 * mean[j] + 0.1 * g
             square[j] = 0.999 * square[j] + 0.001 * g * g

@@ -1,3 +1,6 @@
+import os
+import subprocess
+import sys
 import hashlib
 import re
 
@@ -93,3 +96,26 @@ def test_fit_separates():
     assert crf.fit(words, tags, 200).decode(words).tolist() == tags.tolist()
     empty = crf.shapes(np.zeros(0, np.uint8), np.array([0]))
     assert crf.fit(empty, np.zeros(0, int)).decode(empty).tolist() == []
+
+
+def test_a_text_of_numbers_is_decoded_in_bounded_memory():
+    """In a process of its own, whose peak memory tells."""
+    code = (
+        "import resource, numpy as np\n"
+        "from gainsieve.llm import crf\n"
+        "text = b'12345 ' * 400_000 + b'word ' + b'7 x ' * 100_000\n"
+        "before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+        "words = crf.shapes(np.frombuffer(text, np.uint8), np.array([0, len(text)]))\n"
+        "rng = np.random.default_rng(0)\n"
+        "tags = crf.Field(rng.normal(size=(crf.SIZE, 5)), rng.normal(size=(5, 5))).decode(words)\n"
+        "assert len(tags) == 500_000\n"
+        "print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)\n"
+    )
+    mb = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.getcwd()).stdout)
+    assert mb < 400
+
+
+def test_features_do_not_depend_on_the_piece():
+    text = b"a 12 b@c 3.4.5.6 x9 7 +1 y " * 40
+    words = crf.shapes(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert np.array_equal(words.x, np.concatenate([words.features(lo, lo + 7) for lo in range(0, len(words.open), 7)]))
