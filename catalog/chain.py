@@ -6,6 +6,8 @@ two can disagree.
 
 from __future__ import annotations
 
+import re
+
 from catalog.views import View
 from gainsieve.operators.mine import default_fs_k, default_top_k
 
@@ -194,10 +196,24 @@ def mine_ctes(length: int, gain: float, top_k: int, fs_k: int, keep: str = "lowe
     return ctes
 
 
+def weighted_ctes(view: View, bins: int, weights: list[int]) -> list[str]:
+    """The encoded rows, each as often as the weight of its class says, under numbers of its own."""
+    plain = [re.sub(r"\b(codes|d|tot|binned)\b", r"\1_once", c) for c in encode_ctes(view, bins)]
+    copies = f"(SELECT unnest(range({weights}[r.y + 1])) AS i)"
+    return [
+        *plain,
+        f"codes AS (SELECT lab, y, ny * {weights}[y + 1] AS ny FROM codes_once)",
+        "tot AS (SELECT sum(ny)::DOUBLE AS n, sum(y * ny)::DOUBLE AS sy, sum(y * y * ny)::DOUBLE AS syy, count(*) AS k FROM codes)",
+        f"d AS (SELECT r.* REPLACE (r.tid * {max(weights)} + i AS tid) FROM d_once r, LATERAL {copies})",
+        f"binned AS (SELECT r.* REPLACE (r.tid * {max(weights)} + i AS tid) FROM binned_once r, LATERAL {copies})",
+    ]
+
+
 def fit_sql(view: View, final: str, bins: int = 5, length: int = 1, gain: float = 1e-4, top_k: int = -1, fs_k: int = -1,
-            keep: str = "lowest", extra: list[str] | None = None) -> str:
+            keep: str = "lowest", extra: list[str] | None = None, weights: list[int] | None = None) -> str:
     top_k = default_top_k(length, top_k, 1.0)
-    ctes = encode_ctes(view, bins) + score_ctes(view) + mine_ctes(length, gain, top_k, default_fs_k(fs_k, top_k), keep)
+    encoded = weighted_ctes(view, bins, weights) if weights else encode_ctes(view, bins)
+    ctes = encoded + score_ctes(view) + mine_ctes(length, gain, top_k, default_fs_k(fs_k, top_k), keep)
     return "WITH " + ",\n".join([*ctes, *(extra or [])]) + "\n" + final
 
 

@@ -80,6 +80,18 @@ def d08(spark, sf):
     return items.select("item", "name", r6("raw"), "u")
 
 
+WEIGHTS = [1, 5]
+
+
+@query(
+    "d08_items_class_weights",
+    fit_sql(P4, "SELECT item, name, round((external * internal)::DOUBLE, 6) + 0.0::DOUBLE AS raw, u, support FROM items JOIN sums USING (item)", weights=WEIGHTS),
+)
+def d08_weights(spark, sf):
+    m = fitted(P4, spark, sf, class_weights=WEIGHTS)
+    return m.ranked.select("item", "name", r6("raw"), "u", "support")
+
+
 @query(
     "d09_normalised_utility",
     score_sql(P3, f"SELECT name, {s6('external * internal / (SELECT max(external * internal) FROM scored)', 'share')} FROM scored"),

@@ -252,6 +252,11 @@ def e27_three(spark, sf):
     return shown(fitted(P1, spark, sf, length=3))
 
 
+@query("e27_mine_class_weights", fit_sql(P2, _patterns_sql(), length=2, weights=[1, 5]))
+def e27_weights(spark, sf):
+    return shown(fitted(P2, spark, sf, length=2, class_weights=[1, 5]))
+
+
 @query("e27_mine_unrelated_label", fit_sql(P5, _patterns_sql(), gain=0.0))
 def e27_unrelated(spark, sf):
     return shown(fitted(P5, spark, sf, gain=0.0))

@@ -19,7 +19,7 @@ _TRAINED: dict[tuple, PatternClassifierModel] = {}
 
 def trained(view, spark, sf, base=None, **params) -> PatternClassifierModel:
     kind = base and (type(base).__name__, tuple(sorted((p.name, str(v)) for p, v in base.extractParamMap().items())))
-    key = (spark.sparkContext.applicationId, sf, view.name, kind, tuple(sorted(params.items())))
+    key = (spark.sparkContext.applicationId, sf, view.name, kind, repr(sorted(params.items())))
     if key not in _TRAINED:
         est = PatternClassifier(labelCol="lab", features=view.features, keys=[], base_estimator=base, **params)
         _TRAINED[key] = est.fit(view.frame(spark, sf).select(*view.features, "lab"))
@@ -45,6 +45,14 @@ def g01_gradient(spark, sf):
     return _certified(trained(P2, spark, sf, length=2), P2.frame(spark, sf))
 
 
+@query(
+    "g01_gradient_is_zero_with_class_weights",
+    fit_sql(P2, "SELECT 1 AS cls, pid, true AS optimal FROM patterns UNION ALL SELECT 1, -1, true", length=2, weights=[1, 5]),
+)
+def g01_weights(spark, sf):
+    return _certified(trained(P2, spark, sf, length=2, classWeights=[1, 5]), P2.frame(spark, sf))
+
+
 @query(
     "g02_gradients_are_zero",
     fit_sql(P1, "SELECT y AS cls, pid, true AS optimal FROM (SELECT pid FROM patterns UNION ALL SELECT -1), codes", length=2),

@@ -89,7 +89,7 @@ _MODELS: dict[tuple, PatternModel] = {}
 
 def fitted(view: View, spark: SparkSession, sf: str, **params) -> PatternModel:
     """The fitted model of a view; queries that show different parts of one fit share it."""
-    key = (spark.sparkContext.applicationId, sf, view.name, tuple(sorted(params.items())))
+    key = (spark.sparkContext.applicationId, sf, view.name, repr(sorted(params.items())))
     if key not in _MODELS:
         frame = view.frame(spark, sf).select(*dict.fromkeys([*view.features, "lab"]))
         _MODELS[key] = PatternMiner(label="lab", features=view.features, **params).fit(frame)

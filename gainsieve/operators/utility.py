@@ -38,6 +38,11 @@ def row_shapes(encoded: DataFrame, n_numeric: int, n_cats: int, y: str, n_classe
     return encoded.groupBy(*code_columns(n_numeric, n_cats)).agg(*scores.class_count_columns(y, n_classes))
 
 
+def weighted_shapes(shapes: DataFrame, class_weights: list[int]) -> DataFrame:
+    """Shapes whose class counts are multiplied by whole weights, so that all sums over them stay exact."""
+    return shapes.withColumns({f"c{j}": F.col(f"c{j}") * F.lit(w).cast("bigint") for j, w in enumerate(class_weights)})
+
+
 def contingency(shapes: DataFrame, n_numeric: int, n_cats: int, n_classes: int) -> DataFrame:
     """(col_idx, bin, label, c0..cK-1): class counts per column and code."""
     cells = [f"struct({i} as col_idx, b_{i} as bin, string(NULL) as label)" for i in range(n_numeric)]

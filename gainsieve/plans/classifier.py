@@ -45,12 +45,13 @@ class PatternClassifier(Estimator):
     topK = Param(Params._dummy(), "topK", "patterns kept by utility, -1 = default", TypeConverters.toInt)
     fsK = Param(Params._dummy(), "fsK", "patterns kept by gain, -1 = all of topK", TypeConverters.toInt)
     itemPercent = Param(Params._dummy(), "itemPercent", "share of the default topK", TypeConverters.toFloat)
+    classWeights = Param(Params._dummy(), "classWeights", "whole number for each class, by label code", TypeConverters.toListInt)
     regC = Param(Params._dummy(), "regC", "inverse regularisation of the default classifier", TypeConverters.toFloat)
 
     @keyword_only
     def __init__(
         self, *, labelCol="label", features=None, keys=None, bins=5, length=1, gain=1e-4, topK=-1, fsK=-1,
-        itemPercent=1.0, regC=1.0, base_estimator=None,
+        itemPercent=1.0, regC=1.0, classWeights=None, base_estimator=None,
     ):
         super().__init__()
         self._setDefault(
@@ -72,6 +73,7 @@ class PatternClassifier(Estimator):
             top_k=g(self.topK),
             fs_k=g(self.fsK),
             item_percent=g(self.itemPercent),
+            class_weights=g(self.classWeights) if self.isSet(self.classWeights) else None,
         )
 
     def _fit(self, dataset: DataFrame) -> PatternClassifierModel:
@@ -90,6 +92,8 @@ class PatternClassifier(Estimator):
             train = patterns.training_table()
         else:
             coded = prep.encode_label(dataset, patterns.label, patterns.codes, "_code").filter(F.col("_code").isNotNull())
+            if patterns.class_weights is not None:
+                raise ValueError("class weights need a classifier with a weightCol")
             train = patterns.transform(coded).select("features", F.col("_code").cast("double").alias("y"))
         return PatternClassifierModel(patterns, base.fit(train))
 
@@ -157,8 +161,11 @@ class PatternClassifierModel(Model):
             chance = F.array(F.element_at("probability", 2))
         else:
             chance = F.transform(vector_to_array("rawPrediction"), lambda r: F.lit(1.0) / (F.lit(1.0) + F.exp(-r)))
+        weight = F.lit(1.0)
+        if self.patterns.class_weights is not None:
+            weight = F.get(F.array(*[F.lit(float(w)) for w in self.patterns.class_weights]), F.col("label_code").cast("int"))
         known = F.array(*[(F.col("label_code") == c).cast("double") for c in classes])
-        residual = rows.select("pids", F.posexplode(F.zip_with(chance, known, lambda p, y: p - y)).alias("k", "r"))
+        residual = rows.select("pids", F.posexplode(F.zip_with(chance, known, lambda p, y: (p - y) * weight)).alias("k", "r"))
         each = residual.select("k", "r", F.explode(F.array_append("pids", F.lit(-1))).alias("pid"))
         sums = each.groupBy("k", "pid").agg((F.sum("r") / F.lit(n)).alias("slope"))
         fitted = [(k, classes[k], p, w) for k, ws in enumerate(coefficients) for p, w in enumerate(ws)]

@@ -23,6 +23,9 @@ class PatternMiner:
     bins: quantile bins per numeric column, -1 picks them by information gain.
     length: longest pattern, -1 for no limit. gain: patterns need a larger information gain.
     top_k, fs_k: patterns kept by utility and then by gain, -1 for the defaults.
+    class_weights: a whole number for each class, by label code (0: the most frequent). From the coded rows on a row counts
+    as often as its class's number says: in scores, gains, supports and utilities, and as the classifier's row weights. Bin
+    edges and label codes come from the rows as they are.
     """
 
     label: str
@@ -35,6 +38,7 @@ class PatternMiner:
     fs_k: int = -1
     item_percent: float = 1.0
     minority_weight: float = 1.0
+    class_weights: list[int] | None = None
     keep_duplicate: str = "lowest"
     exact_dedupe: bool = True
     max_distinct: int = encode.MAX_DISTINCT
@@ -49,6 +53,8 @@ class PatternMiner:
             self.gain = 0.0
         if not isinstance(self.gain, float):
             raise TypeError("gain has to be a float")
+        if self.class_weights is not None and any(isinstance(w, bool) or not isinstance(w, int) or w < 1 for w in self.class_weights):
+            raise ValueError("class_weights are whole numbers of 1 or more")
         if not self.label:
             raise ValueError("label names the class column")
         if self.length == 0 or self.length < -1:
@@ -73,7 +79,13 @@ class PatternMiner:
             coded, groups.ints, groups.floats, self.bins, "_y", n_classes, ws, groups.cats, **options
         )
         encoded = utility.encode_rows(coded, numeric, groups.cats)
-        shapes = ws.table(utility.row_shapes(encoded, len(numeric), len(groups.cats), "_y", n_classes), "shapes")
+        shapes = utility.row_shapes(encoded, len(numeric), len(groups.cats), "_y", n_classes)
+        if self.class_weights is not None:
+            if len(self.class_weights) != n_classes:
+                raise ValueError(f"{len(self.class_weights)} class weights for {n_classes} classes")
+            shapes = utility.weighted_shapes(shapes, self.class_weights)
+            totals = [t * w for t, w in zip(totals, self.class_weights)]
+        shapes = ws.table(shapes, "shapes")
         ct = utility.contingency(shapes, len(numeric), len(groups.cats), n_classes)
         ct, size = ws.counted(ct, "contingency", F.count("*").alias("n"))
         scored, items = utility.score_items(ct, numeric, groups.cats, totals, self.minority_weight, ws, size["n"])
@@ -96,6 +108,7 @@ class PatternMiner:
             report={**result.report, "top_k": top_k, "fs_k": fs_k, "gain": self.gain, "length": self.length},
             shapes=shapes,
             ranked=result.items,
+            class_weights=self.class_weights,
         )
 
 
@@ -113,6 +126,7 @@ class PatternModel:
     report: dict
     shapes: DataFrame | None = None
     ranked: DataFrame | None = None
+    class_weights: list[int] | None = None
     inline_patterns: int = matching.INLINE_PATTERNS
     _inline: tuple | None = field(default=None, repr=False)
     _known: DataFrame | None = field(default=None, repr=False)
@@ -214,6 +228,7 @@ class PatternModel:
             "totals": self.totals,
             "n_patterns": self.n_patterns,
             "report": self.report,
+            "class_weights": self.class_weights,
             "order": [c.name for c in self.numeric],
             "known": self.known_sets() is not None,
         }
@@ -240,5 +255,6 @@ class PatternModel:
             patterns=spark.read.parquet(f"{path}/patterns"),
             n_patterns=meta["n_patterns"],
             report=meta["report"],
+            class_weights=meta.get("class_weights"),
             _known=spark.read.parquet(f"{path}/known") if meta["known"] else None,
         )
