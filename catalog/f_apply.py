@@ -1,10 +1,12 @@
 """Fitted patterns on unseen rows, in batch and on streams."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from catalog.chain import COVER, apply_ctes, fit_sql
 from catalog.registry import query, table
-from catalog.views import P2, P3, fitted
+from catalog.views import P2, P3, View, fitted
 from gainsieve.operators import apply as matching
 from gainsieve.operators import encode
 from gainsieve.sources.workspace import Workspace
@@ -157,3 +159,20 @@ def k02(spark, sf):
     )
     query_.awaitTermination()
     return spark.read.parquet(out)
+
+
+#: A category of its own for each customer.
+MANY = View("p2many", P2.keys, [], P2.floats, ["o_orderstatus", "cust"], P2.label, "orders", (("cust", "'c' || o_custkey"),))
+_MANY_SQL = fit_sql(MANY, "SELECT tid AS o_orderkey, pid FROM cover", length=2, gain=0.0002, extra=[*apply_ctes(MANY, MANY.sql()), COVER])
+
+
+@query("f04_many_categories_inline", _MANY_SQL)
+def f04_many(spark, sf):
+    m = fitted(MANY, spark, sf, length=2, gain=0.0002)
+    return matching.coordinates(m.match(MANY.frame(spark, sf)), ["o_orderkey"])
+
+
+@query("f04_many_categories_joined", _MANY_SQL)
+def f04_many_joined(spark, sf):
+    m = fitted(MANY, spark, sf, length=2, gain=0.0002)
+    return matching.coordinates(replace(m, inline_patterns=0).match(MANY.frame(spark, sf)), ["o_orderkey"])

@@ -10,19 +10,50 @@ from pyspark.sql import functions as F
 
 from gainsieve.operators.encode import NumericColumn
 from gainsieve.operators.utility import encode_rows, item_columns, item_lookup
+from gainsieve.sources.local import local_frame
 
 INLINE_PATTERNS = 5_000
 KNOWN_SETS = 100_000
 MASK_WORDS = 8  # item sets of up to 64 * 8 items are compared as bit masks
 
 
-def _coded_items(df: DataFrame, numeric: list[NumericColumn], cats: list[str], items: DataFrame):
-    """The coded frame, the SQL of each feature column's item id, and the helper columns to drop."""
-    work, cells, helpers = item_columns(encode_rows(df, numeric, cats), numeric, len(cats), item_lookup(items))
+def _coded_items(df: DataFrame, numeric: list[NumericColumn], cats: list[str], items: DataFrame, slots: dict[int, int] | None = None):
+    """The coded frame, the SQL of each feature column's item id (and, with slots, of its slot), and the helper columns to drop."""
+    lookup = item_lookup(items)
+    if slots is not None:  # a slot for few items; it takes the place of the utility
+        table = local_frame(df.sparkSession, list(slots.items()), "_item int, _slot bigint")
+        lookup = lookup.join(table, F.col("id") == F.col("_item"), "left").select("col_idx", "bin", "label", "id", F.col("_slot").alias("u"))
+    work, cells, helpers = item_columns(encode_rows(df, numeric, cats), numeric, len(cats), lookup)
     helpers += [f"b_{i}" for i in range(len(numeric))] + [f"l_{j}" for j in range(len(cats))]
+    if slots is not None:
+        return work, cells, helpers
     return work, [i for i, _ in cells], helpers
 
 
+def balanced_anchors(patterns: list[tuple[int, list[int]]], support: dict[int, int]) -> list[tuple[int, list[int]]]:
+    """The patterns with the item first under which each is filed: of its items the one with the least load, which is the item's
+    support times the patterns filed under it. Items of unknown support count as rare, in their order."""
+    filed: dict[int, int] = {}
+    out = []
+    for pid, its in sorted(patterns, key=lambda p: (len(p[1]), p[0])):  # those without a choice first
+        anchor = min(its, key=lambda i: (support.get(i, 0) * (filed.get(i, 0) + 1), its.index(i)))
+        filed[anchor] = filed.get(anchor, 0) + 1
+        out.append((pid, [anchor, *(i for i in its if i != anchor)]))
+    return sorted(out)
+
+
+def with_anchor(patterns: DataFrame, support: DataFrame | None = None) -> DataFrame:
+    """patterns with the column anchor: as balanced_anchors, for any number of them and in one step: the load of an item is its
+    support (item, support) times the patterns that hold it. Without supports the first, rarest item."""
+    if support is None:
+        return patterns.withColumn("anchor", F.element_at("items", 1))
+    each = patterns.select("pid", F.explode("items").alias("item"))
+    load = each.groupBy("item").agg(F.count("*").alias("n")).join(support.select("item", "support"), "item", "left")
+    load = load.select("item", (F.col("n") * F.coalesce("support", F.lit(0))).alias("load"))
+    best = each.join(load, "item").groupBy("pid").agg(F.min_by("item", F.struct("load", "item")).alias("anchor"))
+    return patterns.join(best, "pid")
+
+
 def _ids_sql(ids: list[str]) -> str:
     return f"filter(array({', '.join(ids)}), x -> x is not null)" if ids else "cast(array() as array<int>)"
 
@@ -43,16 +74,18 @@ def match_inline(
 ) -> DataFrame:
     """Add item ids and the sorted matched pattern ids, row by row and without grouping; works on streams.
 
-    Patterns are filed under their first (rarest) item, so a row only looks at patterns whose
-    first item it holds, and compares the rest as bit masks. For at most INLINE_PATTERNS patterns.
+    Patterns are filed under their first item, so a row only looks at patterns whose first item it holds, and compares the
+    rest as bit masks. For at most INLINE_PATTERNS patterns; the plan holds an entry for each pattern, none for each item.
     ``known`` (item_ids, pids; at most KNOWN_SETS rows) answers the item sets seen in training by a
     lookup, which Spark broadcasts if its bytes are few, so only new sets are compared.
     """
     words = (n_items + 63) // 64
-    work, ids, helpers = _coded_items(df, numeric, cats, items)
+    slots = {item: k for k, item in enumerate(sorted({its[0] for _, its in patterns}))}
+    work, cells, helpers = _coded_items(df, numeric, cats, items, slots)
+    ids, places = [i for i, _ in cells], [s for _, s in cells]
     work = work.withColumn(ids_out, F.expr(_ids_sql(ids)))
     masked = 0 < words <= MASK_WORDS
-    by_first: list[list[dict]] = [[] for _ in range(n_items)]
+    filed: list[list[dict]] = [[] for _ in slots]
     for pid, its in patterns:
         entry: dict = {"p": pid}
         if masked:
@@ -60,11 +93,11 @@ def match_inline(
                 entry[f"m{w}"] = _signed(sum(1 << ((i - 1) % 64) for i in its if (i - 1) // 64 == w))
         else:
             entry["r"] = its[1:]
-        by_first[its[0] - 1].append(entry)
+        filed[slots[its[0]]].append(entry)
     fields = ", ".join(f"m{w}: bigint" for w in range(words)) if masked else "r: array<int>"
-    index = F.from_json(F.lit(json.dumps(by_first)), f"array<array<struct<p: int, {fields}>>>")
+    index = F.from_json(F.lit(json.dumps(filed)), f"array<array<struct<p: int, {fields}>>>")
     work = work.withColumn("_index", index)
-    near = ", ".join(f"coalesce(_index[{i} - 1], slice(_index[0], 1, 0))" for i in ids)
+    near = ", ".join(f"coalesce(get(_index, int({s})), slice(_index[0], 1, 0))" for s in places)
     # The one-element transform binds the row's side as r, else it would be computed per pattern.
     if masked:
         bits = [
@@ -85,7 +118,8 @@ def match_inline(
 
 
 def match_rows(
-    df: DataFrame, numeric: list[NumericColumn], cats: list[str], items: DataFrame, patterns: DataFrame, ids_out: str = "item_ids", out: str = "pids"
+    df: DataFrame, numeric: list[NumericColumn], cats: list[str], items: DataFrame, patterns: DataFrame, ids_out: str = "item_ids", out: str = "pids",
+    support: DataFrame | None = None,
 ) -> DataFrame:
     """What ``match_inline`` adds, for any number of patterns and without reading them to the driver; works on streams.
 
@@ -94,8 +128,8 @@ def match_rows(
     """
     work, ids, helpers = _coded_items(df, numeric, cats, items)
     work = work.withColumn(ids_out, F.expr(_ids_sql(ids)))
-    filed = patterns.groupBy(F.element_at("items", 1).alias("_first")).agg(
-        F.collect_list(F.struct("pid", F.expr("slice(items, 2, size(items))").alias("rest"))).alias("_filed")
+    filed = with_anchor(patterns, support).groupBy(F.col("anchor").alias("_first")).agg(
+        F.collect_list(F.struct("pid", F.array_remove("items", F.col("anchor")).alias("rest"))).alias("_filed")
     )
     none = "cast(array() as array<struct<pid:int,rest:array<int>>>)"
     for i, own in enumerate(ids):
@@ -109,14 +143,14 @@ def match_rows(
     return work.withColumn(out, F.expr(f"sort_array({hits})")).drop(*helpers)
 
 
-def match_join(df: DataFrame, patterns: DataFrame, keys: list[str], ids: str = "item_ids") -> DataFrame:
+def match_join(df: DataFrame, patterns: DataFrame, keys: list[str], ids: str = "item_ids", support: DataFrame | None = None) -> DataFrame:
     """(keys, pid) coordinates for any number of patterns.
 
-    Rows meet a pattern only through its first (rarest) item; the rest is checked in
+    Rows meet a pattern only through one item (see with_anchor); the rest is checked in
     place. The pattern table is broadcast when it is small enough, and nothing is
     grouped by row, so a row with many hits stays in its task.
     """
-    anchored = patterns.select("pid", F.element_at("items", 1).alias("anchor"), F.col("items").alias("_need"))
+    anchored = with_anchor(patterns, support).select("pid", "anchor", F.col("items").alias("_need"))
     exploded = df.select(*keys, ids, F.explode(ids).alias("anchor"))
     hit = exploded.join(anchored, "anchor").filter(f"size(_need) = 1 or forall(_need, x -> array_contains({ids}, x))")
     return hit.select(*keys, "pid")

@@ -159,7 +159,11 @@ class PatternModel:
         """Patterns and the number of items, for at most ``inline_patterns`` patterns; read once."""
         if self._inline is None:
             local = [(r["pid"], list(r["items"])) for r in self.patterns.select("pid", "items").collect()]
-            self._inline = local, self.items.agg(F.max("item")).first()[0]
+            support = {}
+            if self.ranked is not None:  # of the patterns' items alone
+                used = self.patterns.select(F.explode("items").alias("item")).distinct()
+                support = {r["item"]: r["support"] for r in self.ranked.join(used, "item", "left_semi").select("item", "support").collect()}
+            self._inline = matching.balanced_anchors(local, support), self.items.agg(F.max("item")).first()[0]
         return self._inline
 
     def known_sets(self) -> DataFrame | None:
@@ -184,7 +188,7 @@ class PatternModel:
             return matching.match_inline(
                 df, self.numeric, self.groups.cats, self.items, *self._local_patterns(), known=self.known_sets()
             )
-        return matching.match_rows(df, self.numeric, self.groups.cats, self.items, self.patterns)
+        return matching.match_rows(df, self.numeric, self.groups.cats, self.items, self.patterns, support=self.ranked)
 
     def transform(self, df: DataFrame) -> DataFrame:
         """``match`` plus the sparse 0/1 vector ``features``."""
@@ -194,7 +198,7 @@ class PatternModel:
         """(keys, pid) of every match; beyond the inline limit through the join form."""
         if self.n_patterns <= self.inline_patterns:
             return matching.coordinates(self.match(df), keys)
-        return matching.match_join(self.row_items(df), self.patterns, keys)
+        return matching.match_join(self.row_items(df), self.patterns, keys, support=self.ranked)
 
     def density(self, df: DataFrame, keys: list[str]) -> DataFrame:
         return matching.density(self.coordinates(df, keys), df.count(), self.n_patterns)

@@ -237,3 +237,20 @@ def test_workspace_goes_when_closed(spark):
         ws.table(spark.range(3), "t")
         assert os.path.isdir(ws.path.removeprefix("file:"))
     assert not os.path.isdir(ws.path.removeprefix("file:"))
+
+
+def test_anchors_are_balanced_and_the_plan_does_not_hold_the_items(spark):
+    patterns = [(p, [1, 2 + p % 50]) for p in range(200)]
+    support = {1: 10, **{i: 12 for i in range(2, 52)}}
+    filed = {}
+    for _, its in matching.balanced_anchors(patterns, support):
+        filed[its[0]] = filed.get(its[0], 0) + 1
+    assert max(support[i] * n for i, n in filed.items()) <= 60  # all 200 under the rarest item would be 2000
+    rows = [(i, f"c{i % 900}", int(i % 900 < 40)) for i in range(1800)]
+    df = spark.createDataFrame(rows, "tid bigint, c string, y int")
+    few, many = (PatternMiner(label="y", keys=["tid"], top_k=20).fit(df.where(f"substr(c, 2) < {n}")) for n in (90, 900))
+    sizes = [len(m.match(df)._jdf.queryExecution().analyzed().toString()) for m in (few, many)]
+    assert sizes[1] < 1.5 * sizes[0]
+    pids = many.match(df).select("tid", "pids")
+    joined = replace(many, inline_patterns=0).match(df).select("tid", "pids")
+    assert sorted(map(tuple, pids.collect())) == sorted(map(tuple, joined.collect()))
