@@ -212,12 +212,29 @@ def emitted(level: DataFrame, threshold, gain: float) -> DataFrame:
     return level.filter((F.col("util") >= F.lit(threshold)) & (F.col("util") > 0) & (F.col("ig") > F.lit(gain)))
 
 
-def _deeper(base: DataFrame, survivors: DataFrame, threshold, length: int, n_classes: int) -> DataFrame:
+#: A prefix with more than one in HOT_SHARE rows is spread over SALTS keys where it meets its sibling lists.
+HOT_SHARE, SALTS = 64, 16
+
+
+def meet_siblings(state: DataFrame, siblings: DataFrame, total: int) -> DataFrame:
+    """state (p, h1, ...) joined with siblings (p, most, ...) on p, heavy and light prefixes in one join.
+
+    most, the largest support of a prefix's extensions, tells the heavy ones: few, as a row has only so many prefixes. Their
+    rows are dealt over SALTS keys by the shape's hash, and their lists are there once for each; all others have one key.
+    """
+    heavy = F.col("most") * HOT_SHARE >= F.lit(total)
+    hot = siblings.filter(heavy).select("p", F.lit(True).alias("_hot"))
+    lists = siblings.withColumn("_salt", F.explode(F.when(heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("most")
+    dealt = state.join(hot, "p", "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod("h1", F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
+    return dealt.join(lists, ["p", "_salt"]).drop("_salt")
+
+
+def _deeper(base: DataFrame, survivors: DataFrame, threshold, length: int, n_classes: int, total: int) -> DataFrame:
     """Counts of itemsets P + x + y for surviving siblings P + x, P + y (``length`` = |P| + 2 >= 3)."""
     siblings = (
         survivors.withColumn("head", extendable(threshold))
         .groupBy("prefix")
-        .agg(F.collect_list("last").alias("s"), F.collect_list(F.when(F.col("head"), F.col("last"))).alias("x"))
+        .agg(F.collect_list("last").alias("s"), F.collect_list(F.when(F.col("head"), F.col("last"))).alias("x"), F.max("support").alias("most"))
         .filter((F.size("s") > 1) & (F.size("x") > 0))
     )
     state = base.select("*", F.explode("items").alias("_a")).withColumn("p", F.array("_a")).drop("_a")
@@ -228,7 +245,7 @@ def _deeper(base: DataFrame, survivors: DataFrame, threshold, length: int, n_cla
         )
         state = state.join(steps, "p").withColumn("_a", F.explode(F.array_intersect("items", "next")))
         state = state.withColumn("p", F.concat("p", F.array("_a"))).drop("_a", "next")
-    met = state.join(siblings.withColumnRenamed("prefix", "p"), "p")
+    met = meet_siblings(state, siblings.withColumnRenamed("prefix", "p"), total)
     met = met.withColumn("s", F.array_intersect("items", "s")).filter(F.size("s") > 1)
     firsts = met.withColumn("a", F.explode(F.array_intersect("s", "x")))
     both = firsts.withColumn("last", F.explode(F.filter("s", lambda y: y > F.col("a"))))
@@ -298,7 +315,7 @@ def mine(
             tails = levels[1].select("last")
             candidates = pairs.join(heads, "prefix", "left_semi").join(tails, "last", "left_semi")
         else:
-            raw = _deeper(base, levels[m - 1], bar, m, k)
+            raw = _deeper(base, levels[m - 1], bar, m, k, sum(totals))
             parents = levels[m - 2].select(
                 F.concat("prefix", F.array("last")).alias("p"), F.col("cls").alias("parent_cls")
             )

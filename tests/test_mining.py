@@ -173,3 +173,25 @@ def test_constant_hashes_change_nothing(spark, monkeypatch):
     got, _ = fit()
     assert got == want and len(want) > 20
     assert report["patterns_same_rows"] > 0 and sum(lv["siblings_dropped"] for lv in report["levels"]) > 0
+
+
+def test_spread_prefixes_give_the_same_patterns(spark, monkeypatch):
+    df = spark.createDataFrame(random_rows(13), "tid bigint, a int, b double, c string, d string, y int")
+
+    def fit(share):
+        monkeypatch.setattr(mine, "HOT_SHARE", share)
+        m = PatternMiner(label="y", keys=["tid"], bins=3, length=3, gain=0.0).fit(df)
+        return [tuple(r) for r in m.patterns.orderBy("pid").select("name", "support", "util", "ig").collect()]
+
+    light, some, heavy = fit(0), fit(2), fit(10**9)
+    assert light == some == heavy and any(name.count("=") == 3 for name, *_ in light)
+
+
+def test_a_hot_prefix_is_dealt_evenly(spark):
+    state = spark.range(20_000).selectExpr("array(if(id % 10 < 9, 1, 2 + id % 40)) p", "xxhash64(id) h1", "id")
+    lists = spark.createDataFrame([([i], [5, 6], 18_000 if i == 1 else 50) for i in range(1, 42)], "p array<bigint>, s array<int>, most bigint")
+    met = mine.meet_siblings(state.withColumn("p", F.col("p").cast("array<bigint>")), lists, 20_000)
+    assert met.count() == 20_000 and met.columns.count("p") == 1
+    hot = state.filter("p[0] = 1").select(F.pmod("h1", F.lit(mine.SALTS)).alias("k")).groupBy("k").count().collect()
+    sizes = sorted(r["count"] for r in hot)
+    assert len(sizes) == mine.SALTS and sizes[-1] < 1.5 * sizes[0]
