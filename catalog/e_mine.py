@@ -158,7 +158,7 @@ def e15(spark, sf):
     singles = gained(mine.single_sums(base, len(totals)), totals).filter("ig > 1e-4").select("last")
     pairs = gained(mine.pair_sums(base, len(totals)), totals).filter("ig > 1e-4").join(singles, "last", "left_semi")
     pairs = pairs.join(singles.select(F.array("last").alias("prefix")), "prefix", "left_semi")
-    return mine.drop_sibling_duplicates(pairs).select(F.col("prefix")[0].alias("x"), F.col("last").alias("z"), "support")
+    return mine.drop_sibling_duplicates(pairs, base, Workspace(spark))[0].select(F.col("prefix")[0].alias("x"), F.col("last").alias("z"), "support")
 
 
 @query("e16_gain_filter", fit_sql(P3, _patterns_sql(), length=2, gain=0.02))
