@@ -22,7 +22,7 @@ from gainsieve.sources.local import local_frame
 def default_classifier(n_rows: float, n_classes: int, c: float = 1.0, multinomial: bool = False):
     """L2 logistic regression with total-loss weight C; one against the rest for more than two classes."""
     base = LogisticRegression(
-        regParam=1.0 / (c * max(n_rows, 1.0)), elasticNetParam=0.0, standardization=False, maxIter=500, tol=1e-4
+        regParam=1.0 / (c * max(n_rows, 1.0)), elasticNetParam=0.0, standardization=False, maxIter=500, tol=1e-8
     )
     if n_classes <= 2:
         return base.setFamily("binomial")
