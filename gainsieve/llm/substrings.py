@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by sampled prefix doubling.
+"""Removal of repeated byte strings by sampled anchors and block refinement.
 
 A byte goes if a string of ``length`` (200) bytes that covers it also starts anywhere else. Doubling the ranks of all positions
 sorts several times the text's size in every round, so positions are sampled first, without loss: a window of 200 bytes is
