@@ -165,35 +165,44 @@ def rows_with_both(pairs: DataFrame, base: DataFrame) -> DataFrame:
     return pairs.join(counted, "id", "left").withColumn("n_both", F.coalesce("n_both", F.lit(0)))
 
 
-def first_of_equal_rows(
+def equal_row_classes(
     found: DataFrame, group: list[str], order: list[Column], base: DataFrame, ws: Workspace, name: str, proved: bool = True
 ) -> tuple[DataFrame, int]:
-    """Of itemsets (ranks, support, f1, f2, ...) of a group that have the same rows the first in order; and how many went.
+    """Itemsets (ranks, support, f1, f2, ...) with same_as, the ranks of the first in order of those of their group that have the
+    same rows; and how many are not that first.
 
     Equal fingerprints only say which may be the same. Each is compared with the first of its fingerprint by counting the rows
     that hold both: as many as hold one means the same rows. Those that turn out to differ are compared among themselves in
     the next round, so whatever the hashes are, the result is right.
     """
     w = Window.partitionBy(*group, "support", "f1", "f2").orderBy(*order)
-    columns, kept, gone, left, turn = found.columns, [], 0, found, 0
+    columns, done, gone, left, turn = found.columns, [], 0, found, 0
     while True:
-        placed = left.withColumns({"_rn": F.row_number().over(w), "_first": F.first("ranks").over(w)})
+        placed = left.withColumns({"_rn": F.row_number().over(w), "same_as": F.first("ranks").over(w)})
         placed, size = ws.counted(placed, f"{name}-{turn}", F.count_if(F.col("_rn") > 1).alias("repeats"))
-        kept.append(placed.filter("_rn = 1").select(columns))
-        if not size["repeats"]:
-            break
-        if not proved:
+        if not size["repeats"] or not proved:
             gone += size["repeats"]
+            done.append(placed.select(*columns, "same_as"))
             break
-        pairs = placed.filter("_rn > 1").select(F.struct("ranks", "_first").alias("id"), F.array_sort(F.array_union("ranks", "_first")).alias("both"))
+        pairs = placed.filter("_rn > 1").select(F.struct("ranks", F.col("same_as").alias("_first")).alias("id"), F.array_sort(F.array_union("ranks", "same_as")).alias("both"))
         same = rows_with_both(pairs.distinct(), base).select(F.col("id.ranks").alias("_ranks"), "n_both")
         judged = placed.filter("_rn > 1").join(same, F.col("ranks") == F.col("_ranks"), "left")
-        left, size = ws.counted(judged.filter(F.col("n_both") != F.col("support")).select(columns), f"{name}-{turn}-left", F.count("*").alias("n"))
-        gone += placed.filter("_rn > 1").count() - size["n"]
+        unlike = F.col("n_both") != F.col("support")
+        judged, size = ws.counted(judged, f"{name}-{turn}-judged", F.count_if(unlike).alias("n"), F.count("*").alias("judged"))
+        gone += size["judged"] - size["n"]
+        done += [placed.filter("_rn = 1").select(*columns, "same_as"), judged.filter(~unlike).select(*columns, "same_as")]
         if not size["n"]:
             break
-        turn += 1
-    return reduce(DataFrame.unionByName, kept), gone
+        left, turn = judged.filter(unlike).select(columns), turn + 1
+    return reduce(DataFrame.unionByName, done), gone
+
+
+def first_of_equal_rows(
+    found: DataFrame, group: list[str], order: list[Column], base: DataFrame, ws: Workspace, name: str, proved: bool = True
+) -> tuple[DataFrame, int]:
+    """Of itemsets of a group that have the same rows the first in order (see equal_row_classes); and how many went."""
+    classed, gone = equal_row_classes(found, group, order, base, ws, name, proved)
+    return classed.filter(F.col("ranks") == F.col("same_as")).select(found.columns), gone
 
 
 def drop_sibling_duplicates(extensions: DataFrame, base: DataFrame, ws: Workspace, proved: bool = True) -> tuple[DataFrame, int]:
@@ -370,16 +379,18 @@ def select_patterns(
     """Top-K by utility, one pattern per row set, order by gain, first fsK; pid = 0, 1, ...
 
     Patterns are cut to the top K before their items are named; only what ties with the last is named to settle the tie.
+    Where ``found`` has same_as, that column tells the row sets and nothing is compared.
     """
+    shown = ["support", "util", "ig", "entropy", "pure_class", "cls", "f1", "f2", *(["same_as"] if "same_as" in found.columns else [])]
     whole, size = ws.counted(
-        found.withColumn("ranks", F.concat("prefix", F.array("last"))).select("ranks", "support", "util", "ig", "entropy", "pure_class", "cls", "f1", "f2"),
+        found.withColumn("ranks", F.concat("prefix", F.array("last"))).select("ranks", *shown),
         "emitted", F.count("*").alias("n"), F.min("util").alias("least_util"), F.min("ig").alias("least_ig"), F.max("ig").alias("most_ig"),
     )
     size_found, n_found = size, size["n"]
     if n_found > top_k:
         bar = kth_largest(whole, "util", top_k)
         whole = whole.filter(F.col("util") >= F.lit(bar))
-    top = name_patterns(whole, ranked).select("ranks", "items", "names", "name", "support", "util", "ig", "entropy", "pure_class", "cls", "f1", "f2")
+    top = name_patterns(whole, ranked).select("ranks", "items", "names", "name", *shown)
     if n_found > top_k:
         ordered = numbered(top, [F.desc("util"), F.col("items")], ws, "_by_util", rows=n_found)
         top = ordered.filter(F.col("_by_util") <= top_k).drop("_by_util")
@@ -387,8 +398,11 @@ def select_patterns(
         choice = [F.desc("ig"), F.desc("util"), F.col("items")]
     else:
         choice = [F.col("ig"), F.col("util"), F.desc("items")]
-    distinct, same = first_of_equal_rows(top, [], choice, base, ws, "same-rows", exact_dedupe)
-    distinct = distinct.drop("f1", "f2")
+    if "same_as" in shown:
+        distinct = top.withColumn("_rn", F.row_number().over(Window.partitionBy("same_as").orderBy(*choice))).filter("_rn = 1")
+    else:
+        distinct, _ = first_of_equal_rows(top, [], choice, base, ws, "same-rows", exact_dedupe)
+    distinct = distinct.drop("f1", "f2", "same_as", "_rn")
     by_gain = [F.desc("ig"), F.desc("util"), F.col("items")]
     ordered = numbered(distinct, by_gain, ws, "_place", rows=min(n_found, top_k))
     ordered = ordered.withColumn("pid", (F.col("_place") - 1).cast("int")).drop("_place")
@@ -398,7 +412,7 @@ def select_patterns(
     report.update(
         {
             "patterns_found": n_found,
-            "patterns_same_rows": same,
+            "patterns_same_rows": min(n_found, top_k) - n_distinct,
             "least_utility": float(size_found["least_util"]) / scores.MICRO if n_found else 0.0,
             "least_gain": float(size_found["least_ig"]) if n_found else 0.0,
             "most_gain": float(size_found["most_ig"]) if n_found else 0.0,

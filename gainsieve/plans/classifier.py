@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark import keyword_only
@@ -77,7 +78,16 @@ class PatternClassifier(Estimator):
         )
 
     def _fit(self, dataset: DataFrame) -> PatternClassifierModel:
-        patterns = self.miner().fit(dataset)
+        return self._train(self.miner().fit(dataset), dataset)
+
+    def fit_grid(self, dataset: DataFrame, points: list[tuple[int, int, float]]) -> Iterator[tuple[tuple[int, int, float], PatternClassifierModel]]:
+        """((bins, length, gain), model) of each point, as separate fits would give: rows are coded and mined once for each bins."""
+        for bins in dict.fromkeys(b for b, _, _ in points):
+            own = [(length, gain) for b, length, gain in points if b == bins]
+            for (length, gain), patterns in self.copy({self.bins: bins}).miner().fit_grid(dataset, own).items():
+                yield (bins, length, gain), self._train(patterns, dataset)
+
+    def _train(self, patterns: PatternModel, dataset: DataFrame) -> PatternClassifierModel:
         if patterns.n_patterns == 0:
             raise ValueError("no pattern passes the thresholds; lower gain or raise topK")
         n, k = sum(patterns.totals), len(patterns.totals)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from gainsieve.functions import scores
 from gainsieve.operators import apply as matching
 from gainsieve.operators import encode, mine, prep, utility
 from gainsieve.operators.encode import NumericColumn
+from gainsieve.operators.lattice import Lattice, derive, grow
 from gainsieve.sources.local import local_frame
 from gainsieve.sources.workspace import Workspace
 
@@ -62,7 +63,8 @@ class PatternMiner:
         if self.bins < 1 and self.bins != -1:
             raise ValueError("bins is at least 1, or -1 for automatic")
 
-    def fit(self, df: DataFrame) -> PatternModel:
+    def code(self, df: DataFrame) -> CodedTable:
+        """Classes, bins, row shapes and scored items: all of a fit that length, gain and the budgets have no part in."""
         self.validate()
         spark = df.sparkSession
         ws = Workspace(spark)
@@ -89,28 +91,80 @@ class PatternMiner:
         ct = utility.contingency(shapes, len(numeric), len(groups.cats), n_classes)
         ct, size = ws.counted(ct, "contingency", F.count("*").alias("n"))
         scored, items = utility.score_items(ct, numeric, groups.cats, totals, self.minority_weight, ws, size["n"])
+        return CodedTable(groups, codes, totals, numeric, shapes, scored, items, size["n"], ws)
+
+    def fit(self, df: DataFrame) -> PatternModel:
+        return self.mine(self.code(df))
+
+    def _budgets(self) -> tuple[int, int]:
         top_k = mine.default_top_k(self.length, self.top_k, self.item_percent)
-        fs_k = mine.default_fs_k(self.fs_k, top_k)
-        result = mine.mine(
-            shapes, numeric, len(groups.cats), items, totals, self.length, self.gain, top_k, fs_k, ws,
-            size["n"], self.keep_duplicate, self.exact_dedupe,
-        )
+        return top_k, mine.default_fs_k(self.fs_k, top_k)
+
+    def mine(self, coded: CodedTable, lattice: Lattice | None = None) -> PatternModel:
+        """The patterns of a coded table, derived from a lattice of it where that one answers."""
+        self.validate()
+        top_k, fs_k = self._budgets()
+        derived = lattice is not None and lattice.answers(self.length, self.gain, top_k)
+        if derived:
+            result = derive(lattice, self.length, self.gain, top_k, fs_k, coded.ws, self.keep_duplicate)
+        else:
+            result = mine.mine(
+                coded.shapes, coded.numeric, len(coded.groups.cats), coded.items, coded.totals, self.length, self.gain, top_k, fs_k,
+                coded.ws, coded.n_codes, self.keep_duplicate, self.exact_dedupe,
+            )
         return PatternModel(
             label=self.label,
-            groups=groups,
-            codes=codes,
-            totals=totals,
-            numeric=numeric,
-            scored=scored,
-            items=items,
+            groups=coded.groups,
+            codes=coded.codes,
+            totals=coded.totals,
+            numeric=coded.numeric,
+            scored=coded.scored,
+            items=coded.items,
             patterns=result.patterns,
             n_patterns=result.report["patterns_selected"],
-            report={**result.report, "top_k": top_k, "fs_k": fs_k, "gain": self.gain, "length": self.length},
-            shapes=shapes,
+            report={**result.report, "top_k": top_k, "fs_k": fs_k, "gain": self.gain, "length": self.length, "derived": int(derived)},
+            shapes=coded.shapes,
             ranked=result.items,
             class_weights=self.class_weights,
         )
 
+    def fit_grid(self, df: DataFrame, points: list[tuple[int, float]]) -> dict[tuple[int, float], PatternModel]:
+        """The models of several (length, gain), equal to those of a fit each: the rows are coded once, and mined once for all
+        points whose thresholds cannot bind (see Lattice.answers). Each of the others is mined by itself, from the same codes.
+        """
+        if not points:
+            return {}
+        coded = self.code(df)
+        miners = {(length, gain): replace(self, length=length, gain=float(gain)) for length, gain in points}
+        for m in miners.values():
+            m.validate()
+        lattice = None
+        # a budget of no more than the items, or their pairs, rules a point out beforehand
+        pairs = coded.n_codes * (coded.n_codes - 1) // 2
+        open_points = [m for m in miners.values() if m._budgets()[0] > (pairs if m.length >= 2 else coded.n_codes)]
+        if len(open_points) > 1:
+            lengths = [m.length for m in open_points]
+            lattice = grow(
+                coded.shapes, coded.numeric, len(coded.groups.cats), coded.items, coded.totals, -1 if -1 in lengths else max(lengths),
+                min(m.gain for m in open_points), max(m._budgets()[0] for m in open_points), coded.ws, coded.n_codes, self.exact_dedupe,
+            )
+        return {point: m.mine(coded, lattice) for point, m in miners.items()}
+
+
+@dataclass
+class CodedTable:
+    """A labelled table in codes: row shapes with class counts, and the scored items."""
+
+    groups: prep.FeatureGroups
+    codes: DataFrame
+    totals: list[int]
+    numeric: list[NumericColumn]
+    shapes: DataFrame
+    scored: DataFrame
+    items: DataFrame
+    n_codes: int
+    ws: Workspace
+
 
 @dataclass
 class PatternModel:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import product
 
 from pyspark.ml.evaluation import Evaluator
@@ -98,15 +97,25 @@ def grid_search(
     estimator: PatternClassifier, df: DataFrame, keys: list[str], grid: dict[str, list], metric: str = "f1", folds: int = 3,
     fold_col: str | None = None,
 ) -> DataFrame:
-    """(bins, length, gain, metric, value) for every combination, best first."""
-    results = []
-    for bins, length, gain in product(grid.get("bins", [5]), grid.get("length", [1]), grid.get("gain", [1e-4])):
-        candidate = estimator.copy({estimator.bins: bins, estimator.length: length, estimator.gain: gain})
-        mean = cross_validate(candidate, df, keys, folds, fold_col=fold_col).groupBy("metric").agg(F.avg("value").alias("value"))
-        results.append(
-            mean.select(
-                F.lit(bins).alias("bins"), F.lit(length).alias("length"), F.lit(float(gain)).alias("gain"), "metric", "value"
-            )
-        )
-    table = reduce(DataFrame.unionByName, results).filter(F.col("metric") == metric)
+    """(bins, length, gain, metric, value) for every combination, best first.
+
+    The folds are dealt once. Each is coded and mined once for each number of bins, for all lengths and gains whose budgets cannot
+    bind; their patterns are derived from that run (see PatternMiner.fit_grid).
+    """
+    ws = Workspace(df.sparkSession)
+    label = estimator.getOrDefault(estimator.labelCol)
+    given = df if fold_col is None else df.withColumnRenamed(fold_col, "fold")
+    dealt = ws.table(stratified_folds(df, label, keys, ws, folds) if fold_col is None else given, "folds")
+    points = list(product(grid.get("bins", [5]), grid.get("length", [1]), grid.get("gain", [1e-4])))
+    rows = []
+    for f in range(folds):
+        held_out = dealt.filter(F.col("fold") == f).drop("fold")
+        for (bins, length, gain), model in estimator.fit_grid(dealt.filter(F.col("fold") != f).drop("fold"), points):
+            scored = ws.table(model.transform(held_out).select("label_code", "prediction", "probability"), "scored")
+            vector = metrics.metric_vector(scored, ws, "label_code", n_classes=len(model.patterns.totals)).first()
+            rows.append((bins, length, float(gain), float(vector[metric])))
+    ws.close()
+    table = local_frame(df.sparkSession, rows, "bins int, length int, gain double, value double")
+    table = table.groupBy("bins", "length", "gain").agg(F.avg("value").alias("value"))
+    table = table.select("bins", "length", "gain", F.lit(metric).alias("metric"), "value")
     return table.orderBy(F.asc("value") if metric == "log_loss" else F.desc("value"), "bins", "length", "gain")
