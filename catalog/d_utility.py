@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from catalog.c_encode import contingency
 from catalog.chain import fit_sql, mine_ctes, score_sql
 from catalog.registry import query, r6, s6
-from catalog.views import P1, P2, P3, P3_VALUE, P4, fitted
+from catalog.views import P1, P2, P3, P3_VALUE, P4, View, fitted
 from gainsieve.functions import scores
 from gainsieve.operators import utility
 from gainsieve.sources.local import local_frame
@@ -108,7 +108,27 @@ def rows_with_items(view, spark, sf, **params):
 
 @query("d10_transactions", score_sql(P2, "SELECT tid AS o_orderkey, item, u FROM tx"))
 def d10(spark, sf):
-    return utility.transactions(rows_with_items(P2, spark, sf, length=2)[0], ["o_orderkey"])
+    m = fitted(P2, spark, sf, length=2)
+    encoded = utility.encode_rows(P2.frame(spark, sf), m.numeric, P2.cats)
+    return utility.item_transactions(encoded, m.numeric, len(P2.cats), utility.item_lookup(m.items), ["o_orderkey"])
+
+
+P2_LABELS = View("p2labels", P2.keys, [], ["o_totalprice"], ["o_orderstatus", "customer", "priority"], P2.label, "orders",
+                 (("customer", "'c' || o_custkey"), ("priority", "o_orderpriority || '-' || (o_custkey % 97)")))
+
+
+@query("d10_transactions_of_many_labels", score_sql(P2_LABELS, "SELECT tid AS o_orderkey, item, u FROM tx"))
+def d10_many(spark, sf):
+    """Two columns of many labels, joined at once, and one whose labels are all heavy."""
+    m = fitted(P2_LABELS, spark, sf)
+    encoded = utility.encode_rows(P2_LABELS.frame(spark, sf), m.numeric, P2_LABELS.cats)
+    return utility.item_transactions(encoded, m.numeric, len(P2_LABELS.cats), utility.item_lookup(m.items), ["o_orderkey"])
+
+
+@query("d10_items_of_many_labels", score_sql(P2_LABELS, "SELECT tid AS o_orderkey, item, u FROM tx"))
+def d10_items(spark, sf):
+    """The same items, looked up row by row as a stream would."""
+    return utility.transactions(rows_with_items(P2_LABELS, spark, sf)[0], ["o_orderkey"])
 
 
 @query("d11_transaction_utility", score_sql(P2, "SELECT tid AS o_orderkey, tu::BIGINT AS tu FROM tus"))

@@ -22,7 +22,7 @@ def _coded_items(df: DataFrame, numeric: list[NumericColumn], cats: list[str], i
     lookup = item_lookup(items)
     if slots is not None:  # a slot for few items; it takes the place of the utility
         table = local_frame(df.sparkSession, list(slots.items()), "_item int, _slot bigint")
-        lookup = lookup.join(table, F.col("id") == F.col("_item"), "left").select("col_idx", "bin", "label", "id", F.col("_slot").alias("u"))
+        lookup = lookup.join(table, F.col("id") == F.col("_item"), "left").select("col_idx", "bin", "label", "id", F.col("_slot").alias("u"), "share")
     work, cells, helpers = item_columns(encode_rows(df, numeric, cats), numeric, len(cats), lookup)
     helpers += [f"b_{i}" for i in range(len(numeric))] + [f"l_{j}" for j in range(len(cats))]
     if slots is not None:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gainsieve.functions import scores
+from gainsieve.operators.lookups import heavy_labels, looked_up
 from gainsieve.operators.order_stats import MAX_DISTINCT, attach_values, bucketized, order_statistics, profile_columns, profile_numeric
 from gainsieve.operators.running import numbered
 from gainsieve.sources.local import local_frame
@@ -249,11 +250,19 @@ def category_dictionary(df: DataFrame, columns: list[str], ws: Workspace) -> Dat
     return numbered(labels, [F.col("label")], ws, "idx", groups=["col"]).withColumn("idx", F.col("idx").cast("int"))
 
 
-def category_lookup(df: DataFrame, column: str, dictionary: DataFrame, out: str) -> DataFrame:
-    """Index of the trimmed label; unseen and NULL labels get -1."""
-    keys = dictionary.filter(F.col("col") == column).select(F.col("label").alias("_label"), F.col("idx").alias("_idx"))
-    joined = df.join(keys, F.trim(F.col(f"`{column}`").cast("string")) == F.col("_label"), "left")
-    return joined.withColumn(out, F.coalesce(F.col("_idx"), F.lit(-1))).drop("_label", "_idx")
+def category_lookup(df: DataFrame, column: str, dictionary: DataFrame, out: str, heavy: list[str] | None = None) -> DataFrame:
+    """Index of the trimmed label; unseen and NULL labels get -1.
+
+    ``heavy``: labels of many rows, which are looked up without a join; found by counting unless given, but not on a stream.
+    """
+    own = dictionary.filter(F.col("col") == column).select("label", "idx")
+    if heavy is None:
+        heavy = [] if df.isStreaming else heavy_labels(df, [column])[column]
+    found = {r["label"]: r["idx"] for r in own.filter(F.col("label").isin(heavy)).collect()} if heavy else {}
+    known = [{"label": v, "idx": found.get(v, -1)} for v in heavy]  # an unseen label may be heavy too
+    work = df.withColumn("_own_label", F.trim(F.col(f"`{column}`").cast("string")))
+    work = looked_up(work, "_own_label", own, {"idx": "int"}, known, "_found")
+    return work.withColumn(out, F.coalesce(F.col("_found.idx"), F.lit(-1))).drop("_own_label", "_found")
 
 
 def category_indicators(df: DataFrame, column: str, dictionary: DataFrame, keys: list[str], dense: bool = False) -> DataFrame:

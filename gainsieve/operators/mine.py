@@ -69,7 +69,7 @@ def ranked_rows(
 
     Adds ``items`` (ranks), ``us`` (utilities) and ``suf`` (utility of the items after each one).
     """
-    lookup = ranked.select("col_idx", "bin", "label", F.col("rank").alias("id"), "u")
+    lookup = ranked.select("col_idx", "bin", "label", F.col("rank").alias("id"), "u", "share")
     found = with_items(coded, numeric, n_cats, lookup, "_found").withColumn("_found", F.array_sort("_found"))
     split = found.withColumns({"items": F.expr("transform(_found, x -> x.id)"), "us": F.expr("transform(_found, x -> x.u)")})
     return split.withColumn("suf", F.expr(SUFFIX_SQL)).drop("_found")

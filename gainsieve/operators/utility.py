@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gainsieve.functions import scores
 from gainsieve.operators.encode import NumericColumn, assign_bins
+from gainsieve.operators.lookups import HEAVY_SHARE, looked_up
 from gainsieve.operators.order_stats import kth_largest
 from gainsieve.operators.running import numbered
 from gainsieve.sources.local import local_frame
@@ -85,13 +86,14 @@ def numeric_correlation(ct: DataFrame, totals: list[int]) -> DataFrame:
 
 
 def category_association(ct: DataFrame, totals: list[int]) -> DataFrame:
-    """(col_idx, label, c*, corr, nmi) of every category's 0/1 indicator."""
+    """(col_idx, label, c*, corr, nmi, share) of every category's 0/1 indicator; share of the rows hold it."""
     counts = scores.class_columns(len(totals))
     rows, dot = _row_sums(len(totals))
+    share = F.expr(rows) / F.lit(float(sum(totals)))
     corr = scores.correlation(rows, rows, dot, *_label_sums(totals))
     nmi = scores.nmi_indicator(f"array({', '.join(counts)})", scores.bigint_array_sql(totals))
     return ct.filter("label is not null").select(
-        "col_idx", "label", *counts, scores.round6(corr).alias("corr"), scores.round6(nmi).alias("nmi")
+        "col_idx", "label", *counts, scores.round6(corr).alias("corr"), scores.round6(nmi).alias("nmi"), share.alias("share")
     )
 
 
@@ -137,12 +139,13 @@ def score_items(
             "corr",
             "external",
             "internal",
+            F.lit(None).cast("double").alias("share"),
         )
     )
     scored = from_numeric
     if cats:
         names = F.array(*[F.lit(c) for c in cats])
-        labels = category_association(ct, totals).select("col_idx", "label", "corr", "nmi")
+        labels = category_association(ct, totals).select("col_idx", "label", "corr", "nmi", "share")
         coded = numbered(labels, [F.col("label")], ws, "bin", ["col_idx"], rows=n_codes)
         from_category = coded.withColumn("col", F.element_at(names, F.col("col_idx") - F.lit(len(numeric) - 1))).select(
             "col_idx",
@@ -155,6 +158,7 @@ def score_items(
             "corr",
             F.col("nmi").alias("external"),
             F.when(F.col("corr") > 0, F.lit(1.0)).otherwise(F.lit(CATEGORY_NEGATIVE)).alias("internal"),
+            "share",
         )
         scored = from_numeric.unionByName(from_category)
     raw = scored.withColumn("raw", F.col("external") * F.col("internal"))
@@ -171,37 +175,64 @@ def normalised(scored: DataFrame) -> DataFrame:
     return scored.withColumn("share", F.col("raw") / F.lit(top if top > 0 else 1.0))
 
 
+def _literals(numeric: list[NumericColumn], n_cats: int, lookup: DataFrame) -> tuple[list[tuple[int, str, str]], list[list[dict]], list[bool]]:
+    """(column, SQL of the item id, SQL of u) of the numeric columns; of each category column its heavy labels, and whether there are others."""
+    heavy = F.coalesce(F.col("share") * HEAVY_SHARE > 1, F.lit(False))
+    by_column: dict[int, dict[int, tuple[int, int]]] = {}
+    known: list[list[dict]] = [[] for _ in range(n_cats)]
+    for r in lookup.filter(F.col("label").isNull() | heavy).select("col_idx", "bin", "label", "id", "u").collect():
+        if r["label"] is None:
+            by_column.setdefault(r["col_idx"], {})[r["bin"]] = (r["id"], r["u"])
+        else:
+            known[r["col_idx"] - len(numeric)].append(r.asDict())
+    cells = []
+    for i, c in enumerate(numeric):
+        pairs = [by_column.get(i, {}).get(b, (None, None)) for b in range(1, c.bins + 2)]
+        if i in by_column:
+            ids = ", ".join("int(NULL)" if p[0] is None else str(p[0]) for p in pairs)
+            us = ", ".join("bigint(NULL)" if p[1] is None else f"{p[1]}L" for p in pairs)
+            cells.append((i, f"array({ids})[b_{i} - 1]", f"array({us})[b_{i} - 1]"))
+    tails = {r["col_idx"] for r in lookup.filter(F.col("label").isNotNull() & ~heavy).select("col_idx").distinct().collect()} if n_cats else set()
+    return cells, known, [len(numeric) + j in tails for j in range(n_cats)]
+
+
 def item_columns(
     encoded: DataFrame, numeric: list[NumericColumn], n_cats: int, lookup: DataFrame
 ) -> tuple[DataFrame, list[tuple[str, str]], list[str]]:
     """Per feature column the SQL of its item (id, u), NULL without one; and helper columns to drop.
 
-    ``lookup`` holds (col_idx, bin, label, id, u). Numeric ids (columns x bins) become literals;
-    categories are joined, by broadcast when Spark finds the dictionary small enough.
+    ``lookup`` holds (col_idx, bin, label, id, u, share). Numeric ids (columns x bins) and heavy labels (fewer than HEAVY_SHARE a
+    column) become literals; a column with other labels is joined with them, by broadcast when Spark finds them few enough.
     """
-    n_numeric = len(numeric)
-    by_column: dict[int, dict[int, tuple[int, int]]] = {}
-    for r in lookup.filter("label is null").select("col_idx", "bin", "id", "u").collect():
-        by_column.setdefault(r["col_idx"], {})[r["bin"]] = (r["id"], r["u"])
-    cells = []
-    for i, c in enumerate(numeric):
-        known = by_column.get(i)
-        if not known:
-            continue
-        pairs = [known.get(b, (None, None)) for b in range(1, c.bins + 2)]
-        ids = ", ".join("int(NULL)" if p[0] is None else str(p[0]) for p in pairs)
-        us = ", ".join("bigint(NULL)" if p[1] is None else f"{p[1]}L" for p in pairs)
-        cells.append((f"array({ids})[b_{i} - 1]", f"array({us})[b_{i} - 1]"))
-    work, helpers = encoded, []
+    literals, known, tails = _literals(numeric, n_cats, lookup)
+    cells, work, helpers = [(i, u) for _, i, u in literals], encoded, []
     for j in range(n_cats):
-        keys = lookup.filter(F.col("col_idx") == n_numeric + j)
-        keys = keys.selectExpr(f"label as _label{j}", f"id as _id{j}", f"u as _u{j}")
-        work = work.join(keys, F.expr(f"l_{j} = _label{j}"), "left")
-        cells.append((f"_id{j}", f"_u{j}"))
-        helpers += [f"_label{j}", f"_id{j}", f"_u{j}"]
+        own = lookup.filter(F.col("col_idx") == len(numeric) + j).select("label", "id", "u")
+        work = looked_up(work, f"l_{j}", own, {"id": "int", "u": "bigint"}, known[j], f"_item{j}", tails[j])
+        cells.append((f"_item{j}.id", f"_item{j}.u"))
+        helpers.append(f"_item{j}")
     return work, cells, helpers
 
 
+def item_transactions(encoded: DataFrame, numeric: list[NumericColumn], n_cats: int, lookup: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, item, u): one row per coded row and item. All category columns meet the dictionary in one join, without heavy labels."""
+    literals, known, tails = _literals(numeric, n_cats, lookup)
+    work, cells = encoded, [(i, u) for _, i, u in literals]
+    left = []
+    for j in range(n_cats):
+        work = looked_up(work, f"l_{j}", lookup, {"id": "int", "u": "bigint"}, known[j], f"_item{j}", tail=False)
+        cells.append((f"_item{j}.id", f"_item{j}.u"))
+        if tails[j]:
+            left.append(f"struct({len(numeric) + j} as col_idx, if(_item{j} is null, l_{j}, null) as label)")
+    out = work.select(*keys, F.explode(F.expr(items_sql(cells))).alias("s")).select(*keys, F.col("s.id").alias("item"), F.col("s.u").alias("u"))
+    if not left:
+        return out
+    rest = work.select(*keys, F.explode(F.expr(f"array({', '.join(left)})")).alias("s")).filter("s.label is not null")
+    table = lookup.filter(F.col("label").isNotNull()).select(F.col("col_idx").alias("_c"), F.col("label").alias("_l"), F.col("id").alias("item"), "u")
+    met = rest.join(table, (F.col("s.col_idx") == F.col("_c")) & (F.col("s.label") == F.col("_l")))
+    return out.unionByName(met.select(*keys, "item", "u"))
+
+
 def with_items(
     encoded: DataFrame, numeric: list[NumericColumn], n_cats: int, lookup: DataFrame, out: str = "items"
 ) -> DataFrame:
@@ -217,7 +248,7 @@ def items_sql(cells: list[tuple[str, str]]) -> str:
 
 
 def item_lookup(items: DataFrame) -> DataFrame:
-    return items.select("col_idx", "bin", "label", F.col("item").alias("id"), "u")
+    return items.select("col_idx", "bin", "label", F.col("item").alias("id"), "u", "share")
 
 
 def transactions(with_item_rows: DataFrame, keys: list[str], carry: list[str] | None = None) -> DataFrame:
