@@ -9,7 +9,7 @@ from gainsieve.plans import miner as miners
 from tests.test_mining import random_rows
 
 SHOWN = ["pid", "items", "name", "support", "util", "ig", "pure_class"]
-POINTS = [(1, 0.02), (2, 0.06), (3, 0.01), (3, 0.06)]
+POINTS = [(3, 0.06), (2, 0.0), (3, 0.0)]  # at a gain of 0 siblings with the same rows occur
 
 
 def frame(spark, seed, twin=True):
@@ -38,7 +38,7 @@ def counted_runs(monkeypatch):
     return calls
 
 
-@pytest.mark.parametrize("seed, keep, points", [(3, "lowest", POINTS), (4, "highest", POINTS[1:3])])
+@pytest.mark.parametrize("seed, keep, points", [(3, "lowest", POINTS), (4, "highest", POINTS[1:])])
 def test_derived_patterns_equal_fits(spark, monkeypatch, seed, keep, points):
     df = frame(spark, seed)
     one = PatternMiner(label="y", keys=["tid"], bins=3, top_k=1_000_000, keep_duplicate=keep)
@@ -77,6 +77,6 @@ def test_equal_hashes_do_not_join_classes(spark, monkeypatch):
 
     df = frame(spark, 3)
     one = PatternMiner(label="y", keys=["tid"], bins=3, top_k=1_000_000)
-    want = {p: shown(m) for p, m in one.fit_grid(df, POINTS[1:2]).items()}
+    want = {p: shown(m) for p, m in one.fit_grid(df, [(2, 0.06)]).items()}
     monkeypatch.setattr(mine, "set_hashes", lambda: [F.lit(0).cast("bigint").alias("h1"), F.lit(0).cast("bigint").alias("h2")])
-    assert {p: shown(m) for p, m in one.fit_grid(df, POINTS[1:2]).items()} == want
+    assert {p: shown(m) for p, m in one.fit_grid(df, [(2, 0.06)]).items()} == want
