@@ -3,15 +3,17 @@ the training rows, score held-out rows, metrics, cross-validation, grid search a
 
 from dataclasses import replace
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import NaiveBayes
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
 
 from catalog.chain import COVER, apply_ctes, fit_sql
 from catalog.g_learn import _POINT, trained
 from catalog.h_metrics import _BIN, _h
-from catalog.registry import query, r6
+from catalog.registry import query, r6, table
 from catalog.views import P2, View
-from gainsieve.operators import explain, metrics
+from gainsieve.operators import explain, metrics, prep
 from gainsieve.plans.classifier import PatternClassifier
 from gainsieve.plans.tuning import cross_validate, grid_search, summarize
 from gainsieve.sources.workspace import Workspace
@@ -74,6 +76,25 @@ def g05(spark, sf):
     return model(spark, sf).predict(TEST.frame(spark, sf)).select("o_orderkey", "predicted_label")
 
 
+@query(
+    "g05_held_out_rows_by_a_reloaded_pipeline",
+    run_sql(TRAIN, TEST, "SELECT ho.tid AS o_orderkey, lab AS predicted_label, round(p1, 6) + 0.0::DOUBLE AS p1 FROM ho JOIN codes ON codes.y = prediction"),
+)
+def g05_reloaded(spark, sf):
+    """Label and patterns as stages of a Spark pipeline: the estimator is saved, read back and fitted, and so is the fitted model."""
+    label = SQLTransformer(statement=f"SELECT *, {P2.label} AS lab FROM __THIS__")
+    est = PatternClassifier(labelCol="lab", features=P2.features, keys=KEYS, length=2, base_estimator=bayes())
+    ws = Workspace(spark)
+    Pipeline(stages=[label, est]).save(path := ws.new_path("pipeline"))
+    orders = table(spark, sf, "orders")
+    Pipeline.load(path).fit(orders.where(f"not ({HELD_OUT})")).save(path := ws.new_path("pipeline-model"))
+    both = PipelineModel.load(path)
+    scored = both.transform(orders.where(HELD_OUT))
+    return prep.decode_label(scored, "prediction", both.stages[-1].patterns.codes, "predicted_label").select(
+        "o_orderkey", "predicted_label", r6(F.element_at("probability", 2), "p1")
+    )
+
+
 @query(
     "g10_metrics_of_held_out_rows",
     run_sql(TRAIN, TEST, f"SELECT * FROM (WITH sc AS (SELECT * FROM ho), {_BIN}, {_h('n1 / n0')}, {_POINT} SELECT round(acc, 4) AS accuracy, round(2 * tp / (pos + pred), 4) AS f1,"

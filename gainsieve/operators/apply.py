@@ -8,6 +8,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gainsieve.functions.names import free, keeps_columns
 from gainsieve.operators.encode import NumericColumn
 from gainsieve.operators.utility import encode_rows, item_columns, item_lookup
 from gainsieve.sources.local import local_frame
@@ -58,6 +59,7 @@ def _ids_sql(ids: list[str]) -> str:
     return f"filter(array({', '.join(ids)}), x -> x is not null)" if ids else "cast(array() as array<int>)"
 
 
+@keeps_columns
 def row_items(df: DataFrame, numeric: list[NumericColumn], cats: list[str], items: DataFrame, out: str = "item_ids") -> DataFrame:
     """Add the row's item ids (array, column order; empty when the row has none)."""
     work, ids, helpers = _coded_items(df, numeric, cats, items)
@@ -68,6 +70,7 @@ def _signed(word: int) -> int:
     return word - (1 << 64) if word >= 1 << 63 else word
 
 
+@keeps_columns
 def match_inline(
     df: DataFrame, numeric: list[NumericColumn], cats: list[str], items: DataFrame, patterns: list[tuple[int, list[int]]],
     n_items: int, ids_out: str = "item_ids", out: str = "pids", known: DataFrame | None = None,
@@ -117,6 +120,7 @@ def match_inline(
     return work.withColumn(out, F.expr(found)).drop("_index", *helpers)
 
 
+@keeps_columns
 def match_rows(
     df: DataFrame, numeric: list[NumericColumn], cats: list[str], items: DataFrame, patterns: DataFrame, ids_out: str = "item_ids", out: str = "pids",
     support: DataFrame | None = None,
@@ -185,7 +189,8 @@ def density(coords: DataFrame, n_rows: int, n_patterns: int) -> DataFrame:
 
 def assemble_vectors(df: DataFrame, n_patterns: int, pids: str = "pids", out: str = "features") -> DataFrame:
     """Add the sparse 0/1 vector over all patterns; a row without a hit gets the zero vector."""
+    (terms,) = free(df.columns, "_terms")
     vectorizer = CountVectorizerModel.from_vocabulary(
-        [str(i) for i in range(max(n_patterns, 1))], inputCol="_terms", outputCol=out, binary=True
+        [str(i) for i in range(max(n_patterns, 1))], inputCol=terms, outputCol=out, binary=True
     )
-    return vectorizer.transform(df.withColumn("_terms", F.col(pids).cast("array<string>"))).drop("_terms")
+    return vectorizer.transform(df.withColumn(terms, F.col(pids).cast("array<string>"))).drop(terms)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gainsieve.functions import scores
+from gainsieve.functions.names import free
 from gainsieve.operators.lookups import heavy_labels, looked_up
 from gainsieve.operators.order_stats import MAX_DISTINCT, attach_values, bucketized, order_statistics, profile_columns, profile_numeric
 from gainsieve.operators.running import numbered
@@ -260,9 +261,10 @@ def category_lookup(df: DataFrame, column: str, dictionary: DataFrame, out: str,
         heavy = [] if df.isStreaming else heavy_labels(df, [column])[column]
     found = {r["label"]: r["idx"] for r in own.filter(F.col("label").isin(heavy)).collect()} if heavy else {}
     known = [{"label": v, "idx": found.get(v, -1)} for v in heavy]  # an unseen label may be heavy too
-    work = df.withColumn("_own_label", F.trim(F.col(f"`{column}`").cast("string")))
-    work = looked_up(work, "_own_label", own, {"idx": "int"}, known, "_found")
-    return work.withColumn(out, F.coalesce(F.col("_found.idx"), F.lit(-1))).drop("_own_label", "_found")
+    label, place = free(df.columns, "_own_label", "_found")
+    work = df.withColumn(label, F.trim(F.col(f"`{column}`").cast("string")))
+    work = looked_up(work, label, own, {"idx": "int"}, known, place)
+    return work.withColumn(out, F.coalesce(F.col(f"{place}.idx"), F.lit(-1))).drop(label, place)
 
 
 def category_indicators(df: DataFrame, column: str, dictionary: DataFrame, keys: list[str], dense: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gainsieve.functions.names import free
 from gainsieve.operators.order_stats import median
 from gainsieve.operators.running import numbered
 from gainsieve.sources.local import local_frame
@@ -222,13 +223,15 @@ def label_codes(df: DataFrame, label: str, max_classes: int = MAX_CLASSES) -> Da
 
 def encode_label(df: DataFrame, label: str, codes: DataFrame, out: str = "y") -> DataFrame:
     """Join the class code. Unknown labels get NULL. The dictionary is a local table, broadcast if Spark finds it small."""
-    keys = codes.select(F.col("label").alias("_label"), F.col("y").alias(out))
-    return df.join(keys, q(label) == F.col("_label"), "left").drop("_label")
+    (own,) = free(df.columns, "_label")
+    keys = codes.select(F.col("label").alias(own), F.col("y").alias(out))
+    return df.join(keys, q(label) == F.col(own), "left").drop(own)
 
 
 def decode_label(df: DataFrame, code: str, codes: DataFrame, out: str = "label") -> DataFrame:
-    keys = codes.select(F.col("y").alias("_y"), F.col("label").alias(out))
-    return df.join(keys, q(code).cast("int") == F.col("_y"), "left").drop("_y")
+    (own,) = free(df.columns, "_y")
+    keys = codes.select(F.col("y").alias(own), F.col("label").alias(out))
+    return df.join(keys, q(code).cast("int") == F.col(own), "left").drop(own)
 
 
 def regression_target(df: DataFrame, label: str, out: str = "y") -> DataFrame:
@@ -273,10 +276,11 @@ def stratified_split(
     ``keys`` identify a row. Rows without a label are split as a class of their own. Row numbers come from range partitions with offsets, so a
     huge class is never ranked by one task.
     """
-    base = df.withColumn("_h", F.xxhash64(*[q(k) for k in keys], F.lit(seed)))
-    by = order or [F.col("_h"), *[q(k) for k in keys]]
-    ranked = numbered(base, by, ws, "_rn", groups=[y])
-    sizes = df.groupBy(q(y).alias("_y")).agg(F.count("*").alias("_n"))
-    joined = ranked.join(sizes, q(y).eqNullSafe(F.col("_y")))
-    quota = F.floor(F.col("_n") * F.lit(test_share) + F.lit(0.5))
-    return joined.withColumn("is_test", F.col("_rn") <= quota).drop("_h", "_rn", "_y", "_n")
+    h, rn, own, n = free(df.columns, "_h", "_rn", "_y", "_n")
+    base = df.withColumn(h, F.xxhash64(*[q(k) for k in keys], F.lit(seed)))
+    by = order or [F.col(h), *[q(k) for k in keys]]
+    ranked = numbered(base, by, ws, rn, groups=[y])
+    sizes = df.groupBy(q(y).alias(own)).agg(F.count("*").alias(n))
+    joined = ranked.join(sizes, q(y).eqNullSafe(F.col(own)))
+    quota = F.floor(F.col(n) * F.lit(test_share) + F.lit(0.5))
+    return joined.withColumn("is_test", F.col(rn) <= quota).drop(h, rn, own, n)

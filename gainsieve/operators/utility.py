@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gainsieve.functions import scores
+from gainsieve.functions.names import free
 from gainsieve.operators.encode import NumericColumn, assign_bins
 from gainsieve.operators.lookups import HEAVY_SHARE, looked_up
 from gainsieve.operators.order_stats import kth_largest
@@ -22,8 +23,11 @@ CATEGORY_NEGATIVE = 0.05  # fixed value: internal utility of a category with cor
 
 def encode_rows(df: DataFrame, numeric: list[NumericColumn], cats: list[str]) -> DataFrame:
     """Add ``b_i`` (bin of numeric column i) and ``l_j`` (trimmed label of category column j)."""
-    coded = assign_bins(df, numeric)
-    return coded.withColumns({f"l_{j}": F.trim(F.col(f"`{c}`").cast("string")) for j, c in enumerate(cats)})
+    labels = free(df.columns, *[f"_label{j}" for j in range(len(cats))])
+    # before the bins: a category column may be called b_0
+    work = df.withColumns({name: F.trim(F.col(f"`{c}`").cast("string")) for name, c in zip(labels, cats)}) if cats else df
+    coded = assign_bins(work, numeric)
+    return coded.withColumns({f"l_{j}": F.col(name) for j, name in enumerate(labels)}).drop(*labels) if cats else coded
 
 
 def code_columns(n_numeric: int, n_cats: int) -> list[str]:

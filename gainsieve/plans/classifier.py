@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,10 +10,11 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import LogisticRegression, OneVsRest
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReader
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gainsieve.functions.names import free
 from gainsieve.operators import prep
 from gainsieve.plans.miner import PatternMiner, PatternModel
 from gainsieve.sources.local import local_frame
@@ -30,11 +30,12 @@ def default_classifier(n_rows: float, n_classes: int, c: float = 1.0, multinomia
     return base.setFamily("multinomial") if multinomial else OneVsRest(classifier=base.setFamily("binomial"), parallelism=min(n_classes, 4))
 
 
-class PatternClassifier(Estimator):
+class PatternClassifier(Estimator, MLWritable, MLReadable):
     """Mine patterns, fit a classifier on the merged training rows (weight = row count).
 
     ``base_estimator`` is any Spark classifier with featuresCol / labelCol; when it has no
-    weightCol it is fitted on unmerged rows. It may also be a function (rows, classes) -> classifier.
+    weightCol it is fitted on unmerged rows. It may also be a function (rows, classes) -> classifier,
+    which cannot be saved. Estimator and model can be stages of a Pipeline that is saved.
     """
 
     labelCol = Param(Params._dummy(), "labelCol", "class column", TypeConverters.toString)
@@ -62,6 +63,13 @@ class PatternClassifier(Estimator):
         self._set(**kwargs)
         self.base_estimator = base_estimator
 
+    def write(self) -> MLWriter:
+        return _EstimatorWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _EstimatorReader()
+
     def miner(self) -> PatternMiner:
         g = self.getOrDefault
         return PatternMiner(
@@ -101,14 +109,15 @@ class PatternClassifier(Estimator):
             base = base.copy({base.getParam("weightCol"): "weight"})
             train = patterns.training_table()
         else:
-            coded = prep.encode_label(dataset, patterns.label, patterns.codes, "_code").filter(F.col("_code").isNotNull())
+            (code,) = free(dataset.columns, "_code")
+            coded = prep.encode_label(dataset, patterns.label, patterns.codes, code).filter(F.col(code).isNotNull())
             if patterns.class_weights is not None:
                 raise ValueError("class weights need a classifier with a weightCol")
-            train = patterns.transform(coded).select("features", F.col("_code").cast("double").alias("y"))
+            train = patterns.transform(coded).select("features", F.col(code).cast("double").alias("y"))
         return PatternClassifierModel(patterns, base.fit(train))
 
 
-class PatternClassifierModel(Model):
+class PatternClassifierModel(Model, MLWritable, MLReadable):
     def __init__(self, patterns: PatternModel, classifier):
         super().__init__()
         self.patterns = patterns
@@ -116,7 +125,7 @@ class PatternClassifierModel(Model):
 
     def copy(self, extra=None):
         """A copy whose classifier has the parameters of extra."""
-        return PatternClassifierModel(self.patterns, self.classifier.copy(extra) if extra else self.classifier)
+        return PatternClassifierModel(self.patterns, self.classifier.copy(extra) if extra else self.classifier)._resetUid(self.uid)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         """Add pids, features, prediction and probability (array); label_code too when the label is there."""
@@ -128,9 +137,10 @@ class PatternClassifierModel(Model):
             return scored.withColumn("probability", vector_to_array("probability"))
         # One against the rest gives raw scores: logistic per class, then normalised.
         raw = F.transform(vector_to_array("rawPrediction"), lambda r: F.lit(1.0) / (F.lit(1.0) + F.exp(-r)))
-        scored = scored.withColumn("_p", raw)
-        total = F.aggregate("_p", F.lit(0.0), lambda s, p: s + p)
-        return scored.withColumn("_t", total).withColumn("probability", F.expr("transform(_p, p -> p / _t)")).drop("_p", "_t")
+        scored = scored.withColumn("probability", raw)
+        total = F.aggregate("probability", F.lit(0.0), lambda s, p: s + p)
+        (sums,) = free(scored.columns, "_sum")
+        return scored.withColumn(sums, total).withColumn("probability", F.transform("probability", lambda p: p / F.col(sums))).drop(sums)
 
     def predict(self, dataset: DataFrame) -> DataFrame:
         """The prediction decoded to the original label, column ``predicted_label``."""
@@ -184,14 +194,57 @@ class PatternClassifierModel(Model):
         own = F.when(F.col("pid") >= 0, F.col("coefficient") * F.lit(penalty)).otherwise(0.0)
         return table.join(sums, ["k", "pid"], "left").select("cls", "pid", "coefficient", (F.coalesce("slope", F.lit(0.0)) + own).alias("gradient"))
 
-    def save(self, path: str) -> None:
-        self.patterns.save(f"{path}/patterns")
-        self.classifier.save(f"{path}/classifier")
-        name = f"{type(self.classifier).__module__}.{type(self.classifier).__name__}"
-        spark = self.patterns.items.sparkSession
-        local_frame(spark, [(json.dumps({"classifier": name}),)], "value string").write.text(f"{path}/kind")
+    def write(self) -> MLWriter:
+        return _ModelWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _ModelReader()
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> PatternClassifierModel:
-        patterns = PatternModel.load(spark, f"{path}/patterns")
-        return cls(patterns, DefaultParamsReader.loadParamsInstance(f"{path}/classifier", spark.sparkContext))
+    def load(cls, *where) -> PatternClassifierModel:
+        """load(path), as Spark's own models, or load(spark, path)."""
+        reader = cls.read()
+        return (reader.session(where[0]) if len(where) > 1 else reader).load(where[-1])
+
+
+class _EstimatorWriter(MLWriter):
+    def __init__(self, instance: PatternClassifier):
+        super().__init__()
+        self.instance = instance
+
+    def saveImpl(self, path: str) -> None:
+        base = self.instance.base_estimator
+        if base is not None and not isinstance(base, MLWritable):
+            raise ValueError("base_estimator cannot be saved; give a Spark classifier instead of a function")
+        DefaultParamsWriter.saveMetadata(self.instance, path, self.sparkSession, {"base": base is not None})
+        if base is not None:
+            base.save(f"{path}/base")
+
+
+class _EstimatorReader(MLReader):
+    def load(self, path: str) -> PatternClassifier:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        base = DefaultParamsReader.loadParamsInstance(f"{path}/base", self.sparkSession) if metadata["base"] else None
+        out = PatternClassifier(base_estimator=base)._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(out, metadata)
+        return out
+
+
+class _ModelWriter(MLWriter):
+    def __init__(self, instance: PatternClassifierModel):
+        super().__init__()
+        self.instance = instance
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.instance, path, self.sparkSession)
+        self.instance.patterns.save(f"{path}/patterns")
+        self.instance.classifier.save(f"{path}/classifier")
+
+
+class _ModelReader(MLReader):
+    def load(self, path: str) -> PatternClassifierModel:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        patterns = PatternModel.load(self.sparkSession, f"{path}/patterns")
+        classifier = DefaultParamsReader.loadParamsInstance(f"{path}/classifier", self.sparkSession)
+        return PatternClassifierModel(patterns, classifier)._resetUid(metadata["uid"])

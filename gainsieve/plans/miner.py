@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gainsieve.functions import scores
+from gainsieve.functions.names import free
 from gainsieve.operators import apply as matching
 from gainsieve.operators import encode, mine, prep, utility
 from gainsieve.operators.encode import NumericColumn
@@ -74,14 +75,14 @@ class PatternMiner:
         codes = prep.label_codes(df, self.label, self.max_classes)
         totals = [r["n"] for r in codes.orderBy("y").collect()]  # at most max_classes rows
         n_classes = len(totals)
-        wanted = prep.encode_label(df, self.label, codes, "_y")
-        coded = wanted.select("_y", *[prep.q(c) for c in groups.ordered])
+        (y,) = free(df.columns, "_y")
+        coded = prep.encode_label(df, self.label, codes, y).select(y, *[prep.q(c) for c in groups.ordered])
         options = {"max_distinct": self.max_distinct}
         numeric = encode.fit_numeric(
-            coded, groups.ints, groups.floats, self.bins, "_y", n_classes, ws, groups.cats, **options
+            coded, groups.ints, groups.floats, self.bins, y, n_classes, ws, groups.cats, **options
         )
         encoded = utility.encode_rows(coded, numeric, groups.cats)
-        shapes = utility.row_shapes(encoded, len(numeric), len(groups.cats), "_y", n_classes)
+        shapes = utility.row_shapes(encoded, len(numeric), len(groups.cats), y, n_classes)
         if self.class_weights is not None:
             if len(self.class_weights) != n_classes:
                 raise ValueError(f"{len(self.class_weights)} class weights for {n_classes} classes")

@@ -8,6 +8,7 @@ from pyspark.ml.evaluation import Evaluator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gainsieve.functions.names import free
 from gainsieve.operators import metrics, prep
 from gainsieve.operators.running import numbered
 from gainsieve.plans.classifier import PatternClassifier
@@ -61,9 +62,10 @@ def scorers(n_classes: int) -> dict[str, MetricEvaluator]:
 
 def stratified_folds(df: DataFrame, y: str, keys: list[str], ws: Workspace, folds: int, seed: int = 0) -> DataFrame:
     """Add ``fold`` 0..folds-1, dealt out inside each class in seeded hash order."""
-    hashed = df.withColumn("_h", F.xxhash64(*[prep.q(k) for k in keys], F.lit(seed)))
-    ranked = numbered(hashed, [F.col("_h"), *[prep.q(k) for k in keys]], ws, "_rn", groups=[y])
-    return ranked.withColumn("fold", ((F.col("_rn") - 1) % folds).cast("int")).drop("_h", "_rn")
+    h, rn = free(df.columns, "_h", "_rn")
+    hashed = df.withColumn(h, F.xxhash64(*[prep.q(k) for k in keys], F.lit(seed)))
+    ranked = numbered(hashed, [F.col(h), *[prep.q(k) for k in keys]], ws, rn, groups=[y])
+    return ranked.withColumn("fold", ((F.col(rn) - 1) % folds).cast("int")).drop(h, rn)
 
 
 def cross_validate(
