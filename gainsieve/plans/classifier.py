@@ -18,6 +18,7 @@ from gainsieve.functions.names import free
 from gainsieve.operators import prep
 from gainsieve.plans.miner import PatternMiner, PatternModel
 from gainsieve.sources.local import local_frame
+from gainsieve.sources.workspace import Workspace
 
 
 def default_classifier(n_rows: float, n_classes: int, c: float = 1.0, multinomial: bool = False):
@@ -107,7 +108,8 @@ class PatternClassifier(Estimator, MLWritable, MLReadable):
         base = base.copy({base.getParam("featuresCol"): "features", base.getParam("labelCol"): "y"})
         if base.hasParam("weightCol"):
             base = base.copy({base.getParam("weightCol"): "weight"})
-            train = patterns.training_table()
+            # a table of its own: one partition for few merged rows, where a cached shuffle would keep all of its own in every iteration
+            train = Workspace(dataset.sparkSession).table(patterns.training_table(), "training-rows")
         else:
             (code,) = free(dataset.columns, "_code")
             coded = prep.encode_label(dataset, patterns.label, patterns.codes, code).filter(F.col(code).isNotNull())

@@ -3,7 +3,7 @@ import os
 from dataclasses import replace
 
 import pytest
-from pyspark.ml.classification import NaiveBayes, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.sql import functions as F
 
 from gainsieve import PatternClassifier, PatternClassifierModel, PatternMiner, PatternModel
@@ -168,6 +168,22 @@ def test_cross_validation_and_scorers(spark, train):
     assert not scorers(2)["log_loss"].isLargerBetter() and scorers(3)["f1"].isLargerBetter()
 
 
+def test_classifier_is_fitted_on_few_partitions(spark, train):
+    parts = []
+
+    class Spy(LogisticRegression):
+        def _fit(self, dataset):
+            parts.append(dataset.persist().rdd.getNumPartitions())
+            return super()._fit(dataset)
+
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    try:
+        PatternClassifier(labelCol="y", keys=["tid"], bins=3, base_estimator=lambda n, k: Spy()).fit(train)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+    assert parts[0] < 8
+
+
 def test_permutation_importance_equals_brute_force(spark, classifier, train):
     ws = Workspace(spark)
     two = train.filter("y < 2")
