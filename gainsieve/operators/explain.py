@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gainsieve.operators.apply import assemble_vectors
-from gainsieve.operators.running import numbered
+from gainsieve.operators.running import ONE_TASK_ROWS
 from gainsieve.sources.local import local_frame
 from gainsieve.sources.workspace import Workspace
 
@@ -172,6 +172,18 @@ def coefficient_importance(coefficients: list[float], patterns: DataFrame, top:
     return joined.orderBy(F.desc("importance"), "pid").limit(top)
 
 
+def _state_codes(rows: DataFrame, ws: Workspace) -> tuple[DataFrame, dict, Column]:
+    """(y, pids, state) of the distinct (y, pids), the number of rows, and the expression of state: a hash that tells all of them apart."""
+    for salt in range(8):
+        parts = [F.lit(salt), F.col("y").isNull(), F.col("y"), F.col("pids").isNull(), F.size("pids"), F.col("pids")]
+        code = F.xxhash64(*parts)
+        states = rows.groupBy("y", "pids").agg(F.count("*").alias("n")).withColumn("state", code)
+        states, size = ws.counted(states, "importance-states", F.count("*").alias("states"), F.countDistinct("state").alias("codes"), F.sum("n").alias("rows"))
+        if size["states"] == size["codes"]:
+            return states.drop("n"), size, code
+    raise ValueError("no hash tells the rows' classes and patterns apart")
+
+
 def permutation_importance(
     matched: DataFrame, model, patterns: DataFrame, keys: list[str], ws: Workspace, n_patterns: int,
     repeats: int = 10, seed: int = 0, top: int = 10, one_task_rows: int | None = None,
@@ -181,20 +193,36 @@ def permutation_importance(
     ``matched`` holds keys, y and pids. Each repeat is one seeded random cycle over the
     rows, so a row takes the column of its successor. Only cells that change are scored
     again, and equal (row, successor, class) triples are scored once with their count.
+
+    A row travels once for each repeat, as its keys and a code of (y, pids), to the part of the cycle its hash belongs to;
+    parts have ``one_task_rows`` rows or so, and are linked by their ends.
     """
-    options = {} if one_task_rows is None else {"one_task_rows": one_task_rows}
-    rows = ws.table(matched.select(*keys, F.col("y").cast("int").alias("y"), "pids"), "importance-rows")
-    n = rows.count()
-    spread = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("rep")).withColumn(
-        "_h", seeded(keys, F.col("rep"), F.lit(seed))
-    )
-    ranked = numbered(spread, [F.col("_h"), *[F.col(k) for k in keys]], ws, "pos", groups=["rep"], **options)
-    ranked = ws.table(ranked.select("rep", "pos", "y", "pids"), "importance-order")
-    follower = ranked.select("rep", ((F.col("pos") + (n - 2)) % n + 1).alias("pos"), F.col("pids").alias("other"))
+    own = [f"_key{i}" for i in range(len(keys))]
+    rows = ws.table(matched.select(*[F.col(k).alias(o) for k, o in zip(keys, own)], F.col("y").cast("int").alias("y"), "pids"), "importance-rows")
+    states, size, code = _state_codes(rows, ws)
+    n = size["rows"] or 0
+    most, digits = max(ONE_TASK_ROWS if one_task_rows is None else one_task_rows, 1), 0
+    while n > most * 16**digits:
+        digits += 1
+    tasks = max(-(-n * repeats // most), 1)
+    spread = rows.select(*own, code.alias("state"), F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("rep"))
+    hashed = seeded(own, F.col("rep"), F.lit(seed))
+    # the hash is made again where the row arrives: it would be most of what is shuffled
+    spread = spread.withColumn("_part", F.substring(hashed, 1, digits)).repartition(tasks, "rep", "_part").withColumn("_h", F.unhex(hashed))
+    along = Window.partitionBy("rep", "_part").orderBy("_h", *own, "state")
+    turned = spread.select("rep", "_part", "state", F.lead("state").over(along).alias("next"), F.lag("state").over(along).isNull().alias("first"))
+    last = F.col("next").isNull()
+    steps = turned.groupBy("rep", F.when(F.col("first") | last, F.col("_part")).alias("_part"), "first", "state", "next").agg(F.count("*").alias("w"))
+    steps = ws.table(steps, "importance-steps")
+    heads = steps.filter("first").select("rep", "_part", F.col("state").alias("head"))
+    ends = steps.filter(last).select("rep", "_part", "state").join(heads, ["rep", "_part"])
+    parts = Window.partitionBy("rep").orderBy("_part")
+    whole = parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    links = ends.select("rep", "state", F.coalesce(F.lead("head").over(parts), F.first("head").over(whole)).alias("next"), F.lit(1).cast("bigint").alias("w"))
+    pairs = steps.filter(~last).select("rep", "state", "next", "w").unionByName(links).groupBy("rep", "state", "next").agg(F.sum("w").alias("w"))
     triples = (
-        ranked.join(follower, ["rep", "pos"])
-        .groupBy("rep", "y", "pids", "other")
-        .agg(F.count("*").alias("w"))
+        pairs.join(states, "state")
+        .join(states.select(F.col("state").alias("next"), F.col("pids").alias("other")), "next")
         .withColumn("changed", F.array_union(F.array_except("pids", "other"), F.array_except("other", "pids")))
     )
     cells = triples.select("rep", "y", "pids", "w", F.explode("changed").alias("pid"))

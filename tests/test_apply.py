@@ -207,6 +207,22 @@ def test_permutation_importance_equals_brute_force(spark, classifier, train):
     assert all(abs(got[p] - expected[p]) < 1e-12 for p in got)
 
 
+def test_permutation_importance_writes_no_row_for_each_repeat(spark, classifier):
+    ws, written = Workspace(spark), []
+    table = ws.table
+
+    def counted(df, name):
+        out = table(df, name)
+        written.append(out.count())
+        return out
+
+    ws.table = counted
+    rows = spark.range(3000).selectExpr("id as tid", "cast(id % 2 as int) as y", "array(cast(id % 3 as int)) as pids")
+    args = (rows, classifier.classifier, classifier.patterns.patterns, ["tid"], ws, classifier.patterns.n_patterns)
+    assert explain.permutation_importance(*args, repeats=4, top=3).count() == 3
+    assert max(written) == 3000
+
+
 def test_metric_vector_of_a_perfect_score(spark):
     df = spark.createDataFrame([(i, int(i > 5), int(i > 5), [1 - i / 10, i / 10]) for i in range(10)], "tid int, y int, prediction int, probability array<double>")
     row = metrics.metric_vector(df, Workspace(spark)).first()
