@@ -12,6 +12,7 @@ from gainsieve.functions.names import free, keeps_columns
 from gainsieve.operators.encode import NumericColumn
 from gainsieve.operators.utility import encode_rows, item_columns, item_lookup
 from gainsieve.sources.local import local_frame
+from gainsieve.sources.workspace import Workspace
 
 INLINE_PATTERNS = 5_000
 KNOWN_SETS = 100_000
@@ -135,6 +136,8 @@ def match_rows(
     filed = with_anchor(patterns, support).groupBy(F.col("anchor").alias("_first")).agg(
         F.collect_list(F.struct("pid", F.array_remove("items", F.col("anchor")).alias("rest"))).alias("_filed")
     )
+    # a table of known size: if it is small, rows are not dealt by item, of which a numeric column has few
+    filed = Workspace(df.sparkSession).table(filed, "filed-patterns")
     none = "cast(array() as array<struct<pid:int,rest:array<int>>>)"
     for i, own in enumerate(ids):
         near = filed.select(F.col("_first").alias(f"_first{i}"), F.col("_filed").alias(f"_filed{i}"))

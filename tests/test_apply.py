@@ -168,6 +168,12 @@ def test_cross_validation_and_scorers(spark, train):
     assert not scorers(2)["log_loss"].isLargerBetter() and scorers(3)["f1"].isLargerBetter()
 
 
+def test_filed_patterns_are_a_table_of_known_size(model, train):
+    matched = replace(model, inline_patterns=0).match(train)
+    assert "collect_list" not in matched._jdf.queryExecution().toString()
+    assert pairs(matching.coordinates(matched, ["tid"])) == pairs(model.coordinates(train, ["tid"]))
+
+
 def test_classifier_is_fitted_on_few_partitions(spark, train):
     parts = []
 
