@@ -87,14 +87,16 @@ def anchor_hashes(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "h long")
 
 
-def _bitmap(hashes: DataFrame) -> np.ndarray:
+def _bitmap(hashes: DataFrame, ws: Workspace) -> np.ndarray:
     """Bytes whose bit i says whether a hash is i modulo the number of bits; the size is fixed."""
     at = (F.pmod("h", F.lit(1 << BITMAP_BITS)) + 1).alias("at")
     parts = hashes.select(at).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    parts = ws.step(parts, "bitmap")
     out = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
     for row in parts.toLocalIterator():
         bits = np.frombuffer(row["bits"], np.uint8)
         out[(row["bucket"] - 1) * 4096 :][: len(bits)] = bits
+    ws.drop(parts)
     return out
 
 
@@ -198,7 +200,7 @@ def _round(items: DataFrame, ws: Workspace, last: bool) -> tuple[DataFrame, Data
     unions = items.groupBy("core", "u1", "u2").agg(F.sum("n").alias("many"), F.min(me).alias("first"))
     cores = unions.groupBy("core").agg(F.sum("many").alias("total"), F.count("*").alias("unions")).where("total > 1")
     status = unions.join(cores, "core").select("core", "u1", "u2", (F.col("many") > 1).alias("repeated"), F.col("unions").alias("classes"), "first")
-    known = ws.table(items.join(status, ["core", "u1", "u2"]).withColumn("stands_in", me == F.col("first")).select("k1", "k2", "idx", "lo", "hi", "repeated", "classes", "stands_in"), "round")
+    known = ws.step(items.join(status, ["core", "u1", "u2"]).withColumn("stands_in", me == F.col("first")).select("k1", "k2", "idx", "lo", "hi", "repeated", "classes", "stands_in"), "round", items)
     repeated = known.where("repeated").select("k1", "k2", "lo", "hi")
     if last:
         return repeated, None
@@ -211,21 +213,21 @@ def repeated_windows(texts: DataFrame, ws: Workspace) -> DataFrame:
     Windows of texts that are there more than once are all repeated; such a text takes part once, with its number of copies.
     """
     hashes = anchor_hashes(texts).groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    maybe = texts.sparkSession.sparkContext.broadcast(_bitmap(hashes))
+    maybe = texts.sparkSession.sparkContext.broadcast(_bitmap(hashes, ws))
     lists = ["idx", "p", "lo", "hi", "core", "u1", "u2", "bytes"]
     found = _contexts(texts, maybe).groupBy("k1", "k2", "part").agg(F.first(F.struct(*lists)).alias("a"), F.count("*").alias("n"))
-    stored = ws.table(found.select("k1", "k2", "n", "a.*"), "contexts")
+    stored = ws.step(found.select("k1", "k2", "n", "a.*"), "contexts")
     thin = lists[:-1]
     items = stored.select("k1", "k2", "n", F.inline(F.arrays_zip(*thin))).select(*[c.split()[0] for c in ITEM.split(", ")])
     repeated, todo = _round(items, ws, False)
     out = [repeated]
     every = stored.select("k1", "k2", "n", F.inline(F.arrays_zip("idx", "p", F.col("lo").alias("base"), "bytes")))
-    contexts = ws.table(every.join(todo, ["k1", "k2", "idx"]).withColumn("open", F.array(F.struct("lo", "hi"))).drop("lo", "hi"), "open")
+    contexts = ws.step(every.join(todo, ["k1", "k2", "idx"]).withColumn("open", F.array(F.struct("lo", "hi"))).drop("lo", "hi"), "open", stored)
     for k, grid in enumerate(GRIDS):
         if k:
             blocks_left = todo.groupBy("k1", "k2", "idx").agg(F.collect_list(F.struct("lo", "hi")).alias("open"))
             contexts = contexts.drop("open").join(blocks_left, ["k1", "k2", "idx"])
-        repeated, todo = _round(ws.table(_cut_blocks(contexts, grid), "items"), ws, grid == 1)
+        repeated, todo = _round(ws.step(_cut_blocks(contexts, grid), "items"), ws, grid == 1)
         out.append(repeated)
     for more in out[1:]:
         out[0] = out[0].union(more)
@@ -260,7 +262,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = long.groupBy("k1", "k2", F.octet_length("text").alias("size")).agg(F.count("*").alias("n")).where("n > 1")
     all_of = copies.select("k1", "k2", F.array(F.struct(F.lit(0).alias("lo"), (F.col("size") - LENGTH).alias("hi"))).alias("all"))
     some = windows.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("some"))
-    ranges = ws.table(some.join(all_of, ["k1", "k2"], "full").select("k1", "k2", F.coalesce("all", "some").alias("windows")), "ranges")
+    ranges = ws.step(some.join(all_of, ["k1", "k2"], "full").select("k1", "k2", F.coalesce("all", "some").alias("windows")), "ranges")
+    ws.keep(ranges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

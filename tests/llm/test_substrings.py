@@ -1,9 +1,12 @@
 import hashlib
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 
 from gainsieve.llm.substrings import digest, remove_repeats
+from gainsieve.sources.workspace import RELEASE, shared_root
 
 
 def brute(docs):
@@ -68,3 +71,23 @@ def test_empty_table_and_null_ids(spark):
     df = spark.createDataFrame([(None, "q" * 250), (None, None), (3, "q" * 250)], "doc_id long, text string")
     assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"]) for r in remove_repeats(df).collect()) == [(0, 0, 0), (250, 250, 1), (250, 250, 1)]
     assert remove_repeats(df.limit(0)).count() == 0
+
+
+def test_leaves_one_table_and_no_shuffle_files(spark):
+    docs = data()
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    local = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    shuffles = lambda: {str(f) for d in local for f in Path(d).rglob("shuffle_*.data")}
+    root = Path(shared_root(spark).removeprefix("file:"))
+    tables = lambda: {str(f) for f in root.glob("gainsieve-*/*")}
+    files, folders, setting = shuffles(), tables(), spark.conf.get(RELEASE, None)
+    out = digest(df)
+    for _ in range(100):  # files go in the background
+        if not shuffles() - files:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - files
+    assert [f.rsplit("-")[-1] for f in tables() - folders] == ["ranges"]
+    assert spark.conf.get(RELEASE, None) == setting
+    for _ in range(2):  # what is left serves any number of runs
+        assert sorted((tuple(r) for r in out.collect()), key=str) == brute(docs)
